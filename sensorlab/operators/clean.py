@@ -27,16 +27,19 @@ def _q(c: str, qs, method: str, accuracy: int) -> Column:
     return F.percentile(F.col(c), F.array(*[F.lit(q) for q in qs]))
 
 
-def fill_missing(df: DataFrame, method: str = "exact", accuracy: int = 100000,
-                 text_fill: str = "unknown") -> DataFrame:
-    """text columns -> 'unknown', numeric columns -> column median."""
+def fill_missing(df: DataFrame, cols: Sequence[str] | None = None, method: str = "exact",
+                 accuracy: int = 100000, text_fill: str = "unknown") -> DataFrame:
+    """text columns -> 'unknown', numeric columns -> column median
+    (integer columns come back as double, as pandas does after a fill)."""
     types = dict(df.dtypes)
-    num = [c for c, t in df.dtypes if t in ("double", "float", "bigint", "int", "smallint", "tinyint")]
+    cols = set(cols) if cols is not None else set(df.columns)
+    num = [c for c, t in df.dtypes if c in cols
+           and t in ("double", "float", "bigint", "int", "smallint", "tinyint")]
     if num:
         s = df.agg(F.struct(*[_q(c, [0.5], method, accuracy)[0].alias(c) for c in num]).alias("s")).scalar()
     proj = []
     for c in df.columns:
-        if types[c] == "string":
+        if types[c] == "string" and c in cols:
             proj.append(F.coalesce(F.col(c), F.lit(text_fill)).alias(c))
         elif c in num:
             med = s.getField(c)
