@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..plans import chunked as C
 
 EPS = sys.float_info.epsilon  # numpy float64 machine epsilon
@@ -148,8 +149,15 @@ def interpolate_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
 
 # ---- N8-N10 (array form) ---------------------------------------------------
 
-def _arr_mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+def _two_pass(a: Column, finish) -> Column:
+    """Evaluate ``finish(mean, var_pop)`` of array ``a`` with each statistic
+    computed once per row: the statistics are lambda variables of
+    ``aggregate``'s finish functions, so they are not re-inlined into the
+    per-element lambdas (which would make the work quadratic in length)."""
+    n = F.size(a)
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x,
+                       lambda s: F.aggregate(a, F.lit(0.0), lambda v, x: v + (x - s / n) * (x - s / n),
+                                             lambda v: finish(s / n, v / n)))
 
 
 def instance_norm(df: DataFrame, series: str = "series", eps: float = 1e-5,
@@ -159,32 +167,45 @@ def instance_norm(df: DataFrame, series: str = "series", eps: float = 1e-5,
     is subtracted instead of the mean (the std is still the population std).
     Keeps ``_center`` and ``_stdev`` columns for :func:`instance_denorm`."""
     a = F.col(series)
-    mean = _arr_mean(a)
-    d = df.withColumn("_mean", mean)
-    var = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.size(a)
-    d = d.withColumn("_stdev", F.sqrt(var + F.lit(eps)))
-    center = F.element_at(a, -1) if subtract_last else F.col("_mean")
-    d = d.withColumn("_center", center).drop("_mean")
-    d = d.withColumn(series, F.transform(a, lambda x: (x - F.col("_center")) / F.col("_stdev")))
+
+    def finish(mean, var):
+        sd = F.sqrt(var + F.lit(eps))
+        center = F.element_at(a, -1) if subtract_last else mean
+        return F.struct(F.transform(a, lambda x: (x - center) / sd).alias("x"),
+                        center.alias("c"), sd.alias("s"))
+    d = df.withColumn("_r", _two_pass(a, finish))
+    d = (d.withColumn(series, F.col("_r.x")).withColumn("_center", F.col("_r.c"))
+         .withColumn("_stdev", F.col("_r.s")).drop("_r"))
     return d if keep_stats else d.drop("_center", "_stdev")
 
 
 def instance_denorm(df: DataFrame, series: str = "series") -> DataFrame:
     """Inverse of :func:`instance_norm` using the kept statistics."""
-    return (df.withColumn(series, F.transform(F.col(series),
-                                              lambda x: x * F.col("_stdev") + F.col("_center")))
+    st = F.struct(F.col("_stdev").alias("s"), F.col("_center").alias("c"))
+    return (df.withColumn(series, let(st, lambda k: F.transform(F.col(series), lambda x: x * k["s"] + k["c"])))
             .drop("_center", "_stdev"))
 
 
 def masked_norm(df: DataFrame, series: str = "series", mask: str = "mask",
                 eps: float = 1e-5) -> DataFrame:
-    """Mean and std over observed steps only (mask = 1); masked steps 0."""
+    """Mean and std over observed steps only (mask = 1); masked steps 0.
+    Adds ``obs_mean`` and ``obs_std``."""
     z = F.arrays_zip(F.col(series).alias("x"), F.col(mask).alias("m"))
-    n_obs = F.aggregate(F.col(mask), F.lit(0), lambda acc, m: acc + m.cast("int"))
-    d = df.withColumn("_n", n_obs)
-    d = d.withColumn("_mean", F.aggregate(z, F.lit(0.0), lambda acc, e: acc + F.when(e["m"] == 1, e["x"]).otherwise(0.0)) / F.col("_n"))
-    centred = F.transform(z, lambda e: F.when(e["m"] == 1, e["x"] - F.col("_mean")).otherwise(F.lit(0.0)))
-    d = d.withColumn("_c", centred)
-    d = d.withColumn("_std", F.sqrt(F.aggregate(F.col("_c"), F.lit(0.0), lambda acc, x: acc + x * x) / F.col("_n") + F.lit(eps)))
-    return (d.withColumn(series, F.transform(F.col("_c"), lambda x: x / F.col("_std")))
-            .drop("_n", "_c").withColumnRenamed("_mean", "obs_mean").withColumnRenamed("_std", "obs_std"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"))
+
+    def first(acc):
+        mean = acc["s"] / acc["c"]
+
+        def second(v):
+            sd = F.sqrt(v / acc["c"] + F.lit(eps))
+            return F.struct(F.transform(z, lambda e: F.when(e["m"] == 1, (e["x"] - mean) / sd)
+                                        .otherwise(F.lit(0.0))).alias("x"),
+                            mean.alias("mean"), sd.alias("std"))
+        return F.aggregate(z, F.lit(0.0), lambda v, e: v + F.when(e["m"] == 1, (e["x"] - mean) * (e["x"] - mean))
+                           .otherwise(F.lit(0.0)), second)
+    r = F.aggregate(z, zero, lambda acc, e: F.struct(
+        (acc["s"] + F.when(e["m"] == 1, e["x"]).otherwise(F.lit(0.0))).alias("s"),
+        (acc["c"] + F.when(e["m"] == 1, F.lit(1)).otherwise(F.lit(0))).alias("c")), first)
+    d = df.withColumn("_r", r)
+    return (d.withColumn(series, F.col("_r.x")).withColumn("obs_mean", F.col("_r.mean"))
+            .withColumn("obs_std", F.col("_r.std")).drop("_r"))
