@@ -47,7 +47,7 @@ def load_all() -> None:
     """Import every query module so their registrations run."""
     from . import q_series, q_tabular  # noqa: F401
     for mod in ("q_metrics", "q_shapes", "q_spectral", "q_augment", "q_board", "q_dtw",
-                "q_sources"):
+                "q_misc"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:  # module not written yet
