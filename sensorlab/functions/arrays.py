@@ -16,3 +16,12 @@ def let(value: Column, body) -> Column:
 
 def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def fit_row(df, exprs: dict):
+    """Run one aggregate job and return its single row as a dict (the "fit"
+    step of an estimator, as Spark ML's own scalers do).  Only a handful of
+    statistics per column reach the driver, never data rows."""
+    from pyspark.sql import functions as F  # noqa: F811
+    row = df.agg(*[c.alias(n) for n, c in exprs.items()]).first()
+    return row.asDict(recursive=True)

@@ -1,8 +1,8 @@
 """Cleaning of wide tables (F1-F3): missing values, one-hot, outlier caps.
 
-Each statistic is one aggregate pass over all columns at once.  The result
-is a single row read back as a scalar subquery, so applying it is a plain
-projection of the big table (no join, no driver round trip).
+Each statistic is one aggregate pass over all columns at once (the fit
+step).  Its single result row - a few numbers per column - becomes literals,
+so applying it is a plain codegen'd projection of the big table (no join).
 
 Quantiles: ``method='exact'`` uses Spark's ``percentile`` (linear
 interpolation, equal to pandas).  Its buffer holds the distinct values of a
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import fit_row
 from .features import numeric_columns
 
 
@@ -35,19 +36,18 @@ def fill_missing(df: DataFrame, cols: Sequence[str] | None = None, method: str =
     cols = set(cols) if cols is not None else set(df.columns)
     num = [c for c, t in df.dtypes if c in cols
            and t in ("double", "float", "bigint", "int", "smallint", "tinyint")]
-    if num:
-        s = df.agg(F.struct(*[_q(c, [0.5], method, accuracy)[0].alias(c) for c in num]).alias("s")).scalar()
+    med = fit_row(df, {c: _q(c, [0.5], method, accuracy)[0] for c in num}) if num else {}
     proj = []
     for c in df.columns:
         if types[c] == "string" and c in cols:
             proj.append(F.coalesce(F.col(c), F.lit(text_fill)).alias(c))
         elif c in num:
-            med = s.getField(c)
+            m = F.lit(med[c]).cast("double")
             if types[c] not in ("double", "float"):
                 # pandas turns an int column with NaN into float
-                proj.append(F.coalesce(F.col(c).cast("double"), med).alias(c))
+                proj.append(F.coalesce(F.col(c).cast("double"), m).alias(c))
             else:
-                proj.append(F.coalesce(F.col(c), med).alias(c))
+                proj.append(F.coalesce(F.col(c), m).alias(c))
         else:
             proj.append(F.col(c))
     return df.select(*proj)
@@ -83,12 +83,12 @@ def cap_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.
                  method: str = "exact", accuracy: int = 100000) -> DataFrame:
     """cap each numeric column to [Q1 - k*IQR, Q3 + k*IQR]."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    s = df.agg(F.struct(*[_q(c, [0.25, 0.75], method, accuracy).alias(c) for c in cols]).alias("s")).scalar()
+    qs = fit_row(df, {c: _q(c, [0.25, 0.75], method, accuracy) for c in cols})
     proj = []
     for c in df.columns:
         if c in cols:
-            q = s.getField(c)
-            q1, q3 = q[0], q[1]
+            q1, q3 = (F.lit(None).cast("double"), F.lit(None).cast("double")) if qs[c] is None else \
+                (F.lit(float(qs[c][0])), F.lit(float(qs[c][1])))
             lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
             x = F.col(c).cast("double")
             proj.append(F.when(x < lo, lo).when(x > hi, hi).otherwise(x).alias(c))

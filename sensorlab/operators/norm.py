@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import fit_row, let
 from ..plans import chunked as C
 
 EPS = sys.float_info.epsilon  # numpy float64 machine epsilon
@@ -33,9 +33,9 @@ def _with_stats(df: DataFrame, by: list[str], stats: dict[str, Column]) -> DataF
     if by:
         st = df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])
         return df.join(st, by, "left")
-    # one global row: a scalar subquery, evaluated once and inlined as a literal
-    s = df.agg(F.struct(*[c.alias(n) for n, c in stats.items()]).alias("s")).scalar()
-    return df.select("*", *[s.getField(n).alias(n) for n in stats])
+    # one global row: fitted once, applied as literals
+    row = fit_row(df, stats)
+    return df.select("*", *[F.lit(row[n]).cast("double").alias(n) for n in stats])
 
 
 # ---- N1-N4 -----------------------------------------------------------------
@@ -99,15 +99,13 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, cols: Sequence[str],
                  inverse: bool = False) -> DataFrame:
     """N5 / N6 transform: (x - mean) / scale, or x * scale + mean when ``inverse``.
 
-    The scaler has one row per column, so it is read as a scalar subquery of
-    a single struct (no join with the data at all)."""
-    wide = scaler.agg(*[F.max_by(F.struct("mean", "scale"), F.col("column") == c).alias(c)
-                        for c in cols])
-    s = wide.select(F.struct(*cols).alias("s")).scalar()
+    The scaler has one row per column; it is read once (a few numbers per
+    column) and applied as literals, so the transform is a plain projection."""
+    rows = {r["column"]: (r["mean"], r["scale"]) for r in scaler.where(F.col("column").isin(list(cols))).collect()}
     proj = []
     for c in df.columns:
         if c in cols:
-            m, k = s.getField(c).getField("mean"), s.getField(c).getField("scale")
+            m, k = (F.lit(rows[c][0]).cast("double"), F.lit(rows[c][1]).cast("double"))
             proj.append(((F.col(c) * k + m) if inverse else ((F.col(c) - m) / k)).alias(c))
         else:
             proj.append(F.col(c))
