@@ -27,16 +27,18 @@ def calendar_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 def rolling_features(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                      cols: Sequence[str], window: int = 24, chunk: Column | None = None,
-                     stats: Sequence[str] = ("mean", "std", "min", "max")) -> DataFrame:
+                     stats: Sequence[str] = ("mean", "std", "min", "max"), bucket: int | None = None) -> DataFrame:
     """Trailing rolling mean / std (ddof 1, 0 where undefined) / min /
     max over ``window`` rows with min_periods 1, per series ``keys``.
 
-    Output: the input columns plus ``{col}_rolling_{stat}``.
+    Output: the input columns plus ``{col}_rolling_{stat}``.  If ``df``
+    already carries the chunked index (``_pos``, ``_len``) it is reused.
     """
-    chunk = chunk if chunk is not None else C.default_chunk()
-    rows, chunks = C.index_series(df, keys, order, chunk)
-    carry_cols = [c for c in df.columns if c not in keys]
-    both = C.with_neighbours(rows, chunks, keys, carry_cols, before=window - 1)
+    if C.POS not in df.columns:
+        chunk = chunk if chunk is not None else C.default_chunk()
+        df, _ = C.index_series(df, keys, order, chunk)
+    base = [c for c in C.drop_index(df).columns if c not in keys]
+    both = C.with_neighbours(df, None, keys, base, before=window - 1, bucket=bucket)
     w = (Window.partitionBy(*keys, C.CHUNK).orderBy(C.POS)
          .rowsBetween(-(window - 1), Window.currentRow))
     fns = {"mean": lambda c: F.avg(c).over(w),
@@ -44,7 +46,7 @@ def rolling_features(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
            "min": lambda c: F.min(c).over(w),
            "max": lambda c: F.max(c).over(w)}
     feats = [fns[s](c).alias(f"{c}_rolling_{s}") for c in cols for s in stats]
-    out = both.select(*keys, *carry_cols, C.BORROWED, *feats)
+    out = both.select(*keys, *base, C.BORROWED, *feats)
     return out.where(~F.col(C.BORROWED)).drop(C.BORROWED)
 
 

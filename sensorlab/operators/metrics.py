@@ -368,27 +368,18 @@ def owa(model: DataFrame, naive: DataFrame, group="group") -> DataFrame:
 def adjust_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                     truth="truth", pred="pred", chunk: Column | None = None) -> DataFrame:
     """Inside every run of truth = 1, one predicted hit marks the whole run
-    (the reference's loop without its index-0 off-by-one).  Runs are found as
-    gaps-and-islands: run id = running count of run starts, computed per
-    (key, chunk) plus chunk offsets; the run's hit flag is one aggregate."""
+    (the reference's loop without its index-0 off-by-one).  A run is named by
+    the position of the last truth = 0 row before it - a carried value of the
+    chunked index, so runs may cross chunks; each run's hit flag is one
+    partial aggregate joined back by (key, run)."""
     chunk = chunk if chunk is not None else C.default_chunk()
-    rows, chunks = C.index_series(df, keys, order, chunk)
-    both = C.with_neighbours(rows, chunks, keys, [truth], before=1)
-    w = Window.partitionBy(*keys, C.CHUNK).orderBy(C.POS)
-    start = ((F.col(truth) == 1) & (F.coalesce(F.lag(truth, 1).over(w), F.lit(0)) != 1)).cast("long")
-    st = (both.select(*keys, C.CHUNK, C.POS, C.BORROWED, start.alias("_start"))
-          .where(~F.col(C.BORROWED)).drop(C.BORROWED))
-    per_chunk = st.groupBy(*keys, C.CHUNK).agg(F.sum("_start").alias("_cs"))
-    wk = Window.partitionBy(*keys).orderBy(C.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.select(*keys, C.CHUNK, F.coalesce(F.sum("_cs").over(wk), F.lit(0)).alias("_so"))
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    seg = (st.withColumn("_run", F.sum("_start").over(wr)).join(per_chunk, [*keys, C.CHUNK])
-           .select(*keys, C.POS, (F.col("_run") + F.col("_so")).alias("_seg")))
-    r2 = rows.join(seg, [*keys, C.POS])
-    hits = (r2.where(F.col(truth) == 1).groupBy(*keys, "_seg")
+    d = df.withColumn("_zero", F.when(F.col(truth) != 1, F.lit(1)))
+    rows, _ = C.index_series(d, keys, order, chunk, carry=["_zero"])
+    seg = F.when(F.col(truth) == 1, F.coalesce(F.col("_prevpos__zero"), F.lit(-1)))
+    r2 = C.drop_index(rows.withColumn("_seg", seg)).drop("_zero")
+    hits = (r2.where(F.col("_seg").isNotNull()).groupBy(*keys, "_seg")
             .agg(F.max(F.col(pred)).alias("_hit")))
     out = (r2.join(hits, [*keys, "_seg"], "left")
            .withColumn("pred_adjusted", F.when((F.col(truth) == 1) & (F.col("_hit") == 1), F.lit(1))
                        .otherwise(F.col(pred)).cast("int")))
-    return out.drop("_seg", "_hit", C.CHUNK, C.RN, C.CNT, C.OFF, C.LEN, C.POS)
-
+    return out.drop("_seg", "_hit")

@@ -124,25 +124,28 @@ def scale_with(df: DataFrame, cols: Sequence[str], mean: float, std: float,
 
 def interpolate_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                      value: str = "value", chunk: Column | None = None,
-                     out: str | None = None) -> DataFrame:
+                     out: str | None = None, keep_index: bool = False) -> DataFrame:
     """Linear gap fill inside each series, steps equally spaced; leading and
     trailing gaps take the nearest observed value; all-NULL series stay NULL.
 
-    Skew-safe: rows are windowed per (key, chunk); the last / next observed
-    value across chunk boundaries comes from a chunk summary table.
+    Skew-safe: one window pass per (key, chunk) plus a chunk table that
+    carries the last / next observed value across chunk boundaries (see
+    ``plans.chunked``).  ``keep_index`` keeps the position columns so a
+    following order-dependent operator can reuse them.
     """
     out = out or value
     chunk = chunk if chunk is not None else C.default_chunk()
-    rows, chunks = C.index_series(df, keys, order, chunk)
-    rows = C.carry(rows, chunks, keys, value, "prev")
-    rows = C.carry(rows, chunks, keys, value, "next")
-    vp, pp, vn, pn, p = (F.col(x) for x in ("_v_prev", "_p_prev", "_v_next", "_p_next", C.POS))
+    rows, _ = C.index_series(df, keys, order, chunk, carry=[value])
+    vp, pp = F.col(f"_prev_{value}"), F.col(f"_prevpos_{value}")
+    vn, pn = F.col(f"_next_{value}"), F.col(f"_nextpos_{value}")
+    p = F.col(C.POS)
     filled = (F.when(F.col(value).isNotNull(), F.col(value))
               .when(vp.isNotNull() & vn.isNotNull(),
                     vp + (vn - vp) * (p - pp).cast("double") / (pn - pp).cast("double"))
               .otherwise(F.coalesce(vp, vn)))
-    drop = [C.CHUNK, C.RN, C.CNT, C.OFF, C.LEN, C.POS, "_v_prev", "_p_prev", "_v_next", "_p_next"]
-    return rows.withColumn(out, filled).drop(*[d for d in drop if d != out])
+    rows = rows.withColumn(out, filled).drop(f"_prev_{value}", f"_prevpos_{value}", f"_next_{value}",
+                                             f"_nextpos_{value}")
+    return rows if keep_index else C.drop_index(rows)
 
 
 # ---- N8-N10 (array form) ---------------------------------------------------

@@ -35,30 +35,36 @@ def _lags(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], val
     return x.where(~F.col(C.BORROWED)).drop(C.BORROWED)
 
 
-def _fit0(sub: DataFrame, keys) -> DataFrame:
-    """OLS dy ~ 1 + yl: statistic, SSR and nobs per series."""
-    n = F.count(F.lit(1))
-    g = sub.groupBy(*keys).agg(n.alias("n"), F.var_pop("yl").alias("vx"), F.covar_pop("yl", "dy").alias("cxy"),
-                              F.var_pop("dy").alias("vy"))
-    sxx, sxy, syy = F.col("n") * F.col("vx"), F.col("n") * F.col("cxy"), F.col("n") * F.col("vy")
-    gam = sxy / sxx
+def _moments(x: DataFrame, keys) -> DataFrame:
+    """Every moment both fits need, in one aggregate: the lag-0 fit on all
+    rows with a level (``a0``) and both fits on the common sample (``c``).
+    Conditional columns are NULL outside their sample; the aggregates skip
+    NULL rows."""
+    a = F.col("yl").isNotNull()
+    c = F.col("dyl").isNotNull()
+    ca = lambda col, cond: F.when(cond, F.col(col))
+    return x.groupBy(*keys).agg(
+        F.count(F.when(a, 1)).alias("na"), F.var_pop(ca("yl", a)).alias("a_vx"),
+        F.covar_pop(ca("yl", a), ca("dy", a)).alias("a_cxy"), F.var_pop(ca("dy", a)).alias("a_vy"),
+        F.count(F.when(c, 1)).alias("nc"), F.var_pop(ca("yl", c)).alias("vx"), F.var_pop(ca("dyl", c)).alias("vz"),
+        F.covar_pop(ca("yl", c), ca("dyl", c)).alias("cxz"), F.covar_pop(ca("yl", c), ca("dy", c)).alias("cxy"),
+        F.covar_pop(ca("dyl", c), ca("dy", c)).alias("czy"), F.var_pop(ca("dy", c)).alias("vy"))
+
+
+def _fit0(n: Column, vx: Column, cxy: Column, vy: Column):
+    """OLS dy ~ 1 + yl from moments: (statistic, SSR)."""
+    sxx, sxy, syy = n * vx, n * cxy, n * vy
     ssr = syy - sxy * sxy / sxx
-    se = F.sqrt(ssr / (F.col("n") - 2) / sxx)
-    return g.select(*keys, "n", (gam / se).alias("stat"), ssr.alias("ssr"))
+    return (sxy / sxx) / F.sqrt(ssr / (n - 2) / sxx), ssr
 
 
-def _fit1(sub: DataFrame, keys) -> DataFrame:
-    """OLS dy ~ 1 + yl + dyl (closed form for two centred regressors)."""
-    g = sub.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop("yl").alias("vx"), F.var_pop("dyl").alias("vz"),
-        F.covar_pop("yl", "dyl").alias("cxz"), F.covar_pop("yl", "dy").alias("cxy"),
-        F.covar_pop("dyl", "dy").alias("czy"), F.var_pop("dy").alias("vy"))
-    det = F.col("vx") * F.col("vz") - F.col("cxz") * F.col("cxz")
-    b1 = (F.col("vz") * F.col("cxy") - F.col("cxz") * F.col("czy")) / det
-    b2 = (F.col("vx") * F.col("czy") - F.col("cxz") * F.col("cxy")) / det
-    ssr = F.col("n") * (F.col("vy") - b1 * F.col("cxy") - b2 * F.col("czy"))
-    se = F.sqrt(ssr / (F.col("n") - 3) * F.col("vz") / (F.col("n") * det))
-    return g.select(*keys, "n", (b1 / se).alias("stat"), ssr.alias("ssr"))
+def _fit1(n: Column, vx, vz, cxz, cxy, czy, vy):
+    """OLS dy ~ 1 + yl + dyl (two centred regressors): (statistic, SSR)."""
+    det = vx * vz - cxz * cxz
+    b1 = (vz * cxy - cxz * czy) / det
+    b2 = (vx * czy - cxz * cxy) / det
+    ssr = n * (vy - b1 * cxy - b2 * czy)
+    return b1 / F.sqrt(ssr / (n - 3) * vz / (n * det)), ssr
 
 
 def _aic(ssr: Column, n: Column, k: int) -> Column:
@@ -68,24 +74,26 @@ def _aic(ssr: Column, n: Column, k: int) -> Column:
 
 def adf(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str = "value",
         chunk: Column | None = None) -> DataFrame:
-    """Per series ADF statistic with lag 0 or 1 chosen by AIC:
-    (keys, adf_stat, used_lag, nobs)."""
-    x = _lags(df, keys, order, value, chunk)
-    common = x.where(F.col("dyl").isNotNull())          # rows usable by both models
-    a0 = _fit0(common, keys).select(*keys, _aic(F.col("ssr"), F.col("n"), 2).alias("aic0"))
-    a1 = _fit1(common, keys).select(*keys, _aic(F.col("ssr"), F.col("n"), 3).alias("aic1"))
-    choice = a0.join(a1, list(keys)).select(*keys, F.when(F.col("aic1") < F.col("aic0"), 1).otherwise(0)
-                                            .alias("used_lag"))
-    f0 = _fit0(x.where(F.col("yl").isNotNull()), keys).select(*keys, F.col("stat").alias("s0"), F.col("n").alias("n0"))
-    f1 = _fit1(common, keys).select(*keys, F.col("stat").alias("s1"), F.col("n").alias("n1"))
-    j = choice.join(f0, list(keys)).join(f1, list(keys))
-    return j.select(*keys, F.when(F.col("used_lag") == 1, F.col("s1")).otherwise(F.col("s0")).alias("adf_stat"),
-                    "used_lag", F.when(F.col("used_lag") == 1, F.col("n1")).otherwise(F.col("n0")).alias("nobs"))
+    """Per series ADF statistic with lag 0 or 1 chosen by AIC on the
+    common sample: (keys, adf_stat, used_lag, nobs)."""
+    m = _moments(_lags(df, keys, order, value, chunk), keys)
+    col = F.col
+    s0, _ = _fit0(col("na"), col("a_vx"), col("a_cxy"), col("a_vy"))
+    _, ssr0c = _fit0(col("nc"), col("vx"), col("cxy"), col("vy"))
+    s1, ssr1 = _fit1(col("nc"), col("vx"), col("vz"), col("cxz"), col("cxy"), col("czy"), col("vy"))
+    lag1 = _aic(ssr1, col("nc"), 3) < _aic(ssr0c, col("nc"), 2)
+    return m.select(*keys, F.when(lag1, s1).otherwise(s0).alias("adf_stat"),
+                    F.when(lag1, 1).otherwise(0).alias("used_lag"),
+                    F.when(lag1, col("nc")).otherwise(col("na")).alias("nobs"))
 
 
 def mean_adf(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str = "value",
              lag: int = 1, chunk: Column | None = None) -> DataFrame:
     """Mean over series of the ADF statistic at a fixed lag (0 or 1)."""
-    x = _lags(df, keys, order, value, chunk)
-    f = _fit1(x.where(F.col("dyl").isNotNull()), keys) if lag == 1 else _fit0(x.where(F.col("yl").isNotNull()), keys)
-    return f.agg(F.avg("stat").alias("mean_adf"), F.count(F.lit(1)).alias("n_series"))
+    m = _moments(_lags(df, keys, order, value, chunk), keys)
+    col = F.col
+    if lag == 1:
+        st, _ = _fit1(col("nc"), col("vx"), col("vz"), col("cxz"), col("cxy"), col("czy"), col("vy"))
+    else:
+        st, _ = _fit0(col("na"), col("a_vx"), col("a_cxy"), col("a_vy"))
+    return m.agg(F.avg(st).alias("mean_adf"), F.count(F.lit(1)).alias("n_series"))

@@ -2,23 +2,27 @@
 
 A window partitioned by the series key alone sends every row of a key to one
 task; one machine holding a third of all rows would then run in one task.
-Instead every series is cut into *chunks* (a monotone function of the order
-columns, e.g. the hour of the time stamp) and windows are partitioned by
-``(key, chunk)``.  Work that crosses a chunk boundary is handled explicitly:
-
-* ``index_series`` gives each row its global position in the series from the
-  in-chunk row number plus a per-chunk offset.  The offsets come from a
-  one-row-per-chunk count table, which is the only per-key window.
-* ``with_neighbours`` copies the last ``before`` rows preceding each chunk and
-  the first ``after`` rows following it into the chunk (flagged ``_borrowed``)
-  so bounded frames (rolling statistics, centred averages, lags) are exact.
-  Borrowed rows are found by an equi-join on ``(key, position)`` against the
-  chunk heads / tails only, so the join never touches the full table twice.
-* ``carry_last`` / ``carry_next`` give the last (next) non-null value at any
-  distance, via a chunk summary table and a window over chunks.
-
-Chunk tables have one row per (key, chunk): they grow with time span, not with
-row count, and stay small for any chunk width the caller chooses.
+Instead each series is cut into *chunks* (a monotone function of the order
+columns, by default the hour of the time stamp) and windows are partitioned
+by ``(key, chunk)``:
+
+* ``index_series`` runs one window pass per (key, chunk) for the in-chunk row
+  number (plus, for ``carry`` columns, the last / next non-null value inside
+  the chunk), and builds a chunk table (one row per key and chunk) whose
+  per-key windows give each chunk its global row offset and the values to
+  carry over from earlier / later chunks.  One join of the rows with the
+  chunk table gives the global position ``_pos`` of every row and, for each
+  carry column, the last (``_prev_*``) and next (``_next_*``) non-null value
+  at any distance with their positions.
+* ``with_neighbours`` prepares exact bounded frames (rolling statistics,
+  centred averages, lags): rows are re-bucketed by position (``_pos`` div
+  ``bucket``, so buckets are equally full even for a hot key) and the few
+  rows within ``before`` / ``after`` of a bucket edge are duplicated into the
+  neighbouring bucket by one ``explode``, flagged ``_borrowed``.  Window over
+  ``partitionBy(keys, _chunk).orderBy(_pos)`` and drop borrowed rows.
+
+The chunk table grows with keys x time span, not with rows; its windows are
+per key over chunks.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK, RN, CNT, OFF, POS, LEN, BORROWED = "_chunk", "_rn", "_cnt", "_off", "_pos", "_len", "_borrowed"
+INDEX_COLS = [CHUNK, RN, CNT, OFF, LEN, POS]
+BUCKET = 1 << 16   # rows per position bucket for bounded frames
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -40,93 +46,83 @@ def default_chunk(ts_col: str = "ts", unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts_col))
 
 
-def chunk_table(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    """(keys, _chunk, _cnt, _off, _len): row count, global start and series length."""
-    counts = df.groupBy(*keys, chunk.alias(CHUNK)).agg(F.count(F.lit(1)).alias(CNT))
-    wk = Window.partitionBy(*keys).orderBy(CHUNK)
-    return (counts
-            .withColumn(OFF, F.coalesce(F.sum(CNT).over(
-                wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-            .withColumn(LEN, F.sum(CNT).over(Window.partitionBy(*keys)).cast("long")))
-
-
-def index_series(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                 chunk: Column) -> tuple[DataFrame, DataFrame]:
-    """Add ``_chunk``, ``_rn`` (1-based in chunk), ``_cnt``, ``_off``, ``_len``
-    and ``_pos`` (0-based position in the whole series).
-
-    Returns ``(indexed_rows, chunk_table)``.
-    """
-    chunks = chunk_table(df, keys, chunk)
+def index_series(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column,
+                 carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Add ``_chunk, _rn, _cnt, _off, _len, _pos`` (0-based position in the
+    series) and, per column ``v`` in ``carry``: ``_prev_v``/``_prevpos_v`` (last
+    non-null at or before the row) and ``_next_v``/``_nextpos_v`` (first
+    non-null at or after it).  Returns (rows, chunk_table)."""
+    keys = list(keys)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*_cols(order))
-    rows = df.withColumn(CHUNK, chunk).withColumn(RN, F.row_number().over(w))
-    rows = (rows.join(chunks, [*keys, CHUNK])
-            .withColumn(POS, (F.col(OFF) + F.col(RN) - 1).cast("long")))
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = df.withColumn(CHUNK, chunk).withColumn(RN, F.row_number().over(w)) \
+        .withColumn(CNT, F.count(F.lit(1)).over(whole))
+    summ = []
+    for v in carry:
+        nn = F.col(v).isNotNull()
+        d = (d.withColumn(f"_lv_{v}", F.last(F.when(nn, F.col(v)), True).over(up))
+             .withColumn(f"_lr_{v}", F.last(F.when(nn, F.col(RN)), True).over(up))
+             .withColumn(f"_nv_{v}", F.first(F.when(nn, F.col(v)), True).over(down))
+             .withColumn(f"_nr_{v}", F.first(F.when(nn, F.col(RN)), True).over(down)))
+        # chunk summary: first / last observed value with its in-chunk rank
+        d = (d.withColumn(f"_cl_{v}", F.last(F.when(nn, F.struct(F.col(v).alias("v"), F.col(RN).alias("r"))),
+                                             True).over(whole))
+             .withColumn(f"_cf_{v}", F.first(F.when(nn, F.struct(F.col(v).alias("v"), F.col(RN).alias("r"))),
+                                             True).over(whole)))
+        summ += [f"_cl_{v}", f"_cf_{v}"]
+    # one row per (key, chunk), taken from the same windowed pass
+    ct = d.where(F.col(RN) == 1).select(*keys, CHUNK, CNT, *summ)
+    wk = Window.partitionBy(*keys).orderBy(CHUNK)
+    ct = (ct.withColumn(OFF, F.coalesce(F.sum(CNT).over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                         F.lit(0)).cast("long"))
+          .withColumn(LEN, F.sum(CNT).over(Window.partitionBy(*keys)).cast("long")))
+    carried = []
+    for v in carry:
+        gl = F.struct(F.col(f"_cl_{v}.v").alias("v"), (F.col(OFF) + F.col(f"_cl_{v}.r") - 1).alias("p"))
+        gf = F.struct(F.col(f"_cf_{v}.v").alias("v"), (F.col(OFF) + F.col(f"_cf_{v}.r") - 1).alias("p"))
+        ct = (ct.withColumn(f"_gl_{v}", F.when(F.col(f"_cl_{v}").isNotNull(), gl))
+              .withColumn(f"_gf_{v}", F.when(F.col(f"_cf_{v}").isNotNull(), gf)))
+        ct = (ct.withColumn(f"_cp_{v}", F.last(f"_gl_{v}", True).over(wk.rowsBetween(Window.unboundedPreceding, -1)))
+              .withColumn(f"_cn_{v}", F.first(f"_gf_{v}", True).over(wk.rowsBetween(1, Window.unboundedFollowing))))
+        carried += [f"_cp_{v}", f"_cn_{v}"]
+    chunks = ct.select(*keys, CHUNK, CNT, OFF, LEN, *carried)
+    rows = d.drop(CNT, *summ).join(chunks, [*keys, CHUNK])
+    rows = rows.withColumn(POS, (F.col(OFF) + F.col(RN) - 1).cast("long"))
+    for v in carry:
+        loc_p = F.col(OFF) + F.col(f"_lr_{v}") - 1
+        nxt_p = F.col(OFF) + F.col(f"_nr_{v}") - 1
+        rows = (rows.withColumn(f"_prev_{v}", F.coalesce(F.col(f"_lv_{v}"), F.col(f"_cp_{v}.v")))
+                .withColumn(f"_prevpos_{v}", F.when(F.col(f"_lv_{v}").isNotNull(), loc_p)
+                            .otherwise(F.col(f"_cp_{v}.p")))
+                .withColumn(f"_next_{v}", F.coalesce(F.col(f"_nv_{v}"), F.col(f"_cn_{v}.v")))
+                .withColumn(f"_nextpos_{v}", F.when(F.col(f"_nv_{v}").isNotNull(), nxt_p)
+                            .otherwise(F.col(f"_cn_{v}.p")))
+                .drop(f"_lv_{v}", f"_lr_{v}", f"_nv_{v}", f"_nr_{v}", f"_cp_{v}", f"_cn_{v}"))
     return rows, chunks
 
 
-def with_neighbours(rows: DataFrame, chunks: DataFrame, keys: Sequence[str],
-                    cols: Sequence[str], before: int = 0, after: int = 0) -> DataFrame:
-    """Rows of each chunk plus copies of up to ``before`` preceding and ``after``
-    following rows of the same series, tagged ``_borrowed = true``.
-
-    Output columns: keys, _chunk, _pos, _len, cols, _borrowed.  Window over
-    ``partitionBy(keys, _chunk).orderBy(_pos)`` and drop borrowed rows after.
-    """
-    keep = [*keys, CHUNK, POS, LEN, *cols]
-    out = rows.select(*keep, F.lit(False).alias(BORROWED))
-    if before > 0:
-        tails = rows.where(F.col(CNT) - F.col(RN) < before).select(*keys, POS, *cols)
-        need = (chunks.where(F.col(OFF) > 0)
-                .select(*keys, CHUNK, LEN, F.explode(F.sequence(
-                    F.greatest(F.col(OFF) - before, F.lit(0)), F.col(OFF) - 1)).alias(POS)))
-        out = out.unionByName(need.join(tails, [*keys, POS])
-                              .select(*keep, F.lit(True).alias(BORROWED)))
-    if after > 0:
-        heads = rows.where(F.col(RN) <= after).select(*keys, POS, *cols)
-        end = F.col(OFF) + F.col(CNT)
-        need = (chunks.where(end < F.col(LEN))
-                .select(*keys, CHUNK, LEN, F.explode(F.sequence(
-                    end, F.least(end + after, F.col(LEN)) - 1)).alias(POS)))
-        out = out.unionByName(need.join(heads, [*keys, POS])
-                              .select(*keep, F.lit(True).alias(BORROWED)))
-    return out
-
-
-def carry(rows: DataFrame, chunks: DataFrame, keys: Sequence[str], value: str,
-          direction: str) -> DataFrame:
-    """Add ``_v_prev``/``_p_prev`` (last non-null value at or before the row and
-    its position) or ``_v_next``/``_p_next`` (first non-null at or after),
-    across chunk boundaries.  ``rows`` must come from ``index_series``.
-    """
-    nn = F.col(value).isNotNull()
-    tag = "prev" if direction == "prev" else "next"
-    v_out, p_out = f"_v_{tag}", f"_p_{tag}"
-    wc = Window.partitionBy(*keys, CHUNK).orderBy(POS)
-    if tag == "prev":
-        frame = wc.rowsBetween(Window.unboundedPreceding, 0)
-        local_v = F.last(F.when(nn, F.col(value)), ignorenulls=True).over(frame)
-        local_p = F.last(F.when(nn, F.col(POS)), ignorenulls=True).over(frame)
-        pick = F.max_by(F.struct(F.col(value).alias("v"), F.col(POS).alias("p")),
-                        F.when(nn, F.col(POS)))
-    else:
-        frame = wc.rowsBetween(0, Window.unboundedFollowing)
-        local_v = F.first(F.when(nn, F.col(value)), ignorenulls=True).over(frame)
-        local_p = F.first(F.when(nn, F.col(POS)), ignorenulls=True).over(frame)
-        pick = F.min_by(F.struct(F.col(value).alias("v"), F.col(POS).alias("p")),
-                        F.when(nn, F.col(POS)))
-    # one row per (key, chunk): the chunk's last (first) observed value
-    summ = (rows.where(nn).groupBy(*keys, CHUNK).agg(pick.alias("_s")))
-    allc = chunks.select(*keys, CHUNK)
-    wk = Window.partitionBy(*keys).orderBy(CHUNK)
-    if tag == "prev":
-        cf = F.last("_s", ignorenulls=True).over(wk.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        cf = F.first("_s", ignorenulls=True).over(wk.rowsBetween(1, Window.unboundedFollowing))
-    carried = (allc.join(summ, [*keys, CHUNK], "left")
-               .select(*keys, CHUNK, cf.alias("_c")))
-    return (rows.withColumn("_lv", local_v).withColumn("_lp", local_p)
-            .join(carried, [*keys, CHUNK], "left")
-            .withColumn(v_out, F.coalesce(F.col("_lv"), F.col("_c.v")))
-            .withColumn(p_out, F.coalesce(F.col("_lp"), F.col("_c.p")))
-            .drop("_lv", "_lp", "_c"))
+def drop_index(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c in INDEX_COLS or c.startswith(("_prev_", "_prevpos_",
+                                                                                 "_next_", "_nextpos_"))])
+
+
+def with_neighbours(rows: DataFrame, chunks: DataFrame | None, keys: Sequence[str], cols: Sequence[str],
+                    before: int = 0, after: int = 0, bucket: int | None = None) -> DataFrame:
+    """Rows re-bucketed by position with up to ``before`` preceding and
+    ``after`` following rows copied into each bucket (``_borrowed``).
+
+    Output: keys, _chunk (= position bucket), _pos, _len, cols, _borrowed.
+    ``rows`` must carry ``_pos`` and ``_len`` (see :func:`index_series`)."""
+    b = int(bucket or BUCKET)
+    if before >= b or after >= b:
+        raise ValueError("frame wider than a bucket")
+    own = F.floor(F.col(POS) / b)
+    off = F.col(POS) % b
+    copies = [F.struct(own.alias("c"), F.lit(False).alias("f"))]
+    if before:
+        copies.append(F.when(off >= b - before, F.struct((own + 1).alias("c"), F.lit(True).alias("f"))))
+    if after:
+        copies.append(F.when((off < after) & (own > 0), F.struct((own - 1).alias("c"), F.lit(True).alias("f"))))
+    x = rows.select(*keys, POS, LEN, *cols, F.explode(F.filter(F.array(*copies), lambda e: e.isNotNull())).alias("_e"))
+    return x.select(*keys, F.col("_e.c").alias(CHUNK), POS, LEN, *cols, F.col("_e.f").alias(BORROWED))

@@ -50,7 +50,7 @@ def flagship(spark, sf_dir):
     """Gap fill (N7) -> 24-row rolling mean/std/min/max (F5-F8) -> per-machine
     standardization (N3) -> per-channel count and means (B14 style)."""
     s = machine_series(spark, sf_dir, gaps=True)
-    s = N.interpolate_gaps(s, KEYS, ORDER)
+    s = N.interpolate_gaps(s, KEYS, ORDER, keep_index=True)
     s = FE.rolling_features(s, KEYS, ORDER, ["value"], window=24)
     s = N.standardize_per_sample(s, "machine", "value", out="value_z")
     return (s.groupBy("channel")
