@@ -314,3 +314,13 @@ def q_s18(spark, sf_dir):
     root = RS.scratch_path(spark, "history")
     h.write.mode("overwrite").json(root)
     return RS.read_history(spark, root)
+
+
+@register("s15_write_result_records")
+def q_s15(spark, sf_dir):
+    """S15 result records written as key:value text (settings, two blank lines,
+    metrics) and read back as raw lines with their file (rows only: the
+    number-to-text format is the writer's)."""
+    root = RS.write_records(_records(spark, sf_dir), RS.scratch_path(spark, "records"), ["seq_len", "model_name"])
+    return spark.read.option("recursiveFileLookup", "true").text(root).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))

@@ -271,6 +271,22 @@ def q_e15(spark, sf_dir):
                                          (F.col("l_discount") * 100).alias("y_obs")), pred="y_hat", true="y_obs")
 
 
+_REG_SEL = {"rse": "sqrt(sum(power(y_obs - y_hat, 2))) / sqrt(sum(power(y_obs - (SELECT avg(y_obs) FROM s), 2)))",
+            "mae": "avg(abs(y_obs - y_hat))", "mse": "avg(power(y_obs - y_hat, 2))",
+            "rmse": "sqrt(avg(power(y_obs - y_hat, 2)))", "mape": "avg(abs((y_obs - y_hat) / nullif(y_obs, 0)))",
+            "mspe": "avg(power((y_obs - y_hat) / nullif(y_obs, 0), 2))"}
+for _id, _m in (("e15_rse", "rse"), ("e17_mae", "mae"), ("e18_mse", "mse"), ("e19_rmse", "rmse"),
+                ("e20_mape", "mape"), ("e21_mspe", "mspe")):
+    def _mk(m):
+        def q(spark, sf_dir):
+            li = read_table(spark, sf_dir, "lineitem")
+            t = li.select((F.col("l_tax") * 100).alias("y_hat"), (F.col("l_discount") * 100).alias("y_obs"))
+            return M.regression_errors(t, pred="y_hat", true="y_obs").select(m)
+        q.__doc__ = f"{m.upper()} of tax vs discount (percent); zero truths skipped for ratios."
+        return q
+    register(_id, f"WITH s AS ({REG_SQL}) SELECT {_REG_SEL[_m]} AS {_m} FROM s", dbl=[_m])(_mk(_m))
+
+
 @register("e16_corr_reference", """
 WITH s AS (SELECT l_tax AS p1, l_discount AS t1, l_quantity * (1 - l_discount) AS p2, l_quantity AS t2 FROM lineitem),
 m AS (SELECT avg(p1) AS mp1, avg(t1) AS mt1, avg(p2) AS mp2, avg(t2) AS mt2 FROM s)

@@ -89,6 +89,7 @@ def _roll_q(stat):
     def q(spark, sf_dir):
         s = machine_series(spark, sf_dir, gaps=True)
         return FE.rolling_features(s, KEYS, ORDER, ["value"], window=24, stats=[stat])
+    q.__doc__ = f"F5-F8 trailing 24-row rolling {stat} per machine (min_periods 1) over made gaps."
     sql = (f"SELECT machine, ts, event_id, channel, value, {cols[stat]} FROM ("
            + ROLL_SQL.format(src=SERIES_SQL) + ") AS x")
     return q, sql, [cols[stat]]

@@ -93,6 +93,8 @@ def _decomp_q(kernels):
         d = G.decompose(samples(spark, sf_dir), kernels=kernels)
         z = d.select("sample_id", F.posexplode(F.arrays_zip("trend", "seasonal")).alias("k", "z"))
         return z.select("sample_id", F.col("k").cast("bigint").alias("k"), "z.trend", "z.seasonal")
+    q.__doc__ = (f"G4 / G5 trend = centred moving average(s) {list(kernels)} with edge repeat, "
+                 "seasonal = series - trend.")
     return q
 
 
