@@ -4,11 +4,11 @@ Each statistic is one aggregate pass over all columns at once (the fit
 step).  Its single result row - a few numbers per column - becomes literals,
 so applying it is a plain codegen'd projection of the big table (no join).
 
-Quantiles: ``method='exact'`` uses Spark's ``percentile`` (linear
-interpolation, equal to pandas).  Its buffer holds the distinct values of a
-column, which at very large scale can outgrow executor memory; then use
-``method='approx'`` (``percentile_approx`` with a rank error of about
-1/accuracy).
+Quantiles: ``method='exact'`` (default) selects the exact order statistics
+with a few distributed narrowing passes (``operators.quantiles``; linear
+interpolation, equal to pandas) - no column is ever merged in one task.
+``method='approx'`` uses ``percentile_approx`` (rank error about 1/accuracy)
+in a single pass.
 """
 
 from __future__ import annotations
@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import fit_row
 from .features import numeric_columns
+from .quantiles import exact_quantiles
 
 
-def _q(c: str, qs, method: str, accuracy: int) -> Column:
+def _quantiles(df: DataFrame, cols, qs, method: str, accuracy: int) -> dict:
+    """{col: [value per q]} (the fit step)."""
+    if not cols:
+        return {}
     if method == "approx":
-        return F.percentile_approx(F.col(c), list(qs), accuracy)
-    return F.percentile(F.col(c), F.array(*[F.lit(q) for q in qs]))
+        row = fit_row(df, {c: F.percentile_approx(F.col(c).cast("double"), list(qs), accuracy) for c in cols})
+        return {c: row[c] for c in cols}
+    return exact_quantiles(df, cols, qs)
 
 
 def fill_missing(df: DataFrame, cols: Sequence[str] | None = None, method: str = "exact",
@@ -36,7 +41,7 @@ def fill_missing(df: DataFrame, cols: Sequence[str] | None = None, method: str =
     cols = set(cols) if cols is not None else set(df.columns)
     num = [c for c, t in df.dtypes if c in cols
            and t in ("double", "float", "bigint", "int", "smallint", "tinyint")]
-    med = fit_row(df, {c: _q(c, [0.5], method, accuracy)[0] for c in num}) if num else {}
+    med = {c: (v[0] if v else None) for c, v in _quantiles(df, num, [0.5], method, accuracy).items()}
     proj = []
     for c in df.columns:
         if types[c] == "string" and c in cols:
@@ -83,11 +88,11 @@ def cap_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.
                  method: str = "exact", accuracy: int = 100000) -> DataFrame:
     """cap each numeric column to [Q1 - k*IQR, Q3 + k*IQR]."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    qs = fit_row(df, {c: _q(c, [0.25, 0.75], method, accuracy) for c in cols})
+    qs = _quantiles(df, cols, [0.25, 0.75], method, accuracy)
     proj = []
     for c in df.columns:
         if c in cols:
-            q1, q3 = (F.lit(None).cast("double"), F.lit(None).cast("double")) if qs[c] is None else \
+            q1, q3 = (F.lit(None).cast("double"), F.lit(None).cast("double")) if qs[c][0] is None else \
                 (F.lit(float(qs[c][0])), F.lit(float(qs[c][1])))
             lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
             x = F.col(c).cast("double")
