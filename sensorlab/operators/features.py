@@ -75,7 +75,9 @@ def top_correlated(df: DataFrame, target: str, cols: Sequence[str] | None = None
     """the ``k`` numeric columns with the largest |corr| with ``target``
     (target excluded), as rows (column, abs_corr, rank).  One aggregate pass."""
     cols = [c for c in (cols or numeric_columns(df)) if c != target]
-    row = df.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(c)
+    def corr(a, b):   # NULL (not an error) for a constant column
+        return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    row = df.agg(*[F.abs(corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(c)
                    for c in cols])
     pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
     long = row.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, abs_corr)")

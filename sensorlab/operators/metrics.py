@@ -123,8 +123,8 @@ def roc_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096
     the area is the same)."""
     s = _score_steps(df, y_true, score, buckets)
     pts = s.select(F.col("score").alias("threshold"),
-                   ((F.col("fp_before") + F.col("fp")) / F.col("N")).alias("fpr"),
-                   ((F.col("tp_before") + F.col("tp")) / F.col("P")).alias("tpr"))
+                   F.try_divide(F.col("fp_before") + F.col("fp"), F.col("N")).alias("fpr"),
+                   F.try_divide(F.col("tp_before") + F.col("tp"), F.col("P")).alias("tpr"))
     start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                             F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
@@ -134,8 +134,8 @@ def roc_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096)
     """Area under the ROC curve by trapezoids; each distinct score adds
     fp/N * (2*tp_before + tp) / (2P), so no lag over the curve is needed."""
     s = _score_steps(df, y_true, score, buckets)
-    return s.agg(F.sum(F.col("fp") / F.col("N") * (2 * F.col("tp_before") + F.col("tp"))
-                       / (2 * F.col("P"))).alias("roc_auc"))
+    return s.agg(F.sum(F.try_divide(F.col("fp") * (2 * F.col("tp_before") + F.col("tp")),
+                                    F.col("N") * 2 * F.col("P"))).alias("roc_auc"))
 
 
 def pr_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096) -> DataFrame:
@@ -144,7 +144,7 @@ def pr_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096)
     s = _score_steps(df, y_true, score, buckets)
     tp, fp = F.col("tp_before") + F.col("tp"), F.col("fp_before") + F.col("fp")
     pts = s.select(F.col("score").alias("threshold"), _ratio(tp, tp + fp).alias("precision"),
-                   (tp / F.col("P")).alias("recall"))
+                   F.try_divide(tp, F.col("P")).alias("recall"))
     end = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                           F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return end.unionByName(pts)
@@ -157,7 +157,7 @@ def pr_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096) -
     prec = _ratio(tp, tp + fp)
     prev = F.when(F.col("tp_before") + F.col("fp_before") == 0, F.lit(1.0)).otherwise(
         _ratio(F.col("tp_before"), F.col("tp_before") + F.col("fp_before")))
-    return s.agg(F.sum(F.col("tp") / F.col("P") * (prec + prev) / 2).alias("pr_auc"))
+    return s.agg(F.sum(F.try_divide(F.col("tp"), F.col("P")) * (prec + prev) / 2).alias("pr_auc"))
 
 
 # ---- logits, calibration -------------------------------------------------------
@@ -226,7 +226,7 @@ def nll(df: DataFrame, y_true="y_true", logits="logits", inputs: str = "logits")
     if dict(df.dtypes)[logits].startswith("array"):
         a = F.col(logits) if inputs == "logits" else (
             F.col(logits) if inputs == "probs" else softmax(F.col(logits)))
-        ly = F.element_at(a, F.col(y_true).cast("int") + 1)
+        ly = F.try_element_at(a, F.col(y_true).cast("int") + 1)
         return df.agg(F.avg(_logsumexp(a) - ly).alias("nll"))
     x = F.least(F.greatest(F.col(logits).cast("double"), F.lit(-1e6)), F.lit(1e6))
     y = F.col(y_true).cast("double")
@@ -259,7 +259,7 @@ def split_loss_accuracy(df: DataFrame, split="split", y_true="y_true", logits="l
     """Per split mean cross entropy and accuracy (sample means)."""
     a = F.col(logits)
     return df.groupBy(split).agg(
-        F.avg(_logsumexp(a) - F.element_at(a, F.col(y_true).cast("int") + 1)).alias("loss"),
+        F.avg(_logsumexp(a) - F.try_element_at(a, F.col(y_true).cast("int") + 1)).alias("loss"),
         F.avg((argmax(a) == F.col(y_true)).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n"))
 
@@ -275,7 +275,7 @@ def regression_errors(df: DataFrame, pred="pred", true="true") -> DataFrame:
                   F.avg(e * e).alias("mse"), F.avg(F.abs(e / F.nullif(t, F.lit(0)))).alias("mape"),
                   F.avg(F.pow(e / F.nullif(t, F.lit(0)), 2)).alias("mspe"))
     sst = df.agg(F.sum(F.pow(t - df.agg(F.avg(true)).scalar(), 2))).scalar()
-    return sums.select((F.sqrt("sse") / F.sqrt(sst)).alias("rse"), "mae", "mse",
+    return sums.select(F.try_divide(F.sqrt("sse"), F.sqrt(sst)).alias("rse"), "mae", "mse",
                        F.sqrt("mse").alias("rmse"), "mape", "mspe")
 
 
@@ -286,7 +286,7 @@ def corr_reference(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     parts = []
     for p, t in pairs:
         dt, dp = F.col(t) - means.getField(t), F.col(p) - means.getField(p)
-        parts.append(F.sum(dt * dp) / F.sqrt(F.sum(dt * dt * dp * dp)))
+        parts.append(F.try_divide(F.sum(dt * dp), F.sqrt(F.sum(dt * dt * dp * dp))))
     tot = parts[0]
     for x in parts[1:]:
         tot = tot + x
@@ -333,7 +333,7 @@ def m4_errors(df: DataFrame, keys: Sequence[str], forecast="forecast", target="t
     den_s = F.abs(t) + F.abs(f)
     den_m = F.abs(t)
     return df.groupBy(*keys).agg(
-        (F.avg(F.abs(f - t)) / F.first(masep)).alias("mase"),
+        F.try_divide(F.avg(F.abs(f - t)), F.first(masep)).alias("mase"),
         F.avg(200 * F.abs(f - t) / F.when(den_s == 0, 1.0).otherwise(den_s)).alias("smape"),
         F.avg(100 * F.abs(f - t) / F.when(den_m == 0, 1.0).otherwise(den_m)).alias("mape"))
 
@@ -358,8 +358,8 @@ def owa(model: DataFrame, naive: DataFrame, group="group") -> DataFrame:
     """OWA per group = (mase/mase_naive + smape/smape_naive) / 2, with the
     scores of both rounded half-even to 3 places like the reference output."""
     j = model.alias("m").join(naive.alias("n"), group)
-    return j.select(group, F.bround((F.col("m.mase") / F.col("n.mase")
-                                     + F.col("m.smape") / F.col("n.smape")) / 2, 3).alias("owa"),
+    return j.select(group, F.bround((F.try_divide(F.col("m.mase"), F.col("n.mase"))
+                                     + F.try_divide(F.col("m.smape"), F.col("n.smape"))) / 2, 3).alias("owa"),
                     F.bround("m.smape", 3).alias("smape"), F.bround("m.mase", 3).alias("mase"))
 
 

@@ -66,7 +66,7 @@ def standardize_per_sample(df: DataFrame, sample: Sequence[str] | str, value: st
     reference; a constant sample gives NULL where the reference gives NaN)."""
     out = out or value
     d = _with_stats(df, _by(sample), {"_m": F.avg(value), "_s": F.stddev_samp(value)})
-    return d.withColumn(out, (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+    return d.withColumn(out, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def minmax_per_sample(df: DataFrame, sample: Sequence[str] | str, value: str = "value",
@@ -195,10 +195,10 @@ def masked_norm(df: DataFrame, series: str = "series", mask: str = "mask",
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"))
 
     def first(acc):
-        mean = acc["s"] / acc["c"]
+        mean = F.try_divide(acc["s"], acc["c"])
 
         def second(v):
-            sd = F.sqrt(v / acc["c"] + F.lit(eps))
+            sd = F.sqrt(F.try_divide(v, acc["c"]) + F.lit(eps))
             return F.struct(F.transform(z, lambda e: F.when(e["m"] == 1, (e["x"] - mean) / sd)
                                         .otherwise(F.lit(0.0))).alias("x"),
                             mean.alias("mean"), sd.alias("std"))

@@ -54,21 +54,21 @@ def _moments(x: DataFrame, keys) -> DataFrame:
 def _fit0(n: Column, vx: Column, cxy: Column, vy: Column):
     """OLS dy ~ 1 + yl from moments: (statistic, SSR)."""
     sxx, sxy, syy = n * vx, n * cxy, n * vy
-    ssr = syy - sxy * sxy / sxx
-    return (sxy / sxx) / F.sqrt(ssr / (n - 2) / sxx), ssr
+    ssr = syy - F.try_divide(sxy * sxy, sxx)
+    return F.try_divide(F.try_divide(sxy, sxx), F.sqrt(F.try_divide(ssr, (n - 2) * sxx))), ssr
 
 
 def _fit1(n: Column, vx, vz, cxz, cxy, czy, vy):
     """OLS dy ~ 1 + yl + dyl (two centred regressors): (statistic, SSR)."""
     det = vx * vz - cxz * cxz
-    b1 = (vz * cxy - cxz * czy) / det
-    b2 = (vx * czy - cxz * cxy) / det
+    b1 = F.try_divide(vz * cxy - cxz * czy, det)
+    b2 = F.try_divide(vx * czy - cxz * cxy, det)
     ssr = n * (vy - b1 * cxy - b2 * czy)
-    return b1 / F.sqrt(ssr / (n - 3) * vz / (n * det)), ssr
+    return F.try_divide(b1, F.sqrt(F.try_divide(ssr * vz, (n - 3) * n * det))), ssr
 
 
 def _aic(ssr: Column, n: Column, k: int) -> Column:
-    llf = -n / 2.0 * (F.lit(math.log(2 * math.pi)) + F.log(ssr / n) + 1.0)
+    llf = -n / 2.0 * (F.lit(math.log(2 * math.pi)) + F.log(F.try_divide(ssr, n)) + 1.0)
     return -2.0 * llf + 2.0 * k
 
 

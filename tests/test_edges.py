@@ -45,3 +45,22 @@ def test_confusion_matrix_has_zero_cells(spark):
     p = spark.createDataFrame(pd.DataFrame({"y_true": [0, 1], "y_pred": [1, 1]}))
     cm = {(r["true_label"], r["pred_label"]): r["count"] for r in M.confusion_matrix(p).collect()}
     assert cm == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 1}
+
+
+def test_degenerate_inputs_do_not_raise_under_ansi(spark):
+    """Spark 4 runs with ANSI arithmetic: zero denominators must become NULL
+    (the reference's NaN), never a task failure."""
+    import datetime as dt
+    from sensorlab.operators import features as FE
+    from sensorlab.operators import stationarity as ST
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    const = spark.createDataFrame(pd.DataFrame({"m": [1, 1, 1], "value": [2.0, 2.0, 2.0],
+                                                "x": [1.0, 2.0, 3.0]}))
+    assert N.standardize_per_sample(const, "m").where(F.col("value").isNotNull()).count() == 0
+    assert FE.top_correlated(const, "x", ["value"]).first()["abs_corr"] is None
+    one_class = spark.createDataFrame(pd.DataFrame({"y_true": [1, 1], "score": [0.2, 0.7]}))
+    assert M.roc_auc(one_class).first()["roc_auc"] is None
+    t0 = dt.datetime(2024, 1, 1)
+    flat = spark.createDataFrame([(1, t0 + dt.timedelta(hours=i), i, 1.0) for i in range(6)],
+                                 "machine long, ts timestamp_ntz, event_id long, value double")
+    assert ST.adf(flat, ["machine"], ["ts", "event_id"]).first()["adf_stat"] is None
