@@ -16,36 +16,47 @@ from ..plans import chunked as C
 SAMPLE_SCHEMA = "sample_id long, label string, series array<double>"
 
 
-def write_npz(df: DataFrame, root: str, split: str, allow_pickle: bool = False) -> str:
-    """Write (sample_id, label, series) as ``.npz`` files, one per partition,
-    named ``<uuid>_<split>.npz`` (arrays ``sample_id``, ``label``,
-    ``series_<i>``), so no file passes through the driver."""
-    os.makedirs(root, exist_ok=True)
-
+def write_npz(df: DataFrame, root: str, split: str) -> str:
+    """Write (sample_id, label, series) as ``.npz`` files, one per Arrow batch
+    of each partition, named ``part-<partition>-<batch>_<split>.npz`` (arrays
+    ``sample_id``, ``label``, ``series_<i>``).  Names are deterministic and
+    each file is written under a temporary name and renamed, so a retried
+    task replaces its own files instead of adding copies, and readers never
+    see half-written files.  Nothing passes through the driver."""
     def part(it):
-        for pdf in it:
+        from pyarrow import fs as pafs
+        from pyspark import TaskContext
+        filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
+        filesystem.create_dir(base, recursive=True)
+        pid = TaskContext.get().partitionId()
+        for b, pdf in enumerate(it):
             if len(pdf) == 0:
                 continue
             arrays = {"sample_id": pdf["sample_id"].to_numpy(np.int64),
                       "label": pdf["label"].astype(str).to_numpy(dtype="U")}
             for i, s in enumerate(pdf["series"]):
                 arrays[f"series_{i}"] = np.asarray(s, dtype=np.float64)
-            name = os.path.join(root, f"{uuid.uuid4().hex}_{split}.npz")
-            with open(name, "wb") as fh:
-                np.savez(fh, **arrays)
+            name = f"{base}/part-{pid:05d}-{b:05d}_{split}.npz"
+            tmp = f"{base}/.tmp-{uuid.uuid4().hex}"
+            buf = io.BytesIO()
+            np.savez(buf, **arrays)
+            with filesystem.open_output_stream(tmp) as fh:   # any Arrow file system (local, HDFS, S3)
+                fh.write(buf.getvalue())
+            filesystem.move(tmp, name)
             yield pd.DataFrame({"file": [name], "n": [len(pdf)]})
     written = df.select("sample_id", F.col("label").cast("string").alias("label"), "series") \
         .mapInPandas(part, "file string, n long")
-    written.collect()  # the action that runs the writers; returns one row per file
+    written.write.format("noop").mode("overwrite").save()   # runs the writers
     return root
 
 
-def read_npz(spark: SparkSession, path: str, split_regex: str | None = None, allow_pickle: bool = False) -> DataFrame:
+def read_npz(spark: SparkSession, path: str, split_regex: str | None = None,
+             allow_pickle: bool = False) -> DataFrame:
     """Read labelled sample files: ``binaryFile`` listing filtered by
     suffix and split pattern on the file name (partition column ``split``),
     decoded per batch with ``numpy.load`` (``allow_pickle`` stays off unless
     asked: unpickling runs code)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.npz").load(path)
     if split_regex:
         files = files.where(F.col("path").rlike(split_regex))
     files = files.withColumn("split", F.regexp_extract(F.col("path"), r"_(TRAIN|VAL|TEST)\.npz$", 1))
@@ -61,7 +72,7 @@ def read_npz(spark: SparkSession, path: str, split_regex: str | None = None, all
     return files.select("content", "split").mapInPandas(decode, SAMPLE_SCHEMA + ", split string")
 
 
-def limit_samples(df: DataFrame, size: float, key: str = "sample_id", bucket: int = 1 << 16) -> DataFrame:
+def limit_samples(df: DataFrame, size: float, key: str = "sample_id", bucket: int = 1 << 20) -> DataFrame:
     """Keep the first ``size`` samples by id, or the first
     int(size * n) when ``size`` <= 1.  Positions come from the chunked index
     over id ranges (no single-partition ranking window); the count for a
