@@ -17,15 +17,16 @@ ORACLE: dict[str, str] = {}
 
 
 def round_cols(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
+    # "+ 0.0" turns a rounded negative zero into 0.0 on both sides
     cs = set(cols)
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cs else F.col(c)
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in cs else F.col(c)
                        for c in df.columns])
 
 
 def round_sql(sql: str, cols: Sequence[str], digits: int = 6) -> str:
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    rep = ", ".join(f"(round({c}, {digits}) + 0.0::DOUBLE) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
 
 
