@@ -144,6 +144,33 @@ def decompose(df: DataFrame, series: str = "series", kernels=(25,)) -> DataFrame
                                                 lambda e: e["x"] - e["t"]))
 
 
+def decompose_series(df: DataFrame, keys, order, value: str = "value", kernel: int = 25,
+                     chunk: Column | None = None, bucket: int | None = None) -> DataFrame:
+    """G4 on long telemetry: centred moving average over ``kernel`` rows with
+    the series ends repeated, per key; adds ``trend`` and ``seasonal``.
+
+    Uses the chunked layout: each position bucket borrows ``h`` rows on both
+    sides; the missing terms near the series ends are the first / last value
+    times the number of missing rows (from a one-row-per-key table)."""
+    from ..plans import chunked as C
+    h = (kernel - 1) // 2
+    chunk = chunk if chunk is not None else C.default_chunk()
+    rows, _ = C.index_series(df, keys, order, chunk)
+    base = [c for c in C.drop_index(rows).columns if c not in keys]
+    ends = (rows.where((F.col(C.POS) == 0) | (F.col(C.POS) == F.col(C.LEN) - 1))
+            .groupBy(*keys).agg(F.max_by(F.col(value), -F.col(C.POS)).alias("_first"),
+                                F.max_by(F.col(value), F.col(C.POS)).alias("_last")))
+    both = C.with_neighbours(rows, None, keys, base, before=h, after=h, bucket=bucket)
+    w = Window.partitionBy(*keys, C.CHUNK).orderBy(C.POS).rowsBetween(-h, h)
+    x = both.select(*keys, *base, C.POS, C.LEN, C.BORROWED, F.sum(value).over(w).alias("_s"))
+    x = x.where(~F.col(C.BORROWED)).join(ends, list(keys))
+    miss_lo = F.greatest(F.lit(h) - F.col(C.POS), F.lit(0))
+    miss_hi = F.greatest(F.col(C.POS) + h - (F.col(C.LEN) - 1), F.lit(0))
+    trend = (F.col("_s") + miss_lo * F.col("_first") + miss_hi * F.col("_last")) / kernel
+    return (x.withColumn("trend", trend).withColumn("seasonal", F.col(value) - F.col("trend"))
+            .drop("_s", "_first", "_last", C.POS, C.LEN, C.BORROWED))
+
+
 # ---- G6-G8: DFT-based splits -------------------------------------------------------
 
 def _dft_season(m: np.ndarray, top_k: int) -> np.ndarray:

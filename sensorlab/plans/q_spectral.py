@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.random import sql_uniform
 from ..operators import shapes as S
 from ..operators import spectral as G
-from ..sources.tables import read_table, samples
+from ..sources.tables import machine_series, read_table, samples
 from .registry import register
 
 FS = 64000.0  # sampling rate used for frequency axes (catalog entry 01)
@@ -285,3 +285,19 @@ def q_g18(spark, sf_dir):
     pick = S.nth_of_class(samples(spark, sf_dir), "label", "sample_id", 1)
     z = S.to_long(pick.select("sample_id", "label", "series"), ["sample_id", "label"], ["series"], step="k")
     return z.select("sample_id", "label", F.col("k").cast("bigint").alias("k"), F.col("series").alias("value"))
+
+
+@register("g4_moving_average_events", """
+WITH s AS (SELECT user_id AS machine, ts, event_id, value,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY user_id) AS len FROM events),
+t AS (SELECT a.machine, a.event_id, sum(b.value) / 25 AS trend FROM s a
+      JOIN range(-12, 13) AS o(j) ON TRUE
+      JOIN s b ON b.machine = a.machine AND b.pos = least(greatest(a.pos + o.j, 0), a.len - 1)
+      GROUP BY a.machine, a.event_id)
+SELECT s.machine, s.ts, s.event_id, s.value, t.trend, s.value - t.trend AS seasonal
+FROM s JOIN t USING (machine, event_id)""", dbl=["trend", "seasonal"])
+def q_g4e(spark, sf_dir):
+    """G4 centred 25-row moving average with edge repeat per machine on telemetry."""
+    s = machine_series(spark, sf_dir).select("machine", "ts", "event_id", "value")
+    return G.decompose_series(s, ["machine"], ["ts", "event_id"], "value", 25)

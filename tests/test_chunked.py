@@ -83,3 +83,19 @@ def test_segment_adjust_across_chunks(spark):
     got = {r["event_id"]: r["pred_adjusted"] for r in
            M.adjust_segments(df, ["machine"], ["ts", "event_id"]).collect()}
     assert [got[i] for i in range(len(truth))] == [0, 1, 1, 1, 0, 0, 0, 1, 0]
+
+
+def test_centred_average_across_buckets_matches_array_form(spark):
+    from sensorlab.operators import spectral as G
+    df = _series(spark).where(F.col("value").isNotNull())
+    arr = (df.groupBy("machine").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))),
+                                                 lambda e: e["value"]).alias("series"))
+           .where(F.size("series") > 0))
+    exp = G.decompose(arr, kernels=(5,)).select("machine", F.posexplode("trend").alias("k", "t"))
+    for bucket in (7, 1 << 16):
+        got = G.decompose_series(df, ["machine"], ["ts", "event_id"], "value", 5, bucket=bucket)
+        w = Window.partitionBy("machine").orderBy("ts", "event_id")
+        got = got.withColumn("k", F.row_number().over(w) - 1)
+        d = got.join(exp, ["machine", "k"]).select(F.max(F.abs(F.col("trend") - F.col("t"))).alias("d"),
+                                                   F.count(F.lit(1)).alias("n")).first()
+        assert d["n"] == df.count() and d["d"] < 1e-9
