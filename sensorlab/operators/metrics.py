@@ -7,8 +7,8 @@ dominant class costs no more than any other.
 
 Curves (ROC / PR) need running sums over scores in descending order.  Rows
 are first collapsed to one row per distinct score; the running sums are then
-computed per fixed-width score bucket plus a per-bucket offset, never with an
-unpartitioned window over the data.
+computed per score bucket (equal-count buckets from approximate quantiles)
+plus a per-bucket offset, never with an unpartitioned window over the data.
 """
 
 from __future__ import annotations
@@ -90,34 +90,49 @@ def confusion_matrix(df: DataFrame, y_true="y_true", y_pred="y_pred") -> DataFra
 
 # ---- curves ----------------------------------------------------------------
 
+def _search_tree(x: Column, bounds: list[float], lo: int, hi: int) -> Column:
+    """Index of the first bound >= x among bounds[lo:hi] (binary search as a
+    balanced CASE tree: log2(len) comparisons per row, all JVM-side)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x <= F.lit(bounds[mid]), _search_tree(x, bounds, lo, mid)).otherwise(
+        _search_tree(x, bounds, mid + 1, hi))
+
+
 def _score_steps(df: DataFrame, y_true: str, score: str, buckets: int) -> DataFrame:
     """One row per distinct score (descending thresholds) with tp / fp at that
     score and the exclusive running sums before it (tp_before, fp_before), plus
-    totals P and N."""
+    totals P and N.
+
+    Distinct scores are cut into ``buckets`` ranges of about equal size by
+    approximate quantiles (a fit step returning ``buckets`` numbers), so even a
+    model whose scores crowd into a tiny interval spreads over many tasks;
+    running sums are per bucket plus bucket offsets."""
     g = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum((F.col(y_true) == 1).cast("long")).alias("tp"),
         F.sum((F.col(y_true) != 1).cast("long")).alias("fp"))
-    rng = g.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"))).scalar()
-    width = (rng.getField("hi") - rng.getField("lo")) / F.lit(buckets)
+    qs = [i / buckets for i in range(1, buckets)]
+    row = g.agg(F.percentile_approx("score", qs, 10 * buckets).alias("b"),
+                F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
+    bounds = sorted(set(row["b"] or []))
+    nb = len(bounds)
     # descending bucket index so bucket 0 holds the highest scores
-    b = F.when(width > 0, F.lit(buckets - 1) - F.least(
-        F.floor((F.col("score") - rng.getField("lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
-    g = g.withColumn("_b", b.cast("int"))
+    g = g.withColumn("_b", (F.lit(nb) - _search_tree(F.col("score"), bounds, 0, nb)).cast("int"))
     tot = g.groupBy("_b").agg(F.sum("tp").alias("_btp"), F.sum("fp").alias("_bfp"))
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over <= `buckets` rows
     tot = tot.select("_b", F.coalesce(F.sum("_btp").over(wb), F.lit(0)).alias("_otp"),
                      F.coalesce(F.sum("_bfp").over(wb), F.lit(0)).alias("_ofp"))
     wi = Window.partitionBy("_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    pn = g.agg(F.struct(F.sum("tp").alias("P"), F.sum("fp").alias("N"))).scalar()
     return (g.withColumn("_itp", F.coalesce(F.sum("tp").over(wi), F.lit(0)))
             .withColumn("_ifp", F.coalesce(F.sum("fp").over(wi), F.lit(0)))
             .join(tot, "_b")
             .select("score", "tp", "fp", (F.col("_otp") + F.col("_itp")).alias("tp_before"),
                     (F.col("_ofp") + F.col("_ifp")).alias("fp_before"),
-                    pn.getField("P").alias("P"), pn.getField("N").alias("N")))
+                    F.lit(row["P"] or 0).cast("long").alias("P"), F.lit(row["N"] or 0).cast("long").alias("N")))
 
 
-def roc_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096) -> DataFrame:
+def roc_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) -> DataFrame:
     """ROC points (threshold, fpr, tpr), one per distinct score plus the
     start (inf, 0, 0).  All points are kept (sklearn drops collinear ones;
     the area is the same)."""
@@ -130,7 +145,7 @@ def roc_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096
     return start.unionByName(pts)
 
 
-def roc_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096) -> DataFrame:
+def roc_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) -> DataFrame:
     """Area under the ROC curve by trapezoids; each distinct score adds
     fp/N * (2*tp_before + tp) / (2P), so no lag over the curve is needed."""
     s = _score_steps(df, y_true, score, buckets)
@@ -138,7 +153,7 @@ def roc_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096)
                                     F.col("N") * 2 * F.col("P"))).alias("roc_auc"))
 
 
-def pr_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096) -> DataFrame:
+def pr_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) -> DataFrame:
     """Precision-recall points per distinct score, plus the end point
     (recall 0, precision 1)."""
     s = _score_steps(df, y_true, score, buckets)
@@ -150,7 +165,7 @@ def pr_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096)
     return end.unionByName(pts)
 
 
-def pr_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 4096) -> DataFrame:
+def pr_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) -> DataFrame:
     """Trapezoid area under the PR points (recall axis)."""
     s = _score_steps(df, y_true, score, buckets)
     tp, fp = F.col("tp_before") + F.col("tp"), F.col("fp_before") + F.col("fp")

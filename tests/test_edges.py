@@ -64,3 +64,18 @@ def test_degenerate_inputs_do_not_raise_under_ansi(spark):
     flat = spark.createDataFrame([(1, t0 + dt.timedelta(hours=i), i, 1.0) for i in range(6)],
                                  "machine long, ts timestamp_ntz, event_id long, value double")
     assert ST.adf(flat, ["machine"], ["ts", "event_id"]).first()["adf_stat"] is None
+
+
+def test_roc_auc_with_crowded_scores_and_ties(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    s = np.concatenate([0.999 + rng.random(400) * 1e-4, np.full(100, 0.5), rng.random(200)])
+    y = (rng.random(len(s)) < s * 0.8).astype(int)
+    pdf = pd.DataFrame({"y_true": y, "score": s})
+    df = spark.createDataFrame(pdf)
+    # brute force: trapezoid AUC = P(score_pos > score_neg) + 0.5 P(tie)
+    pos, neg = s[y == 1], s[y == 0]
+    exp = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    for b in (4, 256):
+        got = M.roc_auc(df, buckets=b).first()["roc_auc"]
+        assert abs(got - exp) < 1e-12
