@@ -1,21 +1,22 @@
 """Exact quantiles of whole columns without holding a column in one task.
 
 Spark's exact ``percentile`` merges every distinct value of a column into one
-buffer for a global aggregate.  Here each quantile is found by narrowing:
-
-1. one aggregate gives count, min and max per column;
-2. each pass counts, for every open target rank, the candidate values in
-   ``bins`` equal-width buckets (one partial aggregate over (target, bucket):
-   at most targets x bins groups) and keeps the bucket holding the rank.
-   Candidates are defined by the chain of chosen buckets, so the counts stay
-   consistent whatever the floating-point edges;
-3. once a target's candidates number at most ``max_collect`` (or after
-   ``max_passes``), the distinct candidate values are fetched with their
-   counts, sorted, and the rank is read off - a value repeated on a third of
-   all rows is one (value, count) pair.
-
-A handful of scans suffice even for trillions of rows.  Between the two
-ranks around (n - 1) * q the value is interpolated linearly, as in pandas.
+buffer for a global aggregate.  Here each target rank is found in a few scans,
+each one a partial aggregate:
+
+1. count, min, max and approximate percentiles just below and above every
+   target (``percentile_approx`` bounds the rank error by n / accuracy), which
+   bracket each target rank in a small value range [L, U];
+2. per target, the number of values below L (its rank offset) and inside
+   [L, U] - plain conditional counts;
+3. if a range holds at most ``max_collect`` values, its distinct values are
+   fetched with their counts and the rank is read off (a value repeated on a
+   third of all rows is one (value, count) pair); otherwise the range is
+   narrowed by equal-width bucket counts (one partial aggregate over
+   (target, bucket)) until it is small.
+
+Between the two ranks around (n - 1) * q the value is interpolated linearly,
+as in pandas.
 """
 
 from __future__ import annotations
@@ -26,21 +27,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ACCURACY = 10_000
+
 
 def _bucket(x: Column, lo: float, width: float, bins: int) -> Column:
     return F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
 class _Target:
-    def __init__(self, col: int, rank: int, lo: float, hi: float, n: int):
-        self.col, self.rank, self.lo, self.hi = col, rank, lo, hi
-        self.chain: list[tuple[float, float, int]] = []   # (lo, width, bucket) per pass
-        self.offset, self.count = 0, n
+    def __init__(self, col: int, rank: int, lo: float, hi: float):
+        self.col, self.rank = col, rank
+        self.lo, self.hi = lo, hi                          # closed candidate range
+        self.base = (lo, hi)
+        self.chain: list[tuple[float, float, int]] = []    # (lo, width, bucket) per narrowing pass
+        self.offset, self.count = 0, 0
         self.value: float | None = None
 
 
 def _member(x: Column, t: _Target, bins: int) -> Column:
-    cond = x.isNotNull()
+    cond = (x >= F.lit(t.base[0])) & (x <= F.lit(t.base[1]))
     for lo, w, b in t.chain:
         cond = cond & (_bucket(x, lo, w, bins) == b)
     return cond
@@ -51,18 +56,34 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], bin
     """{column: [quantile value for each q]} over the non-null values."""
     cols = list(cols)
     xs = [F.col(c).cast("double") for c in cols]
-    stats = df.agg(*[F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).alias(f"s{i}")
+    probes = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-3.0 / ACCURACY, 3.0 / ACCURACY)})
+    stats = df.agg(*[F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+                              F.percentile_approx(x, probes, ACCURACY).alias("p")).alias(f"s{i}")
                      for i, x in enumerate(xs)]).first()
     targets: dict[tuple[int, int], _Target] = {}
     for i in range(len(cols)):
         s = stats[f"s{i}"]
         if not s["n"]:
             continue
+        approx = dict(zip(probes, s["p"]))
         for q in qs:
             h = (s["n"] - 1) * q
+            lo_q, hi_q = min(max(q - 3.0 / ACCURACY, 0.0), 1.0), min(max(q + 3.0 / ACCURACY, 0.0), 1.0)
+            lo = s["lo"] if lo_q <= 0.0 else min(approx[lo_q], approx[hi_q])
+            hi = s["hi"] if hi_q >= 1.0 else max(approx[lo_q], approx[hi_q])
             for r in (int(math.floor(h)), int(math.ceil(h))):
-                targets.setdefault((i, r), _Target(i, r, s["lo"], s["hi"], s["n"]))
-    open_ = list(targets.values())
+                targets.setdefault((i, r), _Target(i, r, lo, hi))
+    ts = list(targets.values())
+    if ts:
+        _offsets(df, xs, ts)
+        # an approximate bracket that misses its rank falls back to the full range
+        miss = [t for t in ts if not (t.offset <= t.rank < t.offset + t.count)]
+        if miss:
+            for t in miss:
+                s = stats[f"s{t.col}"]
+                t.lo, t.hi, t.base = s["lo"], s["hi"], (s["lo"], s["hi"])
+            _offsets(df, xs, miss)
+    open_ = ts
     passes = 0
     while open_:
         done = [t for t in open_ if t.count <= max_collect or t.hi <= t.lo or passes >= max_passes]
@@ -87,6 +108,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], bin
     return out
 
 
+def _offsets(df: DataFrame, xs, ts: list[_Target]) -> None:
+    """Per target: values below the range and inside it (one plain aggregate)."""
+    aggs = []
+    for k, t in enumerate(ts):
+        x = xs[t.col]
+        aggs += [F.count(F.when(x < F.lit(t.base[0]), 1)).alias(f"o{k}"),
+                 F.count(F.when((x >= F.lit(t.base[0])) & (x <= F.lit(t.base[1])), 1)).alias(f"c{k}")]
+    row = df.agg(*aggs).first()
+    for k, t in enumerate(ts):
+        t.offset, t.count = row[f"o{k}"], row[f"c{k}"]
+
+
 def _narrow(df: DataFrame, xs, ts: list[_Target], bins: int) -> None:
     parts = []
     for k, t in enumerate(ts):
@@ -111,9 +144,13 @@ def _narrow(df: DataFrame, xs, ts: list[_Target], bins: int) -> None:
 
 
 def _resolve(df: DataFrame, xs, ts: list[_Target], bins: int) -> None:
-    parts = [F.when(_member(xs[t.col], t, bins), F.struct(F.lit(k).alias("k"), xs[t.col].alias("v")))
-             for k, t in enumerate(ts)]
-    e = df.select(F.explode(F.filter(F.array(*parts), lambda z: z.isNotNull())).alias("e"))
+    any_range = None
+    parts = []
+    for k, t in enumerate(ts):
+        m = _member(xs[t.col], t, bins)
+        any_range = m if any_range is None else (any_range | m)
+        parts.append(F.when(m, F.struct(F.lit(k).alias("k"), xs[t.col].alias("v"))))
+    e = df.where(any_range).select(F.explode(F.filter(F.array(*parts), lambda z: z.isNotNull())).alias("e"))
     vc: dict[int, list[tuple[float, int]]] = {}
     for r in e.groupBy("e.k", "e.v").count().collect():          # distinct candidates only
         vc.setdefault(r["k"], []).append((r["v"], r["count"]))
