@@ -237,14 +237,17 @@ def _dtw_many(pairs, shape: bool = False, want_path: bool = False, slope: str =
     groups: dict = {}
     for k, (a, b) in enumerate(pairs):
         groups.setdefault((len(a), len(b)), []).append(k)
-    for (la, lb), idx in groups.items():
-        P = np.stack([pairs[k][0] for k in idx])[:, :, None]
-        Q = np.stack([pairs[k][1] for k in idx])[:, :, None]
-        w = _window_len(lb)
-        cost = D._shape_cost(P, Q, w) if shape else D._band_cost(P, Q, w)
-        Dm = D._cumulative(cost, slope, w)
-        for t, k in enumerate(idx):
-            out[k] = (float(Dm[t, -1, -1]), D._traceback(Dm[t], slope) if want_path else None)
+    for (la, lb), all_idx in groups.items():
+        step = max(1, D._CELLS // ((la + 1) * (lb + 1)))
+        for start in range(0, len(all_idx), step):
+            idx = all_idx[start:start + step]
+            P = np.stack([pairs[k][0] for k in idx])[:, :, None]
+            Q = np.stack([pairs[k][1] for k in idx])[:, :, None]
+            w = _window_len(lb)
+            cost = D._shape_cost(P, Q, w) if shape else D._band_cost(P, Q, w)
+            Dm = D._cumulative(cost, slope, w)
+            for t, k in enumerate(idx):
+                out[k] = (float(Dm[t, -1, -1]), D._traceback(Dm[t], slope) if want_path else None)
     return out
 
 
