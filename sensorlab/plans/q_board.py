@@ -225,9 +225,7 @@ def q_s6(spark, sf_dir):
     for ds, code in _CODE_MAP.items():
         w.where(F.col("dataset") == ds).drop("dataset").write.mode("overwrite").option("header", True) \
             .csv(f"{base}/{code}_results")
-    r = spark.read.option("header", True).csv(f"{base}/*_results")
-    code = F.regexp_extract(F.col("_metadata.file_path"), r".*/([0-9]+)_[^/]*", 1)
-    r = r.withColumn("dataset_code", CAT.dataset_code(code))
+    r = RS.read_result_tables(spark, f"{base}/*_results", fmt="csv")
     r = RS.coerce_numeric(r, METRICS4)
     return CAT.tag_with_catalog(r).select("dataset_code", "dataset_name", "model", *METRICS4)
 

@@ -77,21 +77,51 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def read_result_tables(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read many result tables named ``<code>_*.<ext>``, tag each row with
     the zero-padded data set code parsed from the file name (the catalog name
-    is joined by :func:`catalog.tag_with_catalog`).  Excel workbooks need a
-    reader package that is not installed; CSV / parquet exports are read."""
-    r = spark.read.format(fmt).option("header", "true").load(path) if fmt == "csv" else spark.read.format(fmt).load(path)
-    code = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"^([^_]+)_", 1)
-    return r.withColumn("dataset_code", F.lpad(code, 2, "0"))
+    is joined by :func:`catalog.tag_with_catalog`).  ``fmt='xlsx'`` reads Excel
+    workbooks (one per task, ``pandas.read_excel``) when an Excel reader
+    package is installed; CSV / parquet exports are read natively."""
+    if fmt in ("xls", "xlsx"):
+        r = _read_workbooks(spark, path)
+    elif fmt == "csv":
+        r = spark.read.option("header", "true").csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    else:
+        r = spark.read.format(fmt).load(path).withColumn("_file", F.col("_metadata.file_path"))
+    code = F.regexp_extract(F.col("_file"), r".*/([0-9]+)_[^/]*", 1)
+    return r.withColumn("dataset_code", F.lpad(code, 2, "0")).drop("_file")
+
+
+def _read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as e:  # gated: the package is optional
+        raise ImportError("reading Excel workbooks needs the openpyxl package") from e
+    import io
+
+    import pandas as pd
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(path)
+
+    def decode(it):
+        for pdf in it:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                t = pd.read_excel(io.BytesIO(content)).astype(str)
+                t["_file"] = p
+                yield t.melt(id_vars=["_file"], var_name="column", value_name="value")
+    # long (file, column, value) rows; callers pivot the known metric columns
+    return files.select("path", "content").mapInPandas(decode, "_file string, column string, value string")
 
 
 LEADERBOARD_SCHEMA = "map<string, map<string, struct<timestamp: string, results: map<string, double>>>>"
 
 
-def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
+def read_leaderboard(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read the nested leaderboard JSON {dataset: {model: {timestamp,
     results}}} into flat rows (dataset, model, timestamp, metric, value).
-    Flat JSON-lines stores written by :func:`write_leaderboard` read the same."""
-    txt = spark.read.option("wholetext", "false").text(path)
+
+    ``multi_line=True`` reads pretty-printed single-document files (the
+    reference's store: one JSON file, parsed by one task per file); the
+    default reads JSON lines as written by :func:`write_leaderboard`, split
+    across tasks like any text input."""
+    txt = spark.read.text(path, wholetext=multi_line)
     nested = txt.select(F.from_json("value", LEADERBOARD_SCHEMA).alias("m")).where(F.col("m").isNotNull())
     n = (nested.select(F.explode("m").alias("dataset", "models"))
          .select("dataset", F.explode("models").alias("model", "entry"))
