@@ -56,21 +56,25 @@ def index_series(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     w = Window.partitionBy(*keys, CHUNK).orderBy(*_cols(order))
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = df.withColumn(CHUNK, chunk).withColumn(RN, F.row_number().over(w)) \
-        .withColumn(CNT, F.count(F.lit(1)).over(whole))
-    summ = []
+    # pass 1: rank and chunk size (one Window operator)
+    d = df.withColumn(CHUNK, chunk).select("*", F.row_number().over(w).alias(RN),
+                                            F.count(F.lit(1)).over(whole).alias(CNT))
+    # pass 2: every carry expression in one select, so one Window operator
+    # evaluates all frames over the already sorted chunk
+    exprs, summ = [], []
     for v in carry:
         nn = F.col(v).isNotNull()
-        d = (d.withColumn(f"_lv_{v}", F.last(F.when(nn, F.col(v)), True).over(up))
-             .withColumn(f"_lr_{v}", F.last(F.when(nn, F.col(RN)), True).over(up))
-             .withColumn(f"_nv_{v}", F.first(F.when(nn, F.col(v)), True).over(down))
-             .withColumn(f"_nr_{v}", F.first(F.when(nn, F.col(RN)), True).over(down)))
-        # chunk summary: first / last observed value with its in-chunk rank
-        d = (d.withColumn(f"_cl_{v}", F.last(F.when(nn, F.struct(F.col(v).alias("v"), F.col(RN).alias("r"))),
-                                             True).over(whole))
-             .withColumn(f"_cf_{v}", F.first(F.when(nn, F.struct(F.col(v).alias("v"), F.col(RN).alias("r"))),
-                                             True).over(whole)))
+        vr = F.when(nn, F.struct(F.col(v).alias("v"), F.col(RN).alias("r")))
+        exprs += [F.last(F.when(nn, F.col(v)), True).over(up).alias(f"_lv_{v}"),
+                  F.last(F.when(nn, F.col(RN)), True).over(up).alias(f"_lr_{v}"),
+                  F.first(F.when(nn, F.col(v)), True).over(down).alias(f"_nv_{v}"),
+                  F.first(F.when(nn, F.col(RN)), True).over(down).alias(f"_nr_{v}"),
+                  # chunk summary: last / first observed value with its in-chunk rank
+                  F.last(vr, True).over(whole).alias(f"_cl_{v}"),
+                  F.first(vr, True).over(whole).alias(f"_cf_{v}")]
         summ += [f"_cl_{v}", f"_cf_{v}"]
+    if exprs:
+        d = d.select("*", *exprs)
     # one row per (key, chunk), taken from the same windowed pass
     ct = d.where(F.col(RN) == 1).select(*keys, CHUNK, CNT, *summ)
     wk = Window.partitionBy(*keys).orderBy(CHUNK)
