@@ -35,3 +35,22 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns[0] == "channel"
+
+
+def test_split_partition_pruning(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from sensorlab.operators.features import split_column
+    from sensorlab.sources.tables import read_table
+    li = read_table(spark, SF_SMALL, "lineitem").select(
+        "l_orderkey", "l_quantity", split_column(["l_orderkey"], 0.2, 42).alias("split"))
+    root = str(tmp_path / "processed")
+    li.write.mode("overwrite").partitionBy("split").parquet(root)
+    plan = _plan(spark.read.parquet(root).where(F.col("split") == "test").select("l_quantity"))
+    assert "PartitionFilters: [isnotnull(split" in plan and "ReadSchema: struct<l_quantity:double>" in plan
+
+
+def test_column_pruning_through_operators(spark):
+    plan = _plan(E.queries()["f9_sensor_ratio"](spark, SF_SMALL))
+    # only the four sensor inputs and the keys (plus the gap rule's l_partkey) are read
+    line = [x for x in plan.splitlines() if x.startswith("ReadSchema:")][0]
+    assert "l_returnflag" not in line and "l_shipdate" not in line
