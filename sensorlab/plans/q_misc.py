@@ -214,3 +214,15 @@ def q_stream(spark, sf_dir):
     """N11 / N12 time features computed by a Structured Streaming query over the
     events file source (available-now trigger, parquet sink with checkpoint)."""
     return SS.run_to_table(SS.time_feature_stream(SS.event_stream(spark, sf_dir), "ts", "s"), "timefeat")
+
+
+@register("st_calendar_scaled_stream", """
+SELECT event_id, ts, (value - 25.0) / 10.0 AS value, hour(ts)::INTEGER AS hour,
+  (isodow(ts) - 1)::INTEGER AS day_of_week, month(ts)::INTEGER AS month, day(ts)::INTEGER AS day,
+  year(ts)::INTEGER AS year, CASE WHEN isodow(ts) IN (6, 7) THEN 1 ELSE 0 END::INTEGER AS is_weekend
+FROM events""", dbl=["value"])
+def q_stream2(spark, sf_dir):
+    """F4 calendar parts and N6 scaling (mean 25, std 10) computed by a
+    Structured Streaming query over the events file source."""
+    return SS.run_to_table(SS.calendar_scaled_stream(SS.event_stream(spark, sf_dir), "ts", "value", 25.0, 10.0),
+                           "calendar")

@@ -31,6 +31,16 @@ def time_feature_stream(stream: DataFrame, ts: str = "ts", freq: str = "s") -> D
     return stream.select("event_id", *[c.alias(n) for n, c in TF.time_features(F.col(ts), freq).items()])
 
 
+def calendar_scaled_stream(stream: DataFrame, ts: str = "ts", value: str = "value", mean: float = 0.0,
+                           std: float = 1.0) -> DataFrame:
+    """F4 calendar parts and N6 scaling with given statistics on each
+    micro-batch (row-local, no state)."""
+    from ..operators import features as FE
+    from ..operators import norm as N
+    d = FE.calendar_features(stream.select("event_id", ts, value), ts)
+    return N.scale_with(d, [value], mean, std)
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Drain the stream into parquet under the shared checkpoint folder (with
     its own checkpoint, so a restarted query resumes) and return the result
