@@ -70,13 +70,18 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, drop_first: bool =
         return df
     dist = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val"))
                                          for c in cols])).alias("e")).select("e.col", "e.val").distinct()
-    counts = dist.groupBy("col").count().collect()
-    too_many = [r["col"] for r in counts if r["count"] > max_categories]
-    if too_many:
-        raise ValueError(f"one_hot: more than {max_categories} categories in {too_many}")
+    # one job; the limit stops an id-like column from flooding the driver
+    got = dist.limit(len(cols) * (max_categories + 1)).collect()
     cats: dict[str, list[str]] = {c: [] for c in cols}
-    for r in dist.where(F.col("val").isNotNull()).orderBy("col", "val").collect():
-        cats[r["col"]].append(r["val"])
+    seen: dict[str, int] = {c: 0 for c in cols}
+    for r in got:
+        seen[r["col"]] += 1
+        if r["val"] is not None:
+            cats[r["col"]].append(r["val"])
+    too_many = [c for c, n in seen.items() if n > max_categories]
+    if too_many or len(got) >= len(cols) * (max_categories + 1):
+        raise ValueError(f"one_hot: more than {max_categories} categories in {too_many or cols}")
+    cats = {c: sorted(v) for c, v in cats.items()}
     new = []
     for c in cols:
         vals = cats[c][1:] if drop_first else cats[c]

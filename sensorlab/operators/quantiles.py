@@ -15,6 +15,10 @@ each one a partial aggregate:
    narrowed by equal-width bucket counts (one partial aggregate over
    (target, bucket)) until it is small.
 
+When n is small enough that every bracket must hold few values (n * 8 /
+accuracy <= max_collect), steps 2 and 3 run as one pass: rows below a bracket
+collapse into one counting group per target.
+
 Between the two ranks around (n - 1) * q the value is interpolated linearly,
 as in pandas.
 """
@@ -74,6 +78,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], bin
             for r in (int(math.floor(h)), int(math.ceil(h))):
                 targets.setdefault((i, r), _Target(i, r, lo, hi))
     ts = list(targets.values())
+    n_max = max((stats[f"s{i}"]["n"] for i in range(len(cols))), default=0)
+    if ts and n_max * 8.0 / ACCURACY <= max_collect:
+        # the brackets are certain to be small: offsets and candidates in one pass
+        if _offsets_and_resolve(df, xs, ts, max_collect):
+            return _assemble(cols, qs, stats, targets)
     if ts:
         _offsets(df, xs, ts)
         # an approximate bracket that misses its rank falls back to the full range
@@ -93,6 +102,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], bin
         if open_:
             _narrow(df, xs, open_, bins)
             passes += 1
+    return _assemble(cols, qs, stats, targets)
+
+
+def _assemble(cols, qs, stats, targets) -> dict[str, list[float | None]]:
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         n = stats[f"s{i}"]["n"]
@@ -108,6 +121,41 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], bin
     return out
 
 
+def _offsets_and_resolve(df: DataFrame, xs, ts: list[_Target], max_collect: int) -> bool:
+    """One pass: per target the count below its bracket (one marker group) and
+    the distinct values inside it with counts.  Returns False (nothing set) if
+    a bracket missed its rank or held too many values."""
+    parts = []
+    for k, t in enumerate(ts):
+        x = xs[t.col]
+        parts.append(F.when(x < F.lit(t.base[0]), F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v")))
+                     .when(x <= F.lit(t.base[1]), F.struct(F.lit(k).alias("k"), x.alias("v"))))
+    e = df.select(F.explode(F.filter(F.array(*parts), lambda z: z.isNotNull())).alias("e"))
+    rows = e.groupBy("e.k", "e.v").count().limit(len(ts) * (max_collect + 1) + 1).collect()
+    below: dict[int, int] = {}
+    vc: dict[int, list[tuple[float, int]]] = {}
+    for r in rows:
+        if r["v"] is None:
+            below[r["k"]] = r["count"]
+        else:
+            vc.setdefault(r["k"], []).append((r["v"], r["count"]))
+    if len(rows) > len(ts) * (max_collect + 1):
+        return False
+    found = {}
+    for k, t in enumerate(ts):
+        acc = below.get(k, 0)
+        for v, c in sorted(vc.get(k, [])):
+            if acc + c > t.rank:
+                found[k] = v
+                break
+            acc += c
+        if k not in found or below.get(k, 0) > t.rank:
+            return False
+    for k, t in enumerate(ts):
+        t.value = found[k]
+    return True
+
+
 def _offsets(df: DataFrame, xs, ts: list[_Target]) -> None:
     """Per target: values below the range and inside it (one plain aggregate)."""
     aggs = []
