@@ -16,8 +16,8 @@ each one a partial aggregate:
    (target, bucket)) until it is small.
 
 When n is small enough that every bracket must hold few values (n * 8 /
-accuracy <= max_collect), steps 2 and 3 run as one pass: rows below a bracket
-collapse into one counting group per target.
+accuracy <= max_collect), steps 2 and 3 are one plain aggregate: conditional
+counts below each bracket and the (few) values inside it.
 
 Between the two ranks around (n - 1) * q the value is interpolated linearly,
 as in pandas.
@@ -122,35 +122,27 @@ def _assemble(cols, qs, stats, targets) -> dict[str, list[float | None]]:
 
 
 def _offsets_and_resolve(df: DataFrame, xs, ts: list[_Target], max_collect: int) -> bool:
-    """One pass: per target the count below its bracket (one marker group) and
-    the distinct values inside it with counts.  Returns False (nothing set) if
-    a bracket missed its rank or held too many values."""
-    parts = []
+    """One aggregate: per target the count below its bracket and the values
+    inside it (few by construction: the caller checks n * 8 / accuracy <=
+    max_collect).  Returns False (nothing set) if a bracket missed its rank or
+    held more than ``max_collect`` values."""
+    aggs = []
     for k, t in enumerate(ts):
         x = xs[t.col]
-        parts.append(F.when(x < F.lit(t.base[0]), F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v")))
-                     .when(x <= F.lit(t.base[1]), F.struct(F.lit(k).alias("k"), x.alias("v"))))
-    e = df.select(F.explode(F.filter(F.array(*parts), lambda z: z.isNotNull())).alias("e"))
-    rows = e.groupBy("e.k", "e.v").count().limit(len(ts) * (max_collect + 1) + 1).collect()
-    below: dict[int, int] = {}
-    vc: dict[int, list[tuple[float, int]]] = {}
-    for r in rows:
-        if r["v"] is None:
-            below[r["k"]] = r["count"]
-        else:
-            vc.setdefault(r["k"], []).append((r["v"], r["count"]))
-    if len(rows) > len(ts) * (max_collect + 1):
-        return False
+        inside = (x >= F.lit(t.base[0])) & (x <= F.lit(t.base[1]))
+        aggs += [F.count(F.when(x < F.lit(t.base[0]), 1)).alias(f"o{k}"),
+                 F.count(F.when(inside, 1)).alias(f"c{k}"),
+                 F.collect_list(F.when(inside, x)).alias(f"v{k}")]
+    row = df.agg(*aggs).first()
     found = {}
     for k, t in enumerate(ts):
-        acc = below.get(k, 0)
-        for v, c in sorted(vc.get(k, [])):
-            if acc + c > t.rank:
-                found[k] = v
-                break
-            acc += c
-        if k not in found or below.get(k, 0) > t.rank:
+        if row[f"c{k}"] > max_collect:
+            return False
+        acc = row[f"o{k}"]
+        vals = sorted(row[f"v{k}"])
+        if acc > t.rank or acc + len(vals) <= t.rank:
             return False
+        found[k] = vals[t.rank - acc]
     for k, t in enumerate(ts):
         t.value = found[k]
     return True
