@@ -75,8 +75,12 @@ def top_correlated(df: DataFrame, target: str, cols: Sequence[str] | None = None
     """the ``k`` numeric columns with the largest |corr| with ``target``
     (target excluded), as rows (column, abs_corr, rank).  One aggregate pass."""
     cols = [c for c in (cols or numeric_columns(df)) if c != target]
-    def corr(a, b):   # NULL (not an error) for a constant column
-        return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    def corr(a, b):
+        # over pairwise-complete rows (like pandas ``corrwith``); NULL rather
+        # than an ANSI error for a constant column
+        both = a.isNotNull() & b.isNotNull()
+        a2, b2 = F.when(both, a), F.when(both, b)
+        return F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
     row = df.agg(*[F.abs(corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(c)
                    for c in cols])
     pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
