@@ -14,10 +14,6 @@ def let(value: Column, body) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _x: acc, body)
 
 
-def array_sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def fit_row(df, exprs: dict):
     """Run one aggregate job and return its single row as a dict (the "fit"
     step of an estimator, as Spark ML's own scalers do).  Only a handful of

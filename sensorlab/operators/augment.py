@@ -251,11 +251,6 @@ def _dtw_many(pairs, shape: bool = False, want_path: bool = False, slope: str =
     return out
 
 
-def _path(p: np.ndarray, q: np.ndarray, slope="symmetric", shape=False):
-    d, pq = _dtw_many([(p, q)], shape, True, slope)[0]
-    return d, pq
-
-
 def _resample(warped: np.ndarray, n: int) -> np.ndarray:
     return np.interp(np.arange(n), np.linspace(0, n - 1.0, num=warped.shape[0]), warped)
 

@@ -28,3 +28,15 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": [0.0, 0.5, 1.0, 1.0, None]}))
     h = {r["bucket"]: r["count"] for r in G.histogram(df, "v", 2).collect()}
     assert h == {1: 1, 2: 3}
+
+
+def test_cross_correlation_of_a_series_with_itself_is_its_autocorrelation(spark):
+    from sensorlab.sources.tables import samples
+    from tests.conftest import SF_SMALL
+    s = samples(spark, SF_SMALL).limit(20)
+    rows = s.select(G.cross_correlation(F.col("series"), F.col("series")).alias("c"),
+                    G.autocorrelation(F.col("series")).alias("a"), "series").collect()
+    for r in rows:
+        x = np.asarray(r["series"])
+        brute = [float(np.dot(np.roll(x, -lag), x)) for lag in range(len(x))]
+        assert np.allclose(r["c"], r["a"]) and np.allclose(r["a"], brute)
