@@ -56,9 +56,12 @@ def index_series(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     w = Window.partitionBy(*keys, CHUNK).orderBy(*_cols(order))
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # pass 1: rank and chunk size (one Window operator)
-    d = df.withColumn(CHUNK, chunk).select("*", F.row_number().over(w).alias(RN),
-                                            F.count(F.lit(1)).over(whole).alias(CNT))
+    # pass 1: rank and chunk size (one Window operator).  The explicit
+    # repartition on exactly (keys, chunk) matters: a window accepts any input
+    # already hash-partitioned on a *subset* of its keys (e.g. by key alone
+    # after a per-key aggregate), which would put a hot key back in one task.
+    d = (df.withColumn(CHUNK, chunk).repartition(*keys, CHUNK)
+         .select("*", F.row_number().over(w).alias(RN), F.count(F.lit(1)).over(whole).alias(CNT)))
     # pass 2: every carry expression in one select, so one Window operator
     # evaluates all frames over the already sorted chunk
     exprs, summ = [], []
@@ -129,4 +132,6 @@ def with_neighbours(rows: DataFrame, chunks: DataFrame | None, keys: Sequence[st
     if after:
         copies.append(F.when((off < after) & (own > 0), F.struct((own - 1).alias("c"), F.lit(True).alias("f"))))
     x = rows.select(*keys, POS, LEN, *cols, F.explode(F.filter(F.array(*copies), lambda e: e.isNotNull())).alias("_e"))
-    return x.select(*keys, F.col("_e.c").alias(CHUNK), POS, LEN, *cols, F.col("_e.f").alias(BORROWED))
+    x = x.select(*keys, F.col("_e.c").alias(CHUNK), POS, LEN, *cols, F.col("_e.f").alias(BORROWED))
+    # hash on exactly (keys, bucket): see index_series on subset partitioning
+    return x.repartition(*keys, CHUNK)
