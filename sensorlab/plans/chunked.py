@@ -46,6 +46,26 @@ def default_chunk(ts_col: str = "ts", unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts_col))
 
 
+# fixed ladder of chunk units, coarse to fine, with their length in seconds
+_UNITS = [("week", 604800.0), ("day", 86400.0), ("hour", 3600.0), ("minute", 60.0), ("second", 1.0)]
+
+
+def auto_chunk(df: DataFrame, keys: Sequence[str], ts_col: str = "ts", target_rows: int = 1_000_000) -> Column:
+    """Chunk column sized to the densest series: one aggregate (rows and time
+    span per key, then the maximum rate) picks the coarsest unit whose average
+    chunk of the densest key holds at most ``target_rows`` rows.  A key with a
+    third of all rows gets many small chunks; sparse data gets few chunk-table
+    rows."""
+    span = F.unix_micros(F.max(F.col(ts_col)).cast("timestamp")) - F.unix_micros(
+        F.min(F.col(ts_col)).cast("timestamp"))
+    per_key = df.groupBy(*keys).agg((F.count(F.lit(1)) / F.greatest(span / 1e6, F.lit(1.0))).alias("rate"))
+    rate = per_key.agg(F.max("rate")).first()[0] or 0.0      # rows per second of the densest key
+    for unit, secs in _UNITS:
+        if rate * secs <= target_rows:
+            return default_chunk(ts_col, unit)
+    return default_chunk(ts_col, "second")
+
+
 def index_series(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column,
                  carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Add ``_chunk, _rn, _cnt, _off, _len, _pos`` (0-based position in the

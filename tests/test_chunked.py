@@ -125,3 +125,20 @@ def test_hot_key_spreads_over_tasks(spark):
         assert d < 1e-9
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_auto_chunk_adapts_to_density(spark):
+    from sensorlab.sources.tables import machine_series
+    from tests.conftest import SF_MID
+    s = machine_series(spark, SF_MID)
+    coarse = C.auto_chunk(s, ["machine"], "ts", target_rows=10_000)
+    fine = C.auto_chunk(s, ["machine"], "ts", target_rows=1)
+    n_coarse = s.select(coarse.alias("c"), "machine").distinct().count()
+    n_fine = s.select(fine.alias("c"), "machine").distinct().count()
+    assert n_coarse < n_fine
+    got = N.interpolate_gaps(machine_series(spark, SF_MID, gaps=True), ["machine"], ["ts", "event_id"],
+                             chunk=coarse, out="f")
+    ref = N.interpolate_gaps(machine_series(spark, SF_MID, gaps=True), ["machine"], ["ts", "event_id"],
+                             chunk=fine, out="g")
+    d = got.join(ref, "event_id").select(F.max(F.abs(F.col("f") - F.col("g")))).first()[0]
+    assert d < 1e-9
