@@ -327,17 +327,32 @@ def masked_losses(df: DataFrame, forecast="forecast", target="target", mask="mas
         F.avg(F.abs(t - f) * _div_no_nan(m, F.col(masep))).alias("mase_loss"))
 
 
-def seasonal_scale(rows: DataFrame, chunks: DataFrame, keys: Sequence[str], value: str,
-                   freq: int, insample: Column) -> DataFrame:
-    """Per series mean |v_t - v_{t-freq}| over in-sample rows (rows from
-    ``chunked.index_series``); the lag crosses chunks by borrowing ``freq``
-    preceding rows."""
-    sel = rows.where(insample)
-    both = C.with_neighbours(sel, chunks, keys, [value], before=freq)
+def forecast_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str = "value",
+                   horizon: int = 6, freq: int = 1, chunk: Column | None = None) -> DataFrame:
+    """Forecast setting on long series: the last ``horizon`` values of each
+    series are the truth; ``forecast`` is the value ``horizon`` steps earlier
+    (seasonal naive), ``naive1`` the last in-sample value, and ``masep`` the
+    series' mean |v_t - v_{t-freq}| over the in-sample part.
+
+    One window pass over position buckets (with ``max(horizon, freq)`` rows
+    borrowed across bucket edges) gives both lags; the in-sample scale is one
+    partial aggregate; the horizon rows and the naive1 rows are a handful per
+    series.  Output: keys, h, target, forecast, naive1, masep."""
+    chunk = chunk if chunk is not None else C.default_chunk()
+    rows, _ = C.index_series(df, keys, order, chunk)
+    both = C.with_neighbours(rows, None, keys, [value], before=max(horizon, freq))
     w = Window.partitionBy(*keys, C.CHUNK).orderBy(C.POS)
-    lagged = both.select(*keys, C.BORROWED, (F.col(value) - F.lag(value, freq).over(w)).alias("_d"))
-    return (lagged.where(~F.col(C.BORROWED) & F.col("_d").isNotNull())
-            .groupBy(*keys).agg(F.avg(F.abs("_d")).alias("masep")))
+    x = (both.select(*keys, C.POS, C.LEN, C.BORROWED, F.col(value).alias("_v"),
+                     F.lag(value, freq).over(w).alias("_lf"), F.lag(value, horizon).over(w).alias("_lh"))
+         .where(~F.col(C.BORROWED)))
+    insample = F.col(C.POS) < F.col(C.LEN) - horizon
+    scale = (x.where(insample & F.col("_lf").isNotNull()).groupBy(*keys)
+             .agg(F.avg(F.abs(F.col("_v") - F.col("_lf"))).alias("masep")))
+    last = x.where(F.col(C.POS) == F.col(C.LEN) - horizon - 1).select(*keys, F.col("_v").alias("naive1"))
+    hz = x.where(~insample & F.col("_lh").isNotNull()).select(
+        *keys, (F.col(C.POS) - (F.col(C.LEN) - horizon)).alias("h"), F.col("_v").alias("target"),
+        F.col("_lh").alias("forecast"))
+    return hz.join(last, list(keys)).join(scale, list(keys))
 
 
 def m4_errors(df: DataFrame, keys: Sequence[str], forecast="forecast", target="target",

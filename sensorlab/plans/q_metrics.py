@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.random import sql_uniform
 from ..operators import metrics as M
-from ..plans import chunked as C
 from ..sources.tables import logits_table, machine_series, predictions, read_table
 from ..operators.features import split_column
 from .registry import register
@@ -322,16 +321,7 @@ def forecast_frame(spark, sf_dir):
     """Per machine: horizon rows (h, target, forecast = value H steps back,
     naive1 = last in-sample value) and the in-sample seasonal scale."""
     s = machine_series(spark, sf_dir).select("machine", "ts", "event_id", "value")
-    rows, chunks = C.index_series(s, ["machine"], ["ts", "event_id"], C.default_chunk())
-    scale = M.seasonal_scale(rows, chunks, ["machine"], "value", 1, F.col(C.POS) < F.col(C.LEN) - H)
-    tgt = rows.where(F.col(C.POS) >= F.col(C.LEN) - H).select(
-        "machine", C.POS, C.LEN, F.col("value").alias("target"))
-    src = rows.where((F.col(C.POS) >= F.col(C.LEN) - 2 * H) & (F.col(C.POS) < F.col(C.LEN) - H)).select(
-        "machine", (F.col(C.POS) + H).alias(C.POS), F.col("value").alias("forecast"))
-    last = rows.where(F.col(C.POS) == F.col(C.LEN) - H - 1).select("machine", F.col("value").alias("naive1"))
-    return (tgt.join(src, ["machine", C.POS]).join(last, "machine").join(scale, "machine")
-            .select("machine", (F.col(C.POS) - (F.col(C.LEN) - H)).alias("h"), "target", "forecast",
-                    "naive1", "masep"))
+    return M.forecast_frame(s, ["machine"], ["ts", "event_id"], "value", horizon=H, freq=1)
 
 
 @register("e22_masked_losses", FC_BASE_SQL + """
