@@ -81,7 +81,7 @@ def q_b2(spark, sf_dir):
 
 @register("b3_benchmark_models")
 def q_b3(spark, sf_dir):
-    """B3 benchmark of named models (RF default / tuned, GBT one-vs-rest)."""
+    """B3 benchmark of named models (two random forests, one-vs-rest GBT) scored on the test split."""
     tr, te = _train_test(spark, sf_dir)
     models = {"RandomForest-Small": {"type": "random_forest", "params": {"n_estimators": 30, "max_depth": 8}},
               "RandomForest-Deep": {"type": "random_forest", "params": {"n_estimators": 30, "max_depth": None}},
