@@ -67,7 +67,7 @@ g2 AS (SELECT b2.sample_id, s.n, s.kk, b2.j, b2.p AS st, b2.p2 - b2.p AS sz FROM
     return f"""WITH e AS ({EMB}),{seg}
 o AS (SELECT *, sum(sz) OVER (PARTITION BY sample_id ORDER BY {sql_uniform(0, '1', repr(op), 'sample_id', repr('seg'), 'j')}
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS off FROM g2)
-SELECT e.sample_id, CASE WHEN o.kk > 1 THEN coalesce(o.off, 0) + (e.i - o.st) ELSE e.i END AS k, e.v AS value
+SELECT e.sample_id, (CASE WHEN o.kk > 1 THEN coalesce(o.off, 0) + (e.i - o.st) ELSE e.i END)::BIGINT AS k, e.v AS value
 FROM e JOIN o ON o.sample_id = e.sample_id AND e.i >= o.st AND e.i < o.st + o.sz"""
 
 

@@ -114,7 +114,7 @@ def q_n1(spark, sf_dir):
 @register("n1_standardize_samples", """
 WITH x AS (SELECT vec_id AS sample_id, label, unnest(embedding)::DOUBLE AS v,
                   unnest(range(len(embedding))) AS step FROM embeddings)
-SELECT sample_id, label, step,
+SELECT sample_id, label, step::INTEGER AS step,
   (v - avg(v) OVER ()) / (stddev_samp(v) OVER () + 1e-8) AS value FROM x""", dbl=["value"])
 def q_n1s(spark, sf_dir):
     """N1 (loader form, eps 1e-8) over all values of the sample table."""

@@ -182,7 +182,8 @@ b AS (SELECT n_len, unnest(range(n_len // 2 + 1)) AS bin FROM l),
 lo AS (SELECT n_len, 'lowest' AS method, bin FROM b WHERE bin < 8),
 rn AS (SELECT n_len, 'random' AS method, bin, row_number() OVER (PARTITION BY n_len
          ORDER BY {sql_uniform(0, "'mode'", 'bin')}, bin) AS r FROM b)
-SELECT n_len, method, bin::INTEGER AS bin FROM lo UNION ALL SELECT n_len, method, bin::INTEGER FROM rn WHERE r <= 8""")
+SELECT n_len::INTEGER AS n_len, method, bin::INTEGER AS bin FROM lo
+UNION ALL SELECT n_len::INTEGER, method, bin::INTEGER FROM rn WHERE r <= 8""")
 def q_g11(spark, sf_dir):
     """G11 mode selection: lowest 8 bins and 8 hash-random bins per length."""
     ln = samples(spark, sf_dir).select(F.size("series").alias("n_len")).distinct()

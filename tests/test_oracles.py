@@ -19,11 +19,19 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
-    cur = con.execute(ORACLES[name])
-    dcols = [d[0] for d in cur.description]
-    drows = cur.fetchall()
+    rel = con.sql(ORACLES[name])
+    dcols, dtypes = rel.columns, [str(t) for t in rel.types]
+    drows = rel.fetchall()
     assert sorted(df.columns) == sorted(dcols)
     assert canon(df.columns, srows) == canon(dcols, drows)
+    # column types agree too (Spark name -> DuckDB name)
+    for (c, t) in df.dtypes:
+        exp = _DUCK.get(t) or (_DUCK.get(t[6:-1], t[6:-1]) + "[]" if t.startswith("array<") else t)
+        assert dict(zip(dcols, dtypes))[c] == exp, (c, t)
+
+
+_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
