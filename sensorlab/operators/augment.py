@@ -222,6 +222,15 @@ def _partners(df: DataFrame, seed: int, offsets, other_k: int = 0) -> DataFrame:
     return p.select("_pk", "d", "partner_series")
 
 
+def _spread(df: DataFrame, key: str = "sample_id") -> DataFrame:
+    """DTW-guided operators spend far more CPU per row than it takes to read
+    the row; when the table arrives in fewer partitions than the cluster has
+    cores (small sample files), hash-spread it so the Python stage uses every
+    core.  Large inputs already have enough partitions and pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _with_pk(df: DataFrame) -> DataFrame:
     return df.withColumn("_pk", F.concat_ws("|", F.col("round").cast("string"), F.col("sample_id").cast("string")))
 
@@ -281,7 +290,7 @@ def spawner(df: DataFrame, seed: int = 0, sigma: float = 0.05) -> DataFrame:
     plus N(0, sigma) jitter.  Samples without a partner keep their values
     (plus jitter)."""
     p = _partners(df, seed, (1,)).drop("d")
-    d = _with_pk(df).join(p, "_pk", "left").drop("_pk")
+    d = _spread(_with_pk(df).join(p, "_pk", "left").drop("_pk"))
     r = (1 + F.floor(R.uniform(seed, F.col("round"), "spawner", F.col("sample_id")) * (_n() - 2))).cast("int")
     noise = F.transform(F.col(S), lambda x, i: R.normal(seed, F.col("round"), "spawner-j", F.col("sample_id"), i,
                                                         sigma=sigma))
@@ -346,7 +355,7 @@ def wdba(df: DataFrame, seed: int = 0, batch_size: int = 6) -> DataFrame:
     around their medoid.  Each target gathers a bounded member list."""
     p = _partners(df, seed, list(range(1, batch_size)))
     mem = p.groupBy("_pk").agg(F.collect_list(F.struct("d", "partner_series")).alias("_m"))
-    d = _with_pk(df).join(mem, "_pk", "left").drop("_pk")
+    d = _spread(_with_pk(df).join(mem, "_pk", "left").drop("_pk"))
     members = F.concat(F.array(F.col(S)), F.transform(F.array_sort(F.coalesce(
         F.col("_m"), F.array().cast("array<struct<d:int,partner_series:array<double>>>"))),
         lambda e: e["partner_series"]))
@@ -370,7 +379,7 @@ def random_guided_warp(df: DataFrame, seed: int = 0, shape: bool = False) -> Dat
     """Warp the sample along its DTW (or shape-DTW) path to a
     random same-class prototype, resampled to its length."""
     p = _partners(df, seed, (1,)).drop("d")
-    d = _with_pk(df).join(p, "_pk", "left").drop("_pk")
+    d = _spread(_with_pk(df).join(p, "_pk", "left").drop("_pk"))
     return d.withColumn(S, _guided_udf(shape)(F.col(S), F.col("partner_series"))).drop("partner_series")
 
 
@@ -430,7 +439,7 @@ def discriminative_guided_warp(df: DataFrame, seed: int = 0, batch_size: int = 6
            .groupBy("_pk").agg(F.array_sort(F.collect_list(F.struct("d", "partner_series"))).alias("_p")))
     neg = (_partners(df, seed, (), other_k=nk)
            .groupBy("_pk").agg(F.array_sort(F.collect_list(F.struct("d", "partner_series"))).alias("_n")))
-    d = _with_pk(df).join(pos, "_pk", "left").join(neg, "_pk", "left").drop("_pk")
+    d = _spread(_with_pk(df).join(pos, "_pk", "left").join(neg, "_pk", "left").drop("_pk"))
     r = _disc_udf(shape)(F.col(S), F.transform("_p", lambda e: e["partner_series"]),
                          F.transform("_n", lambda e: e["partner_series"]))
     d = d.withColumn("_r", r).withColumn(S, F.col("_r.x")).withColumn("warp_amount", F.col("_r.warp")).drop("_r", "_p", "_n")
