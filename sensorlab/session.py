@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -49,12 +52,46 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system path and is used as
-    is.  Only when it is unset (local tests) do we create one under /tmp.
+    On a cluster this setting names a shared file system path; it is used as
+    is, and its absence is an error, since a folder of one machine would be
+    invisible to the others.  Only a local master gets a folder under /tmp.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="sensorlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers (pandas UDFs unpickle
+    functions by module name) whatever the caller's working directory: zip it
+    once per SparkContext into the shared checkpoint folder and
+    ``addPyFile`` it from there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sensorlab_shipped", False):
+        return
+    from pyarrow import fs as pafs
+    package = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for root, _dirs, files in sorted(os.walk(package)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    data = buf.getvalue()
+    base = ensure_checkpoint_dir(spark)
+    uri = base if "://" in base else "file://" + os.path.abspath(base)
+    filesystem, path = pafs.FileSystem.from_uri(uri)
+    filesystem.create_dir(path, recursive=True)
+    name = f"sensorlab-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    with filesystem.open_output_stream(f"{path}/{name}") as fh:
+        fh.write(data)
+    sc.addPyFile(f"{base.rstrip('/')}/{name}")
+    sc._sensorlab_shipped = True
