@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, decontam, simhash, warc, wavelet
+from . import bpe, decontam, quality_rules, shards, simhash, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal row counts by a uniform shuffle (law
+    ``rows``; equal texts are independent rows)."""
+    text = F.coalesce("text", F.lit(""))
+    rows = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = shards.shuffle_into_shards(rows, 40, ["doc_id", "size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, log-likelihood ratio and verdict for every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.apply_rules(docs, read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "llr")
