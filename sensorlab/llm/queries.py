@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, decontam, quality_rules, shards, simhash, warc, wavelet
+from . import bpe, decontam, langid, nbsvm, quality_rules, shards, simhash, toxicity, warc, wavelet
+from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +120,31 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(docs, read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "llr")
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document from its maximum-scoring segments."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+@_query
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by string-kernel ridge regression."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~held_out("doc_id", 3, 1))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by naive Bayes support vectors."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return nbsvm.classify(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+                                              (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -81,12 +81,14 @@ def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], (off - off[0]).astype(np.int64)
 
 
-def chunks(data: np.ndarray, off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut rows into runs of at most ``limit`` bytes (at least one row):
-    (first row, row after the last, bytes, offsets from 0)."""
+def chunks(data: np.ndarray, off: np.ndarray, limit: int = CHUNK_BYTES,
+           rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut rows into runs of at most ``limit`` bytes (at least one row) and
+    ``rows`` rows: (first row, row after the last, bytes, offsets from 0)."""
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
+        hi = min(hi, lo + rows)
         yield lo, hi, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         lo = hi
 
