@@ -6,18 +6,22 @@ before 1) for the next plane.  With running bit counts per 512 bits a token, the
 count of a token up to a position, and the position of its k-th occurrence are
 each found with one step per plane, without unpacking the shard.
 
+The planes hold ranks in the shard's own alphabet (its distinct token ids).
+
 File (little endian): magic ``WVMX``, planes (u32), tokens (u64), documents
-(u64); per document: has id (u8), then ids (i64), then token counts (u64); per
-plane: zeros (u64); then per plane the bits as 64-bit words, and the ones before
-each block of 512 bits (u64).
+(u64), alphabet size (u64); the alphabet (u32); per document: has id (u8), then
+ids (i64), then token counts (u64); per plane: zeros (u64); then per plane the
+bits as 64-bit words, and the ones before each block of 512 bits (u64).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +30,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import filesystem, folder, stored, write_file
-from .textbytes import limit_batches, string_buffers
+from .textbytes import LOWER, chunks, limit_batches, runs, slice_hashes, string_buffers
 
 _MAGIC = b"WVMX"
 _BLOCK = 512
 #: A shard file is closed once it holds so many tokens.
 SHARD_TOKENS = 1 << 22
-#: Encoded words kept by a task; the cache starts anew beyond that.
+#: Encoded words that make one generation of a task's cache.
 CACHE_WORDS = 200_000
+#: Bytes encoded together.
+ENCODE_BYTES = 2 << 20
+# Lower-case letters of ASCII and Latin-1 in UTF-8: what composing and lower-casing leave alone.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# The byte-level alphabet (fixed): printable bytes stand for themselves, the others for 256 and up in turn.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_STRETCH = np.ones(256, bool)
+_STRETCH[[9, 10, 11, 12, 13, 32]] = False
+_LETTER, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_SYMBOL[33:48] = _SYMBOL[58:65] = _SYMBOL[91:97] = _SYMBOL[123:127] = True
 
 
 class WaveletMatrix:
@@ -45,10 +61,11 @@ class WaveletMatrix:
     @classmethod
     def build(cls, tokens: np.ndarray, planes: int) -> WaveletMatrix:
         words, zeros, ones = [], [], []
-        cur = np.asarray(tokens, np.uint32)
+        kind = np.uint16 if planes <= 16 else np.uint32
+        cur = np.asarray(tokens).astype(kind)
         blocks = len(cur) // _BLOCK + 1
         for k in range(planes - 1, -1, -1):
-            bit = (cur >> np.uint32(k) & np.uint32(1)).astype(bool)
+            bit = (cur & kind(1 << k)) != 0
             packed = np.zeros(blocks * _BLOCK // 8, np.uint8)
             raw = np.packbits(bit, bitorder="little")
             packed[:len(raw)] = raw
@@ -131,79 +148,175 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence: undo the partings plane by plane."""
-        cur = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.words) <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
         for k, (w, z) in enumerate(zip(reversed(self.words), reversed(self.zeros), strict=True)):
             bit = np.unpackbits(w.view(np.uint8), count=self.n, bitorder="little").astype(bool)
-            out = np.empty(self.n, np.uint32)
+            out = np.empty(self.n, kind)
             out[~bit] = cur[:z]
-            out[bit] = cur[z:] | np.uint32(1 << k)
+            out[bit] = cur[z:] | kind(1 << k)
             cur = out
-        return cur
-
-
-def shard_bytes(tokens: np.ndarray, ids: list[int | None], counts: np.ndarray, planes: int) -> bytes:
-    """A shard file."""
-    m = WaveletMatrix.build(tokens, planes)
-    parts = [_MAGIC, struct.pack("<IQQ", planes, m.n, len(ids)), bytes(i is not None for i in ids),
-             np.array([i or 0 for i in ids], "<i8").tobytes(), np.asarray(counts, "<u8").tobytes(),
-             np.array(m.zeros, "<u8").tobytes()]
-    for w, o in zip(m.words, m.ones, strict=True):
-        parts += [w.tobytes(), o.tobytes()]
-    return b"".join(parts)
-
-
-def load_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """The wavelet matrix of a shard file, its document ids and their token counts."""
-    if data[:4] != _MAGIC:
-        raise ValueError("not a token shard")
-    planes, n, docs = struct.unpack_from("<IQQ", data, 4)
-    at = 4 + struct.calcsize("<IQQ")
-    has = data[at:at + docs]
-    at += docs
-
-    def take(dtype: str, count: int) -> np.ndarray:
-        nonlocal at
-        x = np.frombuffer(data, dtype, count, at)
-        at += x.nbytes
-        return x
-    ids = [i if h else None for i, h in zip(take("<i8", docs).tolist(), has, strict=True)]
-    counts, zeros = take("<u8", docs), take("<u8", planes).tolist()
-    blocks = n // _BLOCK + 1
-    words, ones = [], []
-    for _ in range(planes):
-        words.append(take("<u8", blocks * _BLOCK // 64))
-        ones.append(take("<u8", blocks))
-    return WaveletMatrix(n, words, zeros, ones), ids, counts
-
-
-def word_encoder(tokenizer_file: str) -> Callable[[bytes], bytes]:
-    """Encode a text with a ``tokenizers`` file: ids as little-endian unsigned
-    32-bit integers, no special tokens added, their strings ordinary text.
-
-    Only for a tokenizer that drops white space and works on each stretch
-    between white space by itself: every distinct stretch is then encoded by
-    the library once and looked up afterwards.
+        return cur.astype(np.uint32)
+
+
+class TokenShard:
+    """Tokens of a run of documents: a wavelet matrix over the shard's alphabet."""
+
+    def __init__(self, matrix: WaveletMatrix, alphabet: np.ndarray, ids: list[int | None], counts: np.ndarray):
+        self.matrix, self.alphabet, self.ids, self.counts = matrix, alphabet, ids, counts
+
+    @classmethod
+    def build(cls, tokens: np.ndarray, ids: list[int | None], counts: np.ndarray) -> TokenShard:
+        tokens = np.asarray(tokens, np.uint32)
+        seen = np.bincount(tokens)
+        alphabet = np.flatnonzero(seen)
+        seen[alphabet] = np.arange(len(alphabet))
+        planes = max(1, (len(alphabet) - 1).bit_length() if len(alphabet) else 0)
+        return cls(WaveletMatrix.build(seen[tokens], planes), alphabet.astype(np.uint32), ids, np.asarray(counts, np.uint64))
+
+    def _rank_of(self, token: int) -> int | None:
+        i = int(np.searchsorted(self.alphabet, token))
+        return i if i < len(self.alphabet) and self.alphabet[i] == token else None
+
+    def tokens(self) -> np.ndarray:
+        return self.alphabet[self.matrix.decode()]
+
+    def access(self, at) -> np.ndarray:
+        return self.alphabet[self.matrix.access(at)]
+
+    def rank(self, token: int, at) -> np.ndarray:
+        r = self._rank_of(token)
+        return np.zeros(len(np.atleast_1d(at)), np.int64) if r is None else self.matrix.rank(r, at)
+
+    def count(self, token: int) -> int:
+        return int(self.rank(token, self.matrix.n)[0])
+
+    def occurrences(self, token: int) -> np.ndarray:
+        r = self._rank_of(token)
+        return np.zeros(0, np.int64) if r is None else self.matrix.occurrences(r)
+
+    def to_bytes(self) -> bytes:
+        m = self.matrix
+        parts = [_MAGIC, struct.pack("<IQQQ", len(m.words), m.n, len(self.ids), len(self.alphabet)),
+                 self.alphabet.astype("<u4").tobytes(), bytes(i is not None for i in self.ids),
+                 np.array([i or 0 for i in self.ids], "<i8").tobytes(), self.counts.astype("<u8").tobytes(),
+                 np.array(m.zeros, "<u8").tobytes()]
+        for w, o in zip(m.words, m.ones, strict=True):
+            parts += [w.tobytes(), o.tobytes()]
+        return b"".join(parts)
+
+    @classmethod
+    def load(cls, data: bytes) -> TokenShard:
+        if data[:4] != _MAGIC:
+            raise ValueError("not a token shard")
+        planes, n, docs, letters = struct.unpack_from("<IQQQ", data, 4)
+        at = 4 + struct.calcsize("<IQQQ")
+
+        def take(dtype: str, count: int) -> np.ndarray:
+            nonlocal at
+            x = np.frombuffer(data, dtype, count, at)
+            at += x.nbytes
+            return x
+        alphabet, has = take("<u4", letters), take("u1", docs).tolist()
+        ids = [i if h else None for i, h in zip(take("<i8", docs).tolist(), has, strict=True)]
+        counts, zeros = take("<u8", docs), take("<u8", planes).tolist()
+        blocks = n // _BLOCK + 1
+        words, ones = [], []
+        for _ in range(planes):
+            words.append(take("<u8", blocks * _BLOCK // 64))
+            ones.append(take("<u8", blocks))
+        return cls(WaveletMatrix(n, words, zeros, ones), alphabet, ids, counts)
+
+
+class WordEncoder:
+    """Encodes texts with a ``tokenizers`` file: no special tokens added, their
+    strings ordinary text.
+
+    Only for a byte-level tokenizer that composes and lower-cases the text,
+    drops white space and works on runs of letters, digits and other
+    characters, each by itself (as word_bpe_49k does).  Then a text is the
+    sequence of its stretches between white space, the case of A-Z is without
+    effect, and a stretch may be cut where a symbol follows a letter a-z.
+    Stretches are told apart by a 64-bit hash within a chunk, looked up by
+    their bytes, and encoded by the library once: a run of letters that is
+    lower case and composed as it stands goes to the library's model in the
+    byte-level alphabet, all others through the whole tokenizer.  The cache has
+    two generations, so that frequent stretches outlive rare ones.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_file(tokenizer_file)
-    t.encode_special_tokens = True
-    cache: dict[bytes, bytes] = {}
-
-    def encode(raw: bytes) -> bytes:
-        words = raw.split()
-        new = list(set(words).difference(cache))
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            coded = t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded, strict=True))
-        return b"".join(map(cache.__getitem__, words))
-    return encode
-
-
-def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, planes: int = 16, id_col: str = "doc_id",
+
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.encode_special_tokens = True
+        self.zero = self._ids("0")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encode_new(self, words: list[bytes]) -> None:
+        """Stretches that need the whole tokenizer go to it together if they lack
+        the digit 0, with a 0 after each: its token then marks where they end."""
+        model, rest = self.tokenizer.model, []
+        for w in words:
+            if _PLAIN.fullmatch(w):
+                ids = [t.id for t in model.tokenize(w.decode("latin-1").translate(_BYTE_LETTERS))]
+                self.young[w] = struct.pack(f"<{len(ids)}I", *ids)
+            elif b"0" in w:
+                ids = self._ids(w.decode())
+                self.young[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 2000):
+            part = rest[at:at + 2000]
+            ids = np.array(self._ids(b" 0 ".join([*part, b""]).decode()), "<u4")
+            ends = np.flatnonzero(ids == self.zero[0])
+            raw = ids.tobytes()
+            begin = 0
+            for w, e in zip(part, (4 * ends).tolist(), strict=True):
+                self.young[w] = raw[begin:e]
+                begin = e + 4
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a chunk, and where each text's ids begin and end."""
+        low = LOWER[data]
+        cut = np.flatnonzero(_LETTER[low[:-1]] & _SYMBOL[low[1:]]) + 1
+        low, off = np.insert(low, cut, 32), off + np.searchsorted(cut, off)
+        s, e, row = runs(_STRETCH[low], off)
+        if not len(s):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        _, first, code = np.unique(slice_hashes(low, s, e), return_index=True, return_inverse=True)
+        raw = low.tobytes()
+        words = [raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                known = old.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    young[w] = known
+        self._encode_new(list(dict.fromkeys(new)))
+        coded = [young[w] for w in words]
+        size = np.array([len(c) for c in coded], np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(size) - size
+        size, begin = size[code], begin[code]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(row, np.arange(len(off)))]
+
+
+@lru_cache(1)
+def word_encoder(tokenizer_file: str) -> WordEncoder:
+    """The encoder of a Python worker, with its cache, for all its tasks."""
+    return WordEncoder(tokenizer_file)
+
+
+def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id",
                  text_col: str = "text", path: str | None = None) -> DataFrame:
     """Tokenise ``docs`` in ascending id order (null ids first, equal ids by the
     text's hash) and write the ids, each document closed by ``end_id``, as
@@ -220,20 +333,21 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, planes: int
     spark = docs.sparkSession
     limit_batches(spark)
     root = path or folder(spark, "shards")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_file)
+        encoder = word_encoder(tokenizer_file)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
         ids: list[int | None] = []
         seq = held = 0
 
         def close():
             nonlocal seq, held
             at = f"{root}/part-{part:06d}-{attempt}-{seq:06d}.wvm"
-            counts = np.array([len(b) // 4 for b in coded], np.uint64)
-            write_file(at, shard_bytes(np.frombuffer(b"".join(coded), "<u4"), ids, counts, planes))
+            counts = np.array([len(c) + 1 for c in coded], np.uint64)
+            tokens = np.concatenate([x for c in coded for x in (c, end)])
+            write_file(at, TokenShard.build(tokens, ids[:], counts).to_bytes())
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()),
                                               "path": [at], "n_docs": pa.array([len(ids)], pa.int64()),
                                               "n_tokens": pa.array([held], pa.int64())})
@@ -242,13 +356,15 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, planes: int
             return row
         for b in batches:
             data, off = string_buffers(b.column(1))
-            raw = data.tobytes()
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                coded.append(encode(raw[off[i]:off[i + 1]]) + end)
-                ids.append(doc)
-                held += len(coded[-1]) // 4
-                if held >= SHARD_TOKENS:
-                    yield close()
+            docs_in = b.column(0).to_pylist()
+            for lo, hi, texts, o in chunks(data, off, ENCODE_BYTES):
+                tokens, at = encoder.encode(texts, o)
+                for d in range(hi - lo):
+                    coded.append(tokens[at[d]:at[d + 1]])
+                    ids.append(docs_in[lo + d])
+                    held += len(coded[-1]) + 1
+                    if held >= SHARD_TOKENS:
+                        yield close()
         if ids:
             yield close()
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -272,8 +388,8 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 store, at = filesystem(path)
                 with store.open_input_stream(at) as f:
-                    matrix, ids, counts = load_shard(f.read())
-                raw = matrix.decode().astype("<u4").tobytes()
+                    shard = TokenShard.load(f.read())
+                raw, ids, counts = shard.tokens().astype("<u4").tobytes(), shard.ids, shard.counts
                 ends = np.cumsum(counts).astype(np.int64)
                 begin = ends - counts.astype(np.int64)
                 for lo in range(0, len(ids), 2000):
@@ -295,8 +411,8 @@ def occurrences(manifest: DataFrame, token: int) -> DataFrame:
             for path in b.column(0).to_pylist():
                 store, at = filesystem(path)
                 with store.open_input_stream(at) as f:
-                    matrix, ids, counts = load_shard(f.read())
-                where = matrix.occurrences(token)
+                    shard = TokenShard.load(f.read())
+                where, ids, counts = shard.occurrences(token), shard.ids, shard.counts
                 ends = np.cumsum(counts).astype(np.int64)
                 doc = np.searchsorted(ends, where, side="right")
                 yield pa.RecordBatch.from_pydict({

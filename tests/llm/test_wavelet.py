@@ -20,32 +20,49 @@ def tokenizer():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-def test_matrix_against_lists():
+def test_shard_against_lists():
     rng = np.random.default_rng(2)
     for n in (0, 1, 511, 512, 513, 5000):
-        x = rng.integers(0, 40, n).astype(np.uint32)
-        m, ids, counts = wavelet.load_shard(wavelet.shard_bytes(x, [7, None], np.array([n, 0]), 6))
-        assert ids == [7, None] and counts.tolist() == [n, 0]
-        assert m.decode().tolist() == x.tolist()
+        x = (rng.integers(0, 40, n) * 3).astype(np.uint32)
+        s = wavelet.TokenShard.load(wavelet.TokenShard.build(x, [7, None], np.array([n, 0])).to_bytes())
+        assert s.ids == [7, None] and s.counts.tolist() == [n, 0]
+        assert s.tokens().tolist() == x.tolist()
         at = rng.integers(0, max(n, 1), 50) if n else np.zeros(0, np.int64)
-        assert m.access(at).tolist() == x[at].tolist()
-        for token in (0, 3, 39, 63, 64):
+        assert s.access(at).tolist() == x[at].tolist()
+        for token in (0, 9, 10, 117, 999):
             where = np.flatnonzero(x == token)
             ends = rng.integers(0, n + 1, 20)
-            assert m.rank(token, ends).tolist() == [int((x[:e] == token).sum()) for e in ends]
-            assert m.count(token) == len(where)
-            if token < 64:
-                assert m.occurrences(token).tolist() == where.tolist()
+            assert s.rank(token, ends).tolist() == [int((x[:e] == token).sum()) for e in ends]
+            assert s.count(token) == len(where)
+            assert s.occurrences(token).tolist() == where.tolist()
 
 
-def test_words_as_whole_text(tokenizer):
-    """Encoding each stretch between white space equals encoding the whole text."""
-    encode = wavelet.word_encoder(FILE)
+def encode_all(texts):
+    raw = [x.encode() for x in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    ids, at = wavelet.WordEncoder(FILE).encode(np.frombuffer(b"".join(raw), np.uint8), off)
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+
+def test_stretches_as_whole_text(tokenizer):
+    """Encoding stretch by stretch equals encoding the whole text."""
     rng = random.Random(1)
-    letters = list("abcABC'sdlvre  \n\t\r19é́̈̈İΣσς中٣!#\x1c\x85　​\U0001F600ǅ ﬁ한ᄀ")
-    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 8, 60]))) for _ in range(4000)]
-    for t in [*texts, *[t or "" for t in ODD_TEXTS]]:
-        assert np.frombuffer(encode(t.encode()), "<u4").tolist() == tokenizer(t), repr(t)
+    letters = list("abcABCIK'sdlvre,.;<!  \n\t\r10９0é́̈̊̇̈İΣσς中٣!#\x1c\x85　​\u0338\U0001F600ǅ ﬁ한ᄀ")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 8, 60]))) for _ in range(6000)]
+    texts += ["".join(rng.choice("abcdßàéñöøÿüç") for _ in range(rng.choice([1, 4, 9]))) for _ in range(3000)]
+    texts += [a + chr(m) + b for a in "AaIiKkZ<=>'" for m in [*range(0x300, 0x370), 0x3099, 0x20D0] for b in ("", "s,")]
+    texts += [t or "" for t in ODD_TEXTS]
+    for t, ids in zip(texts, encode_all(texts), strict=True):
+        assert ids == tokenizer(t), repr(t)
+
+
+def test_cache_generations(tokenizer, monkeypatch):
+    monkeypatch.setattr(wavelet, "CACHE_WORDS", 5)
+    enc = wavelet.WordEncoder(FILE)
+    for i in range(30):
+        t = f"the w{i} and w{i % 3}, w{i // 2}"
+        got = enc.encode(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        assert got[0].tolist() == tokenizer(t)
 
 
 def test_shards_round_trip(make, tokenizer, spark, monkeypatch):
