@@ -33,6 +33,8 @@ MIN_COUNT = 3
 DRIFT = 0.7
 #: Passages are significant below this E-value (expected number in clean text of that length).
 SIGNIFICANT = 0.05
+#: Largest rate of the extreme-value law; log ratios without drift have rate 1.
+MAX_RATE = 4.0
 _STEMS = (4, 6)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = True
@@ -140,13 +142,14 @@ def _log_odds(counts: DataFrame) -> Model:
 
 
 def _tail(scores: np.ndarray) -> float:
-    """Positive root of mean(exp(rate * score)) = 1 over clean token scores."""
-    lo, hi = 1e-3, 1.0
-    while np.mean(np.exp(np.minimum(hi * scores, 500))) < 1 and hi < 64:
-        hi *= 2
+    """Positive root of mean(exp(rate * score)) = 1 over clean token scores, at
+    most ``MAX_RATE`` (where hardly a clean token scores above 0 there is none)."""
+    lo, hi = 1e-3, MAX_RATE
+    if np.mean(np.exp(hi * scores)) < 1:
+        return hi
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.mean(np.exp(np.minimum(mid * scores, 500))) < 1 else (lo, mid)
+        lo, hi = (mid, hi) if np.mean(np.exp(mid * scores)) < 1 else (lo, mid)
     return hi
 
 
