@@ -143,7 +143,10 @@ def judge(docs: DataFrame, ratio: DataFrame, text_col: str = "text", buckets: in
     plain = docs.drop("llr", "kept")
     scored = plain.withColumn("__ratio", ratio.select("ratio").scalar()).withColumn("llr", mean).drop("__ratio")
     out = base_counts(scored, text_col)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # The last term is always true.  Being non-deterministic to the optimizer, it keeps a filter on ``kept``
+    # above these projections; pushed down, it would repeat their array functions inside one another.
+    here = F.monotonically_increasing_id() >= 0
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & here)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
