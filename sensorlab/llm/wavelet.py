@@ -35,7 +35,7 @@ from .textbytes import LOWER, chunks, limit_batches, runs, slice_hashes, string_
 _MAGIC = b"WVMX"
 _BLOCK = 512
 #: A shard file is closed once it holds so many tokens.
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 #: Encoded words that make one generation of a task's cache.
 CACHE_WORDS = 200_000
 #: Bytes encoded together.
@@ -73,7 +73,7 @@ class WaveletMatrix:
             count = np.bitwise_count(w).reshape(blocks, -1).sum(axis=1, dtype=np.uint64)
             words.append(w)
             ones.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(count, dtype=np.uint64)[:-1]]))
-            cur = np.concatenate([cur[~bit], cur[bit]])
+            cur = np.concatenate([cur.compress(~bit), cur.compress(bit)])
             zeros.append(int(len(bit) - bit.sum()))
         return cls(len(tokens), words, zeros, ones)
 
@@ -153,8 +153,8 @@ class WaveletMatrix:
         for k, (w, z) in enumerate(zip(reversed(self.words), reversed(self.zeros), strict=True)):
             bit = np.unpackbits(w.view(np.uint8), count=self.n, bitorder="little").astype(bool)
             out = np.empty(self.n, kind)
-            out[~bit] = cur[:z]
-            out[bit] = cur[z:] | kind(1 << k)
+            out[np.flatnonzero(~bit)] = cur[:z]
+            out[np.flatnonzero(bit)] = cur[z:] | kind(1 << k)
             cur = out
         return cur.astype(np.uint32)
 
