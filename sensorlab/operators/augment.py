@@ -183,21 +183,42 @@ def time_warp(df: DataFrame, seed: int = 0, sigma: float = 0.2, knot: int = 4) -
     return df.withColumn(S, _time_warp(F.col(S), _knots(seed, "timewarp", knot, sigma)))
 
 
+def _equal_rows(lengths: np.ndarray):
+    """Row numbers by length."""
+    for n in np.unique(lengths):
+        yield int(n), np.flatnonzero(lengths == n)
+
+
 @pandas_udf(_ARR)
 def _window_warp(s: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
-    out = []
-    for a, us, vs in zip(s, u, v):
-        x = np.asarray(a, dtype=np.float64)
-        n = len(x)
-        ws = int(np.ceil(0.1 * n))
-        scale = 0.5 if us < 0.5 else 2.0
-        lo, hi = 1, n - ws - 1
-        st = int(lo + np.floor(vs * (hi - lo))) if hi > lo else lo
-        en = st + ws
-        win = np.interp(np.linspace(0, ws - 1, num=int(ws * scale)), np.arange(ws), x[st:en])
-        warped = np.concatenate((x[:st], win, x[en:]))
-        out.append(np.interp(np.arange(n), np.linspace(0, n - 1.0, num=warped.size), warped))
-    return pd.Series(out)
+    """All rows of a length at once.  Nothing is cut or joined: position t of the
+    result falls between two positions of the stretched series, and each of
+    those is a fractional position of the input, by three straight pieces
+    (before, inside and after the window)."""
+    out = np.empty(len(s), dtype=object)
+    rate, place = np.where(u.to_numpy() < 0.5, 0.5, 2.0), v.to_numpy()
+    for n, rows in _equal_rows(s.map(len).to_numpy()):
+        x = np.stack([np.asarray(s.iloc[i], np.float64) for i in rows])
+        if n < 3:
+            out[rows] = list(x)
+            continue
+        size = -(-n // 10)
+        begin = 1 + np.floor(place[rows] * max(n - size - 2, 0)).astype(np.int64)
+        inner = (size * rate[rows]).astype(np.int64)  # length of the window afterwards
+        total = n - size + inner
+        spot = np.arange(n) * ((total - 1) / (n - 1.0))[:, None]
+        low = np.minimum(spot.astype(np.int64), np.maximum(total - 2, 0)[:, None])
+
+        def value(k, x=x, b=begin[:, None], m=inner[:, None], n=n, size=size):
+            within = b + (k - b) * ((size - 1) / np.maximum(m - 1, 1))
+            at = np.where(k < b, k, np.where(k < b + m, within, k - m + size))
+            left = np.clip(at.astype(np.int64), 0, n - 1)
+            right = np.minimum(left + 1, n - 1)
+            share = at - left
+            return np.take_along_axis(x, left, 1) * (1 - share) + np.take_along_axis(x, right, 1) * share
+        share = spot - low
+        out[rows] = list(value(low) * (1 - share) + value(low + 1) * share)
+    return pd.Series(list(out))
 
 
 def window_warp(df: DataFrame, seed: int = 0) -> DataFrame:
@@ -211,24 +232,20 @@ def window_warp(df: DataFrame, seed: int = 0) -> DataFrame:
 # ---- A10-A15: DTW-guided operators -------------------------------------------------
 
 def _partners(df: DataFrame, seed: int, offsets, other_k: int = 0) -> DataFrame:
-    """Partners inside the same (round, class): (_pk, d, partner_series)."""
-    keyed = df.select(F.concat_ws("|", F.col("round").cast("string"), F.col("sample_id").cast("string")).alias("_pk"),
-                      F.concat_ws("|", F.col("round").cast("string"), F.col("label").cast("string")).alias("_cls"),
-                      F.col(S))
+    """Partners inside the same round, of the same class or (``other_k``) of
+    other classes: (_pk, d, partner_series)."""
+    keyed = _with_pk(df).select("_pk", F.col("round").cast("string").alias("_round"), F.col("label").alias("_label"),
+                                F.struct("round", "label").alias("_cls"), F.col(S))
     if other_k:
-        p = D.other_class_partners(keyed, label="_cls", key="_pk", series=S, seed=seed, k=other_k)
+        p = D.other_class_partners(keyed, label="_label", key="_pk", series=S, seed=seed, k=other_k, within="_round")
         return p.select("_pk", F.col("n").alias("d"), "partner_series")
     p = D.class_partners(keyed, label="_cls", key="_pk", series=S, seed=seed, offsets=offsets)
     return p.select("_pk", "d", "partner_series")
 
 
-def _spread(df: DataFrame, key: str = "sample_id") -> DataFrame:
-    """DTW-guided operators spend far more CPU per row than it takes to read
-    the row; when the table arrives in fewer partitions than the cluster has
-    cores (small sample files), hash-spread it so the Python stage uses every
-    core.  Large inputs already have enough partitions and pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def _spread(df: DataFrame) -> DataFrame:
+    """Hash-spread rows for a CPU-heavy Python stage, whatever partitions they came in."""
+    return df.repartition("round", "sample_id")
 
 
 def _with_pk(df: DataFrame) -> DataFrame:
@@ -255,8 +272,9 @@ def _dtw_many(pairs, shape: bool = False, want_path: bool = False, slope: str =
             w = _window_len(lb)
             cost = D._shape_cost(P, Q, w) if shape else D._band_cost(P, Q, w)
             Dm = D._cumulative(cost, slope, w)
-            for t, k in enumerate(idx):
-                out[k] = (float(Dm[t, -1, -1]), D._traceback(Dm[t], slope) if want_path else None)
+            paths = D.warping_paths(Dm, slope) if want_path else [None] * len(idx)
+            for k, d, path in zip(idx, Dm[:, -1, -1].tolist(), paths, strict=True):
+                out[k] = (d, path)
     return out
 
 
@@ -297,56 +315,55 @@ def spawner(df: DataFrame, seed: int = 0, sigma: float = 0.05) -> DataFrame:
     return d.withColumn(S, _spawner(F.col(S), F.col("partner_series"), r, noise)).drop("partner_series")
 
 
+def _flat(lists) -> tuple[list[np.ndarray], np.ndarray]:
+    """Series of all rows in one list, and the row of each."""
+    sizes = [0 if x is None else len(x) for x in lists]
+    return ([np.asarray(m, np.float64) for x in lists if x is not None for m in x], np.repeat(np.arange(len(sizes)), sizes))
+
+
+def _meet(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (into left, into right) with the same row; both row lists ascend."""
+    lo, hi = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    a = np.repeat(np.arange(len(left)), hi - lo)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+    return a, b
+
+
+def _distances(xs, ys, a, b, shape: bool = False) -> np.ndarray:
+    return np.array([d for d, _ in _dtw_many([(xs[i], ys[j]) for i, j in zip(a, b, strict=True)], shape)])
+
+
+def _best_per_row(row: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Index of the smallest score of every row that occurs (the first on ties)."""
+    order = np.lexsort((score, row))
+    return order[np.unique(row[order], return_index=True)[1]]
+
+
 @pandas_udf(_ARR)
 def _wdba(members: pd.Series) -> pd.Series:
-    rows = [[np.asarray(m, dtype=np.float64) for m in ms] for ms in members]
-    # stage 1: all ordered pairs inside every member list, one batch
-    jobs, where = [], []
-    for t, X in enumerate(rows):
-        for i in range(len(X)):
-            for j in range(len(X)):
-                if i != j:
-                    jobs.append((X[i], X[j]))
-                    where.append((t, i, j))
-    res = _dtw_many(jobs)
-    dms = [np.zeros((len(X), len(X))) for X in rows]
-    for (t, i, j), (dist, _) in zip(where, res):
-        dms[t][i, j] = dist
-    # stage 2: paths from each medoid to the other members, one batch
-    plan, jobs2 = [], []
-    for t, X in enumerate(rows):
-        k = len(X)
-        if k == 1:
-            plan.append(None)
-            continue
-        dm = dms[t]
-        med = int(np.argsort(dm.sum(axis=1))[0])
-        order = np.argsort(dm[med])
-        plan.append((med, order))
-        if dm[med, order[1]] != 0.0:
-            for nid in order:
-                if nid != med:
-                    jobs2.append((X[med], X[nid]))
-    res2 = iter(_dtw_many(jobs2, want_path=True))
-    out = []
-    for t, X in enumerate(rows):
-        if plan[t] is None:
-            out.append(X[0])
-            continue
-        med, order = plan[t]
-        dm, mp = dms[t], X[med]
-        avg, ws = np.zeros_like(mp), np.zeros(len(mp))
-        for nid in order:
-            if nid == med or dm[med, order[1]] == 0.0:
-                avg += mp
-                ws += 1.0
-            else:
-                _, (pi, qi) = next(res2)
-                wgt = np.exp(np.log(0.5) * dm[med, nid] / dm[med, order[1]])
-                np.add.at(avg, pi, wgt * X[nid][qi])
-                np.add.at(ws, pi, wgt)
-        out.append(avg / ws)
-    return pd.Series(out)
+    """Barycentres around the medoid: every other member is laid along its path to
+    the medoid with weight 0.5 ** (distance / distance of the nearest)."""
+    xs, row = _flat(members)
+    a, b = _meet(row, row)
+    a, b = a[a != b], b[a != b]
+    dist = _distances(xs, xs, a, b)
+    medoid = _best_per_row(row, np.bincount(a, dist, len(xs)))
+    centre = np.full(len(members), -1)
+    centre[row[medoid]] = medoid
+    spoke = np.flatnonzero(centre[row[a]] == a)  # pairs (medoid, member)
+    near = np.full(len(members), np.inf)
+    np.minimum.at(near, row[a[spoke]], dist[spoke])
+    spoke = spoke[near[row[a[spoke]]] > 0]  # a copy of the medoid leaves it as it is
+    begin = np.cumsum([len(xs[m]) for m in medoid]) - [len(xs[m]) for m in medoid]
+    total = np.concatenate([xs[m] for m in medoid])
+    weight = np.ones(len(total))
+    at = dict(zip(row[medoid].tolist(), begin.tolist(), strict=True))
+    paths = _dtw_many([(xs[a[k]], xs[b[k]]) for k in spoke], want_path=True)
+    for k, (_, (p, q)) in zip(spoke, paths, strict=True):
+        w = 0.5 ** (dist[k] / near[row[a[k]]])
+        np.add.at(total, at[int(row[a[k]])] + p, w * xs[b[k]][q])
+        np.add.at(weight, at[int(row[a[k]])] + p, w)
+    return pd.Series(np.split(total / weight, begin[1:]))
 
 
 def wdba(df: DataFrame, seed: int = 0, batch_size: int = 6) -> DataFrame:
@@ -389,42 +406,31 @@ def _disc_udf(shape: bool):
 
     @pandas_udf(rt)
     def f(s: pd.Series, pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
+        """A prototype's merit is its mean distance to the other classes less that
+        to its own; the sample is laid along the path to the best one.  Rows
+        without prototypes or without other classes stay as they are."""
         xs = [np.asarray(a, dtype=np.float64) for a in s]
-        ok = [ps is not None and ns is not None and len(ps) > 0 and len(ns) > 0 for ps, ns in zip(pos, neg)]
-        Ps = [[np.asarray(v, dtype=np.float64) for v in ps] if o else [] for ps, o in zip(pos, ok)]
-        Ns = [[np.asarray(v, dtype=np.float64) for v in ns] if o else [] for ns, o in zip(neg, ok)]
-        jobs, where = [], []
-        for t in range(len(xs)):
-            P, N = Ps[t], Ns[t]
-            for i in range(len(P)):
-                for j in range(len(P)):
-                    if i != j:
-                        jobs.append((P[i], P[j]))
-                        where.append((t, i, "p"))
-                for j in range(len(N)):
-                    jobs.append((P[i], N[j]))
-                    where.append((t, i, "n"))
-        res = _dtw_many(jobs, shape)
-        pa = [np.zeros(len(P)) for P in Ps]
-        na = [np.zeros(len(P)) for P in Ps]
-        for (t, i, kind), (dist, _) in zip(where, res):
-            if kind == "p":
-                pa[t][i] += dist / (len(Ps[t]) - 1.0)
-            else:
-                na[t][i] += dist / len(Ns[t])
-        sel = {t: int(np.argmax(na[t] - pa[t])) for t in range(len(xs)) if ok[t]}
-        res2 = _dtw_many([(Ps[t][sel[t]], xs[t]) for t in sel], shape, True)
-        out_x, out_w = list(xs), [0.0] * len(xs)
-        for t, (_, (pi, qi)) in zip(sel, res2):
-            x = xs[t]
-            n = len(x)
-            warped = x[qi]
-            orig = np.arange(n)
-            wpi = np.interp(orig, np.linspace(0, n - 1.0, num=warped.shape[0]), qi)
-            out_w[t] = float(np.sum(np.abs(orig - wpi)))
-            out_x[t] = _resample(warped, n)
-        return pd.DataFrame({"x": out_x, "warp": out_w})
-    return f
+        both = [p is not None and n is not None and len(p) > 0 and len(n) > 0 for p, n in zip(pos, neg)]
+        ps, p_row = _flat([p if ok else None for p, ok in zip(pos, both)])
+        ns, n_row = _flat([n if ok else None for n, ok in zip(neg, both)])
+        out, amount = list(xs), np.zeros(len(xs))
+        if ps:
+            merit = np.zeros(len(ps))
+            for other, o_row, sign in ((ns, n_row, 1.0), (ps, p_row, -1.0)):
+                a, b = _meet(p_row, o_row)
+                if other is ps:
+                    a, b = a[a != b], b[a != b]
+                count = np.maximum(np.bincount(a, minlength=len(ps)), 1)
+                merit += sign * np.bincount(a, _distances(ps, other, a, b, shape), len(ps)) / count
+            best = _best_per_row(p_row, -merit)
+            paths = _dtw_many([(ps[k], xs[p_row[k]]) for k in best], shape, True)
+            for k, (_, (_, q)) in zip(best, paths, strict=True):
+                t = int(p_row[k])
+                n = len(xs[t])
+                out[t] = _resample(xs[t][q], n)
+                amount[t] = np.abs(np.arange(n) - _resample(q.astype(np.float64), n)).sum()
+        return pd.DataFrame({"x": out, "warp": amount})
+    return f.asNondeterministic()
 
 
 def discriminative_guided_warp(df: DataFrame, seed: int = 0, batch_size: int = 6, shape: bool = False,
@@ -445,6 +451,10 @@ def discriminative_guided_warp(df: DataFrame, seed: int = 0, batch_size: int = 6
     d = d.withColumn("_r", r).withColumn(S, F.col("_r.x")).withColumn("warp_amount", F.col("_r.warp")).drop("_r", "_p", "_n")
     if not variable_slice:
         return d
+    from ..sources.results import scratch_path
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "warped")
+    d.write.parquet(path)  # the warp is computed once, for the maximum and for the result
+    d = spark.read.schema(d.schema).parquet(path)
     mx = d.agg(F.max("warp_amount")).scalar()
     ratio = F.when(mx == 0, F.lit(0.9)).otherwise(F.lit(0.9) + F.lit(0.1) * F.col("warp_amount") / mx)
     return window_slice(d, seed, ratio)

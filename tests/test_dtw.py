@@ -39,13 +39,73 @@ def test_identity_and_symmetry():
 
 def test_path_monotone_in_band_and_anchored():
     Dm = _dist(X, Y, w=2)
-    p, q = D._traceback(Dm, "symmetric")
+    p, q = D.warping_paths(Dm[None])[0]
     assert (p[0], q[0]) == (0, 0) and (p[-1], q[-1]) == (len(X) - 1, len(Y) - 1)
     assert np.all(np.diff(p) >= 0) and np.all(np.diff(q) >= 0)
     assert np.all(np.abs(p - q) <= 2)
 
 
-def test_metric_dtw_cityblock_window_one():
-    D0 = D._metric_dtw(np.asarray(X, float)[None, :, None], np.asarray(Y, float)[None, :, None],
-                       "cityblock", 1, 1, 1.0)
+def _plain_metric(x, y, warp, w, s):
+    """The metric recurrence cell by cell."""
+    r, c = len(x), len(y)
+    cost = {(i, j): abs(x[i - 1] - y[j - 1]) if abs(i - j) <= w else math.inf for i in range(1, r + 1) for j in range(1, c + 1)}
+    cost |= {(0, j): math.inf for j in range(c + 1)} | {(i, 0): math.inf for i in range(r + 1)} | {(0, 0): 0.0}
+    acc = dict(cost)
+    for i in range(1, r + 1):
+        for j in range(1, c + 1):
+            if abs(i - j) <= w:
+                near = [acc[i - 1, j - 1]]
+                for k in range(1, warp + 1):
+                    near += [s * acc[min(i - 1 + k, r), j - 1], s * acc[i - 1, min(j - 1 + k, c)]]
+                acc[i, j] += min(near)
+    return acc
+
+
+def test_metric_dtw_against_cells():
+    rng = np.random.default_rng(3)
+    for warp in (1, 2, 3):
+        for w, s in ((1, 1.0), (math.inf, 1.0), (4, 1.7)):
+            for r, c in ((10, 10), (6, 9), (1, 4), (5, 1)):
+                if abs(r - c) > w:
+                    continue
+                x, y = rng.normal(size=r), rng.normal(size=c)
+                got = D.metric_matrix(x[None, :, None], y[None, :, None], "cityblock", warp, w, s)[0]
+                want = _plain_metric(x, y, warp, w, s)
+                assert all(got[k] == v or abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_metric_dtw_example():
+    D0 = D.metric_matrix(np.asarray(X, float)[None, :, None], np.asarray(Y, float)[None, :, None], "cityblock", 1, 1, 1.0)
     assert abs(D0[0, -1, -1] - _plain_symmetric(X, Y, 1)) < 1e-12
+
+
+def test_paths_of_a_batch_add_up():
+    """The cells of each path sum to its distance, for both slopes and several channels."""
+    rng = np.random.default_rng(5)
+    P, Q = rng.normal(size=(7, 12, 2)), rng.normal(size=(7, 12, 2))
+    for slope in ("symmetric", "asymmetric"):
+        Dm = D._cumulative(D._band_cost(P, Q, 4), slope, 4)
+        for b, (p, q) in enumerate(D.warping_paths(Dm, slope)):
+            step = np.linalg.norm(P[b][p] - Q[b][q], axis=1)
+            if slope == "symmetric":
+                assert (p[0], q[0]) == (0, 0)
+                assert abs(step.sum() - Dm[b, -1, -1]) < 1e-9
+            assert (p[-1], q[-1]) == (11, 11) and np.all(np.diff(p) >= 0)
+
+
+def test_other_class_partners(spark):
+    rows = [(f"{r}|{i}", r, i % 3, [float(i)]) for r in (1, 2) for i in range(20)] + [("3|0", 3, 7, [0.0]), ("3|1", 3, 7, [1.0])]
+    df = spark.createDataFrame(rows, "k string, r int, label int, series array<double>")
+    got = D.other_class_partners(df, "label", "k", "series", seed=4, k=3, within="r").collect()
+    by = {}
+    for g in got:
+        assert g.label != g.partner_label and g.k.split("|")[0] == g.partner_id.split("|")[0]
+        by.setdefault(g.k, set()).add(g.partner_id)
+    assert len(by) == 40 and all(len(v) == 3 for v in by.values())  # three different ones; none where one class is left
+
+
+def test_distance_over_channels(spark):
+    a, b = [[0.0, 1.0], [1.0, 1.0], [2.0, 0.0]], [[0.0, 1.0], [2.0, 1.0], [2.0, 0.0]]
+    df = spark.createDataFrame([(a, b)], "a array<array<double>>, b array<array<double>>")
+    d = df.select(D.dtw_distance()("a", "b").alias("d")).first().d
+    assert abs(d - 1.0) < 1e-9
