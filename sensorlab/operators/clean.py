@@ -5,7 +5,7 @@ step).  Its single result row - a few numbers per column - becomes literals,
 so applying it is a plain codegen'd projection of the big table (no join).
 
 Quantiles: ``method='exact'`` (default) selects the exact order statistics
-with a few distributed narrowing passes (``operators.quantiles``; linear
+with a few distributed rounds (``operators.quantiles``; linear
 interpolation, equal to pandas) - no column is ever merged in one task.
 ``method='approx'`` uses ``percentile_approx`` (rank error about 1/accuracy)
 in a single pass.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import fit_row
 from .features import numeric_columns
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, present
 
 
 def _quantiles(df: DataFrame, cols, qs, method: str, accuracy: int) -> dict:
@@ -28,7 +28,7 @@ def _quantiles(df: DataFrame, cols, qs, method: str, accuracy: int) -> dict:
     if not cols:
         return {}
     if method == "approx":
-        row = fit_row(df, {c: F.percentile_approx(F.col(c).cast("double"), list(qs), accuracy) for c in cols})
+        row = fit_row(df, {c: F.percentile_approx(present(F.col(c)), list(qs), accuracy) for c in cols})
         return {c: row[c] for c in cols}
     return exact_quantiles(df, cols, qs)
 
@@ -48,11 +48,8 @@ def fill_missing(df: DataFrame, cols: Sequence[str] | None = None, method: str =
             proj.append(F.coalesce(F.col(c), F.lit(text_fill)).alias(c))
         elif c in num:
             m = F.lit(med[c]).cast("double")
-            if types[c] not in ("double", "float"):
-                # pandas turns an int column with NaN into float
-                proj.append(F.coalesce(F.col(c).cast("double"), m).alias(c))
-            else:
-                proj.append(F.coalesce(F.col(c), m).alias(c))
+            # NaN is missing too; pandas turns an int column with gaps into float
+            proj.append(F.coalesce(present(F.col(c)), m).cast("float" if types[c] == "float" else "double").alias(c))
         else:
             proj.append(F.col(c))
     return df.select(*proj)
@@ -91,7 +88,8 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, drop_first: bool =
 
 def cap_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
                  method: str = "exact", accuracy: int = 100000) -> DataFrame:
-    """cap each numeric column to [Q1 - k*IQR, Q3 + k*IQR]."""
+    """cap each numeric column to [Q1 - k*IQR, Q3 + k*IQR]; NaN counts as
+    missing and stays missing (NULL)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     qs = _quantiles(df, cols, [0.25, 0.75], method, accuracy)
     proj = []
@@ -100,7 +98,7 @@ def cap_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.
             q1, q3 = (F.lit(None).cast("double"), F.lit(None).cast("double")) if qs[c][0] is None else \
                 (F.lit(float(qs[c][0])), F.lit(float(qs[c][1])))
             lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
-            x = F.col(c).cast("double")
+            x = present(F.col(c))
             proj.append(F.when(x < lo, lo).when(x > hi, hi).otherwise(x).alias(c))
         else:
             proj.append(F.col(c))

@@ -104,13 +104,14 @@ def dataset_leaderboard(board: DataFrame, metric: str, index: str = "model") ->
 
 def upsert(board: DataFrame, new: DataFrame, keys: Sequence[str] = ("dataset", "model"),
            ts: str = "timestamp") -> DataFrame:
-    """Union of the stored and new entries; per key the newest
-    time stamp wins (new rows win ties)."""
-    a = board.withColumn("_new", F.lit(0))
-    b = new.withColumn("_new", F.lit(1))
-    u = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col("_new").desc())
-    return u.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_new")
+    """Union of the stored and new entries.  An entry is all metric
+    rows of one key and time stamp; per key the newest entry replaces the
+    others as a whole (the new one on equal time stamps)."""
+    u = (board.withColumn("_age", F.struct(F.col(ts).alias("ts"), F.lit(0).alias("new")))
+         .unionByName(new.withColumn("_age", F.struct(F.col(ts).alias("ts"), F.lit(1).alias("new"))),
+                      allowMissingColumns=True))
+    newest = u.groupBy(*keys).agg(F.max("_age").alias("_top"))
+    return u.join(newest, list(keys)).where(F.col("_age").eqNullSafe(F.col("_top"))).drop("_age", "_top")
 
 
 def class_distribution(samples: DataFrame, classes: DataFrame, label: str = "label") -> DataFrame:
@@ -134,6 +135,6 @@ def dataset_profile(samples: DataFrame, split: str = "split", label: str = "labe
 def latest_records(records: DataFrame, keys: Sequence[str] = ("dataset", "model"),
                    ts: str = "modified") -> DataFrame:
     """For each (data set, model) keep the metrics of the most recently
-    modified result file."""
-    latest = records.groupBy(*keys).agg(F.max(ts).alias("_ts"))
-    return (records.join(latest, list(keys)).where(F.col(ts) == F.col("_ts")).drop("_ts"))
+    modified result file (of files with one time stamp, the last by name)."""
+    latest = records.groupBy(*keys).agg(F.max(F.struct(ts, "file")).alias("_top"))
+    return records.join(latest, list(keys)).where(F.struct(ts, "file") == F.col("_top")).drop("_top")

@@ -109,7 +109,8 @@ def _score_steps(df: DataFrame, y_true: str, score: str, buckets: int) -> DataFr
     approximate quantiles (a fit step returning ``buckets`` numbers), so even a
     model whose scores crowd into a tiny interval spreads over many tasks;
     running sums are per bucket plus bucket offsets."""
-    g = df.groupBy(F.col(score).cast("double").alias("score")).agg(
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))  # a row without a score has no rank
+    g = df.where(known).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum((F.col(y_true) == 1).cast("long")).alias("tp"),
         F.sum((F.col(y_true) != 1).cast("long")).alias("fp"))
     qs = [i / buckets for i in range(1, buckets)]
@@ -236,11 +237,13 @@ def _logsumexp(a: Column) -> Column:
 
 
 def nll(df: DataFrame, y_true="y_true", logits="logits", inputs: str = "logits") -> DataFrame:
-    """Mean cross entropy of the logits (multi-class) or mean binary cross
+    """Mean cross entropy of the logits (of the probabilities with
+    ``inputs='probs'``: mean of -log p; multi-class) or mean binary cross
     entropy with logits clamped to +-1e6 (scalar column)."""
     if dict(df.dtypes)[logits].startswith("array"):
-        a = F.col(logits) if inputs == "logits" else (
-            F.col(logits) if inputs == "probs" else softmax(F.col(logits)))
+        if inputs == "probs":
+            return df.agg(F.avg(-F.log(F.try_element_at(F.col(logits), F.col(y_true).cast("int") + 1))).alias("nll"))
+        a = F.col(logits) if inputs == "logits" else softmax(F.col(logits))
         ly = F.try_element_at(a, F.col(y_true).cast("int") + 1)
         return df.agg(F.avg(_logsumexp(a) - ly).alias("nll"))
     x = F.least(F.greatest(F.col(logits).cast("double"), F.lit(-1e6)), F.lit(1e6))

@@ -1,23 +1,20 @@
 """Exact quantiles of whole columns without holding a column in one task.
 
 Spark's exact ``percentile`` merges every distinct value of a column into one
-buffer for a global aggregate.  Here each target rank is found in a few scans,
-each one a partial aggregate:
-
-1. count, min, max and approximate percentiles just below and above every
-   target (``percentile_approx`` bounds the rank error by n / accuracy), which
-   bracket each target rank in a small value range [L, U];
-2. per target, the number of values below L (its rank offset) and inside
-   [L, U] - plain conditional counts;
-3. if a range holds at most ``max_collect`` values, its distinct values are
-   fetched with their counts and the rank is read off (a value repeated on a
-   third of all rows is one (value, count) pair); otherwise the range is
-   narrowed by equal-width bucket counts (one partial aggregate over
-   (target, bucket)) until it is small.
-
-When n is small enough that every bracket must hold few values (n * 8 /
-accuracy <= max_collect), steps 2 and 3 are one plain aggregate: conditional
-counts below each bracket and the (few) values inside it.
+buffer for a global aggregate.  Here each target rank is closed in on in rounds
+of two aggregates, the same for every table size and every pattern of ties:
+
+1. ``percentile_approx`` over the values strictly inside the target's bracket
+   (at first, all) at the target's relative rank and just beside it; it returns
+   values of the column;
+2. for each of these values, the number of rows below it and equal to it.  If
+   the target rank falls on one, it is found; otherwise the values become the
+   new ends of the bracket.
+
+A round leaves at most a few ten-thousandths of the bracket's rows, so the
+rounds grow with the logarithm of the rows (two for a million, three for 10^10),
+and a value that repeats often is found as soon as it is probed.  The driver
+sees three values and their counts per target and round.
 
 Between the two ranks around (n - 1) * q the value is interpolated linearly,
 as in pandas.
@@ -27,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,170 +32,71 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
-def _bucket(x: Column, lo: float, width: float, bins: int) -> Column:
-    return F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(bins - 1)).cast("int")
-
-
+@dataclass
 class _Target:
-    def __init__(self, col: int, rank: int, lo: float, hi: float):
-        self.col, self.rank = col, rank
-        self.lo, self.hi = lo, hi                          # closed candidate range
-        self.base = (lo, hi)
-        self.chain: list[tuple[float, float, int]] = []    # (lo, width, bucket) per narrowing pass
-        self.offset, self.count = 0, 0
-        self.value: float | None = None
-
-
-def _member(x: Column, t: _Target, bins: int) -> Column:
-    cond = (x >= F.lit(t.base[0])) & (x <= F.lit(t.base[1]))
-    for lo, w, b in t.chain:
-        cond = cond & (_bucket(x, lo, w, bins) == b)
-    return cond
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], bins: int = 4096,
-                    max_collect: int = 100_000, max_passes: int = 12) -> dict[str, list[float | None]]:
-    """{column: [quantile value for each q]} over the non-null values."""
+    col: int
+    rank: int
+    rows: int                      # inside the bracket
+    lo: float | None = None        # the bracket is open: lo < x < hi
+    hi: float | None = None
+    below: int = 0                 # rows up to and with lo
+    value: float | None = None
+
+    def inside(self, x: Column) -> Column:
+        keep = x.isNotNull()
+        if self.lo is not None:
+            keep = keep & (x > F.lit(self.lo))
+        return keep if self.hi is None else keep & (x < F.lit(self.hi))
+
+    def probes(self) -> list[float]:
+        at = (self.rank - self.below + 0.5) / self.rows
+        return [min(max(at + d, 0.0), 1.0) for d in (-2.0 / ACCURACY, 0.0, 2.0 / ACCURACY)]
+
+    def learn(self, value: float, less: int, equal: int) -> None:
+        """Take in that ``less`` rows are below ``value`` and ``equal`` rows have it."""
+        if less <= self.rank < less + equal:
+            self.value = value
+        elif less > self.rank:
+            if self.hi is None or value < self.hi:
+                self.hi, self.rows = value, less - self.below
+        elif self.lo is None or value > self.lo:
+            self.rows -= less + equal - self.below
+            self.lo, self.below = value, less + equal
+
+
+def present(c: Column) -> Column:
+    """A numeric column as double with NaN as NULL."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float | None]]:
+    """{column: [quantile value for each q]} over the values that are neither NULL nor NaN."""
     cols = list(cols)
-    xs = [F.col(c).cast("double") for c in cols]
-    probes = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-3.0 / ACCURACY, 3.0 / ACCURACY)})
-    stats = df.agg(*[F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-                              F.percentile_approx(x, probes, ACCURACY).alias("p")).alias(f"s{i}")
-                     for i, x in enumerate(xs)]).first()
-    targets: dict[tuple[int, int], _Target] = {}
-    for i in range(len(cols)):
-        s = stats[f"s{i}"]
-        if not s["n"]:
-            continue
-        approx = dict(zip(probes, s["p"]))
-        for q in qs:
-            h = (s["n"] - 1) * q
-            lo_q, hi_q = min(max(q - 3.0 / ACCURACY, 0.0), 1.0), min(max(q + 3.0 / ACCURACY, 0.0), 1.0)
-            lo = s["lo"] if lo_q <= 0.0 else min(approx[lo_q], approx[hi_q])
-            hi = s["hi"] if hi_q >= 1.0 else max(approx[lo_q], approx[hi_q])
-            for r in (int(math.floor(h)), int(math.ceil(h))):
-                targets.setdefault((i, r), _Target(i, r, lo, hi))
-    ts = list(targets.values())
-    n_max = max((stats[f"s{i}"]["n"] for i in range(len(cols))), default=0)
-    if ts and n_max * 8.0 / ACCURACY <= max_collect:
-        # the brackets are certain to be small: offsets and candidates in one pass
-        if _offsets_and_resolve(df, xs, ts, max_collect):
-            return _assemble(cols, qs, stats, targets)
-    if ts:
-        _offsets(df, xs, ts)
-        # an approximate bracket that misses its rank falls back to the full range
-        miss = [t for t in ts if not (t.offset <= t.rank < t.offset + t.count)]
-        if miss:
-            for t in miss:
-                s = stats[f"s{t.col}"]
-                t.lo, t.hi, t.base = s["lo"], s["hi"], (s["lo"], s["hi"])
-            _offsets(df, xs, miss)
-    open_ = ts
-    passes = 0
-    while open_:
-        done = [t for t in open_ if t.count <= max_collect or t.hi <= t.lo or passes >= max_passes]
-        if done:
-            _resolve(df, xs, done, bins)
-        open_ = [t for t in open_ if t not in done]
-        if open_:
-            _narrow(df, xs, open_, bins)
-            passes += 1
-    return _assemble(cols, qs, stats, targets)
-
-
-def _assemble(cols, qs, stats, targets) -> dict[str, list[float | None]]:
+    if not cols:
+        return {}
+    xs = [present(F.col(c)) for c in cols]
+    counts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
+    ranks = {(i, r): _Target(i, r, counts[i]) for i in range(len(cols)) if counts[i]
+             for q in qs for h in [(counts[i] - 1) * q] for r in (math.floor(h), math.ceil(h))}
+    while todo := [t for t in ranks.values() if t.value is None]:
+        near = df.agg(*[F.percentile_approx(F.when(t.inside(xs[t.col]), xs[t.col]), t.probes(), ACCURACY).alias(f"p{k}")
+                        for k, t in enumerate(todo)]).first()
+        asked = sorted({(t.col, v) for t, p in zip(todo, near, strict=True) for v in p})
+        got = df.agg(*[c for k, (i, v) in enumerate(asked) for c in (
+            F.count(F.when(xs[i] < F.lit(v), 1)).alias(f"l{k}"), F.count(F.when(xs[i] == F.lit(v), 1)).alias(f"e{k}"))]).first()
+        for k, (i, v) in enumerate(asked):
+            for t in todo:
+                if t.col == i and t.value is None:
+                    t.learn(v, got[f"l{k}"], got[f"e{k}"])
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        n = stats[f"s{i}"]["n"]
-        vals = []
+        out[c] = []
         for q in qs:
-            if not n:
-                vals.append(None)
+            h = (counts[i] - 1) * q
+            if not counts[i]:
+                out[c].append(None)
                 continue
-            h = (n - 1) * q
-            a, b = targets[(i, int(math.floor(h)))].value, targets[(i, int(math.ceil(h)))].value
-            vals.append(a + (b - a) * (h - math.floor(h)))
-        out[c] = vals
+            a, b = ranks[i, math.floor(h)].value, ranks[i, math.ceil(h)].value
+            out[c].append(a + (b - a) * (h - math.floor(h)))
     return out
-
-
-def _offsets_and_resolve(df: DataFrame, xs, ts: list[_Target], max_collect: int) -> bool:
-    """One aggregate: per target the count below its bracket and the values
-    inside it (few by construction: the caller checks n * 8 / accuracy <=
-    max_collect).  Returns False (nothing set) if a bracket missed its rank or
-    held more than ``max_collect`` values."""
-    aggs = []
-    for k, t in enumerate(ts):
-        x = xs[t.col]
-        inside = (x >= F.lit(t.base[0])) & (x <= F.lit(t.base[1]))
-        aggs += [F.count(F.when(x < F.lit(t.base[0]), 1)).alias(f"o{k}"),
-                 F.count(F.when(inside, 1)).alias(f"c{k}"),
-                 F.collect_list(F.when(inside, x)).alias(f"v{k}")]
-    row = df.agg(*aggs).first()
-    found = {}
-    for k, t in enumerate(ts):
-        if row[f"c{k}"] > max_collect:
-            return False
-        acc = row[f"o{k}"]
-        vals = sorted(row[f"v{k}"])
-        if acc > t.rank or acc + len(vals) <= t.rank:
-            return False
-        found[k] = vals[t.rank - acc]
-    for k, t in enumerate(ts):
-        t.value = found[k]
-    return True
-
-
-def _offsets(df: DataFrame, xs, ts: list[_Target]) -> None:
-    """Per target: values below the range and inside it (one plain aggregate)."""
-    aggs = []
-    for k, t in enumerate(ts):
-        x = xs[t.col]
-        aggs += [F.count(F.when(x < F.lit(t.base[0]), 1)).alias(f"o{k}"),
-                 F.count(F.when((x >= F.lit(t.base[0])) & (x <= F.lit(t.base[1])), 1)).alias(f"c{k}")]
-    row = df.agg(*aggs).first()
-    for k, t in enumerate(ts):
-        t.offset, t.count = row[f"o{k}"], row[f"c{k}"]
-
-
-def _narrow(df: DataFrame, xs, ts: list[_Target], bins: int) -> None:
-    parts = []
-    for k, t in enumerate(ts):
-        w = (t.hi - t.lo) / bins
-        parts.append(F.when(_member(xs[t.col], t, bins),
-                            F.struct(F.lit(k).alias("k"), _bucket(xs[t.col], t.lo, w, bins).alias("b"))))
-    e = df.select(F.explode(F.filter(F.array(*parts), lambda z: z.isNotNull())).alias("e"))
-    counts: dict[int, dict[int, int]] = {}
-    for r in e.groupBy("e.k", "e.b").count().collect():          # <= len(ts) * bins rows
-        counts.setdefault(r["k"], {})[r["b"]] = r["count"]
-    for k, t in enumerate(ts):
-        w = (t.hi - t.lo) / bins
-        acc = t.offset
-        for b in sorted(counts.get(k, {})):
-            c = counts[k][b]
-            if acc + c > t.rank:
-                t.chain.append((t.lo, w, b))
-                t.offset, t.count = acc, c
-                t.lo, t.hi = t.lo + b * w, t.lo + (b + 1) * w
-                break
-            acc += c
-
-
-def _resolve(df: DataFrame, xs, ts: list[_Target], bins: int) -> None:
-    any_range = None
-    parts = []
-    for k, t in enumerate(ts):
-        m = _member(xs[t.col], t, bins)
-        any_range = m if any_range is None else (any_range | m)
-        parts.append(F.when(m, F.struct(F.lit(k).alias("k"), xs[t.col].alias("v"))))
-    e = df.where(any_range).select(F.explode(F.filter(F.array(*parts), lambda z: z.isNotNull())).alias("e"))
-    vc: dict[int, list[tuple[float, int]]] = {}
-    for r in e.groupBy("e.k", "e.v").count().collect():          # distinct candidates only
-        vc.setdefault(r["k"], []).append((r["v"], r["count"]))
-    for k, t in enumerate(ts):
-        acc = t.offset
-        for v, c in sorted(vc.get(k, [])):
-            if acc + c > t.rank:
-                t.value = v
-                break
-            acc += c

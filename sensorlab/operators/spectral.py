@@ -104,18 +104,19 @@ def mean_spectrum(df: DataFrame, series: str = "series") -> DataFrame:
 
 def main_periods(df: DataFrame, series: str = "series", k: int = 2) -> DataFrame:
     """Top ``k`` bins of the mean amplitude (DC excluded) and their period
-    n // bin: (rank, bin, period, mean_amp)."""
+    n // bin, per series length: (n_len, rank, bin, period, mean_amp)."""
     m = mean_spectrum(df, series).where(F.col("bin") > 0)
     w = Window.partitionBy("n_len").orderBy(F.col("mean_amp").desc(), F.col("bin"))  # one row per bin
     r = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return r.select("rank", "bin", (F.col("n_len") / F.col("bin")).cast("int").alias("period"), "mean_amp")
+    return r.select("n_len", "rank", "bin", (F.col("n_len") / F.col("bin")).cast("int").alias("period"), "mean_amp")
 
 
 def period_weights(df: DataFrame, periods: DataFrame, series: str = "series", key: str = "sample_id") -> DataFrame:
-    """Per sample amplitude at each chosen bin (the period weights).  The
-    chosen-bin table has ``k`` rows."""
-    x = df.select(key, F.posexplode(rfft_amp(F.col(series))).alias("bin", "amp"))
-    return x.join(F.broadcast(periods.select("rank", "bin", "period")), "bin").select(key, "rank", "period", "amp")
+    """Per sample amplitude at each chosen bin of its length (the period
+    weights).  The chosen-bin table has ``k`` rows per length."""
+    x = df.select(key, F.size(series).alias("n_len"), F.posexplode(rfft_amp(F.col(series))).alias("bin", "amp"))
+    chosen = periods.select("n_len", "rank", "bin", "period")
+    return x.join(chosen, ["n_len", "bin"]).select(key, "rank", "period", "amp")
 
 
 # ---- G4, G5: moving-average decomposition ----------------------------------------
@@ -282,9 +283,11 @@ def time_delay_aggregate(df: DataFrame, series: str = "series", factor: float =
 # ---- G11-G14 -------------------------------------------------------------------
 
 def frequency_modes(n_len: Column, modes: int, method: str = "random", seed: int = 0) -> Column:
-    """Mode list over bins 0..n//2: the lowest ``modes`` bins, or
-    ``modes`` bins in hash-random order (seeded), sorted."""
-    bins = F.sequence(F.lit(0), F.floor(n_len / 2).cast("int"))
+    """Mode list over bins 0..n//2 - 1: the lowest ``modes`` bins, or
+    ``modes`` bins in hash-random order (seeded), sorted; all bins if there
+    are fewer."""
+    half = F.floor(n_len / 2).cast("int")
+    bins = F.when(half > 0, F.sequence(F.lit(0), half - 1)).otherwise(F.array().cast("array<int>"))
     if method == "lowest":
         return F.slice(bins, 1, modes)
     from ..functions.random import uniform

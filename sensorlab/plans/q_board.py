@@ -142,13 +142,13 @@ FROM ({BOARD_SQL}) AS b WHERE model = '1-URGENT'"""
 
 @register("b13_upsert_result", f"""
 WITH b AS ({BOARD_SQL}), n AS ({NEW_SQL})
-SELECT * FROM n UNION ALL SELECT * FROM b WHERE model <> '1-URGENT'""", dbl=["value"])
+SELECT * FROM n WHERE metric <> 'f1' UNION ALL SELECT * FROM b WHERE model <> '1-URGENT'""", dbl=["value"])
 def q_b13(spark, sf_dir):
-    """B13 add newer results for one model; newest entry per key wins."""
+    """B13 add newer results, without f1, for one model; its newest entry wins as a whole."""
     b = board(spark, sf_dir)
     new = (b.where(F.col("model") == "1-URGENT").withColumn("value", F.col("value") * 2)
-           .withColumn("timestamp", F.lit("2024-06-01 00:00:00")))
-    return L.upsert(b, new, keys=("dataset", "model", "metric"))
+           .withColumn("timestamp", F.lit("2024-06-01 00:00:00")).where("metric <> 'f1'"))
+    return L.upsert(b, new)
 
 
 @register("b14_class_distribution", """
@@ -268,7 +268,7 @@ def q_s12(spark, sf_dir):
     loaded = RS.read_leaderboard(spark, p1)
     new = (loaded.where(F.col("model") == "1-URGENT").withColumn("value", F.col("value") * 2)
            .withColumn("timestamp", F.lit("2024-06-01 00:00:00")))
-    p2 = RS.write_leaderboard(L.upsert(loaded, new, keys=("dataset", "model", "metric")),
+    p2 = RS.write_leaderboard(L.upsert(loaded, new),
                               RS.scratch_path(spark, "board"))
     return RS.read_leaderboard(spark, p2).select("dataset", "model", "timestamp", "metric", "value")
 

@@ -57,7 +57,7 @@ SELECT rank::INTEGER AS rank, bin::INTEGER AS bin, (n // bin)::INTEGER AS period
           dbl=["mean_amp"])
 def q_g3(spark, sf_dir):
     """G3 three main periods of the sample set by mean amplitude."""
-    return G.main_periods(samples(spark, sf_dir), k=3)
+    return G.main_periods(samples(spark, sf_dir), k=3).drop("n_len")
 
 
 @register("g3_period_weights", f"""WITH {DFT},
@@ -178,7 +178,7 @@ def q_g10(spark, sf_dir):
 
 @register("g11_frequency_modes", f"""
 WITH l AS (SELECT DISTINCT len(embedding) AS n_len FROM embeddings),
-b AS (SELECT n_len, unnest(range(n_len // 2 + 1)) AS bin FROM l),
+b AS (SELECT n_len, unnest(range(n_len // 2)) AS bin FROM l),
 lo AS (SELECT n_len, 'lowest' AS method, bin FROM b WHERE bin < 8),
 rn AS (SELECT n_len, 'random' AS method, bin, row_number() OVER (PARTITION BY n_len
          ORDER BY {sql_uniform(0, "'mode'", 'bin')}, bin) AS r FROM b)

@@ -51,11 +51,14 @@ def register(name: str, sql: str | None = None, dbl: Sequence[str] = (), digits:
 
 def load_all() -> None:
     """Import every query module so their registrations run."""
-    from . import q_series, q_tabular  # noqa: F401
-    for mod in ("q_metrics", "q_shapes", "q_spectral", "q_augment", "q_board", "q_dtw",
-                "q_misc"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from . import (  # noqa: F401
+        q_augment,
+        q_board,
+        q_dtw,
+        q_metrics,
+        q_misc,
+        q_series,
+        q_shapes,
+        q_spectral,
+        q_tabular,
+    )

@@ -51,7 +51,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.option("recursiveFileLookup", "true").text(path)
            .select("value", F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_modification_time").alias("modified"),
-                   F.monotonically_increasing_id().alias("line")))
+                   # place in the file: start of its split, then the order within the split
+                   F.struct(F.col("_metadata.file_block_start").alias("split"),
+                            F.monotonically_increasing_id().alias("n")).alias("line")))
     kv = raw.where(F.instr("value", ":") > 0).select(
         "file", "modified", "line",
         F.lower(F.trim(F.split("value", ":", 2)[0])).alias("metric"),
