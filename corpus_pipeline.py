@@ -60,10 +60,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``documents`` columns with ``n_tokens``, ``ids`` and ``offsets`` (packed
     32-bit), and ``intact``: the ids decode to the text."""
     ship(spark)
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, ranks), ranks)
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return out.withColumn("intact", F.col("decoded") == text).drop("decoded")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), check=True)
 
 
 def _packed(docs: DataFrame) -> DataFrame:

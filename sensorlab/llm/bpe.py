@@ -346,7 +346,7 @@ class Encoder:
         return list(map(self.cache.__getitem__, pieces)), begin
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", check: bool = False) -> DataFrame:
     """Append ``n_tokens`` (bigint), ``ids`` (binary: little-endian unsigned
     32-bit token ids) and ``offsets`` (binary: little-endian unsigned 32-bit
     byte positions in the text where each token begins).
@@ -354,7 +354,9 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
     The text is split by the byte-level pattern and every piece merged by the
     ranks in ``ranks_path`` (a file that every node has), without special
     tokens.  A null text counts as empty: no ids.  Existing columns of these
-    names are replaced; others, and repeated rows, are kept.
+    names are replaced; others, and repeated rows, are kept.  With ``check``
+    the ids are decoded in the same task, and ``intact`` says whether they give
+    the text back.
     """
     def make():
         enc = Encoder(vocabulary(ranks_path))
@@ -362,7 +364,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
 
         def fn(batch: pa.RecordBatch):
             data, off = string_buffers(batch.column(0))
-            ids, offs, count = [], [], []
+            ids, offs, count, intact = [], [], [], []
             for lo, hi, part, o in chunks(data, off):
                 coded, begin = enc.encode(part, o)
                 at = np.searchsorted(begin, o)
@@ -373,9 +375,13 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
                     ids.append(b)
                     offs.append((ends - size[one]).astype("<u4").tobytes())
                     count.append(len(one))
-            return [pa.array(count, pa.int64()), pa.array(ids, pa.binary()), pa.array(offs, pa.binary())]
+                    if check:
+                        intact.append(bool(np.array_equal(enc.vocab.decode(one), part[o[d]:o[d + 1]])))
+            out = [pa.array(count, pa.int64()), pa.array(ids, pa.binary()), pa.array(offs, pa.binary())]
+            return [*out, pa.array(intact, pa.bool_())] if check else out
         return fn
-    return append_columns(docs, [("n_tokens", "bigint"), ("ids", "binary"), ("offsets", "binary")], make, [text_col])
+    fields = [("n_tokens", "bigint"), ("ids", "binary"), ("offsets", "binary")] + [("intact", "boolean")] * check
+    return append_columns(docs, fields, make, [text_col])
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:

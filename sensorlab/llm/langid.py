@@ -27,7 +27,7 @@ LANDMARKS = 240
 MAX_LANGUAGES = 400
 RIDGE = 1e-3
 _SHARP = 4.0
-_ROWS = 256
+_ROWS = 128
 _LETTERS = np.zeros(256, bool)
 _LETTERS[97:123] = True
 _LETTERS[128:] = True

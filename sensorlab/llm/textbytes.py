@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches sent to Python hold at most so many bytes (one longer row alone).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _SPARK_BATCH_BYTES = "67108864b"  # Spark's own default
 #: Texts are worked on together up to so many bytes (one longer text alone).
 CHUNK_BYTES = 1 << 19
