@@ -120,6 +120,12 @@ def window_slice(df: DataFrame, seed: int = 0, reduce_ratio: float | Column = 0.
     return d.withColumn(S, out).drop("_tl")
 
 
+def _once(udf):
+    """The results are often exploded; a deterministic function would then be
+    evaluated a second time, for the size of its result."""
+    return udf.asNondeterministic()
+
+
 # ---- A6, A7, A9: spline and window warps (pandas UDFs) -----------------------------
 
 def _not_a_knot(xk: np.ndarray, yk: np.ndarray, xq: np.ndarray) -> np.ndarray:
@@ -175,12 +181,12 @@ def _knots(seed, op, knot, sigma):
 
 def magnitude_warp(df: DataFrame, seed: int = 0, sigma: float = 0.2, knot: int = 4) -> DataFrame:
     """X times a not-a-knot cubic spline through knot+2 N(1, sigma) values."""
-    return df.withColumn(S, _magnitude_warp(F.col(S), _knots(seed, "magwarp", knot, sigma)))
+    return df.withColumn(S, _once(_magnitude_warp)(F.col(S), _knots(seed, "magwarp", knot, sigma)))
 
 
 def time_warp(df: DataFrame, seed: int = 0, sigma: float = 0.2, knot: int = 4) -> DataFrame:
     """Resample x along a spline-distorted time axis."""
-    return df.withColumn(S, _time_warp(F.col(S), _knots(seed, "timewarp", knot, sigma)))
+    return df.withColumn(S, _once(_time_warp)(F.col(S), _knots(seed, "timewarp", knot, sigma)))
 
 
 def _equal_rows(lengths: np.ndarray):
@@ -226,7 +232,7 @@ def window_warp(df: DataFrame, seed: int = 0) -> DataFrame:
     resampled to its length."""
     u = R.uniform(seed, F.col("round"), "wwarp", F.col("sample_id"), "scale")
     v = R.uniform(seed, F.col("round"), "wwarp", F.col("sample_id"), "start")
-    return df.withColumn(S, _window_warp(F.col(S), u, v))
+    return df.withColumn(S, _once(_window_warp)(F.col(S), u, v))
 
 
 # ---- A10-A15: DTW-guided operators -------------------------------------------------
@@ -312,7 +318,7 @@ def spawner(df: DataFrame, seed: int = 0, sigma: float = 0.05) -> DataFrame:
     r = (1 + F.floor(R.uniform(seed, F.col("round"), "spawner", F.col("sample_id")) * (_n() - 2))).cast("int")
     noise = F.transform(F.col(S), lambda x, i: R.normal(seed, F.col("round"), "spawner-j", F.col("sample_id"), i,
                                                         sigma=sigma))
-    return d.withColumn(S, _spawner(F.col(S), F.col("partner_series"), r, noise)).drop("partner_series")
+    return d.withColumn(S, _once(_spawner)(F.col(S), F.col("partner_series"), r, noise)).drop("partner_series")
 
 
 def _flat(lists) -> tuple[list[np.ndarray], np.ndarray]:
@@ -376,7 +382,7 @@ def wdba(df: DataFrame, seed: int = 0, batch_size: int = 6) -> DataFrame:
     members = F.concat(F.array(F.col(S)), F.transform(F.array_sort(F.coalesce(
         F.col("_m"), F.array().cast("array<struct<d:int,partner_series:array<double>>>"))),
         lambda e: e["partner_series"]))
-    return d.withColumn(S, _wdba(members)).drop("_m")
+    return d.withColumn(S, _once(_wdba)(members)).drop("_m")
 
 
 def _guided_udf(shape: bool):
@@ -397,7 +403,7 @@ def random_guided_warp(df: DataFrame, seed: int = 0, shape: bool = False) -> Dat
     random same-class prototype, resampled to its length."""
     p = _partners(df, seed, (1,)).drop("d")
     d = _spread(_with_pk(df).join(p, "_pk", "left").drop("_pk"))
-    return d.withColumn(S, _guided_udf(shape)(F.col(S), F.col("partner_series"))).drop("partner_series")
+    return d.withColumn(S, _once(_guided_udf(shape))(F.col(S), F.col("partner_series"))).drop("partner_series")
 
 
 def _disc_udf(shape: bool):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import fit_row
 from .features import numeric_columns
 from .quantiles import exact_quantiles, present
+from .shapes import label_codes
 
 
 def _quantiles(df: DataFrame, cols, qs, method: str, accuracy: int) -> dict:
@@ -56,36 +57,37 @@ def fill_missing(df: DataFrame, cols: Sequence[str] | None = None, method: str =
 
 
 def one_hot(df: DataFrame, cols: Sequence[str] | None = None, drop_first: bool = True,
-            max_categories: int = 1000) -> DataFrame:
+            categories: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """one-hot every text column over its sorted categories, first one
     dropped, new columns ``{col}_{value}`` appended at the end (the source
-    column is removed).  Learning the categories is the one "fit" step that
-    reaches the driver: a distinct list per column, refused above
-    ``max_categories`` so an id-like column cannot flood the driver."""
+    column is removed).  The result has a column per category, so their names
+    must be known: from ``categories``, or by one distinct pass whose values
+    become the schema.  For a column of ids use ``one_hot_sparse``, whose
+    schema does not depend on the data."""
     cols = list(cols) if cols is not None else [c for c, t in df.dtypes if t == "string"]
-    if not cols:
-        return df
-    dist = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val"))
-                                         for c in cols])).alias("e")).select("e.col", "e.val").distinct()
-    # one job; the limit stops an id-like column from flooding the driver
-    got = dist.limit(len(cols) * (max_categories + 1)).collect()
-    cats: dict[str, list[str]] = {c: [] for c in cols}
-    seen: dict[str, int] = {c: 0 for c in cols}
-    for r in got:
-        seen[r["col"]] += 1
-        if r["val"] is not None:
+    learn = [c for c in cols if c not in (categories or {})]
+    cats = {c: sorted(v) for c, v in (categories or {}).items()} | {c: [] for c in learn}
+    if learn:
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("val")) for c in learn]))
+        seen = df.select(pairs.alias("e")).select("e.*").where("val IS NOT NULL").distinct()
+        for r in seen.orderBy("col", "val").toLocalIterator():
             cats[r["col"]].append(r["val"])
-    too_many = [c for c, n in seen.items() if n > max_categories]
-    if too_many or len(got) >= len(cols) * (max_categories + 1):
-        raise ValueError(f"one_hot: more than {max_categories} categories in {too_many or cols}")
-    cats = {c: sorted(v) for c, v in cats.items()}
-    new = []
-    for c in cols:
-        vals = cats[c][1:] if drop_first else cats[c]
-        new += [F.when(F.col(c) == F.lit(v), 1).otherwise(0).alias(f"{c}_{v}") for v in vals]
+        cats = {c: sorted(v) for c, v in cats.items()}
+    new = [F.when(F.col(c) == F.lit(v), 1).otherwise(0).alias(f"{c}_{v}")
+           for c in cols for v in cats[c][1 if drop_first else 0:]]
     return df.select(*[x for x in df.columns if x not in cols], *new)
 
 
+def one_hot_sparse(df: DataFrame, col: str, drop_first: bool = True) -> DataFrame:
+    """F2 for a column with any number of categories: replace ``col`` by
+    ``{col}_index``, the 0-based place of its one (NULL: none, as for a missing
+    or the dropped first category), from the dense label codes joined back by
+    value.  No list of categories reaches the driver."""
+    coded = label_codes(df, col, f"{col}_index")
+    place = F.col(f"{col}_index") - (1 if drop_first else 0)
+    return coded.withColumn(f"{col}_index", F.when(place >= 0, place)).drop(col)
+
+
 def cap_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
                  method: str = "exact", accuracy: int = 100000) -> DataFrame:
     """cap each numeric column to [Q1 - k*IQR, Q3 + k*IQR]; NaN counts as

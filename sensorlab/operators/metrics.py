@@ -412,7 +412,9 @@ def adjust_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     r2 = C.drop_index(rows.withColumn("_seg", seg)).drop("_zero")
     hits = (r2.where(F.col("_seg").isNotNull()).groupBy(*keys, "_seg")
             .agg(F.max(F.col(pred)).alias("_hit")))
-    out = (r2.join(hits, [*keys, "_seg"], "left")
-           .withColumn("pred_adjusted", F.when((F.col(truth) == 1) & (F.col("_hit") == 1), F.lit(1))
-                       .otherwise(F.col(pred)).cast("int")))
-    return out.drop("_seg", "_hit")
+    # rows outside a run need no flag: they skip the join, where they would all meet under one empty key
+    inside = (r2.where(F.col("_seg").isNotNull()).join(hits, [*keys, "_seg"])
+              .withColumn("pred_adjusted", F.when(F.col("_hit") == 1, F.lit(1)).otherwise(F.col(pred)).cast("int"))
+              .drop("_seg", "_hit"))
+    outside = r2.where(F.col("_seg").isNull()).withColumn("pred_adjusted", F.col(pred).cast("int")).drop("_seg")
+    return inside.unionByName(outside)

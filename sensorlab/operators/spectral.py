@@ -49,6 +49,10 @@ def rfft_amp(s: pd.Series) -> pd.Series:
     return _by_length(s, lambda m: np.abs(np.fft.rfft(m, axis=1)))
 
 
+# An exploded array gets a filter on its size, into which a deterministic function would be copied.
+rfft_amp = rfft_amp.asNondeterministic()
+
+
 @pandas_udf(_ARR)
 def rfft_re(s: pd.Series) -> pd.Series:
     return _by_length(s, lambda m: np.fft.rfft(m, axis=1).real)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 CHUNK, RN, CNT, OFF, POS, LEN, BORROWED = "_chunk", "_rn", "_cnt", "_off", "_pos", "_len", "_borrowed"
 INDEX_COLS = [CHUNK, RN, CNT, OFF, LEN, POS]
-BUCKET = 1 << 16   # rows per position bucket for bounded frames
+BUCKET = 1 << 16   # rows per position bucket, at least; it grows with the frame
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -141,9 +141,7 @@ def with_neighbours(rows: DataFrame, chunks: DataFrame | None, keys: Sequence[st
 
     Output: keys, _chunk (= position bucket), _pos, _len, cols, _borrowed.
     ``rows`` must carry ``_pos`` and ``_len`` (see :func:`index_series`)."""
-    b = int(bucket or BUCKET)
-    if before >= b or after >= b:
-        raise ValueError("frame wider than a bucket")
+    b = max(int(bucket or BUCKET), 2 * max(before, after))  # a bucket is wider than the frame reaches
     own = F.floor(F.col(POS) / b)
     off = F.col(POS) % b
     copies = [F.struct(own.alias("c"), F.lit(False).alias("f"))]

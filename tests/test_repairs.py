@@ -50,3 +50,28 @@ def test_rows_without_a_score_have_no_rank(spark):
 def test_nll_of_probabilities(spark):
     df = spark.createDataFrame([(0, [0.9, 0.1]), (1, [0.1, 0.9])], "y_true int, logits array<double>")
     assert abs(metrics.nll(df, inputs="probs").first().nll + math.log(0.9)) < 1e-12
+
+
+def test_one_hot_forms_agree(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", "a", None, "c", "a"])], "i int, t string")
+    wide = {r.i: r for r in clean.one_hot(df, ["t"]).collect()}
+    assert set(wide[0].asDict()) == {"i", "t_b", "t_c"}
+    given = {r.i: r for r in clean.one_hot(df, ["t"], categories={"t": ["a", "b", "c"]}).collect()}
+    sparse = {r.i: r.t_index for r in clean.one_hot_sparse(df, "t").collect()}
+    for i in range(5):
+        assert wide[i] == given[i]
+        assert [wide[i].t_b, wide[i].t_c] == [int(sparse[i] == 0), int(sparse[i] == 1)]
+
+
+def test_frame_wider_than_the_bucket(spark):
+    from sensorlab.operators.features import rolling_features
+    rows = spark.range(300).selectExpr("'m' AS k", "timestamp_seconds(id) AS ts", "id * 1.0D AS x")
+    import sensorlab.plans.chunked as C
+    old, C.BUCKET = C.BUCKET, 16
+    try:
+        got = rolling_features(rows, ["k"], ["ts"], ["x"], window=50).collect()
+    finally:
+        C.BUCKET = old
+    col = next(c for c in got[0].asDict() if "mean" in c)
+    by = {r.x: r[col] for r in got}
+    assert by[299.0] == sum(range(250, 300)) / 50
