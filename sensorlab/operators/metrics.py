@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..plans import chunked as C
 
 # ---- class counts ------------------------------------------------------------
@@ -179,11 +180,11 @@ def pr_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) ->
 # ---- logits, calibration -------------------------------------------------------
 
 def softmax(a: Column) -> Column:
-    """Array softmax, shifted by the max for stability."""
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    tot = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / tot)
+    """Array softmax, shifted by the max for stability.  Every part is bound once
+    per row; left open, the sum would be worked out again for each entry."""
+    def shares(e):
+        return let(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda tot: F.transform(e, lambda x: x / tot))
+    return let(a, lambda v: let(F.array_max(v), lambda m: let(F.transform(v, lambda x: F.exp(x - m)), shares)))
 
 
 def argmax(a: Column) -> Column:
@@ -232,8 +233,8 @@ def ece(df: DataFrame, y_true="y_true", logits="logits", n_bins: int = 15,
 
 
 def _logsumexp(a: Column) -> Column:
-    m = F.array_max(a)
-    return m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    return let(a, lambda v: let(F.array_max(v), lambda m: m + F.log(
+        F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))))
 
 
 def nll(df: DataFrame, y_true="y_true", logits="logits", inputs: str = "logits") -> DataFrame:

@@ -11,16 +11,16 @@ from ..operators.features import split_column
 from .registry import register
 
 PRED_SQL = "SELECT doc_id AS sample_id, quality AS y_true, toxic AS y_pred FROM labels"
-# multi-class predictions: argmax of the first 10 entries of each embedding
+# multi-class predictions: argmax over the entries of each embedding
 MC_SQL = ("SELECT vec_id AS sample_id, label AS y_true, "
-          "(list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INTEGER AS y_pred FROM embeddings")
+          "(list_position(embedding, list_max(embedding)) - 1)::INTEGER AS y_pred FROM embeddings")
 # long logits: one row per (sample, class)
-LONG_SQL = ("SELECT vec_id AS sample_id, label AS y_true, unnest(embedding[1:10])::DOUBLE AS x, "
-            "unnest(range(10)) AS k FROM embeddings")
+LONG_SQL = ("SELECT vec_id AS sample_id, label AS y_true, unnest(embedding)::DOUBLE AS x, "
+            "unnest(range(len(embedding))) AS k FROM embeddings")
 PROBS_SQL = (f"WITH l0 AS ({LONG_SQL}), l AS (SELECT *, max(x) OVER (PARTITION BY sample_id) AS mx FROM l0) "
              "SELECT sample_id, y_true, k, x, exp(x - mx) / sum(exp(x - mx)) OVER (PARTITION BY sample_id) AS p FROM l")
 BIN_SQL = ("SELECT vec_id AS sample_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y_true, "
-           "1.0 / (1.0 + exp(-(embedding[1]::DOUBLE))) AS score FROM embeddings")
+           "1.0 / (1.0 + exp(-list_sum(embedding::DOUBLE[]))) AS score FROM embeddings")
 
 
 def _mc(spark, sf_dir):
@@ -31,7 +31,8 @@ def _mc(spark, sf_dir):
 def _bin(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("sample_id"), F.when(F.col("label") < 5, 1).otherwise(0).alias("y_true"),
-                    (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("embedding")[0].cast("double")))).alias("score"))
+                    (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.aggregate(
+                        F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)))).alias("score"))
 
 
 def _counts_sql(src):
@@ -63,7 +64,7 @@ for _n, _col in (("e2_f1_micro", "f1_micro"), ("e3_f1_macro", "f1_macro"), ("e4_
     def _mk(col):
         def q(spark, sf_dir):
             return M.f1_scores(_mc(spark, sf_dir)).select(col)
-        q.__doc__ = f"E2-E4 {col} of argmax predictions over 10 classes."
+        q.__doc__ = f"E2-E4 {col} of argmax predictions over all entries."
         return q
     register(_n, _counts_sql(MC_SQL) + f" SELECT {_col} FROM ({_F1_SEL}) AS z", dbl=[_col])(_mk(_col))
 
@@ -85,7 +86,7 @@ def q_e5(spark, sf_dir):
 
 @register("e5_precision_recall_f1_weighted", _counts_sql(MC_SQL) + _PRF_SQL, dbl=["precision", "recall", "f1"])
 def q_e5w(spark, sf_dir):
-    """E5 weighted precision / recall / F1 over 10 classes."""
+    """E5 weighted precision / recall / F1 over all entries."""
     return M.precision_recall_f1(_mc(spark, sf_dir))
 
 

@@ -163,6 +163,15 @@ def q_g9(spark, sf_dir):
     return s.select("sample_id", F.posexplode("c").alias("lag", "corr")).withColumn("lag", F.col("lag").cast("bigint"))
 
 
+@register("g9_cross_correlation", f"""WITH e AS ({EMB}), z AS (SELECT sample_id, max(i) + 1 AS n FROM e GROUP BY sample_id)
+SELECT q.sample_id, ((q.i - (z.n - 1 - k.i) + z.n) % z.n)::BIGINT AS lag, sum(q.v * k.v) AS corr
+FROM e q JOIN e k ON q.sample_id = k.sample_id JOIN z ON z.sample_id = q.sample_id GROUP BY 1, 2""", dbl=["corr"])
+def q_g9c(spark, sf_dir):
+    """G9 circular cross-correlation of every series with its reverse (oracle: relational self-join)."""
+    s = samples(spark, sf_dir).select("sample_id", G.cross_correlation(F.col("series"), F.reverse("series")).alias("c"))
+    return s.select("sample_id", F.posexplode("c").alias("lag", "corr")).withColumn("lag", F.col("lag").cast("bigint"))
+
+
 @register("g10_time_delay_aggregation", f"""WITH {_ACF},
 top AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(corr, 9) DESC, lag) AS r FROM acf),
 k AS (SELECT * FROM top WHERE r <= 4),

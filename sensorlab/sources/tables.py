@@ -66,11 +66,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("toxic").alias("y_pred"))
 
 
-def logits_table(spark: SparkSession, sf_dir: str, n_classes: int = 10) -> DataFrame:
-    """embeddings as logits: first ``n_classes`` entries, label as truth."""
+def logits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as logits (every entry one class), label as truth."""
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("sample_id"), F.col("label").alias("y_true"),
-                    F.slice(F.col("embedding").cast("array<double>"), 1, n_classes).alias("logits"))
+                    F.col("embedding").cast("array<double>").alias("logits"))
 
 
 def sensor_table(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
