@@ -119,7 +119,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     if not classes:
         return None
-    sample = take_by_hash(d, "lang", "key", max(1, train_rows // classes))
+    # keys are drawn first, so that only the chosen texts move; a repeated row counts once
+    chosen = take_by_hash(d.select("lang", "key").distinct(), "lang", "key", max(1, train_rows // classes))
+    sample = d.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def make():
         def fn(batch: pa.RecordBatch):
