@@ -9,6 +9,7 @@ and results equal a plain per-key window.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,6 +111,22 @@ def split_column(key: Sequence[str | Column], test_size: float = 0.2, seed: int
     return F.when(u < F.lit(test_size), F.lit("test")).otherwise(F.lit("train"))
 
 
+def exact_split(df: DataFrame, key: Sequence[str | Column], test_size: float = 0.2, seed: int = 42,
+                out: str = "split") -> DataFrame:
+    """``out`` is 'test' for exactly ceil(n * test_size) rows, those whose
+    hash-uniform of (seed, key) is smallest, else 'train'.  The cut-off is an
+    order statistic found in a few aggregates, so nothing is sorted.  Rows with
+    equal keys share a side, which may make the test part larger by them."""
+    from .quantiles import order_statistics
+    u = R.uniform(seed, *[F.col(k) if isinstance(k, str) else k for k in key])
+    n = df.count()
+    k = min(n, math.ceil(n * test_size))
+    if not k:
+        return df.withColumn(out, F.lit("train"))
+    cut = order_statistics(df, [u], [(0, k - 1)], [n])[0, k - 1]
+    return df.withColumn(out, F.when(u <= F.lit(cut), F.lit("test")).otherwise(F.lit("train")))
+
+
 def features_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     """(features, target) projections of the same rows."""
     return df.drop(target), df.select(target)

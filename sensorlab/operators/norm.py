@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import random as R
 from ..functions.arrays import fit_row, let
 from ..plans import chunked as C
 
@@ -211,3 +212,15 @@ def masked_norm(df: DataFrame, series: str = "series", mask: str = "mask",
     d = df.withColumn("_r", r)
     return (d.withColumn(series, F.col("_r.x")).withColumn("obs_mean", F.col("_r.mean"))
             .withColumn("obs_std", F.col("_r.std")).drop("_r"))
+
+
+# ---- N14 -------------------------------------------------------------------
+
+def scale_shift_jitter(df: DataFrame, seed: int = 0, sigma: float = 0.1, series: str = "series",
+                       key: str = "sample_id") -> DataFrame:
+    """Every series times N(1, sigma), plus N(0, sigma) for the whole series,
+    plus N(0, sigma) for each step; the draws are hashes of the seed and the sample."""
+    def draw(*what, mean=0.0):
+        return R.normal(seed, F.col(key), *what, mean=mean, sigma=sigma)
+    return df.withColumn(series, let(draw("scale", mean=1.0), lambda scale: let(draw("shift"), lambda shift: F.transform(
+        series, lambda x, i: (x * scale + shift) + draw(i, "jitter")))))

@@ -70,15 +70,11 @@ def present(c: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float | None]]:
-    """{column: [quantile value for each q]} over the values that are neither NULL nor NaN."""
-    cols = list(cols)
-    if not cols:
-        return {}
-    xs = [present(F.col(c)) for c in cols]
-    counts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
-    ranks = {(i, r): _Target(i, r, counts[i]) for i in range(len(cols)) if counts[i]
-             for q in qs for h in [(counts[i] - 1) * q] for r in (math.floor(h), math.ceil(h))}
+def order_statistics(df: DataFrame, xs: Sequence[Column], wanted: Sequence[tuple[int, int]],
+                     counts: Sequence[int]) -> dict[tuple[int, int], float]:
+    """{(i, r): value of rank r (from 0) of xs[i]} for the ``wanted`` pairs;
+    ``counts`` has the number of values of each of ``xs``."""
+    ranks = {(i, r): _Target(i, r, counts[i]) for i, r in wanted}
     while todo := [t for t in ranks.values() if t.value is None]:
         near = df.agg(*[F.percentile_approx(F.when(t.inside(xs[t.col]), xs[t.col]), t.probes(), ACCURACY).alias(f"p{k}")
                         for k, t in enumerate(todo)]).first()
@@ -89,6 +85,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
             for t in todo:
                 if t.col == i and t.value is None:
                     t.learn(v, got[f"l{k}"], got[f"e{k}"])
+    return {k: t.value for k, t in ranks.items()}
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float | None]]:
+    """{column: [quantile value for each q]} over the values that are neither NULL nor NaN."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    xs = [present(F.col(c)) for c in cols]
+    counts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
+    ranks = order_statistics(df, xs, [(i, r) for i in range(len(cols)) if counts[i] for q in qs
+                                      for h in [(counts[i] - 1) * q] for r in (math.floor(h), math.ceil(h))], counts)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         out[c] = []
@@ -97,6 +105,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
             if not counts[i]:
                 out[c].append(None)
                 continue
-            a, b = ranks[i, math.floor(h)].value, ranks[i, math.ceil(h)].value
+            a, b = ranks[i, math.floor(h)], ranks[i, math.ceil(h)]
             out[c].append(a + (b - a) * (h - math.floor(h)))
     return out

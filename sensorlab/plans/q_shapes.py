@@ -335,8 +335,5 @@ SELECT sample_id, i AS k,
 def q_n14(spark, sf_dir):
     """N14 scale, shift and jitter with one sigma (0.1), hash-random."""
     s = samples(spark, sf_dir)
-    x = s.select("sample_id", F.posexplode("series").alias("k", "v"))
-    sc = R.normal(3, F.col("sample_id"), "scale", mean=1.0, sigma=0.1)
-    sh = R.normal(3, F.col("sample_id"), "shift", sigma=0.1)
-    jt = R.normal(3, F.col("sample_id"), F.col("k"), "jitter", sigma=0.1)
-    return x.select("sample_id", F.col("k").cast("bigint").alias("k"), ((F.col("v") * sc + sh) + jt).alias("value"))
+    x = N.scale_shift_jitter(s, seed=3, sigma=0.1).select("sample_id", F.posexplode("series").alias("k", "value"))
+    return x.withColumn("k", F.col("k").cast("bigint"))

@@ -164,6 +164,14 @@ def q_f13(spark, sf_dir):
     return o.select("o_orderkey", FE.split_column(["o_orderkey"], 0.2, 42).alias("split"))
 
 
+@register("f13_exact_split", f"""
+WITH o AS (SELECT o_orderkey, {sql_uniform(42, 'o_orderkey')} AS u, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY u) <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM o""")
+def q_f13e(spark, sf_dir):
+    """F13 split with exactly ceil(n * 0.2) test rows."""
+    return FE.exact_split(read_table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 0.2, 42)
+
+
 @register("f14_features_target", f"SELECT * EXCLUDE (sensor_4) FROM ({SENSOR_FULL_SQL}) AS s")
 def q_f14(spark, sf_dir):
     """F14 features without the target column."""

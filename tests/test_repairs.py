@@ -75,3 +75,10 @@ def test_frame_wider_than_the_bucket(spark):
     col = next(c for c in got[0].asDict() if "mean" in c)
     by = {r.x: r[col] for r in got}
     assert by[299.0] == sum(range(250, 300)) / 50
+
+
+def test_exact_split_counts(spark):
+    from sensorlab.operators.features import exact_split
+    for n, share in ((101, 0.2), (7, 0.5), (5, 0.0), (0, 0.2)):
+        got = exact_split(spark.range(n), ["id"], share).groupBy("split").count().collect()
+        assert {r.split: r["count"] for r in got}.get("test", 0) == math.ceil(n * share)
