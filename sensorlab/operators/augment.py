@@ -36,23 +36,54 @@ def _n() -> Column:
 
 # ---- A1-A5, A8: pure array expressions ---------------------------------------------
 
+def _nested(df: DataFrame) -> bool:
+    """Whether the series holds an array of channel values per step."""
+    return isinstance(df.schema[S].dataType.elementType, ArrayType)
+
+
+def _width() -> Column:
+    """Channels per step."""
+    return F.size(F.get(F.col(S), 0))
+
+
+def _by_channel(values: Column, body) -> Column:
+    """The series with ``body(x, value of its channel)`` for every entry;
+    ``values`` (one per channel) are worked out once per row."""
+    return let(values, lambda v: F.transform(F.col(S), lambda step: F.zip_with(step, v, body)))
+
+
 def jitter(df: DataFrame, seed: int = 0, sigma: float = 0.03) -> DataFrame:
-    """A1: x + N(0, sigma) per value."""
-    return df.withColumn(S, F.transform(F.col(S), lambda x, i: x + R.normal(
-        seed, F.col("round"), "jitter", F.col("sample_id"), i, sigma=sigma)))
+    """A1: x + N(0, sigma) per value (of every channel)."""
+    def noise(*place):
+        return R.normal(seed, F.col("round"), "jitter", F.col("sample_id"), *place, sigma=sigma)
+    if _nested(df):
+        return df.withColumn(S, F.transform(F.col(S), lambda v, i: F.transform(v, lambda x, c: x + noise(i, c))))
+    return df.withColumn(S, F.transform(F.col(S), lambda x, i: x + noise(i)))
 
 
 def scaling(df: DataFrame, seed: int = 0, sigma: float = 0.1) -> DataFrame:
     """A2: x * N(1, sigma), one factor per (sample, channel)."""
-    f = R.normal(seed, F.col("round"), "scaling", F.col("sample_id"), mean=1.0, sigma=sigma)
-    return df.withColumn(S, let(f, lambda k: F.transform(F.col(S), lambda x: x * k)))
+    def factor(*place):
+        return R.normal(seed, F.col("round"), "scaling", F.col("sample_id"), *place, mean=1.0, sigma=sigma)
+    if _nested(df):
+        return df.withColumn(S, _by_channel(F.transform(F.sequence(F.lit(0), _width() - 1), lambda c: factor(c)),
+                                            lambda x, k: x * k))
+    return df.withColumn(S, let(factor(), lambda k: F.transform(F.col(S), lambda x: x * k)))
 
 
 def rotation(df: DataFrame, seed: int = 0) -> DataFrame:
-    """A3: random sign per (sample, channel).  With several channel columns
-    (``rotate_channels``) their order is also shuffled once per call."""
-    sign = F.when(R.uniform(seed, F.col("round"), "rotation", F.col("sample_id")) < 0.5, -1.0).otherwise(1.0)
-    return df.withColumn(S, let(sign, lambda k: F.transform(F.col(S), lambda x: x * k)))
+    """A3: random sign per (sample, channel).  The channels of an array per step
+    also change places, in one hash-random order for the whole call (for
+    channel columns: ``rotate_channels``)."""
+    def sign(*place):
+        return F.when(R.uniform(seed, F.col("round"), "rotation", F.col("sample_id"), *place) < 0.5, -1.0).otherwise(1.0)
+    if _nested(df):
+        places = F.sequence(F.lit(0), _width() - 1)
+        order = F.transform(F.array_sort(F.transform(places, lambda c: F.struct(
+            R.uniform(seed, "rotation", "order", c).alias("u"), c.alias("c")))), lambda e: e["c"])
+        moved = let(order, lambda o: F.transform(F.col(S), lambda v: F.transform(o, lambda c: F.get(v, c))))
+        return df.withColumn(S, moved).withColumn(S, _by_channel(F.transform(places, lambda c: sign(c)), lambda x, k: x * k))
+    return df.withColumn(S, let(sign(), lambda k: F.transform(F.col(S), lambda x: x * k)))
 
 
 def rotate_channels(channels: Sequence[str], seed: int = 0) -> list[str]:
@@ -95,15 +126,18 @@ def permutation(df: DataFrame, seed: int = 0, max_segments: int = 5, mode: str =
     return d.withColumn(S, out).drop("_k")
 
 
-def interp_uniform(seg: Column, n_out: Column, x_end: Column) -> Column:
+def interp_uniform(seg: Column, n_out: Column, x_end: Column, nested: bool = False) -> Column:
     """numpy.interp(linspace(0, x_end, n_out), arange(len(seg)), seg) as an
-    array expression (clamped at both ends)."""
+    array expression (clamped at both ends); per channel if ``nested``."""
     L = F.size(seg)
+
+    def between(low, high, share):
+        return F.zip_with(low, high, lambda x, y: x + share * (y - x)) if nested else low + share * (high - low)
     return F.transform(F.sequence(F.lit(0), n_out - 1), lambda i: let(
         F.when(n_out > 1, i * x_end / (n_out - 1)).otherwise(F.lit(0.0)), lambda q: F.when(
-            q >= L - 1, F.element_at(seg, L)).otherwise(
-            F.element_at(seg, F.floor(q).cast("int") + 1) + (q - F.floor(q)) * (
-                F.element_at(seg, F.floor(q).cast("int") + 2) - F.element_at(seg, F.floor(q).cast("int") + 1)))))
+            q >= L - 1, F.element_at(seg, L)).otherwise(between(
+                F.element_at(seg, F.floor(q).cast("int") + 1), F.element_at(seg, F.floor(q).cast("int") + 2),
+                q - F.floor(q)))))
 
 
 def window_slice(df: DataFrame, seed: int = 0, reduce_ratio: float | Column = 0.9) -> DataFrame:
@@ -116,7 +150,8 @@ def window_slice(df: DataFrame, seed: int = 0, reduce_ratio: float | Column = 0.
     d = df.withColumn("_tl", tl)
     start = F.floor(R.uniform(seed, F.col("round"), "wslice", F.col("sample_id")) * (n - F.col("_tl"))).cast("int")
     seg = F.slice(F.col(S), start + 1, F.col("_tl"))
-    out = F.when(F.col("_tl") >= n, F.col(S)).otherwise(interp_uniform(seg, n, F.col("_tl").cast("double")))
+    out = F.when(F.col("_tl") >= n, F.col(S)).otherwise(
+        interp_uniform(seg, n, F.col("_tl").cast("double"), _nested(df)))
     return d.withColumn(S, out).drop("_tl")
 
 
