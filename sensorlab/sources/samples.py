@@ -50,25 +50,40 @@ def write_npz(df: DataFrame, root: str, split: str) -> str:
     return root
 
 
+def _decode_npz(content: bytes, allow_pickle: bool) -> pd.DataFrame:
+    """Samples of one archive: ``write_npz``'s arrays, or a table of objects
+    (arrays ``data`` and ``columns``, with columns ``features`` and ``label``,
+    a whole series per cell; samples are numbered in file order)."""
+    z = np.load(io.BytesIO(content), allow_pickle=allow_pickle)
+    if "sample_id" in z.files:
+        ids = z["sample_id"]
+        return pd.DataFrame({"sample_id": ids, "label": z["label"].astype(str),
+                             "series": [z[f"series_{i}"] for i in range(len(ids))]})
+    if not {"data", "columns"} <= set(z.files):
+        raise ValueError(f"not a sample archive: it holds {sorted(z.files)}")
+    if not allow_pickle:
+        raise ValueError("this archive holds Python objects; read it with allow_pickle=True if you trust it")
+    table = pd.DataFrame(z["data"], columns=[str(c) for c in z["columns"]])
+    return pd.DataFrame({"sample_id": np.arange(len(table)), "label": table["label"].map(str),
+                         "series": [np.asarray(x, dtype=np.float64) for x in table["features"]]})
+
+
 def read_npz(spark: SparkSession, path: str, split_regex: str | None = None,
              allow_pickle: bool = False) -> DataFrame:
-    """Read labelled sample files: ``binaryFile`` listing filtered by
-    suffix and split pattern on the file name (partition column ``split``),
-    decoded per batch with ``numpy.load`` (``allow_pickle`` stays off unless
-    asked: unpickling runs code)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.npz").load(path)
+    """Read labelled sample files: ``binaryFile`` listing of ``*.npz``,
+    filtered by the pattern on the file name (column ``split`` has the name's
+    TRAIN, VAL or TEST), decoded per batch with ``numpy.load``
+    (``allow_pickle`` stays off unless asked: unpickling runs code)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
     if split_regex:
-        files = files.where(F.col("path").rlike(split_regex))
-    files = files.withColumn("split", F.regexp_extract(F.col("path"), r"_(TRAIN|VAL|TEST)\.npz$", 1))
+        files = files.where(name.rlike(split_regex))
+    files = files.withColumn("split", F.regexp_extract(name, r"_(TRAIN|VAL|TEST)\.npz$", 1))
 
     def decode(it):
         for pdf in it:
             for content, split in zip(pdf["content"], pdf["split"]):
-                z = np.load(io.BytesIO(content), allow_pickle=allow_pickle)
-                ids, labels = z["sample_id"], z["label"]
-                yield pd.DataFrame({"sample_id": ids, "label": labels.astype(str),
-                                    "series": [z[f"series_{i}"] for i in range(len(ids))],
-                                    "split": split})
+                yield _decode_npz(content, allow_pickle).assign(split=split)
     return files.select("content", "split").mapInPandas(decode, SAMPLE_SCHEMA + ", split string")
 
 

@@ -35,3 +35,21 @@ def test_pretty_printed_leaderboard(spark, tmp_path):
             for r in RS.read_leaderboard(spark, p, multi_line=True).collect()}
     assert rows == {("01", "TimesNet", "accuracy"): 0.62, ("01", "TimesNet", "loss"): 1.1,
                     ("02", "MLP", "accuracy"): 0.26}
+
+
+def test_sample_archive_of_objects(spark, tmp_path):
+    import numpy as np
+    import pytest
+    from sensorlab.session import ship
+    from sensorlab.sources.samples import read_npz
+    ship(spark)
+    for split, n in (("TRAIN", 3), ("TEST", 2)):
+        data = np.empty((n, 2), dtype=object)
+        for i in range(n):
+            data[i, 0], data[i, 1] = np.arange(4.0 + i), f"c{i}"
+        np.savez(tmp_path / f"PdM_{split}.npz", data=data, columns=np.array(["features", "label"], dtype=object))
+    got = read_npz(spark, str(tmp_path), r"_TRAIN\.npz$", allow_pickle=True).orderBy("sample_id").collect()
+    assert [(r.sample_id, r.label, r.series, r.split) for r in got] == [
+        (i, f"c{i}", [float(x) for x in range(4 + i)], "TRAIN") for i in range(3)]
+    with pytest.raises(Exception, match="allow_pickle"):
+        read_npz(spark, str(tmp_path)).collect()
