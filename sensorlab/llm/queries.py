@@ -87,9 +87,10 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 
 @_query
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document in wavelet shards, read back from the files."""
+    """Token ids of every document in wavelet shards, read back from the files;
+    the ids are those of the tokenizers library without added special tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    files = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    files = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, added_tokens=True)
     return wavelet.read_shards(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

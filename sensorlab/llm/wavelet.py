@@ -229,8 +229,13 @@ class TokenShard:
 
 
 class WordEncoder:
-    """Encodes texts with a ``tokenizers`` file: no special tokens added, their
-    strings ordinary text.
+    """Encodes texts with a ``tokenizers`` file, no special tokens added.
+
+    With ``added_tokens`` the strings of the file's special tokens stand for
+    their ids wherever a text has them, as the library reads them by default;
+    without it they are ordinary text.  They are found in the text as it stands,
+    before any lower-casing, the leftmost and longest first, and white space
+    takes their place for the rest of the work.
 
     Only for a byte-level tokenizer that composes and lower-cases the text,
     drops white space and works on runs of letters, digits and other
@@ -244,11 +249,17 @@ class WordEncoder:
     two generations, so that frequent stretches outlive rare ones.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # stretches are lower-cased: what looks like one now is none
+        self.added: dict[bytes, int] = {}
+        for i, t in self.tokenizer.get_added_tokens_decoder().items() if added_tokens else ():
+            if t.normalized or t.single_word or t.lstrip or t.rstrip or not t.special:
+                raise ValueError(f"added token {t.content!r} is not matched by its bytes alone")
+            self.added[t.content.encode()] = i
+        self.any_added = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self.zero = self._ids("0")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -279,14 +290,37 @@ class WordEncoder:
                 self.young[w] = raw[begin:e]
                 begin = e + 4
 
+    def _find_added(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins, ends and ids of the added tokens; none crosses a text's border."""
+        raw, rows, found = data.tobytes(), set(), []
+        for t in self.added:
+            at = raw.find(t)
+            while at >= 0:
+                rows.add(int(np.searchsorted(off, at, side="right")) - 1)
+                at = raw.find(t, at + 1)
+        for r in sorted(rows):
+            found += [(*m.span(), self.added[m[0]]) for m in self.any_added.finditer(raw, int(off[r]), int(off[r + 1]))]
+        begin, end, ids = np.array(found, np.int64).reshape(-1, 3).T
+        return begin, end, ids.astype(np.uint32)
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, and where each text's ids begin and end."""
+        begin, end, added = self._find_added(data, off)
         low = LOWER[data]
+        for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+            low[x:y] = 32
         cut = np.flatnonzero(_LETTER[low[:-1]] & _SYMBOL[low[1:]]) + 1
-        low, off = np.insert(low, cut, 32), off + np.searchsorted(cut, off)
+        before = np.searchsorted(begin, off)  # added tokens in front of each text
+        low, off, begin = np.insert(low, cut, 32), off + np.searchsorted(cut, off), begin + np.searchsorted(cut, begin)
         s, e, row = runs(_STRETCH[low], off)
+        ids, ends = self._stretches(low, s, e)
+        at = ends[np.searchsorted(row, np.arange(len(off)))] + before
+        return np.insert(ids, ends[np.searchsorted(s, begin)], added), at
+
+    def _stretches(self, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches, and the number of ids up to each (from 0)."""
         if not len(s):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         _, first, code = np.unique(slice_hashes(low, s, e), return_index=True, return_inverse=True)
         raw = low.tobytes()
         words = [raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)]
@@ -307,21 +341,22 @@ class WordEncoder:
         size, begin = size[code], begin[code]
         ends = np.cumsum(size)
         ids = flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(row, np.arange(len(off)))]
+        return ids, np.concatenate([[0], ends])
 
 
 @lru_cache(1)
-def word_encoder(tokenizer_file: str) -> WordEncoder:
+def word_encoder(tokenizer_file: str, added_tokens: bool = False) -> WordEncoder:
     """The encoder of a Python worker, with its cache, for all its tasks."""
-    return WordEncoder(tokenizer_file)
+    return WordEncoder(tokenizer_file, added_tokens)
 
 
 def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id",
-                 text_col: str = "text", path: str | None = None) -> DataFrame:
+                 text_col: str = "text", path: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Tokenise ``docs`` in ascending id order (null ids first, equal ids by the
     text's hash) and write the ids, each document closed by ``end_id``, as
     wavelet shard files below ``path`` (default: a folder in the shared
-    directory).
+    directory).  ``added_tokens``: whether the strings of the file's special
+    tokens stand for their ids (the library's default) or are ordinary text.
 
     Returns the stored manifest: part, seq (order of the files), path, n_docs,
     n_tokens.  A task writes its range of ids as files of about
@@ -336,7 +371,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str
     end = np.array([end_id], np.uint32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer_file)
+        encoder = word_encoder(tokenizer_file, added_tokens)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         coded: list[np.ndarray] = []
         ids: list[int | None] = []

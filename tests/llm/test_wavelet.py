@@ -95,3 +95,29 @@ def test_many_files(make, spark, monkeypatch):
 def test_empty_table(make, spark):
     files = wavelet.write_shards(make([], "doc_id long, text string"), FILE, end_id=2)
     assert wavelet.read_shards(spark, files).count() == 0
+
+
+def test_special_tokens_in_texts_as_the_library_by_default():
+    """Their strings stand for their ids, found in the text as it stands."""
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "don", "'t", "B", " ", "\u0338", "0", "é", "<|", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 7]))) for _ in range(6000)]
+    texts += ["hello <|endoftext|> world", *[t or "" for t in ODD_TEXTS]]
+    raw = [x.encode() for x in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    ids, at = wavelet.WordEncoder(FILE, added_tokens=True).encode(np.frombuffer(b"".join(raw), np.uint8), off)
+    library = Tokenizer.from_file(FILE)
+    assert at[0] == 0 and at[-1] == len(ids)
+    for t, a, b in zip(texts, at, at[1:], strict=False):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_query_gives_the_library_s_ids(make, spark, tmp_path):
+    from sensorlab.llm.queries import QUERIES
+    texts = ["hello <|endoftext|> world", "plain", "<|startoftext|><|ENDOFTEXT|>", None]
+    make(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library, start = Tokenizer.from_file(FILE), 0
+    for r in sorted(QUERIES["op8_wavelet"](spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = [*library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
