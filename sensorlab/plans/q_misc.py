@@ -56,6 +56,10 @@ def q_d8(spark, sf_dir):
     return ST.mean_adf(s, ["machine"], ["ts", "event_id"], "value", lag=1)
 
 
+def _default(name, n_classes=10):
+    return MD.build(MD.DEFAULT_MODELS[name], n_classes)
+
+
 def _train_test(spark, sf_dir):
     s = samples(spark, sf_dir).withColumn("split", split_column(["sample_id"], 0.2, 42))
     s = MD.features_column(s, "series")
@@ -64,37 +68,32 @@ def _train_test(spark, sf_dir):
 
 @register("b1_random_forest")
 def q_b1(spark, sf_dir):
-    """B1 random forest (50 trees, depth 10) on the 64-step series; test predictions."""
+    """B1 random forest of the default set on the 64-step series; test predictions."""
     tr, te = _train_test(spark, sf_dir)
-    m = MD.fit(tr, MD.random_forest(50, 10, 42))
+    m = MD.fit(tr, _default("RandomForest-Default"))
     return MD.predictions(m, te)
 
 
 @register("b2_gradient_boosting")
 def q_b2(spark, sf_dir):
-    """B2 gradient boosting on a binary label (label < 5); test predictions."""
+    """B2 gradient boosting of the default set over all ten labels (one against the rest); test predictions."""
     tr, te = _train_test(spark, sf_dir)
-    bl = lambda d: d.withColumn("label", F.when(F.col("label") < 5, 1).otherwise(0))
-    m = MD.fit(bl(tr), MD.gradient_boosting(20, 0.1, 3, 42, n_classes=2))
-    return MD.predictions(m, bl(te))
+    m = MD.fit(tr, _default("GradientBoosting-Default"))
+    return MD.predictions(m, te)
 
 
 @register("b3_benchmark_models")
 def q_b3(spark, sf_dir):
-    """B3 benchmark of named models (two random forests, one-vs-rest GBT) scored on the test split."""
+    """B3 benchmark of the default set (two random forests, two one-vs-rest GBTs) scored on the test split."""
     tr, te = _train_test(spark, sf_dir)
-    models = {"RandomForest-Small": {"type": "random_forest", "params": {"n_estimators": 30, "max_depth": 8}},
-              "RandomForest-Deep": {"type": "random_forest", "params": {"n_estimators": 30, "max_depth": None}},
-              "GradientBoosting-OvR": {"type": "gradient_boosting",
-                                       "params": {"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3}}}
-    return MD.benchmark_models(tr, te, models, n_classes=10)
+    return MD.benchmark_models(tr, te, MD.DEFAULT_MODELS, n_classes=10)
 
 
 @register("b4_feature_importance")
 def q_b4(spark, sf_dir):
-    """B4 top-10 feature importances of a random forest."""
+    """B4 top-10 feature importances of the default random forest."""
     tr, _ = _train_test(spark, sf_dir)
-    m = MD.fit(tr, MD.random_forest(50, 10, 42))
+    m = MD.fit(tr, _default("RandomForest-Default"))
     names = [f"step_{i}" for i in range(64)]
     return spark.createDataFrame(MD.feature_importance(m, names, 10), "feature string, importance double")
 
@@ -103,7 +102,7 @@ def q_b4(spark, sf_dir):
 def q_s17(spark, sf_dir):
     """S17 fit, save, load a model pipeline and predict with the loaded copy."""
     tr, te = _train_test(spark, sf_dir)
-    m = MD.fit(tr, MD.random_forest(20, 8, 42))
+    m = MD.fit(tr, _default("RandomForest-Default"))
     path = MD.save_model(m, scratch_path(spark, "model"))
     return MD.predictions(MD.load_model(path), te)
 
