@@ -18,9 +18,6 @@ from sensorlab.llm.scratch import stored
 from sensorlab.session import ship
 from sensorlab.sources.tables import read_table
 
-#: A language below this score (the softmax over all languages) rejects the document.
-MIN_LANGUAGE_SCORE = 0.35
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, fitted on ``docs`` and the labels."""
@@ -30,12 +27,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language: not ``und``, and not so mixed that
-    no language reaches ``MIN_LANGUAGE_SCORE``.  Learns from every labelled row."""
+    """Documents in a recognised language: all that are not ``und``.  Learns from every labelled row."""
     ship(spark)
     model = langid.fit(docs, F.lit(True))
     found = langid.identify(_packed(docs), model)
-    return _unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)))
+    return _unpacked(found.where(F.col("lang_pred") != "und"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbytes import crc_id
 
 
+#: Groups drawn by a branch of the plan each; more are ranked together.
+BRANCHES = 100
+
+
 def held_out(id_col: str, parts: int, part: int) -> Column:
     """Whether a row is kept from learning: crc32 of its id as text (null:
     empty) leaves ``part`` when divided by ``parts``."""
@@ -21,7 +25,14 @@ def take_by_hash(rows: DataFrame, group: str, id_col: str, per_group: int) -> Da
     hashes lowest.  A first cut at a hash level that keeps a little more than
     enough is taken in place, so only about that many rows are ranked."""
     turn = F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col(id_col).cast("string")), 11).cast("double") / float(1 << 53)
-    counts = rows.groupBy(group).count().collect()
+    sizes = rows.groupBy(group).count()
+    counts = sizes.limit(BRANCHES + 1).collect()
+    if len(counts) > BRANCHES:
+        level = F.least(F.lit(1.0), F.lit(1.2 * per_group + 50) / F.col("__n"))
+        n = sizes.select(F.col(group).alias("__group"), F.col("count").alias("__n"))
+        near = rows.join(n, F.col(group).eqNullSafe(F.col("__group"))).where(turn <= level)
+        rank = F.row_number().over(Window.partitionBy("__group").orderBy(turn, id_col))
+        return near.withColumn("__rank", rank).where(F.col("__rank") <= per_group).select(*rows.columns)
     picked = []
     for value, n in counts:
         level = min(1.0, (1.2 * per_group + 50) / n)

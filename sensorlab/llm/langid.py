@@ -20,11 +20,9 @@ from .textbytes import LOWER, append_columns, chunks, string_buffers
 
 #: Hash dimensions of n-gram presence.
 DIMS = 1 << 14
-#: Training texts of all languages together, at most, and landmarks among them.
+#: Training texts of all languages together (one of each at least), and landmarks among them.
 TRAIN_ROWS = 4000
 LANDMARKS = 240
-#: Languages that can be learned; more are an error, not left out.
-MAX_LANGUAGES = 400
 RIDGE = 1e-3
 _SHARP = 4.0
 _ROWS = 128
@@ -108,15 +106,14 @@ def solve(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS, di
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         train_rows: int = TRAIN_ROWS) -> Model | None:
     """Learn from rows that ``learn`` admits and that have a language and a
-    letter: per language at most ``train_rows`` shared evenly, the lowest by
-    hash of id and text.  None if there are none."""
+    letter: per language at most ``train_rows`` shared evenly and one at least,
+    the lowest by hash of id and text.  Any number of languages; the model has
+    64 KB of weights for each.  None if there are none."""
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
                     F.col(f"`{text_col}`").alias("text"), learn.alias("learn"))
     d = d.where(F.col("learn") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     d = d.select("lang", F.concat_ws("|", F.col("id").cast("string"), F.xxhash64("text").cast("string")).alias("key"), "text")
-    classes = d.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if classes > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    classes = d.select("lang").distinct().count()
     if not classes:
         return None
     # keys are drawn first, so that only the chosen texts move; a repeated row counts once

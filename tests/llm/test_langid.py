@@ -80,3 +80,31 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in held) > 0.98 * len(held)
     ids = spark.read.parquet(d + "/documents.parquet").where(held_out("doc_id", 3, 1)).count()
     assert len(held) == ids
+
+
+def many(languages, each=3):
+    """Texts of made-up languages, each with words of its own."""
+    rng = np.random.default_rng(5)
+    out = []
+    for k in range(languages):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(8)]
+        out += [(k * each + i, " ".join(rng.permutation(words)), f"l{k}") for i in range(each)]
+    return out
+
+
+def test_more_languages_than_plan_branches(make):
+    docs = many(450)
+    df = make(docs, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    assert model.languages == sorted({d[2] for d in docs})
+    got = langid.identify(df, model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.98 * len(docs)
+
+
+def test_ranked_draw_is_the_branched_draw(make, monkeypatch):
+    from sensorlab.llm import labelled
+    df = make([(i, "abcd"[i * i % 7 % 4]) for i in range(3000)], "id long, g string")
+    branched = {tuple(r) for r in labelled.take_by_hash(df, "g", "id", 40).collect()}
+    monkeypatch.setattr(labelled, "BRANCHES", 1)
+    assert len(branched) == 40 * df.select("g").distinct().count()
+    assert {tuple(r) for r in labelled.take_by_hash(df, "g", "id", 40).collect()} == branched

@@ -120,3 +120,13 @@ def test_stage_gets_through_odd_rows(spark, make, tmp_path, name, stage):
 
 def test_stages_are_json_names():
     assert len(P.STAGES) == 5 and json.dumps([n for n, _ in P.STAGES])
+
+
+def test_language_stage_drops_only_und(spark, make):
+    """However many languages share the softmax: texts of two languages stay."""
+    from .test_langid import many
+    docs = [(i, t, g, "s", len(t)) for i, t, g in many(60)]
+    docs += [(1000 + i, f"{docs[i][1]} {docs[-1][1]}", None, "s", 1) for i in range(5)] + [(2000, "12 34 !", None, "s", 7), (2001, None, None, "s", None)]
+    df = make(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.keep_language(spark, df, "")
+    assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs if d[0] < 2000}
