@@ -19,8 +19,6 @@ from .scratch import stored
 BUCKETS = 1 << 14
 #: Pseudo-count of a bucket.
 PRIOR = 0.5
-#: Labelled trusted documents taken for the target model, at most (the smallest by hash).
-TRUSTED_ROWS = 20_000
 #: Documents whose mean log ratio is below this (in nats per n-gram) are rejected.
 THRESHOLD = -0.3
 #: Fixed by the task.
@@ -108,16 +106,17 @@ def _grams(text: Column, buckets: int) -> Column:
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+              buckets: int = BUCKETS) -> DataFrame:
     """Stored table of one row: ``ratio``, array of log(p_trusted / p_corpus) per
-    bucket.  The corpus counts take every document; the trusted ones are
-    documents labelled quality 1 (in any of their label rows), at most
-    ``trusted_rows`` ids by hash.  Without trusted documents every ratio is 0.
+    bucket.  The corpus counts take every document, the trusted ones every
+    document labelled quality 1 (in any of its label rows).  Without trusted
+    documents every ratio is 0.
     """
-    trusted = (labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
-               .orderBy(F.xxhash64("__id"), "__id").limit(trusted_rows).withColumn("__trusted", F.lit(1)))
+    # stored, so that its size is known: few ids are broadcast, and only many make the texts move
+    trusted = stored(labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct(),
+                     "trusted").withColumn("__trusted", F.lit(1))
     d = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    d = d.join(F.broadcast(trusted), "__id", "left")
+    d = d.join(trusted, "__id", "left")
     counts = (d.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.explode(_grams(F.col("__text"), buckets)).alias("b"))
               .groupBy("b").agg(F.sum("t").alias("good"), F.count("*").alias("all")))
     counts = stored(counts, "gram-counts")

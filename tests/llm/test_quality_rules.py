@@ -85,3 +85,13 @@ def test_no_labels_and_empty(make):
     _, d, labels = corpus(make)
     assert {r.llr for r in Q.apply_rules(d, labels.where("false")).select("llr").collect()} == {0.0}
     assert Q.apply_rules(d.where("false"), labels).count() == 0
+
+
+def test_every_trusted_document_counts(make, spark):
+    """Labels of ids without a document take no trusted document's place."""
+    _, d, labels = corpus(make)
+    elsewhere = spark.range(10**6, 10**6 + 200_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    want = sorted((r.doc_id or -1, r.llr) for r in Q.apply_rules(d, labels).collect())
+    got = sorted((r.doc_id or -1, r.llr) for r in Q.apply_rules(d, labels.unionByName(elsewhere)).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert max(abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)) < 1e-9
