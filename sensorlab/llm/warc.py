@@ -28,7 +28,6 @@ from .textbytes import limit_batches
 #: An archive is closed once it holds so many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
 _READ = 1 << 18
-_MEMBER_HEADER = 1 << 20  # a record header larger than this is damage
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = re.compile(r"<urn:x-page:(-?\d+|none)>")
 # Characters of a target address that stand as they are; others are percent-encoded.
@@ -161,15 +160,17 @@ def _page(value: str) -> int | None:
 
 def _read_record(pieces: Iterator[bytes], payload: bool) -> dict:
     """One record: header, block counted off by its length, digests checked."""
-    buf = b""
-    while b"\r\n\r\n" not in buf:
+    raw, end = bytearray(), -1
+    while end < 0:
         piece = next(pieces, None)
-        if piece is None or len(buf) > _MEMBER_HEADER:
+        if piece is None:
             raise ValueError("a record without end of header")
-        buf += piece
-    head, _, buf = buf.partition(b"\r\n\r\n")
-    if not head.startswith(b"WARC/1."):
-        raise ValueError("a member that is no WARC record")
+        seen = max(0, len(raw) - 3)
+        raw += piece
+        if raw[:7] != b"WARC/1."[:len(raw)]:
+            raise ValueError("a member that is no WARC record")
+        end = raw.find(b"\r\n\r\n", seen)
+    head, buf = bytes(raw[:end]), bytes(raw[end + 4:])
     h = _headers(head)
     left = int(h["content-length"])
     block, body = hashlib.sha1(), hashlib.sha1()

@@ -58,3 +58,10 @@ def test_damage_is_reported():
 def test_empty_table(make, spark):
     files = warc.write_archives(warc.mark_revisits(make([], SCHEMA)))
     assert warc.read_archives(spark, files).count() == 0
+
+
+def test_url_of_any_length():
+    url = "http://h/" + "漢字" * 200_000
+    raw = warc.record(1, url, b"one", "d", None, False) + warc.record(2, "u", b"two", "d", None, False)
+    got = list(warc.read_archive(io.BytesIO(raw), payload=True))
+    assert [(r["page_id"], r["url"], r["payload"], r["problem"]) for r in got] == [(1, url, b"one", None), (2, "u", b"two", None)]
