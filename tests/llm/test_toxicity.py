@@ -86,3 +86,10 @@ def test_held_out_accuracy(spark):
     rows = QUERIES["op3_toxicity"](spark, d).join(spark.read.parquet(d + "/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert sum(r.predicted == r.toxic for r in held) > 0.97 * len(held)
+
+
+def test_no_word_is_left_out_by_rank(spark):
+    n = 200_050
+    counts = spark.range(n).select("id", F.col("id").alias("k0"), F.col("id").alias("k1"), F.col("id").alias("k2"),
+                                   F.lit(3).cast("long").alias("t"), F.lit(1).cast("long").alias("c")).drop("id")
+    assert [len(known) for known, _ in toxicity._log_odds(counts).tables] == [n] * 3
