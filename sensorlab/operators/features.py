@@ -36,7 +36,6 @@ def rolling_features(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     already carries the chunked index (``_pos``, ``_len``) it is reused.
     """
     if C.POS not in df.columns:
-        chunk = chunk if chunk is not None else C.default_chunk()
         df, _ = C.index_series(df, keys, order, chunk)
     base = [c for c in C.drop_index(df).columns if c not in keys]
     both = C.with_neighbours(df, None, keys, base, before=window - 1, bucket=bucket)

@@ -342,7 +342,6 @@ def forecast_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     borrowed across bucket edges) gives both lags; the in-sample scale is one
     partial aggregate; the horizon rows and the naive1 rows are a handful per
     series.  Output: keys, h, target, forecast, naive1, masep."""
-    chunk = chunk if chunk is not None else C.default_chunk()
     rows, _ = C.index_series(df, keys, order, chunk)
     both = C.with_neighbours(rows, None, keys, [value], before=max(horizon, freq))
     w = Window.partitionBy(*keys, C.CHUNK).orderBy(C.POS)
@@ -406,7 +405,6 @@ def adjust_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     the position of the last truth = 0 row before it - a carried value of the
     chunked index, so runs may cross chunks; each run's hit flag is one
     partial aggregate joined back by (key, run)."""
-    chunk = chunk if chunk is not None else C.default_chunk()
     d = df.withColumn("_zero", F.when(F.col(truth) != 1, F.lit(1)))
     rows, _ = C.index_series(d, keys, order, chunk, carry=["_zero"])
     seg = F.when(F.col(truth) == 1, F.coalesce(F.col("_prevpos__zero"), F.lit(-1)))

@@ -135,7 +135,6 @@ def interpolate_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     following order-dependent operator can reuse them.
     """
     out = out or value
-    chunk = chunk if chunk is not None else C.default_chunk()
     df = df.withColumn(value, F.when(~F.isnan(F.col(value).cast("double")), F.col(value)))  # NaN is a gap
     rows, _ = C.index_series(df, keys, order, chunk, carry=[value])
     vp, pp = F.col(f"_prev_{value}"), F.col(f"_prevpos_{value}")

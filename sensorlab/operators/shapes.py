@@ -52,7 +52,6 @@ def windows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], l
     """Cut each long series into consecutive sample windows of ``length`` rows
     (the last one may be shorter): (keys, win, step, value).  Positions come
     from the skew-safe chunked index."""
-    chunk = chunk if chunk is not None else C.default_chunk()
     rows, _ = C.index_series(df, keys, order, chunk)
     return rows.select(*keys, (F.col(C.POS) / length).cast("long").alias("win"),
                        (F.col(C.POS) % length).cast("int").alias("step"), value)

@@ -159,7 +159,6 @@ def decompose_series(df: DataFrame, keys, order, value: str = "value", kernel: i
     times the number of missing rows (from a one-row-per-key table)."""
     from ..plans import chunked as C
     h = (kernel - 1) // 2
-    chunk = chunk if chunk is not None else C.default_chunk()
     rows, _ = C.index_series(df, keys, order, chunk)
     base = [c for c in C.drop_index(rows).columns if c not in keys]
     ends = (rows.where((F.col(C.POS) == 0) | (F.col(C.POS) == F.col(C.LEN) - 1))

@@ -24,7 +24,6 @@ from ..plans import chunked as C
 def _lags(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str,
           chunk: Column | None) -> DataFrame:
     """Rows with y = value, yl = y_{t-1}, dy = y_t - y_{t-1}, dyl = dy_{t-1}."""
-    chunk = chunk if chunk is not None else C.default_chunk()
     rows, chunks = C.index_series(df, keys, order, chunk)
     both = C.with_neighbours(rows, chunks, keys, [value], before=2)
     w = Window.partitionBy(*keys, C.CHUNK).orderBy(C.POS)

@@ -142,3 +142,31 @@ def test_auto_chunk_adapts_to_density(spark):
                              chunk=fine, out="g")
     d = got.join(ref, "event_id").select(F.max(F.abs(F.col("f") - F.col("g")))).first()[0]
     assert d < 1e-9
+
+
+def test_burst_within_one_second_spreads(spark):
+    """90 % of all rows in one machine and one second: runs stay about equal, results are those of a plain window."""
+    n = 5000
+    burst = spark.range(n).select((F.col("id") % 10 == 0).cast("long").alias("machine"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"),
+                                  F.col("id").alias("event_id"), F.when(F.col("id") % 7 > 0, F.col("id") * 37 % 101).cast("double").alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = C.sorted_runs(burst, ["machine"], ["ts", "event_id"])
+        sizes = [r["count"] for r in runs.groupBy(C.CHUNK).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+        got = FE.rolling_features(burst, ["machine"], ["ts", "event_id"], ["value"], 24, stats=("mean",), bucket=300)
+        w = Window.partitionBy("machine").orderBy("event_id")
+        plain = burst.select("event_id", F.avg("value").over(w.rowsBetween(-23, 0)).alias("m"))
+        assert got.join(plain, "event_id").where(F.abs(F.col("value_rolling_mean") - F.col("m")) < 1e-9).count() == got.where(
+            "value_rolling_mean IS NOT NULL").count()
+        pos, _ = C.index_series(burst, ["machine"], ["ts", "event_id"])
+        assert pos.join(burst.select("event_id", (F.row_number().over(w) - 1).alias("p")), "event_id").where("p = _pos").count() == n
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_null_keys_are_a_series(spark):
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(6)] + [(1, i, 2.0) for i in range(3)], "k long, t long, value double")
+    rows, _ = C.index_series(df, ["k"], ["t"])
+    assert sorted((r.k is None, r.t, r._pos, r._len) for r in rows.collect()) == [(False, i, i, 3) for i in range(3)] + [
+        (True, i, i, 6) for i in range(6)]
