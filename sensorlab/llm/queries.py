@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, decontam, langid, nbsvm, quality_rules, shards, simhash, toxicity, warc, wavelet
+from . import bpe, convtrie, decontam, langid, mtree, nbsvm, quality_rules, shards, simhash, toxicity, warc, wavelet, whiten
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,61 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = nbsvm.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
     return nbsvm.classify(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
                                               (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations, one row per node."""
+    return convtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+# crc32 of the decimal ids from its byte table; a node is known by its smallest member and its depth
+ORACLE["op11_trie"] = """
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tb),
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS rk FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda a, b: xor(a >> 8, tb[(xor(a, b) & 255) + 1]))) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), tab),
+f AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS head FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+rb AS (SELECT f.conv_id, t.rk AS pos, r, x FROM f JOIN t ON t.conv_id = f.base WHERE t.rk <= f.h
+  UNION ALL SELECT f.conv_id, t.rk - f.h + f.head, r, x FROM f JOIN t ON t.conv_id = f.conv_id WHERE t.rk > f.h),
+s AS (SELECT conv_id, coalesce(list({'r': r, 'x': x} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS q
+  FROM f LEFT JOIN rb USING (conv_id) GROUP BY conv_id),
+m AS (SELECT conv_id, d, q[1:d] AS p, coalesce(strlen(q[d].x), 0) AS b, d = len(q) AS last
+  FROM (SELECT conv_id, q, unnest(range(0, len(q) + 1)) AS d FROM s)),
+node AS (SELECT p, d, min(conv_id) AS id, count(*) AS n, any_value(b) AS b,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM m GROUP BY p, d),
+loc AS (SELECT m.conv_id, d, node.id FROM m JOIN node USING (p, d)),
+up AS (SELECT node.*, loc.id AS pid FROM node LEFT JOIN loc ON loc.conv_id = node.id AND loc.d = node.d - 1),
+kid AS (SELECT pid AS id, d - 1 AS d, count(*) AS k FROM up WHERE d > 0 GROUP BY ALL),
+sub AS (SELECT loc.id, loc.d, sum((u.n - 1) * u.b) AS saved, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM up AS u LEFT JOIN kid ON kid.id = u.id AND kid.d = u.d JOIN loc ON loc.conv_id = u.id AND loc.d <= u.d GROUP BY ALL)
+SELECT up.id AS conv_id, up.d::BIGINT AS depth, pid AS parent_conv_id, n AS n_convs, coalesce(k, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM up JOIN sub ON sub.id = up.id AND sub.d = up.d LEFT JOIN kid ON kid.id = up.id AND kid.d = up.d
+"""
+
+
+@_query
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector with all others."""
+    return mtree.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_topk"] = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c::DOUBLE))) = 0),
+p AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+  FROM v AS q JOIN v ON v.rid <> q.rid WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@_query
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every vector."""
+    return whiten.whiten(read_table(spark, sf_dir, "embeddings"))
