@@ -25,9 +25,10 @@ CHUNK_BYTES = 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_PRIME = (1 << 31) - 1
+_BASES = (1_103_515_245, 747_796_405)
 _BLOCK = 1 << 18
-_tables: dict[str, np.ndarray] = {}
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def limit_batches(spark: SparkSession) -> None:
@@ -111,42 +112,54 @@ def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, np.flatnonzero(end) + 1, np.searchsorted(off, s, side="right") - 1
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _tables:
-        up = np.full(_BLOCK, _BASE, dtype=np.uint64)
-        up[0] = 1
-        inv = np.full(_BLOCK, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        inv[0] = 1
-        with np.errstate(over="ignore"):
-            _tables["up"], _tables["inv"] = np.cumprod(up, dtype=np.uint64), np.cumprod(inv, dtype=np.uint64)
-    return _tables["up"], _tables["inv"]
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and base ** -i modulo the prime."""
+    if base not in _tables:
+        def table(b: int) -> np.ndarray:
+            out, size = np.ones(1, np.uint64), 1
+            while size < _BLOCK:  # doubling: the next half is the first times b ** size
+                out = np.concatenate([out, out * np.uint64(pow(b, size, _PRIME)) % np.uint64(_PRIME)])
+                size *= 2
+            return out
+        _tables[base] = table(base), table(pow(base, -1, _PRIME))
+    return _tables[base]
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every slice data[starts[i]:ends[i]] (slices in
-    ascending order, not overlapping): a polynomial in the bytes, from prefix
-    sums, mixed at the end.  Equal bytes give equal hashes everywhere."""
-    up, inv = _powers()
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Congruent modulo the prime, and below 2^32 for x below 2^62."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _polynomial(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Sum of (byte + 1) * base ** place over every slice, modulo the prime, from prefix sums."""
+    up, inv = _powers(base)
     out = np.empty(len(starts), np.uint64)
     i = 0
-    with np.errstate(over="ignore"):
-        while i < len(starts):
-            a = int(starts[i])
-            j = max(i + 1, int(np.searchsorted(ends, a + _BLOCK, side="right")))
-            b = int(ends[j - 1])
-            if b - a > _BLOCK:  # one slice longer than a block: fold it block by block
-                h = np.uint64(0)
-                for k in range(a, b, _BLOCK):
-                    part = data[k:min(b, k + _BLOCK)].astype(np.uint64) + np.uint64(1)
-                    h = h * up[-1] + (part * up[:len(part)]).sum(dtype=np.uint64)
-                out[i] = h
-            else:
-                c = np.zeros(b - a + 1, np.uint64)
-                np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[:b - a], out=c[1:])
-                s, e = starts[i:j] - a, ends[i:j] - a
-                out[i:j] = (c[e] - c[s]) * inv[s]
-            i = j
-        return mix64(out)
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + _BLOCK, side="right")))
+        b = int(ends[j - 1])
+        if b - a > _BLOCK:  # one slice longer than a block
+            h = 0
+            for k in range(a, b, _BLOCK):
+                part = data[k:min(b, k + _BLOCK)].astype(np.uint64) + np.uint64(1)
+                h += int(_fold(part * up[:len(part)]).sum()) * pow(base, k - a, _PRIME)
+            out[i] = h % _PRIME
+        else:
+            c = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_fold((data[a:b].astype(np.uint64) + np.uint64(1)) * up[:b - a]), out=c[1:])
+            s, e = starts[i:j] - a, ends[i:j] - a
+            out[i:j] = _fold(_fold(c[e] - c[s]) * inv[s]) % np.uint64(_PRIME)
+        i = j
+    return out
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every slice data[starts[i]:ends[i]] (slices in
+    ascending order, not overlapping): two polynomials in the bytes modulo a
+    prime, mixed at the end.  Equal bytes give equal hashes everywhere."""
+    one, two = (_polynomial(data, starts, ends, b) for b in _BASES)
+    return mix64(one << np.uint64(32) | two)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -242,8 +242,8 @@ class WordEncoder:
     characters, each by itself (as word_bpe_49k does).  Then a text is the
     sequence of its stretches between white space, the case of A-Z is without
     effect, and a stretch may be cut where a symbol follows a letter a-z.
-    Stretches are told apart by a 64-bit hash within a chunk, looked up by
-    their bytes, and encoded by the library once: a run of letters that is
+    Stretches are grouped by a 64-bit hash within a chunk, compared byte by byte,
+    looked up by their bytes, and encoded by the library once: a run of letters that is
     lower case and composed as it stands goes to the library's model in the
     byte-level alphabet, all others through the whole tokenizer.  The cache has
     two generations, so that frequent stretches outlive rare ones.
@@ -321,8 +321,14 @@ class WordEncoder:
         """Ids of all stretches, and the number of ids up to each (from 0)."""
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        _, first, code = np.unique(slice_hashes(low, s, e), return_index=True, return_inverse=True)
         raw = low.tobytes()
+        _, first, code = np.unique(slice_hashes(low, s, e), return_index=True, return_inverse=True)
+        other = np.flatnonzero(~_same_bytes(low, s, e, s[first][code], e[first][code]))
+        if len(other):  # equal hashes, other bytes: these get numbers of their own
+            named: dict[bytes, tuple[int, int]] = {}
+            for i, x, y in zip(other.tolist(), s[other].tolist(), e[other].tolist(), strict=True):
+                code[i] = named.setdefault(raw[x:y], (len(first) + len(named), i))[0]
+            first = np.concatenate([first, [i for _, i in named.values()]])
         words = [raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)]
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
@@ -344,6 +350,18 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends])
 
 
+def _same_bytes(data: np.ndarray, s: np.ndarray, e: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    """Whether the slices data[s:e] and data[s2:e2] are equal, pair by pair (none is empty)."""
+    size = e - s
+    same = size == e2 - s2
+    first = np.cumsum(size) - size
+    at = np.arange(size.sum()) - np.repeat(first, size)
+    # where the sizes differ, the second slice is read up to its end again and again; the result is False anyway
+    there = np.minimum(np.repeat(s2, size) + at, np.repeat(e2 - 1, size))
+    equal = data[np.repeat(s, size) + at] == data[there]
+    return same & np.logical_and.reduceat(equal, first)
+
+
 @lru_cache(1)
 def word_encoder(tokenizer_file: str, added_tokens: bool = False) -> WordEncoder:
     """The encoder of a Python worker, with its cache, for all its tasks."""

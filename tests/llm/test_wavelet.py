@@ -56,6 +56,24 @@ def test_stretches_as_whole_text(tokenizer):
         assert ids == tokenizer(t), repr(t)
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_with_equal_polynomials(tokenizer, n):
+    """A Thue-Morse word and its mirror agree in every polynomial modulo 2^64 with an odd base."""
+    texts = [thue_morse(n, *x) for x in ("ab", "ba", "te", "et")]
+    assert encode_all(texts) == [tokenizer(t) for t in texts]
+
+
+def test_equal_hashes_are_told_apart(tokenizer, monkeypatch):
+    """All stretches in one hash group: the bytes decide."""
+    monkeypatch.setattr(wavelet, "slice_hashes", lambda data, s, e: np.asarray(e - s, np.uint64) % np.uint64(2))
+    texts = ["one two three four", "two one ones twos", "", "a b c a b d", "x" * 300 + " y " + "x" * 300]
+    assert encode_all(texts) == [tokenizer(t) for t in texts]
+
+
 def test_cache_generations(tokenizer, monkeypatch):
     monkeypatch.setattr(wavelet, "CACHE_WORDS", 5)
     enc = wavelet.WordEncoder(FILE)
