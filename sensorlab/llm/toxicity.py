@@ -26,7 +26,6 @@ from .textbytes import LOWER, append_columns, chunks, runs, slice_hashes, string
 PER_CLASS = 10_000
 #: Weight of a prior, in tokens.
 PRIOR = 8.0
-MIN_COUNT = 3
 #: Taken off every token, so that clean text has a falling score.
 DRIFT = 0.7
 #: Passages are significant below this E-value (expected number in clean text of that length).
@@ -115,15 +114,16 @@ class Model:
 
 
 def _log_odds(counts: DataFrame) -> Model:
-    """Nested Dirichlet log-odds from word counts (keys, toxic, clean) in Spark;
-    only words of ``MIN_COUNT`` training texts and their stems reach the driver."""
+    """Nested Dirichlet log-odds from word counts (keys, toxic, clean) in Spark.
+    Every word of the training texts and every stem gets its own; the prior alone
+    holds back those that are rare."""
     all_t, all_c = counts.agg(F.sum("t"), F.sum("c")).first()
     even = float(all_t) / max(float(all_c), 1.0)  # clean counts are scaled to the toxic total
     names = [f"k{i}" for i in range(len(_STEMS) + 1)]
     tables, prior = [], None
     for i, name in enumerate(names):
         level = counts.groupBy(*names[:i + 1][-2:]).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        got = level.where(F.col("t") + F.col("c") >= MIN_COUNT).toArrow()
+        got = level.toArrow()
         key = got[name].to_numpy().view(np.uint64)
         t, c = got["t"].to_numpy().astype(float), got["c"].to_numpy() * even
         mean = np.full(len(key), 0.5)

@@ -93,3 +93,12 @@ def test_no_word_is_left_out_by_rank(spark):
     counts = spark.range(n).select("id", F.col("id").alias("k0"), F.col("id").alias("k1"), F.col("id").alias("k2"),
                                    F.lit(3).cast("long").alias("t"), F.lit(1).cast("long").alias("c")).drop("id")
     assert [len(known) for known, _ in toxicity._log_odds(counts).tables] == [n] * 3
+
+
+def test_words_of_two_texts_are_kept(make):
+    """Words that occur in two training texts each are in the model, and nothing else is dropped."""
+    toxic = [f"xq{i:02d}a bad{i:02d}b" for i in range(40)]
+    docs = [(i, f"the day was fine {toxic[i % 40]}") for i in range(80)] + [(100 + i, f"the day was fine good{i % 40:02d}c") for i in range(80)]
+    labels = [(i, int(i < 100)) for i in [*range(80), *range(100, 180)]]
+    model = toxicity.fit(make(docs, "doc_id long, text string"), make(labels, "doc_id long, toxic int"), F.lit(True))
+    assert len(model.tables[-1][0]) == 4 + 40 * 3
