@@ -64,15 +64,23 @@ def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Languages and the folded weights: score = presence / norm @ weights."""
+    """Languages and weights: score = presence / norm @ factors[0] @ ...
 
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.weights = languages, weights
+    Landmarks and weights fold into one matrix (dims x languages) where that is the smaller
+    form; with more languages than landmarks they stay two factors, dims x landmarks and
+    landmarks x languages, so a language costs a kilobyte at most."""
+
+    def __init__(self, languages: list[str], factors: list[np.ndarray]):
+        self.languages = languages
+        small = factors[-1].shape[1] <= factors[0].shape[1]
+        self.factors = [(factors[0] @ factors[1]).astype(np.float32)] if small else [f.astype(np.float32) for f in factors]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         f = x.astype(np.float32)
         norm = np.sqrt(np.maximum(f.sum(axis=1, keepdims=True), 1))
-        return (f @ self.weights) / norm
+        for m in self.factors:
+            f = f @ m
+        return f / norm
 
 
 def solve(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS, dims: int = DIMS) -> Model:
@@ -82,9 +90,16 @@ def solve(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS, di
 
     def block(i):
         return np.unpackbits(rows[i], axis=1, count=dims).astype(np.float32)
-    y = np.array([languages.index(v) for v in labels])
+    number = {v: i for i, v in enumerate(languages)}
+    y = np.array([number[v] for v in labels])
+    # landmarks in turns over the languages; with more languages than landmarks, of the first ones drawn
+    order = np.argsort(y, kind="stable")
+    starts = np.searchsorted(y[order], np.arange(len(languages)))
+    turn = np.empty(len(y), np.int64)
+    turn[order] = np.arange(len(y)) - starts[y[order]]
     per = -(-landmarks // len(languages))
-    chosen = np.concatenate([np.flatnonzero(y == c)[:per] for c in range(len(languages))])
+    chosen = np.sort(np.flatnonzero(turn < per)) if len(languages) <= landmarks else np.sort(np.flatnonzero(turn == 0)[:landmarks])
+    chosen = chosen[np.argsort(y[chosen], kind="stable")]
     z = block(chosen)
     z /= np.sqrt(np.maximum(z.sum(axis=1, keepdims=True), 1))
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
@@ -97,18 +112,19 @@ def solve(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS, di
         x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
         phi = (x @ z.T) @ lift
         w = share[y[at:at + _ROWS]][:, None]
-        one = np.where(y[at:at + _ROWS, None] == np.arange(len(languages)), 1.0, -1.0)
         gram += phi.T @ (w * phi)
-        target += phi.T @ (w * one)
-    return Model(languages, (z.T @ (lift @ np.linalg.solve(gram, target))).astype(np.float32))
+        # target 1 for a text's own language, -1 for the others
+        target -= (phi.T @ w)
+        np.add.at(target.T, y[at:at + _ROWS], 2 * w * phi)
+    return Model(languages, [z.T @ lift, np.linalg.solve(gram, target)])
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         train_rows: int = TRAIN_ROWS) -> Model | None:
     """Learn from rows that ``learn`` admits and that have a language and a
     letter: per language at most ``train_rows`` shared evenly and one at least,
-    the lowest by hash of id and text.  Any number of languages; the model has
-    64 KB of weights for each.  None if there are none."""
+    the lowest by hash of id and text.  Any number of languages; the model is
+    16 MB and a kilobyte for each at most.  None if there are none."""
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
                     F.col(f"`{text_col}`").alias("text"), learn.alias("learn"))
     d = d.where(F.col("learn") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))

@@ -108,3 +108,19 @@ def test_ranked_draw_is_the_branched_draw(make, monkeypatch):
     monkeypatch.setattr(labelled, "BRANCHES", 1)
     assert len(branched) == 40 * df.select("g").distinct().count()
     assert {tuple(r) for r in labelled.take_by_hash(df, "g", "id", 40).collect()} == branched
+
+
+def test_many_languages_stay_small():
+    """A thousand languages: a kilobyte each beside the landmarks, and the same values as the folded matrix."""
+    rng = np.random.default_rng(3)
+    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i:04d} " * 6 for i in range(1000)] * 2
+    raw = [t.encode() for t in texts]
+    x = langid.presence(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    order = rng.permutation(2000)
+    packed = [r.tobytes() for r in np.packbits(x, axis=1)]
+    m = langid.solve([packed[i] for i in order], [f"l{i % 1000:04d}" for i in order])
+    assert len(m.languages) == 1000 and sum(f.nbytes for f in m.factors) < 20e6
+    folded = m.factors[0] @ m.factors[1]
+    some = x[:20]
+    plain = (some @ folded) / np.sqrt(some.sum(axis=1, keepdims=True))
+    assert np.allclose(m.scores(some), plain, atol=1e-4)
