@@ -1,7 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
 The normalised words of the test items are put into one suffix automaton over
-word numbers (built anew per bounded block of items).  Every document streams
+word numbers (one per bounded block of items, each built by a Spark task and
+loaded by the tasks of its own pass).  Every document streams
 its words through it; the automaton keeps the length of the longest item
 substring that ends at the current word, so a window of ``window`` consecutive
 item words ends exactly where that length reaches ``window``, and an item with
@@ -15,15 +16,19 @@ by byte-class masks and word hashes, and the walk compares the real bytes.
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import LOWER, append_columns, chunks, runs, slice_hashes, string_buffers
+from .scratch import filesystem, folder, stored, write_file
+from .textbytes import LOWER, append_columns, chunks, limit_batches, runs, slice_hashes, string_buffers
 
 #: Fixed by the task: bytes that part words (all ASCII but letters and digits).
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -153,31 +158,44 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().lower())
 
 
-def item_blocks(bench: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text",
-                block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of about ``block_words`` words.  The block of an item
-    piece follows from running totals that Spark keeps per item hash, so the
-    driver only ever holds one block.  A longer item is cut into pieces that
-    overlap by ``window`` - 1 words and so lose no window."""
-    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    chars = bench.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-chars // (4 * block_words)))
-    part = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n))
-    for k in range(n):
-        block: list[tuple[str, list[bytes]]] = []
-        held = 0
-        rows = bench.where(part == k).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
-        for item, text in rows.toLocalIterator():
-            ws = words_of(text)
-            for i in range(0, max(1, len(ws) - window + 1), block_words):
-                piece = ws[i:i + block_words + window - 1]
-                block.append((item, piece))
-                held += len(piece)
-                if held >= block_words:
-                    yield block
-                    block, held = [], 0
-        if any(p for _, p in block) or n == 1:
-            yield block
+def build_automata(bench: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text",
+                   block_words: int = BLOCK_WORDS) -> list[str]:
+    """Files in the shared folder with an automaton per block of items, about ``block_words``
+    words each, built and written by Spark tasks.  A longer item is cut into pieces that overlap
+    by ``window`` - 1 words and so lose no window; a block's pieces are drawn by hash."""
+    spark = bench.sparkSession
+    limit_batches(spark)
+    root = folder(spark, "automata")
+    items = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+    def cut(batches):
+        for b in batches:
+            out = [(item, k, b" ".join(ws[i:i + block_words + window - 1]), len(ws[i:i + block_words + window - 1]))
+                   for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for ws in [words_of(text)] if ws
+                   for k, i in enumerate(range(0, max(1, len(ws) - window + 1), block_words))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)],
+                names=["item", "piece", "words", "n"])
+    pieces = stored(items.mapInArrow(cut, "item string, piece bigint, words binary, n bigint"), "items")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+
+    def build(table: pa.Table) -> pa.Table:
+        block = sorted(zip(table["item"].to_pylist(), (w.split(b" ") for w in table["words"].to_pylist()), strict=True))
+        at = f"{root}/{table['block'][0].as_py():06d}-{uuid.uuid4().hex[:12]}"
+        write_file(at, pickle.dumps(SuffixAutomaton(block, window), pickle.HIGHEST_PROTOCOL))
+        return pa.table({"block": table["block"][:1], "path": pa.array([at])})
+    made = (pieces.withColumn("block", F.pmod(F.xxhash64("item", "piece", "words"), F.lit(blocks)))
+            .groupBy("block").applyInArrow(build, "block bigint, path string"))
+    return [r.path for r in stored(made, "automata-list").orderBy("block").collect()]
+
+
+@lru_cache(1)
+def _automaton(path: str) -> SuffixAutomaton:
+    """An automaton from its file, kept by a Python worker for its tasks of one pass."""
+    store, at = filesystem(path)
+    with store.open_input_stream(at) as f:
+        return pickle.loads(f.read())
 
 
 def _scan(auto: SuffixAutomaton, data: np.ndarray, off: np.ndarray, hit: list[np.ndarray], found: list[set]):
@@ -200,9 +218,9 @@ def _scan(auto: SuffixAutomaton, data: np.ndarray, off: np.ndarray, hit: list[np
     return s, e, first
 
 
-def _mapper(auto_b, merge: bool):
+def _mapper(path: str | None, window: int, merge: bool):
     def make():
-        auto: SuffixAutomaton = auto_b.value
+        auto = _automaton(path) if path else SuffixAutomaton([], window)
 
         def fn(batch: pa.RecordBatch):
             data, off = string_buffers(batch.column(0))
@@ -248,11 +266,11 @@ def find_spans(docs: DataFrame, bench: DataFrame, window: int = 10, text_col: st
     are each worked out alike; an empty ``bench`` hits nothing.  An item with
     null id counts as the empty id.
     """
-    sc = docs.sparkSession.sparkContext
     out, merge = docs, False
-    for block in item_blocks(bench, window, block_words=block_words):
-        auto = sc.broadcast(SuffixAutomaton(block, window))
-        out = append_columns(out, _FIELDS, _mapper(auto, merge), [text_col] + (["spans", "items"] if merge else []))
+    for path in build_automata(bench, window, block_words=block_words) or [None]:
+        if merge:  # a pass ends before the next begins: one automaton in memory, one Python stage in a plan
+            out = stored(out, "pass")
+        out = append_columns(out, _FIELDS, _mapper(path, window, merge), [text_col] + (["spans", "items"] if merge else []))
         merge = True
     return out
 

@@ -71,3 +71,17 @@ def test_empty_tables(make):
     docs = make([(1, "a b c")], "doc_id long, text string")
     assert decontam.find_spans(make([], "doc_id long, text string"), bench).count() == 0
     assert decontam.find_spans(docs, none).first().n_hit == 0
+
+
+def test_blocks_make_passes(make, spark):
+    """Twenty blocks: files from Spark tasks, one Python stage per pass, results as with one block."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(40))) for i in range(50)]
+    docs = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(30)) + " " + items[i][1]) for i in range(50)]
+    d, b = make(docs, "doc_id long, text string"), make(items, "item_id long, text string")
+    assert len(decontam.build_automata(b, 10, block_words=100)) >= 15
+    many = decontam.find_spans(d, b, 10, block_words=100)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    one = decontam.find_spans(d, b, 10)
+    assert sorted(many.collect(), key=str) == sorted(one.collect(), key=str)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in one.collect()} == {i: brute(t, items, 10) for i, t in docs}
