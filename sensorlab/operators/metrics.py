@@ -91,54 +91,38 @@ def confusion_matrix(df: DataFrame, y_true="y_true", y_pred="y_pred") -> DataFra
 
 # ---- curves ----------------------------------------------------------------
 
-def _search_tree(x: Column, bounds: list[float], lo: int, hi: int) -> Column:
-    """Index of the first bound >= x among bounds[lo:hi] (binary search as a
-    balanced CASE tree: log2(len) comparisons per row, all JVM-side)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(x <= F.lit(bounds[mid]), _search_tree(x, bounds, lo, mid)).otherwise(
-        _search_tree(x, bounds, mid + 1, hi))
-
-
-def _score_steps(df: DataFrame, y_true: str, score: str, buckets: int) -> DataFrame:
+def _score_steps(df: DataFrame, y_true: str, score: str) -> DataFrame:
     """One row per distinct score (descending thresholds) with tp / fp at that
     score and the exclusive running sums before it (tp_before, fp_before), plus
     totals P and N.
 
-    Distinct scores are cut into ``buckets`` ranges of about equal size by
-    approximate quantiles (a fit step returning ``buckets`` numbers), so even a
-    model whose scores crowd into a tiny interval spreads over many tasks;
-    running sums are per bucket plus bucket offsets."""
+    Distinct scores are sorted into runs cut by Spark's range partitioning, so
+    even a model whose scores crowd into a tiny interval spreads over many
+    tasks; running sums are per run plus run offsets (one row per run)."""
     known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))  # a row without a score has no rank
     g = df.where(known).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum((F.col(y_true) == 1).cast("long")).alias("tp"),
         F.sum((F.col(y_true) != 1).cast("long")).alias("fp"))
-    qs = [i / buckets for i in range(1, buckets)]
-    row = g.agg(F.percentile_approx("score", qs, 10 * buckets).alias("b"),
-                F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
-    bounds = sorted(set(row["b"] or []))
-    nb = len(bounds)
-    # descending bucket index so bucket 0 holds the highest scores
-    g = g.withColumn("_b", (F.lit(nb) - _search_tree(F.col("score"), bounds, 0, nb)).cast("int"))
-    tot = g.groupBy("_b").agg(F.sum("tp").alias("_btp"), F.sum("fp").alias("_bfp"))
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over <= `buckets` rows
-    tot = tot.select("_b", F.coalesce(F.sum("_btp").over(wb), F.lit(0)).alias("_otp"),
-                     F.coalesce(F.sum("_bfp").over(wb), F.lit(0)).alias("_ofp"))
-    wi = Window.partitionBy("_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return (g.withColumn("_itp", F.coalesce(F.sum("tp").over(wi), F.lit(0)))
-            .withColumn("_ifp", F.coalesce(F.sum("fp").over(wi), F.lit(0)))
-            .join(tot, "_b")
+    g = C.sorted_runs(g, [], [F.col("score").desc()])
+    runs = Window.orderBy(C.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    tot = (g.groupBy(C.CHUNK).agg(F.sum("tp").alias("_rtp"), F.sum("fp").alias("_rfp"))
+           .select(C.CHUNK, F.coalesce(F.sum("_rtp").over(runs), F.lit(0)).alias("_otp"),
+                   F.coalesce(F.sum("_rfp").over(runs), F.lit(0)).alias("_ofp"),
+                   F.sum("_rtp").over(everything).alias("P"), F.sum("_rfp").over(everything).alias("N")))
+    inside = Window.partitionBy(C.CHUNK).orderBy(C.RN).rowsBetween(Window.unboundedPreceding, -1)
+    return (g.withColumn("_itp", F.coalesce(F.sum("tp").over(inside), F.lit(0)))
+            .withColumn("_ifp", F.coalesce(F.sum("fp").over(inside), F.lit(0)))
+            .join(tot, C.CHUNK)
             .select("score", "tp", "fp", (F.col("_otp") + F.col("_itp")).alias("tp_before"),
-                    (F.col("_ofp") + F.col("_ifp")).alias("fp_before"),
-                    F.lit(row["P"] or 0).cast("long").alias("P"), F.lit(row["N"] or 0).cast("long").alias("N")))
+                    (F.col("_ofp") + F.col("_ifp")).alias("fp_before"), "P", "N"))
 
 
-def roc_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) -> DataFrame:
+def roc_curve(df: DataFrame, y_true="y_true", score="score", buckets: int | None = None) -> DataFrame:
     """ROC points (threshold, fpr, tpr), one per distinct score plus the
     start (inf, 0, 0).  All points are kept (sklearn drops collinear ones;
-    the area is the same)."""
-    s = _score_steps(df, y_true, score, buckets)
+    the area is the same).  ``buckets`` is no longer needed: the runs follow the data."""
+    s = _score_steps(df, y_true, score)
     pts = s.select(F.col("score").alias("threshold"),
                    F.try_divide(F.col("fp_before") + F.col("fp"), F.col("N")).alias("fpr"),
                    F.try_divide(F.col("tp_before") + F.col("tp"), F.col("P")).alias("tpr"))
@@ -147,18 +131,18 @@ def roc_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 256)
     return start.unionByName(pts)
 
 
-def roc_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, y_true="y_true", score="score", buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve by trapezoids; each distinct score adds
     fp/N * (2*tp_before + tp) / (2P), so no lag over the curve is needed."""
-    s = _score_steps(df, y_true, score, buckets)
+    s = _score_steps(df, y_true, score)
     return s.agg(F.sum(F.try_divide(F.col("fp") * (2 * F.col("tp_before") + F.col("tp")),
                                     F.col("N") * 2 * F.col("P"))).alias("roc_auc"))
 
 
-def pr_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) -> DataFrame:
+def pr_curve(df: DataFrame, y_true="y_true", score="score", buckets: int | None = None) -> DataFrame:
     """Precision-recall points per distinct score, plus the end point
     (recall 0, precision 1)."""
-    s = _score_steps(df, y_true, score, buckets)
+    s = _score_steps(df, y_true, score)
     tp, fp = F.col("tp_before") + F.col("tp"), F.col("fp_before") + F.col("fp")
     pts = s.select(F.col("score").alias("threshold"), _ratio(tp, tp + fp).alias("precision"),
                    F.try_divide(tp, F.col("P")).alias("recall"))
@@ -167,9 +151,9 @@ def pr_curve(df: DataFrame, y_true="y_true", score="score", buckets: int = 256)
     return end.unionByName(pts)
 
 
-def pr_auc(df: DataFrame, y_true="y_true", score="score", buckets: int = 256) -> DataFrame:
+def pr_auc(df: DataFrame, y_true="y_true", score="score", buckets: int | None = None) -> DataFrame:
     """Trapezoid area under the PR points (recall axis)."""
-    s = _score_steps(df, y_true, score, buckets)
+    s = _score_steps(df, y_true, score)
     tp, fp = F.col("tp_before") + F.col("tp"), F.col("fp_before") + F.col("fp")
     prec = _ratio(tp, tp + fp)
     prev = F.when(F.col("tp_before") + F.col("fp_before") == 0, F.lit(1.0)).otherwise(
