@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
+from .membership import bitmap, may_contain
 from .scratch import stored
 
 #: Hash buckets of the multinomials: the size of every table kept per job.
@@ -25,7 +26,7 @@ THRESHOLD = -0.3
 MIN_WORDS = 50
 _SPACE = " \t\n\x0b\f\r"
 _SPLIT = r"[ \t\n\x0B\f\r]+"
-_SYMBOLS = "#*$%&|<>"
+_NO_SYMBOLS = "[^#*$%&|<>]+"
 _TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -36,8 +37,9 @@ def _words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, _SPLIT))
 
 
-def _chars_without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, "")).cast("long")
+def _chars_of(text: Column, others: str) -> Column:
+    """Code points that are left when runs of ``others`` go."""
+    return F.char_length(F.regexp_replace(text, others, "")).cast("long")
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -53,9 +55,8 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t\x0B\f\r]"))
     d = docs.select(*[F.col(f"`{c}`") for c in keep], _words(t).alias("__w"),
-                    _chars_without(t, _SPACE).alias("word_chars"),
-                    (F.char_length(t) - _chars_without(t, _SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("__l"))
-    rest = [*keep, "word_chars", "n_symbols"]
+                    _chars_of(t, _NO_SYMBOLS).alias("n_symbols"), lines.alias("__l"))
+    rest = [*keep, "n_symbols"]
 
     def step(df, *new):
         return df.select(*[F.col(f"`{c}`") for c in rest], *new)
@@ -65,8 +66,9 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hashed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
         F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(F.col("__m"))).bitwiseOR(i.cast("long")))
     d = d.select(*[F.col(f"`{c}`") for c in rest], "__w", low.alias("__m"),
+                 F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
                  (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"))
-    rest += ["n_dup_lines"]
+    rest += ["word_chars", "n_dup_lines"]
     d = step(d, "__w", "__m", F.when(n > 3, F.sort_array(hashed)).otherwise(F.array().cast("array<long>")).alias("__p"))
     p, m = F.col("__p"), F.col("__m")
 
@@ -97,8 +99,8 @@ def _grams(text: Column, buckets: int) -> Column:
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
     def both(t):
-        def bucket(*c):
-            return F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
+        def bucket(*c):  # buckets is a power of two
+            return F.xxhash64(*c).bitwiseAND(F.lit(buckets - 1)).cast("int")
         one = F.transform(t, lambda x: bucket(x))
         two = F.transform(F.slice(t, 2, F.size(t)), lambda x, i: bucket(F.get(t, i), x))
         return F.concat(one, two)
@@ -112,14 +114,17 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     document labelled quality 1 (in any of its label rows).  Without trusted
     documents every ratio is 0.
     """
-    # stored, so that its size is known: few ids are broadcast, and only many make the texts move
-    trusted = stored(labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct(),
-                     "trusted").withColumn("__trusted", F.lit(1))
     d = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    d = d.join(trusted, "__id", "left")
-    counts = (d.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.explode(_grams(F.col("__text"), buckets)).alias("b"))
-              .groupBy("b").agg(F.sum("t").alias("good"), F.count("*").alias("all")))
-    counts = stored(counts, "gram-counts")
+    trusted = stored(labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct(), "trusted")
+    # one way at every size: the texts that may be trusted, by a bitmap of fixed size, meet the trusted ids; no other text moves
+    key = F.xxhash64(F.lit(3), F.col("__id").cast("string"))
+    maybe = may_contain(bitmap(trusted.select(key.alias("h"))), F.when(F.col("__id").isNotNull(), key))
+    sure = d.where(maybe).join(trusted.hint("merge"), "__id", "left_semi")
+
+    def count(rows, name):
+        return rows.select(F.explode(_grams(F.col("__text"), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias(name))
+    counts = stored(count(d, "all").join(count(sure, "good"), "b", "left").select("b", "all", F.coalesce("good", F.lit(0)).alias("good")),
+                    "gram-counts")
     total = counts.agg(F.sum("good").alias("g"), F.sum("all").alias("a")).first()
     good, every = total["g"] or 0, total["a"] or 0
 
