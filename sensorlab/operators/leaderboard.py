@@ -125,10 +125,13 @@ def class_distribution(samples: DataFrame, classes: DataFrame, label: str = "lab
 def dataset_profile(samples: DataFrame, split: str = "split", label: str = "label",
                     series: str = "series") -> DataFrame:
     """Per split counts, max length and classes; then the maximum
-    length over all splits."""
+    length over all splits.  Where a step holds an array of channel values,
+    ``n_channels`` is the largest number of them."""
+    nested = samples.schema[series].dataType.elementType.simpleString().startswith("array")
+    wide = [F.max(F.array_max(F.transform(series, lambda step: F.size(step)))).alias("n_channels")] if nested else []
     per = samples.groupBy(split).agg(F.count(F.lit(1)).alias("n_samples"),
                                      F.max(F.size(series)).alias("max_len"),
-                                     F.countDistinct(label).alias("n_classes"))
+                                     F.countDistinct(label).alias("n_classes"), *wide)
     return per.withColumn("max_len_all", per.agg(F.max("max_len")).scalar())
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import random as R
+from ..functions.arrays import let
 from ..plans import chunked as C
 
 
@@ -64,6 +65,23 @@ def length_profile(df: DataFrame, series: str) -> DataFrame:
                   F.max(n).alias("max_len"), (F.min(n) != F.max(n)).alias("unequal"))
 
 
+def channel_lengths(df: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """P4 over several channels (one array column each): samples, samples whose
+    channels differ in length, whether any channel's length differs between
+    samples, and the longest series of the first channel.  A missing array has
+    length 0."""
+    n = [F.coalesce(F.size(F.col(c)), F.lit(0)) for c in channels]
+    n = [F.greatest(x, F.lit(0)) for x in n]  # size of NULL is -1 in legacy mode
+    uneven = F.lit(False)
+    for x in n[1:]:
+        uneven = uneven | (x != n[0])
+    varies = F.lit(False)
+    for x in n:
+        varies = varies | (F.min(x) != F.max(x))
+    return df.agg(F.count(F.lit(1)).alias("n_samples"), F.count(F.when(uneven, 1)).alias("n_uneven"),
+                  F.coalesce(varies, F.lit(False)).alias("varies"), F.max(n[0]).alias("max_len"))
+
+
 def thin(a: Column, limit: int = 256, factor: int = 2) -> Column:
     """P5: every ``factor``-th step when longer than ``limit``."""
     return F.when(F.size(a) > limit, F.filter(a, lambda x, i: i % factor == 0)).otherwise(a)
@@ -81,15 +99,15 @@ def pad_clip(a: Column, max_len: int) -> tuple[Column, Column]:
     return padded, mask
 
 
-def nth_of_class(df: DataFrame, label: str, sample: str, n: int, bucket: int = 1 << 16) -> DataFrame:
+def nth_of_class(df: DataFrame, label: str, sample: str, n: int) -> DataFrame:
     """The ``n``-th sample (1-based, by sample id) of every class.
 
-    Positions inside a class come from the chunked index with chunks of
-    ``bucket`` consecutive ids, so one dominant class is spread over many
-    tasks instead of one ranking window."""
-    chunk = F.floor(F.col(sample) / F.lit(bucket))
-    rows, _ = C.index_series(df, [label], [sample], chunk)
-    return rows.where(F.col(C.POS) == n - 1).drop(C.CHUNK, C.RN, C.CNT, C.OFF, C.LEN, C.POS)
+    Only labels and ids are put in order (over ranges, so one dominant class is
+    spread over many tasks); the chosen ids, one per class, then pick their rows."""
+    ids, _ = C.index_series(df.select(label, sample), [label], [sample])
+    chosen = ids.where(F.col(C.POS) == n - 1).select(F.col(label).alias("_label"), F.col(sample).alias("_sample"))
+    on = F.col(label).eqNullSafe(F.col("_label")) & F.col(sample).eqNullSafe(F.col("_sample"))
+    return df.join(chosen, on).dropDuplicates([label, sample]).select(*df.columns)
 
 
 def even_odd(a: Column) -> tuple[Column, Column]:
@@ -101,10 +119,9 @@ def patches(a: Column, patch_len: int, stride: int, pad: int | None = None) -> C
     """Pad right with ``pad`` (default ``stride``) copies of the last value,
     then windows of ``patch_len`` every ``stride`` steps: ARRAY<ARRAY<DOUBLE>>."""
     pad = stride if pad is None else pad
-    padded = F.concat(a, F.array_repeat(F.element_at(a, -1), F.lit(pad)))
     n = F.floor((F.size(a) + pad - patch_len) / stride) + 1
-    return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
-                       lambda i: F.slice(padded, i * stride + 1, patch_len))
+    return let(F.concat(a, F.array_repeat(F.element_at(a, -1), F.lit(pad))), lambda padded: F.transform(
+        F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.slice(padded, i * stride + 1, patch_len)))
 
 
 def chunk_views(a: Column, chunk_size: int) -> tuple[Column, Column]:
@@ -114,10 +131,10 @@ def chunk_views(a: Column, chunk_size: int) -> tuple[Column, Column]:
     c = chunk_size
     n = F.ceil(F.size(a) / F.lit(c)).cast("int")
     padded = F.concat(a, F.array_repeat(F.lit(0.0), n * c - F.size(a)))
-    cont = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.slice(padded, j * c + 1, c))
-    inter = F.transform(F.sequence(F.lit(0), n - 1),
-                        lambda j: F.transform(F.sequence(F.lit(0), F.lit(c - 1)),
-                                              lambda k: F.element_at(padded, k * n + j + 1)))
+    cont = let(padded, lambda p: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.slice(p, j * c + 1, c)))
+    inter = let(padded, lambda p: F.transform(F.sequence(F.lit(0), n - 1),
+                                              lambda j: F.transform(F.sequence(F.lit(0), F.lit(c - 1)),
+                                                                    lambda k: F.element_at(p, k * n + j + 1))))
     return cont, inter
 
 
@@ -128,10 +145,9 @@ def merge_segments(a: Column, seg_len: int, win: int) -> Column:
     nseg = (F.size(a) / seg_len).cast("int")
     pad = (F.lit(win) - nseg % win) % win
     segs = F.transform(F.sequence(F.lit(0), nseg - 1), lambda j: F.slice(a, j * seg_len + 1, seg_len))
-    segs = F.concat(segs, F.slice(segs, -pad, pad))
     m = ((nseg + pad) / win).cast("int")
-    return F.transform(F.sequence(F.lit(0), m - 1),
-                       lambda j: F.flatten(F.slice(segs, j * win + 1, win)))
+    whole = let(segs, lambda x: F.concat(x, F.slice(x, -pad, pad)))
+    return let(whole, lambda x: F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.flatten(F.slice(x, j * win + 1, win))))
 
 
 def pyramid(a: Column, window: int, levels: int, how: str = "avg") -> Column:
@@ -154,6 +170,17 @@ def pyramid(a: Column, window: int, levels: int, how: str = "avg") -> Column:
     return F.flatten(F.array(*out))
 
 
+def strided_marks(marks: Column, window: int, levels: int) -> Column:
+    """Time marks of every pyramid level: at level l each ``window``-th mark of
+    the level below, so the marks of steps 0, window^l, 2 window^l, ...:
+    ARRAY<STRUCT<level, idx, mark>> including level 0."""
+    def level(lv: int) -> Column:
+        b = window ** lv
+        return F.transform(F.filter(marks, lambda x, i: i % b == 0),
+                           lambda x, i: F.struct(F.lit(lv).alias("level"), i.alias("idx"), x.alias("mark")))
+    return F.flatten(F.array(*[level(lv) for lv in range(levels + 1)]))
+
+
 def fold_period(a: Column, period: int) -> Column:
     """Zero-pad to a multiple of ``period``; ARRAY<STRUCT<cycle, phase,
     value>> with cycle = step div period, phase = step mod period."""

@@ -76,24 +76,36 @@ def amplitude_spectrum(df: DataFrame, series: str = "series", fs: float | Column
     return x.select(key, "bin", (F.col("bin") * F.col("_fs") / F.col("_n")).alias("freq"), "amp")
 
 
+def peaks(a: Column, top: int = 5, rel_height: float = 0.1) -> Column:
+    """The ``top`` highest local peaks of an array with value >= ``rel_height`` *
+    maximum, as ARRAY<STRUCT<neg, bin, amp>>, highest first, then by bin.
+
+    A peak is a run of equal values above both of its neighbours; its place is the
+    middle of the run (the lower of two).  Runs at the ends are none.  The runs
+    follow from the places where the value changes, in one pass over the array."""
+    def of_changes(x, change):
+        runs = F.transform(change, lambda c, k: F.struct(c.alias("first"), F.get(change, k + 1).alias("after")))
+        tops = F.filter(runs, lambda r: r.after.isNotNull() & (F.get(x, r.first) > F.get(x, r.first - 1))
+                        & (F.get(x, r.after) < F.get(x, r.first)) & (F.get(x, r.first) >= F.array_max(x) * rel_height))
+        found = F.transform(tops, lambda r: F.struct((-F.get(x, r.first)).alias("neg"),
+                                                     ((r.first + r.after - 1) / 2).cast("int").alias("bin"), F.get(x, r.first).alias("amp")))
+        return F.slice(F.array_sort(found), 1, top)
+
+    def changes(x):
+        inner = F.when(F.size(x) > 1, F.sequence(F.lit(1), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(inner, lambda i: F.get(x, i) != F.get(x, i - 1))
+    return let(a, lambda x: let(changes(x), lambda c: of_changes(x, c)))
+
+
 def dominant_frequencies(df: DataFrame, series: str = "series", fs: float = 1.0, top: int = 5,
                          key: str = "sample_id", rel_height: float = 0.1) -> DataFrame:
-    """Local amplitude peaks (strictly above both neighbours, end bins
-    excluded) of the positive half spectrum with amp >= rel_height * max,
-    the ``top`` largest per sample: (key, rank, bin, freq, amp).  Peak search
-    is an array expression per row."""
+    """Local amplitude peaks (see :func:`peaks`) of the positive half
+    spectrum, the ``top`` largest per sample: (key, rank, bin, freq, amp).
+    Peak search is an array expression per row."""
     n = F.size(series)
     half = F.slice(rfft_amp(F.col(series)), 1, F.floor(n / 2).cast("int"))
     s = df.select(key, n.alias("_n"), half.alias("a"))
-
-    def peaks(a):
-        thr = F.array_max(a) * rel_height
-        idx = F.sequence(F.lit(1), F.greatest(F.size(a) - 2, F.lit(1)))
-        cand = F.filter(idx, lambda i: (i <= F.size(a) - 2) & (a[i] > a[i - 1]) & (a[i] > a[i + 1]) & (a[i] >= thr))
-        st = F.transform(cand, lambda i: F.struct((-a[i]).alias("neg"), i.alias("bin"), a[i].alias("amp")))
-        return F.slice(F.array_sort(st), 1, top)
-    p = s.select(key, "_n", let(F.col("a"), peaks).alias("p"))
-    x = p.select(key, "_n", F.posexplode("p").alias("r", "e"))
+    x = s.select(key, "_n", F.posexplode(peaks(F.col("a"), top, rel_height)).alias("r", "e"))
     return x.select(key, (F.col("r") + 1).alias("rank"), F.col("e.bin").alias("bin"),
                     (F.col("e.bin") * F.lit(float(fs)) / F.col("_n")).alias("freq"), F.col("e.amp").alias("amp"))
 

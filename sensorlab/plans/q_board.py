@@ -174,6 +174,18 @@ def q_b15(spark, sf_dir):
     return L.dataset_profile(s)
 
 
+@register("b15_channel_profile", f"""
+WITH s AS (SELECT {_SPLIT_E} AS split, label, len(embedding) // 2 AS n FROM embeddings),
+p AS (SELECT split, count(*) AS n_samples, max(n)::INTEGER AS max_len, count(DISTINCT label) AS n_classes, 2 AS n_channels
+  FROM s GROUP BY split)
+SELECT *, (SELECT max(max_len) FROM p) AS max_len_all FROM p""")
+def q_b15c(spark, sf_dir):
+    """B15 of samples with two channels per step (the series cut into steps of two values)."""
+    s = samples(spark, sf_dir).withColumn("split", split_column(["sample_id"], 0.2, 42))
+    steps = F.sequence(F.lit(0), F.floor(F.size("series") / 2).cast("int") - 1)
+    return L.dataset_profile(s.withColumn("series", F.transform(steps, lambda i: F.slice("series", 2 * i + 1, 2))))
+
+
 # ---- result files ---------------------------------------------------------------
 
 REC_SQL = f"""SELECT dataset, model, metric, avg(value) AS value FROM ({LONG_SQL}) AS l GROUP BY dataset, model, metric"""
@@ -242,6 +254,7 @@ def q_s7(spark, sf_dir):
 
 
 _CAT_VALUES = ", ".join(f"('{c[0]}', '{c[1]}')" for c in CAT.CATALOG)
+_FEATURE_VALUES = ", ".join(f"('{k}', '{x}')" for k, v in CAT.FEATURES.items() for x in v)
 
 
 @register("s11_catalog_lookup", f"""
@@ -256,6 +269,18 @@ def q_s11(spark, sf_dir):
     return CAT.tag_with_catalog(r).groupBy("dataset_code", "dataset_name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("s11_catalog_features", f"""
+WITH r AS (SELECT lpad(CAST(o_custkey % 20 AS VARCHAR), 2, '0') AS code FROM orders),
+c AS (SELECT * FROM (VALUES {_FEATURE_VALUES}) AS t(code, feature))
+SELECT feature, count(*) AS n_rows, count(DISTINCT code) AS n_sets FROM r JOIN c USING (code) GROUP BY feature""")
+def q_s11f(spark, sf_dir):
+    """S11 measured features of the data sets that result rows belong to."""
+    o = read_table(spark, sf_dir, "orders")
+    r = o.select(CAT.dataset_code((F.col("o_custkey") % 20).cast("string")).alias("code"))
+    c = F.broadcast(CAT.catalog(spark).select("code", F.explode("features").alias("feature")))  # 15 data sets
+    return r.join(c, "code").groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("code").alias("n_sets"))
+
+
 @register("s12_s13_leaderboard_store", f"""
 WITH b AS ({BOARD_SQL}), n AS ({NEW_SQL}),
 u AS (SELECT * FROM n UNION ALL SELECT * FROM b WHERE model <> '1-URGENT')

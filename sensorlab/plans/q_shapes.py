@@ -61,6 +61,18 @@ def q_p4(spark, sf_dir):
         F.col("max_len").cast("bigint").alias("max_len"), "unequal")
 
 
+@register("p4_channel_lengths", """
+WITH d AS (SELECT len(string_split(text, ' ')) AS a, len(string_split(text, chr(10))) AS b,
+  len(string_split(text, ',')) AS c FROM documents)
+SELECT count(*) AS n_samples, count(*) FILTER (b <> a OR c <> a) AS n_uneven,
+  min(a) <> max(a) OR min(b) <> max(b) OR min(c) <> max(c) AS varies, max(a) AS max_len FROM d""")
+def q_p4c(spark, sf_dir):
+    """P4 lengths across channels: documents as series of words, lines and clauses."""
+    t = read_table(spark, sf_dir, "documents").select(
+        F.split("text", " ").alias("words"), F.split("text", "\n").alias("lines"), F.split("text", ",").alias("clauses"))
+    return S.channel_lengths(t, ["words", "lines", "clauses"]).withColumn("max_len", F.col("max_len").cast("bigint"))
+
+
 @register("p5_thin", """
 SELECT sample_id, CASE WHEN n > 32 THEN i // 2 ELSE i END AS k, v AS value FROM (""" + EMB_LONG + """) AS e
 WHERE n <= 32 OR i % 2 = 0""")
@@ -207,6 +219,17 @@ def q_p14(spark, sf_dir):
     return out
 
 
+@register("p14_time_marks", """
+WITH m AS (SELECT vec_id AS sample_id, unnest(embedding)::DOUBLE AS mark, unnest(range(len(embedding))) AS i FROM embeddings),
+l AS (SELECT unnest(range(4)) AS level)
+SELECT sample_id, level::INTEGER AS level, (i // power(3, level)::BIGINT) AS idx, mark FROM m, l
+WHERE i % power(3, level)::BIGINT = 0""")
+def q_p14m(spark, sf_dir):
+    """P14 strided marks of a pyramid of window 3, 3 levels above the input."""
+    s = samples(spark, sf_dir).select("sample_id", F.explode(S.strided_marks(F.col("series"), 3, 3)).alias("m"))
+    return s.select("sample_id", F.col("m.level").alias("level"), F.col("m.idx").cast("bigint").alias("idx"), F.col("m.mark").alias("mark"))
+
+
 @register("p15_fold_period", """
 WITH e AS (SELECT vec_id AS sample_id, embedding::DOUBLE[] AS a, ((len(embedding) + 9) // 10) * 10 AS n FROM embeddings),
 p AS (SELECT sample_id, a || list_transform(range(n - len(a)), lambda x: 0.0) AS padded FROM e),

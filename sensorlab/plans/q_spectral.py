@@ -50,6 +50,23 @@ def q_g2(spark, sf_dir):
     return G.dominant_frequencies(samples(spark, sf_dir), fs=FS)
 
 
+@register("g2_plateau_peaks", """
+WITH a AS (SELECT vec_id AS sample_id, unnest(range(len(embedding))) AS i, floor(unnest(embedding)::DOUBLE * 6) + 9 AS v FROM embeddings),
+c AS (SELECT *, v IS DISTINCT FROM lag(v) OVER w AS new FROM a WINDOW w AS (PARTITION BY sample_id ORDER BY i)),
+r AS (SELECT *, sum(new::INT) OVER (PARTITION BY sample_id ORDER BY i) AS run FROM c),
+g AS (SELECT sample_id, run, min(i) AS lo, max(i) AS hi, any_value(v) AS v FROM r GROUP BY sample_id, run),
+n AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv, max(v) OVER (PARTITION BY sample_id) AS mx FROM g
+      WINDOW w AS (PARTITION BY sample_id ORDER BY run)),
+p AS (SELECT *, (lo + hi) // 2 AS bin FROM n WHERE v > pv AND v > nv AND v >= mx * 0.1)
+SELECT sample_id, rank::INTEGER AS rank, bin::INTEGER AS bin, v AS amp
+FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY v DESC, bin) AS rank FROM p) AS q WHERE rank <= 5""")
+def q_g2p(spark, sf_dir):
+    """G2 peaks of coarsely quantised series, which have flat tops of odd and even width."""
+    s = samples(spark, sf_dir).select("sample_id", F.transform("series", lambda x: (F.floor(x * 6) + 9).cast("double")).alias("a"))
+    x = s.select("sample_id", F.posexplode(G.peaks(F.col("a"))).alias("r", "e"))
+    return x.select("sample_id", (F.col("r") + 1).alias("rank"), F.col("e.bin").alias("bin"), F.col("e.amp").alias("amp"))
+
+
 @register("g3_main_periods", f"""WITH {DFT},
 m AS (SELECT bin, any_value(n) AS n, avg(amp) AS mean_amp FROM amp GROUP BY bin),
 r AS (SELECT *, row_number() OVER (ORDER BY mean_amp DESC, bin) AS rank FROM m WHERE bin > 0)

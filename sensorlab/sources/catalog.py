@@ -1,8 +1,7 @@
 """The data set catalog as a small DataFrame.
 
 Fixed values of the reference (15 data sets): code, name, fault types,
-sampling rate (Hz), duration (s), channels, design target, property.
-The long free-text descriptions are not reproduced.
+sampling rate (Hz), duration (s), channels, design target, property, features.
 """
 
 from __future__ import annotations
@@ -29,12 +28,34 @@ CATALOG = [
     ("14", "Microsoft Azure", ["normal", "failure"], 1, 365, 4, "RUL prediction", "Telemetry, Logs"),
 ]
 
+# fixed values: the measured features of each data set
+FEATURES = {
+    "01": ["vibration", "current", "temperature", "speed", "torque", "radial_load"],
+    "02": ["vibration"],
+    "03": ["vibration"],
+    "04": ["vibration"],
+    "05": ["vibration", "temperature"],
+    "06": ["vibration"],
+    "07": ["vibration"],
+    "09": ["current", "vibration", "temperature", "speed"],
+    "12": ["current"],
+    "13": ["vibration"],
+    "16": ["vibration", "temperature", "speed"],
+    "17": ["vibration"],
+    "18": ["vibration", "current", "temperature", "speed"],
+    "19": ["vibration"],
+    "14": ["telemetry", "errors", "maintenance", "machines"],
+}
+
 SCHEMA = ("code string, name string, fault_types array<string>, sampling_rate int, duration int, "
-          "channels int, design_target string, property string")
+          "channels int, design_target string, property string, features array<string>")
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOG, SCHEMA)
+    """One row per data set; ``description`` is put together from its other columns."""
+    rows = spark.createDataFrame([(*r, FEATURES[r[0]]) for r in CATALOG], SCHEMA)
+    return rows.withColumn("description", F.format_string(
+        "%s: %s from %s, %d channel(s) at %d Hz", "name", F.lower("design_target"), F.array_join("features", ", "), "channels", "sampling_rate"))
 
 
 def dataset_code(raw: Column) -> Column:

@@ -87,15 +87,23 @@ def read_npz(spark: SparkSession, path: str, split_regex: str | None = None,
     return files.select("content", "split").mapInPandas(decode, SAMPLE_SCHEMA + ", split string")
 
 
-def limit_samples(df: DataFrame, size: float, key: str = "sample_id", bucket: int = 1 << 20) -> DataFrame:
-    """Keep the first ``size`` samples by id, or the first
-    int(size * n) when ``size`` <= 1.  Positions come from the chunked index
-    over id ranges (no single-partition ranking window); the count for a
-    fraction is one aggregate."""
-    d = df.withColumn("_all", F.lit(0))
-    rows, _ = C.index_series(d, ["_all"], [key], F.floor(F.col(key) / F.lit(bucket)))
-    if size > 1:
-        k = F.lit(int(size))
-    else:
-        k = F.floor(F.lit(float(size)) * df.agg(F.count(F.lit(1))).scalar())
-    return rows.where(F.col(C.POS) < k).drop("_all", C.CHUNK, C.RN, C.CNT, C.OFF, C.LEN, C.POS)
+def limit_samples(df: DataFrame, size: float, key: str = "sample_id") -> DataFrame:
+    """Keep the first ``size`` samples by id (null ids first), or the first
+    int(size * n) when ``size`` <= 1.
+
+    Only the ids are put in order, to find the id at the cut-off; the rows are
+    filtered by it where they are.  Of rows that share the last id any are kept,
+    as many as are wanted."""
+    ids, _ = C.index_series(df.select(key).withColumn("_all", F.lit(0)), ["_all"], [key])
+    k = int(size) if size > 1 else int(float(size) * ids.count())
+    if k < 1:
+        return df.limit(0)
+    last = ids.where(F.col(C.POS) == k - 1).select(key).first()
+    if last is None:  # fewer rows than wanted
+        return df
+    cut = F.lit(last[0]).cast(df.schema[key].dataType)
+    same = F.col(key).eqNullSafe(cut)
+    before = ids.where(same).agg(F.min(C.POS)).first()[0]
+    if last[0] is None:
+        return df.where(same).limit(k)
+    return df.where(F.col(key).isNull() | (F.col(key) < cut)).unionByName(df.where(same).limit(k - before))
