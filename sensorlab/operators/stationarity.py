@@ -1,13 +1,20 @@
 """Augmented Dickey-Fuller statistic per series.
 
-Regression per series (constant term): dy_t = a + g * y_{t-1} [+ d * dy_{t-1}].
-The lag order (0 or 1 when ``max_lag`` = 1) is chosen by AIC on the common
-sample, then refitted on its own sample, as the usual ``adfuller`` does.
-Everything is built from per-series moment aggregates (``covar_pop`` /
-``var_pop``, which Spark merges stably across partitions), so the OLS fits are
-one partial aggregate per series - no series is collected anywhere.  Lagged
-values come from the chunked layout, so a dominant series still spreads over
-many tasks.  Only the statistic is computed (no p-value table).
+Regression per series (constant term):
+dy_t = a + g * y_{t-1} + d_1 * dy_{t-1} + ... + d_p * dy_{t-p}.
+The lag order p is chosen by AIC among 0 .. max_lag on the sample common to
+all, then refitted on its own sample, as the usual ``adfuller`` does; without
+``max_lag`` the bound is Schwert's, 12 (n / 100)^(1/4) rounded up.
+
+One aggregate per series holds all lags: the Gram matrix of (1, y_{t-1},
+dy_{t-1}, ..., dy_{t-P}, dy_t) over the common sample.  It is summed in
+position buckets (with P + 1 rows borrowed from the bucket before), so a
+dominant series spreads over many tasks and no series is collected anywhere.
+One Cholesky factor then gives the residual sums of all nested regressions:
+each further lag takes the square of one entry of the last row off the one
+before.  A shorter lag's own sample has a few rows more than the common one;
+they come from the first P + 2 values of the series.  Only the statistic is
+computed (no p-value table).
 """
 
 from __future__ import annotations
@@ -15,84 +22,143 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import chunked as C
-
-
-def _lags(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str,
-          chunk: Column | None) -> DataFrame:
-    """Rows with y = value, yl = y_{t-1}, dy = y_t - y_{t-1}, dyl = dy_{t-1}."""
-    rows, chunks = C.index_series(df, keys, order, chunk)
-    both = C.with_neighbours(rows, chunks, keys, [value], before=2)
-    w = Window.partitionBy(*keys, C.CHUNK).orderBy(C.POS)
-    y = F.col(value)
-    l1, l2 = F.lag(value, 1).over(w), F.lag(value, 2).over(w)
-    x = both.select(*keys, C.POS, C.BORROWED, y.alias("y"), l1.alias("yl"), (y - l1).alias("dy"),
-                    (l1 - l2).alias("dyl"))
-    return x.where(~F.col(C.BORROWED)).drop(C.BORROWED)
-
-
-def _moments(x: DataFrame, keys) -> DataFrame:
-    """Every moment both fits need, in one aggregate: the lag-0 fit on all
-    rows with a level (``a0``) and both fits on the common sample (``c``).
-    Conditional columns are NULL outside their sample; the aggregates skip
-    NULL rows."""
-    a = F.col("yl").isNotNull()
-    c = F.col("dyl").isNotNull()
-    ca = lambda col, cond: F.when(cond, F.col(col))
-    return x.groupBy(*keys).agg(
-        F.count(F.when(a, 1)).alias("na"), F.var_pop(ca("yl", a)).alias("a_vx"),
-        F.covar_pop(ca("yl", a), ca("dy", a)).alias("a_cxy"), F.var_pop(ca("dy", a)).alias("a_vy"),
-        F.count(F.when(c, 1)).alias("nc"), F.var_pop(ca("yl", c)).alias("vx"), F.var_pop(ca("dyl", c)).alias("vz"),
-        F.covar_pop(ca("yl", c), ca("dyl", c)).alias("cxz"), F.covar_pop(ca("yl", c), ca("dy", c)).alias("cxy"),
-        F.covar_pop(ca("dyl", c), ca("dy", c)).alias("czy"), F.var_pop(ca("dy", c)).alias("vy"))
-
-
-def _fit0(n: Column, vx: Column, cxy: Column, vy: Column):
-    """OLS dy ~ 1 + yl from moments: (statistic, SSR)."""
-    sxx, sxy, syy = n * vx, n * cxy, n * vy
-    ssr = syy - F.try_divide(sxy * sxy, sxx)
-    return F.try_divide(F.try_divide(sxy, sxx), F.sqrt(F.try_divide(ssr, (n - 2) * sxx))), ssr
-
-
-def _fit1(n: Column, vx, vz, cxz, cxy, czy, vy):
-    """OLS dy ~ 1 + yl + dyl (two centred regressors): (statistic, SSR)."""
-    det = vx * vz - cxz * cxz
-    b1 = F.try_divide(vz * cxy - cxz * czy, det)
-    b2 = F.try_divide(vx * czy - cxz * cxy, det)
-    ssr = n * (vy - b1 * cxy - b2 * czy)
-    return F.try_divide(b1, F.sqrt(F.try_divide(ssr * vz, (n - 3) * n * det))), ssr
-
-
-def _aic(ssr: Column, n: Column, k: int) -> Column:
-    llf = -n / 2.0 * (F.lit(math.log(2 * math.pi)) + F.log(F.try_divide(ssr, n)) + 1.0)
-    return -2.0 * llf + 2.0 * k
+from .quantiles import present
+
+
+def lag_bound(n: Column, max_lag: int | None) -> Column:
+    """Largest lag tried for a series of ``n`` values: Schwert's rule or ``max_lag``, and no more
+    than leaves as many rows as coefficients."""
+    most = F.greatest(F.floor((n - 1) / 2) - 2, F.lit(0))
+    want = F.ceil(12 * F.pow(n / 100.0, F.lit(0.25))) if max_lag is None else F.lit(max_lag)
+    return F.least(want, most).cast("int")
+
+
+def _design(y: np.ndarray, lags: int) -> np.ndarray:
+    """Rows (1, y_{t-1}, dy_{t-1}, ..., dy_{t-lags}, dy_t) for t = lags + 1 .. len(y) - 1."""
+    d = np.diff(y)
+    n = len(y) - lags - 1
+    if n <= 0:
+        return np.zeros((0, lags + 3))
+    return np.column_stack([np.ones(n), y[lags:-1], *[d[lags - k:len(d) - k] for k in range(1, lags + 1)], d[lags:]])
+
+
+def _gram(keys: list[str]):
+    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Gram matrix of one bucket of a series: its own rows that belong to the common sample."""
+        pdf = pdf.sort_values(C.POS)
+        lags = int(pdf["_lags"].iloc[0])
+        mine = pdf.loc[~pdf[C.BORROWED], C.POS]
+        if mine.empty:  # the bucket after a series' last one holds copies alone
+            return pd.DataFrame(columns=[*keys, "_lags", "_n", "_g"])
+        own = mine.min()
+        y = (pdf["_y"] - pdf["_mean"]).to_numpy()[max(0, int((pdf[C.POS] < own - lags - 1).sum())):]
+        z = _design(y, lags)
+        g = z.T @ z
+        return pd.DataFrame([[*pdf[keys].iloc[0], lags, len(z), g.ravel().tolist()]], columns=[*keys, "_lags", "_n", "_g"])
+    return bucket
+
+
+def _cholesky(g: np.ndarray) -> np.ndarray | None:
+    """Lower factor; none where a column depends on the ones before (to rounding).  The last
+    diagonal entry may vanish (a perfect fit)."""
+    m = len(g)
+    scale = np.sqrt(np.maximum(np.diag(g), 0))
+    if (scale[:-1] <= 0).any():
+        return None
+    scale[-1] = scale[-1] or 1.0
+    a, out = g / np.outer(scale, scale), np.zeros((m, m))
+    for j in range(m):
+        v = a[j:, j] - out[j:, :j] @ out[j, :j]
+        if v[0] <= 1e-13:
+            if j < m - 1:
+                return None
+            v[0] = max(v[0], 0.0)
+        out[j:, j] = v / math.sqrt(v[0]) if v[0] > 0 else 0.0
+    return out * scale[:, None]
+
+
+def _statistic(g: np.ndarray, n: int) -> float | None:
+    """t statistic of y_{t-1} from a Gram matrix with the response last."""
+    k = len(g) - 1
+    low = _cholesky(g)
+    if low is None or n <= k:
+        return None
+    x, r = low[:-1, :-1], low[-1, :-1]
+    ssr = max(float(g[-1, -1] - r @ r), 0.0)
+    coefficients = np.linalg.solve(x.T, r)
+    inverse = np.linalg.solve(x, np.eye(k))
+    variance = ssr / (n - k) * float((inverse[:, 1] ** 2).sum())
+    return float(coefficients[1]) / math.sqrt(variance) if variance > 0 else None
+
+
+def choose(g: np.ndarray, n: int, head: np.ndarray, fixed: bool = False) -> tuple[float | None, int, int]:
+    """(statistic, lag, rows) of the lag with the least AIC, or of the largest one if ``fixed``;
+    ``g`` over the common sample of ``n`` rows, ``head`` the first values of the series."""
+    lags = len(g) - 3
+    low = None if fixed else _cholesky(g)
+    best = lags if fixed else 0
+    if low is not None and n > 0:
+        # residual sums of the leading regressions
+        ssr = g[-1, -1] - np.cumsum(low[-1, :-1] ** 2)[1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            aic = n * np.log(np.maximum(ssr, 0) / n) + 2 * np.arange(2, lags + 3)
+        if np.isfinite(aic).any():
+            best = int(np.nanargmin(np.where(np.isfinite(aic), aic, np.inf)))
+    keep = [*range(best + 2), lags + 2]
+    own, rows = g[np.ix_(keep, keep)], n
+    if best < lags:  # rows of its own sample before the common one
+        z = _design(head[:lags + 1], best)
+        own, rows = own + z.T @ z, n + len(z)
+    return _statistic(own, rows), best, rows
 
 
 def adf(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str = "value",
-        chunk: Column | None = None) -> DataFrame:
-    """Per series ADF statistic with lag 0 or 1 chosen by AIC on the
-    common sample: (keys, adf_stat, used_lag, nobs)."""
-    m = _moments(_lags(df, keys, order, value, chunk), keys)
-    col = F.col
-    s0, _ = _fit0(col("na"), col("a_vx"), col("a_cxy"), col("a_vy"))
-    _, ssr0c = _fit0(col("nc"), col("vx"), col("cxy"), col("vy"))
-    s1, ssr1 = _fit1(col("nc"), col("vx"), col("vz"), col("cxz"), col("cxy"), col("czy"), col("vy"))
-    lag1 = _aic(ssr1, col("nc"), 3) < _aic(ssr0c, col("nc"), 2)
-    return m.select(*keys, F.when(lag1, s1).otherwise(s0).alias("adf_stat"),
-                    F.when(lag1, 1).otherwise(0).alias("used_lag"),
-                    F.when(lag1, col("nc")).otherwise(col("na")).alias("nobs"))
+        chunk: Column | None = None, max_lag: int | None = 1, bucket: int | None = None,
+        fixed: bool = False) -> DataFrame:
+    """Per series ADF statistic with the lag chosen by AIC from 0 .. ``max_lag`` (None: Schwert's
+    bound) on the common sample, or equal to ``max_lag`` if ``fixed``: (keys, adf_stat, used_lag, nobs).  Missing values are left out;
+    series too short or without variation have no statistic."""
+    keys = list(keys)
+    y = df.where(present(F.col(value)).isNotNull())
+    rows, chunks = C.index_series(y, keys, order, chunk)
+    rows = rows.withColumn("_lags", lag_bound(F.col(C.LEN), max_lag)).withColumn("_y", F.col(value).cast("double"))
+    longest = chunks.agg(F.max(lag_bound(F.col(C.LEN), max_lag))).first()[0]
+    if longest is None:
+        longest = 0
+    means = rows.groupBy(*keys).agg(F.avg("_y").alias("_mean"))
+    on = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]
+    level = rows.join(means.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_mean"), on).drop(*[f"_m_{k}" for k in keys])
+    head = (level.where(F.col(C.POS) <= F.col("_lags") + 1).groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col(C.POS).alias("p"), (F.col("_y") - F.col("_mean")).alias("v")))).alias("_head")))
+    both = C.with_neighbours(level, None, keys, ["_y", "_mean", "_lags"], before=int(longest) + 1, bucket=bucket)
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    parts = both.groupBy(*keys, C.CHUNK).applyInPandas(_gram(keys), f"{schema}, _lags int, _n bigint, _g array<double>")
+    # sums of the matrices entry by entry, so that a long series' buckets never meet in one task
+    entry = (parts.select(*keys, "_lags", "_n", F.posexplode("_g").alias("_i", "_v"))
+             .groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"), F.max("_lags").alias("_lags")))
+    whole = entry.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_v").alias("v")))).alias("_g"),
+                                     F.max("_n").alias("_n"), F.max("_lags").alias("_lags"))
+    head = head.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.transform("_head", lambda e: e.v).alias("_head"))
+    whole = whole.join(head, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]).drop(*[f"_h_{k}" for k in keys])
+
+    @F.pandas_udf("struct<stat: double, lag: int, n: bigint>")
+    def solve(g: pd.Series, n: pd.Series, lags: pd.Series, head: pd.Series) -> pd.DataFrame:
+        out = [choose(np.asarray(a, np.float64).reshape(p + 3, p + 3), int(c), np.asarray(h, np.float64), fixed)
+               for a, c, p, h in zip(g, n, lags, head, strict=True)]
+        return pd.DataFrame({"stat": pd.array([o[0] for o in out], "Float64"), "lag": [o[1] for o in out], "n": [o[2] for o in out]})
+    found = whole.withColumn("_s", solve(F.transform("_g", lambda e: e.v), "_n", "_lags", "_head"))
+    return found.select(*keys, F.col("_s.stat").alias("adf_stat"), F.col("_s.lag").alias("used_lag"), F.col("_s.n").alias("nobs"))
 
 
 def mean_adf(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str = "value",
-             lag: int = 1, chunk: Column | None = None) -> DataFrame:
-    """Mean over series of the ADF statistic at a fixed lag (0 or 1)."""
-    m = _moments(_lags(df, keys, order, value, chunk), keys)
-    col = F.col
-    if lag == 1:
-        st, _ = _fit1(col("nc"), col("vx"), col("vz"), col("cxz"), col("cxy"), col("czy"), col("vy"))
-    else:
-        st, _ = _fit0(col("na"), col("a_vx"), col("a_cxy"), col("a_vy"))
-    return m.agg(F.avg(st).alias("mean_adf"), F.count(F.lit(1)).alias("n_series"))
+             lag: int | None = None, chunk: Column | None = None) -> DataFrame:
+    """Mean over series of the ADF statistic, each with its own lag (Schwert's bound, AIC),
+    or all with exactly ``lag`` lags: (mean_adf, n_series)."""
+    st = adf(df, keys, order, value, chunk, max_lag=lag, fixed=lag is not None)
+    return st.agg(F.avg("adf_stat").alias("mean_adf"), F.count(F.lit(1)).alias("n_series"))

@@ -56,6 +56,12 @@ def q_d8(spark, sf_dir):
     return ST.mean_adf(s, ["machine"], ["ts", "event_id"], "value", lag=1)
 
 
+@register("d8_mean_adf_auto")
+def q_d8a(spark, sf_dir):
+    """D8 mean ADF statistic over machines, every lag by AIC under Schwert's bound."""
+    return ST.mean_adf(machine_series(spark, sf_dir), ["machine"], ["ts", "event_id"], "value")
+
+
 def _default(name):
     return MD.build(MD.DEFAULT_MODELS[name])
 
