@@ -13,6 +13,7 @@ from ..functions.random import sql_uniform
 from ..operators import leaderboard as L
 from ..operators.features import split_column
 from ..sources import catalog as CAT
+from ..sources.workbook import write_workbooks
 from ..sources import results as RS
 from ..sources.tables import read_table, samples
 from .registry import register
@@ -222,11 +223,14 @@ def q_b16(spark, sf_dir):
 _CODE_MAP = {"F": "1", "O": "16", "P": "99"}
 
 
-@register("s6_read_result_tables", f"""
+_S6_SQL = f"""
 WITH w AS ({WIDE_SQL.replace('GROUP BY model', 'GROUP BY dataset, model').replace('SELECT model,', 'SELECT dataset, model,')}),
 c AS (SELECT * FROM (VALUES ('F', '01', 'Paderborn'), ('O', '16', 'CQU Gearbox'), ('P', '99', 'Unknown (99)'))
       AS t(dataset, dataset_code, dataset_name))
-SELECT c.dataset_code, c.dataset_name, w.model, w.accuracy, w.precision, w.recall, w.f1 FROM w JOIN c USING (dataset)""",
+SELECT c.dataset_code, c.dataset_name, w.model, w.accuracy, w.precision, w.recall, w.f1 FROM w JOIN c USING (dataset)"""
+
+
+@register("s6_read_result_tables", _S6_SQL,
           dbl=METRICS4)
 def q_s6(spark, sf_dir):
     """S6 per data set result tables written as <code>_results CSV, read back,
@@ -242,6 +246,17 @@ def q_s6(spark, sf_dir):
     return CAT.tag_with_catalog(r).select("dataset_code", "dataset_name", "model", *METRICS4)
 
 
+@register("s6_read_workbooks", _S6_SQL, dbl=METRICS4)
+def q_s6x(spark, sf_dir):
+    """S6 the same tables written as workbooks, one per data set, and read from their XML."""
+    w = results_long(spark, sf_dir).groupBy("dataset", "model").pivot("metric", METRICS4).agg(F.avg("value"))
+    code = F.element_at(F.create_map(*[F.lit(x) for kv in _CODE_MAP.items() for x in kv]), F.col("dataset"))
+    w = w.where(code.isNotNull()).withColumn("file", F.concat(code.cast("string"), F.lit("_results"))).drop("dataset")
+    root = write_workbooks(w, "file", RS.scratch_path(spark, "workbooks"))
+    r = RS.coerce_numeric(RS.read_result_tables(spark, root, fmt="xlsx"), METRICS4)
+    return CAT.tag_with_catalog(r).select("dataset_code", "dataset_name", "model", *METRICS4)
+
+
 @register("s7_coerce_numeric", """
 SELECT event_id, TRY_CAST(trim(value::VARCHAR) AS DOUBLE) AS value, TRY_CAST(trim(props) AS DOUBLE) AS props,
   TRY_CAST(trim(CAST(user_id AS VARCHAR)) AS DOUBLE) AS user_id FROM events""")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .workbook import read_workbooks
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -79,11 +80,10 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def read_result_tables(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read many result tables named ``<code>_*.<ext>``, tag each row with
     the zero-padded data set code parsed from the file name (the catalog name
-    is joined by :func:`catalog.tag_with_catalog`).  ``fmt='xlsx'`` reads Excel
-    workbooks (one per task, ``pandas.read_excel``) when an Excel reader
-    package is installed; CSV / parquet exports are read natively."""
-    if fmt in ("xls", "xlsx"):
-        r = _read_workbooks(spark, path)
+    is joined by :func:`catalog.tag_with_catalog`).  Workbooks (``fmt='xlsx'``)
+    give the same rows as their CSV exports, all columns as texts."""
+    if fmt == "xlsx":
+        r = read_workbooks(spark, path, file_col="_file")
     elif fmt == "csv":
         r = spark.read.option("header", "true").csv(path).withColumn("_file", F.col("_metadata.file_path"))
     else:
@@ -92,26 +92,6 @@ def read_result_tables(spark: SparkSession, path: str, fmt: str = "csv") -> Data
     return r.withColumn("dataset_code", F.lpad(code, 2, "0")).drop("_file")
 
 
-def _read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:  # gated: the package is optional
-        raise ImportError("reading Excel workbooks needs the openpyxl package") from e
-    import io
-
-    import pandas as pd
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(path)
-
-    def decode(it):
-        for pdf in it:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                t = pd.read_excel(io.BytesIO(content)).astype(str)
-                t["_file"] = p
-                yield t.melt(id_vars=["_file"], var_name="column", value_name="value")
-    # long (file, column, value) rows; callers pivot the known metric columns
-    return files.select("path", "content").mapInPandas(decode, "_file string, column string, value string")
-
-
 LEADERBOARD_SCHEMA = "map<string, map<string, struct<timestamp: string, results: map<string, double>>>>"
 
 

@@ -20,10 +20,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
-    """Read a table by file extension (csv with header, parquet, json).
-
-    Excel files need a reader package that is not installed; they raise.
-    """
+    """Read a table by file extension (csv with header, parquet, json, xlsx)."""
     low = path.lower()
     if low.endswith(".csv"):
         return spark.read.csv(path, header=True, inferSchema=True)
@@ -31,8 +28,9 @@ def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     if low.endswith(".json"):
         return spark.read.json(path)
-    if low.endswith((".xls", ".xlsx")):
-        raise ValueError(f"Excel input needs an Excel reader package: {path}")
+    if low.endswith(".xlsx"):
+        from .workbook import read_workbooks
+        return read_workbooks(spark, path, infer=True)
     raise ValueError(f"Unsupported file format: {path}")
 
 
