@@ -8,8 +8,9 @@ parts differ in at most l * max_bits / segments bits (Qin and Xiao, Pigeonring,
 gives the bucket key; longer chains are checked on the candidate pair before
 the full Hamming distance.
 
-Buckets with few fingerprints give their pairs.  The rest take an exact way
-without pairs: two fingerprints differ in at most two bits if and only if some
+The number of segments grows with that of the fingerprints, so that buckets
+stay small on average.  Those of a few fingerprints give their pairs.  Crowded
+ones (a dense family of near copies) take an exact way without pairs: two fingerprints differ in at most two bits if and only if some
 64-bit value lies within one bit of both, so each member is sent to the values
 around it, and the members that meet at a value (65 at most, as fingerprints
 are distinct) are linked in a star.
@@ -26,11 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hotkeys import join_per_key
+from .membership import bitmap, may_contain
 from .scratch import stored
 from .textbytes import append_columns, string_buffers
 
 #: Buckets up to this size give pairs; larger ones are linked through nearby values.
 PAIR_BUCKET = 16
+#: Segments by the number of distinct fingerprints, so that bucket keys (about half the ring) outgrow it.
+SEGMENTS = ((1 << 22, 5), (1 << 26, 9), (1 << 62, 17))
 #: Seed of the shingle hash, fixed by the task.
 SEED = 42
 _HASHES = 1 << 16
@@ -141,10 +145,14 @@ class Ring:
         return cases
 
 
-def links(fps: DataFrame, max_bits: int = 2, segments: int = 5) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 2, segments: int | None = None) -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints ``fp`` at ``max_bits``
     or fewer differing bits: all of them from small buckets, and for large
-    buckets a set with the same connected components."""
+    buckets a set with the same connected components.  Without ``segments``
+    their number grows with that of the fingerprints: 26, 28 or 30 bits per key."""
+    if segments is None:
+        n = fps.count()
+        segments = next(s for most, s in SEGMENTS if n <= most)
     ring = Ring(max_bits, segments)
     fp = F.col("fp")
     keys = stored(fps.select("fp", F.posexplode(F.array(*[ring.key(fp, s) for s in range(segments)])).alias("start", "key")),
@@ -199,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_bits: int = 2, segments: int = 5) -> DataFrame:
+                    max_bits: int = 2, segments: int | None = None) -> DataFrame:
     """One row per document: ``id_col``, ``th`` (hash of the text), ``fp``,
     ``root`` (smallest fingerprint of the component) and ``component_id``
     (smallest id in the component).
@@ -226,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-             max_bits: int = 2, segments: int = 5) -> DataFrame:
+             max_bits: int = 2, segments: int | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the
     smallest id (a null id last, then the smaller text hash; of rows equal in
     both, any one)."""
@@ -237,8 +245,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def row_key(i, t):
         return [F.coalesce(i.cast("string"), F.lit("")).alias("__k1"), i.isNull().alias("__k2"), t.alias("__k3")]
     keys = ["__k1", "__k2", "__k3"]
-    chosen = first.select(*row_key(F.col("s.id"), F.col("s.th")))
+    chosen = first.select(*row_key(F.col("s.id"), F.col("s.th")), F.lit(True).alias("__chosen"))
+    # keys of which some row goes; all other rows stay where they are
+    sizes = found.select(*row_key(F.col(id_col), F.col("th"))).groupBy(*keys).agg(F.count("*").alias("__n"))
+    losing = stored(sizes.join(chosen, keys, "left").where("__chosen IS NULL OR __n > 1").drop("__n"), "losing")
     keyed = docs.select("*", *row_key(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))))
+    touched = may_contain(bitmap(losing.select(F.xxhash64(*keys).alias("h"))), F.xxhash64(*keys))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    asked = keyed.where(touched).join(losing.withColumn("__loses", F.lit(True)).hint("merge"), keys, "left")
     one = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return (keyed.join(chosen, keys, "left_semi").withColumn("__one", one).where("__one = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rest = asked.where("__loses IS NULL").select(*columns)
+    last = asked.where("__chosen").withColumn("__one", one).where("__one = 1").select(*columns)
+    return keyed.where(~touched).select(*columns).unionByName(rest).unionByName(last)

@@ -116,3 +116,17 @@ def test_keep_one(make):
 def test_empty_table(make):
     df = make([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0 and simhash.keep_one(df).count() == 0
+
+
+def test_segments_grow_with_the_fingerprints(spark, monkeypatch):
+    """More fingerprints, more segments, longer keys; the components stay the same."""
+    bits = [simhash.Ring(2, s) for _, s in simhash.SEGMENTS]
+    assert [sum(len(p) for p in r.parts[:r.exact]) for r in bits] == sorted(sum(len(p) for p in r.parts[:r.exact]) for r in bits)
+    rng = random.Random(5)
+    fps = {rng.getrandbits(63) for _ in range(200)}
+    fps |= {f ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for f in list(fps)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = {frozenset(p) for p in ((a, b) for a in fps for b in fps) if p[0] < p[1] and bin(p[0] ^ p[1]).count("1") <= 2}
+    for levels in (((1 << 62, 5),), ((1 << 62, 9),), ((100, 5), (1 << 62, 17))):
+        monkeypatch.setattr(simhash, "SEGMENTS", levels)
+        assert {frozenset((r.a, r.b)) for r in simhash.links(df).collect()} == want
