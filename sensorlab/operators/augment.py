@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -155,93 +156,134 @@ def window_slice(df: DataFrame, seed: int = 0, reduce_ratio: float | Column = 0.
     return d.withColumn(S, out).drop("_tl")
 
 
-def _once(udf):
-    """The results are often exploded; a deterministic function would then be
-    evaluated a second time, for the size of its result."""
-    return udf.asNondeterministic()
+def _series_udf(df: DataFrame, kernel):
+    """``kernel`` (columns of a batch -> one (steps, channels) matrix per row) as a column function
+    with the series' own type.  The results are often exploded; a deterministic function would
+    then be evaluated a second time, for the size of its result."""
+    nested = _nested(df)
+
+    @pandas_udf(ArrayType(_ARR) if nested else _ARR)
+    def f(s: pd.Series, *more: pd.Series) -> pd.Series:
+        return pd.Series([x.tolist() if nested else x[:, 0] for x in kernel(_matrices(s), *more)], dtype=object)
+    return f.asNondeterministic()
+
+
+def _matrix(a) -> np.ndarray:
+    """A series as (steps, channels)."""
+    if len(a) and np.ndim(a[0]):
+        return np.stack([np.asarray(v, np.float64) for v in a])
+    return np.asarray(a, np.float64)[:, None]
+
+
+def _matrices(s) -> list[np.ndarray]:
+    return [_matrix(a) for a in s]
+
+
+def _equal_rows(xs: list[np.ndarray]):
+    """(shape, row numbers, (rows, steps, channels)) by shape."""
+    shapes = np.array([x.shape for x in xs]).reshape(-1, 2)
+    for shape in np.unique(shapes, axis=0):
+        rows = np.flatnonzero((shapes == shape).all(axis=1))
+        yield tuple(shape.tolist()), rows, np.stack([xs[i] for i in rows])
 
 
 # ---- A6, A7, A9: spline and window warps (pandas UDFs) -----------------------------
 
-def _not_a_knot(xk: np.ndarray, yk: np.ndarray, xq: np.ndarray) -> np.ndarray:
-    """Cubic spline with not-a-knot ends through (xk, yk), evaluated at xq."""
-    n = len(xk)
+@lru_cache(256)
+def spline_basis(n: int, knots: int) -> np.ndarray:
+    """Matrix (n x knots) that takes the values at ``knots`` evenly spaced places of 0 .. n - 1 to
+    the not-a-knot cubic spline through them at every step: the spline is linear in its values."""
+    xk, y = np.linspace(0, n - 1.0, num=knots), np.eye(knots)
     h = np.diff(xk)
-    A = np.zeros((n, n))
-    b = np.zeros(n)
-    # second-derivative unknowns M; interior continuity rows
-    for i in range(1, n - 1):
-        A[i, i - 1], A[i, i], A[i, i + 1] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * ((yk[i + 1] - yk[i]) / h[i] - (yk[i] - yk[i - 1]) / h[i - 1])
-    # not-a-knot: third derivative continuous at x1 and x_{n-2}
-    A[0, 0], A[0, 1], A[0, 2] = h[1], -(h[0] + h[1]), h[0]
-    A[-1, -3], A[-1, -2], A[-1, -1] = h[-1], -(h[-2] + h[-1]), h[-2]
-    M = np.linalg.solve(A, b)
-    idx = np.clip(np.searchsorted(xk, xq, side="right") - 1, 0, n - 2)
-    x0, x1 = xk[idx], xk[idx + 1]
-    hh = x1 - x0
-    t0, t1 = x1 - xq, xq - x0
-    return (M[idx] * t0 ** 3 / (6 * hh) + M[idx + 1] * t1 ** 3 / (6 * hh)
-            + (yk[idx] / hh - M[idx] * hh / 6) * t0 + (yk[idx + 1] / hh - M[idx + 1] * hh / 6) * t1)
-
-
-@pandas_udf(_ARR)
-def _magnitude_warp(s: pd.Series, knots: pd.Series) -> pd.Series:
-    out = []
-    for a, kn in zip(s, knots):
-        x = np.asarray(a, dtype=np.float64)
-        n = len(x)
-        steps = np.linspace(0, n - 1.0, num=len(kn))
-        out.append(x * _not_a_knot(steps, np.asarray(kn, dtype=np.float64), np.arange(n)))
-    return pd.Series(out)
-
-
-@pandas_udf(_ARR)
-def _time_warp(s: pd.Series, knots: pd.Series) -> pd.Series:
-    out = []
-    for a, kn in zip(s, knots):
-        x = np.asarray(a, dtype=np.float64)
-        n = len(x)
-        steps = np.linspace(0, n - 1.0, num=len(kn))
-        tw = _not_a_knot(steps, steps * np.asarray(kn, dtype=np.float64), np.arange(n))
-        scale = (n - 1) / tw[-1]
-        out.append(np.interp(np.arange(n), np.clip(scale * tw, 0, n - 1), x))
-    return pd.Series(out)
-
-
-def _knots(seed, op, knot, sigma):
-    return F.transform(F.sequence(F.lit(0), F.lit(knot + 1)), lambda k: R.normal(
-        seed, F.col("round"), op, F.col("sample_id"), k, mean=1.0, sigma=sigma))
+    a, b = np.zeros((knots, knots)), np.zeros((knots, knots))
+    # unknown second derivatives: the first derivative is continuous at the inner places
+    for i in range(1, knots - 1):
+        a[i, i - 1:i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    # not-a-knot: the third derivative is continuous next to both ends
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    bend = np.linalg.solve(a, b)
+    at = np.arange(n)
+    i = np.clip(np.searchsorted(xk, at, side="right") - 1, 0, knots - 2)
+    width = (xk[i + 1] - xk[i])[:, None]
+    right, left = xk[i + 1][:, None] - at[:, None], at[:, None] - xk[i][:, None]
+    return (bend[i] * right ** 3 / (6 * width) + bend[i + 1] * left ** 3 / (6 * width)
+            + (y[i] / width - bend[i] * width / 6) * right + (y[i + 1] / width - bend[i + 1] * width / 6) * left)
+
+
+def _knot_values(knots: pd.Series, rows: np.ndarray, channels: int) -> np.ndarray:
+    """(rows, knots, channels)"""
+    return np.stack([np.asarray(knots.iloc[i], np.float64).reshape(-1, channels) for i in rows])
+
+
+def _magnitude_warp(xs: list[np.ndarray], knots: pd.Series) -> list[np.ndarray]:
+    out = list(xs)
+    for (n, c), rows, x in _equal_rows(xs):
+        if n < 2:
+            continue
+        k = _knot_values(knots, rows, c)
+        for r, y in zip(rows, x * (spline_basis(n, k.shape[1]) @ k), strict=True):
+            out[r] = y
+    return out
 
 
-def magnitude_warp(df: DataFrame, seed: int = 0, sigma: float = 0.2, knot: int = 4) -> DataFrame:
-    """X times a not-a-knot cubic spline through knot+2 N(1, sigma) values."""
-    return df.withColumn(S, _once(_magnitude_warp)(F.col(S), _knots(seed, "magwarp", knot, sigma)))
+def _time_warp(xs: list[np.ndarray], knots: pd.Series) -> list[np.ndarray]:
+    """Where the warped axis would run backwards it stands still (running maximum)."""
+    out = list(xs)
+    for (n, c), rows, x in _equal_rows(xs):
+        if n < 2:
+            continue
+        k = _knot_values(knots, rows, c)
+        axis = spline_basis(n, k.shape[1]) @ (k * np.linspace(0, n - 1.0, num=k.shape[1])[None, :, None])
+        axis = np.maximum.accumulate(np.clip((n - 1) / axis[:, -1:] * axis, 0, n - 1), axis=1)
+        # last place of the axis at or before every step: the places are counted per step, then summed up
+        flat = axis.transpose(0, 2, 1).reshape(-1, n)
+        step = np.ceil(flat).astype(np.int64)
+        count = np.zeros((len(flat), n + 1), np.int64)
+        np.add.at(count, (np.arange(len(flat))[:, None], np.minimum(step, n)), 1)
+        left = np.maximum(np.cumsum(count, axis=1)[:, :n] - 1, 0)
+        right = np.minimum(left + 1, n - 1)
+        y = x.transpose(0, 2, 1).reshape(-1, n)
+        x0, x1 = np.take_along_axis(flat, left, 1), np.take_along_axis(flat, right, 1)
+        y0, y1 = np.take_along_axis(y, left, 1), np.take_along_axis(y, right, 1)
+        gap = x1 - x0
+        share = np.where(gap > 0, (np.arange(n) - x0) / np.where(gap > 0, gap, 1), 0)
+        done = (y0 + share * (y1 - y0)).reshape(len(rows), c, n).transpose(0, 2, 1)
+        for r, v in zip(rows, done, strict=True):
+            out[r] = v
+    return out
 
 
-def time_warp(df: DataFrame, seed: int = 0, sigma: float = 0.2, knot: int = 4) -> DataFrame:
-    """Resample x along a spline-distorted time axis."""
-    return df.withColumn(S, _once(_time_warp)(F.col(S), _knots(seed, "timewarp", knot, sigma)))
+def _knots(df: DataFrame, seed, op, knot, sigma) -> Column:
+    """N(1, sigma) values per knot; of several channels, all of a knot follow one another."""
+    def draw(*place):
+        return R.normal(seed, F.col("round"), op, F.col("sample_id"), *place, mean=1.0, sigma=sigma)
+    if not _nested(df):
+        return F.transform(F.sequence(F.lit(0), F.lit(knot + 1)), lambda k: draw(k))
+    width = F.greatest(F.coalesce(_width(), F.lit(1)), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), width * (knot + 2) - 1), lambda i: draw(F.floor(i / width), i % width))
+
+
+def magnitude_warp(df: DataFrame, seed: int = 0, sigma: float = 0.2, knot: int = 4) -> DataFrame:
+    """X times a not-a-knot cubic spline through knot+2 N(1, sigma) values (each channel its own)."""
+    return df.withColumn(S, _series_udf(df, _magnitude_warp)(F.col(S), _knots(df, seed, "magwarp", knot, sigma)))
 
 
-def _equal_rows(lengths: np.ndarray):
-    """Row numbers by length."""
-    for n in np.unique(lengths):
-        yield int(n), np.flatnonzero(lengths == n)
+def time_warp(df: DataFrame, seed: int = 0, sigma: float = 0.2, knot: int = 4) -> DataFrame:
+    """Resample x along a spline-distorted time axis (each channel its own)."""
+    return df.withColumn(S, _series_udf(df, _time_warp)(F.col(S), _knots(df, seed, "timewarp", knot, sigma)))
 
 
-@pandas_udf(_ARR)
-def _window_warp(s: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+def _window_warp(xs: list[np.ndarray], u: pd.Series, v: pd.Series) -> list[np.ndarray]:
     """All rows of a length at once.  Nothing is cut or joined: position t of the
     result falls between two positions of the stretched series, and each of
     those is a fractional position of the input, by three straight pieces
     (before, inside and after the window)."""
-    out = np.empty(len(s), dtype=object)
+    out = list(xs)
     rate, place = np.where(u.to_numpy() < 0.5, 0.5, 2.0), v.to_numpy()
-    for n, rows in _equal_rows(s.map(len).to_numpy()):
-        x = np.stack([np.asarray(s.iloc[i], np.float64) for i in rows])
+    for (n, _), rows, x in _equal_rows(xs):
         if n < 3:
-            out[rows] = list(x)
             continue
         size = -(-n // 10)
         begin = 1 + np.floor(place[rows] * max(n - size - 2, 0)).astype(np.int64)
@@ -255,19 +297,20 @@ def _window_warp(s: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
             at = np.where(k < b, k, np.where(k < b + m, within, k - m + size))
             left = np.clip(at.astype(np.int64), 0, n - 1)
             right = np.minimum(left + 1, n - 1)
-            share = at - left
-            return np.take_along_axis(x, left, 1) * (1 - share) + np.take_along_axis(x, right, 1) * share
-        share = spot - low
-        out[rows] = list(value(low) * (1 - share) + value(low + 1) * share)
-    return pd.Series(list(out))
+            share = (at - left)[:, :, None]
+            return np.take_along_axis(x, left[:, :, None], 1) * (1 - share) + np.take_along_axis(x, right[:, :, None], 1) * share
+        share = (spot - low)[:, :, None]
+        for r, y in zip(rows, value(low) * (1 - share) + value(low + 1) * share, strict=True):
+            out[r] = y
+    return out
 
 
 def window_warp(df: DataFrame, seed: int = 0) -> DataFrame:
     """A 10 % window sped up (x0.5) or slowed down (x2), then the series
-    resampled to its length."""
+    resampled to its length; all channels alike."""
     u = R.uniform(seed, F.col("round"), "wwarp", F.col("sample_id"), "scale")
     v = R.uniform(seed, F.col("round"), "wwarp", F.col("sample_id"), "start")
-    return df.withColumn(S, _once(_window_warp)(F.col(S), u, v))
+    return df.withColumn(S, _series_udf(df, _window_warp)(F.col(S), u, v))
 
 
 # ---- A10-A15: DTW-guided operators -------------------------------------------------
@@ -298,8 +341,8 @@ def _window_len(n: int) -> int:
 
 
 def _dtw_many(pairs, shape: bool = False, want_path: bool = False, slope: str = "symmetric"):
-    """DTW of many (prototype, sample) pairs at once: pairs of equal lengths
-    share one batched dynamic program.  Returns [(distance, (p, q) or None)]."""
+    """DTW of many (prototype, sample) pairs of (steps, channels) at once, one path
+    for all channels: pairs of equal lengths share one batched dynamic program.  Returns [(distance, (p, q) or None)]."""
     out = [None] * len(pairs)
     groups: dict = {}
     for k, (a, b) in enumerate(pairs):
@@ -308,8 +351,7 @@ def _dtw_many(pairs, shape: bool = False, want_path: bool = False, slope: str =
         step = max(1, D._CELLS // ((la + 1) * (lb + 1)))
         for start in range(0, len(all_idx), step):
             idx = all_idx[start:start + step]
-            P = np.stack([pairs[k][0] for k in idx])[:, :, None]
-            Q = np.stack([pairs[k][1] for k in idx])[:, :, None]
+            P, Q = (np.stack([pairs[k][side] for k in idx]) for side in (0, 1))
             w = _window_len(lb)
             cost = D._shape_cost(P, Q, w) if shape else D._band_cost(P, Q, w)
             Dm = D._cumulative(cost, slope, w)
@@ -320,27 +362,27 @@ def _dtw_many(pairs, shape: bool = False, want_path: bool = False, slope: str =
 
 
 def _resample(warped: np.ndarray, n: int) -> np.ndarray:
-    return np.interp(np.arange(n), np.linspace(0, n - 1.0, num=warped.shape[0]), warped)
+    """``n`` evenly spread steps of (steps, channels)."""
+    at = np.linspace(0, n - 1.0, num=warped.shape[0])
+    return np.stack([np.interp(np.arange(n), at, c) for c in warped.T], axis=1)
 
 
-@pandas_udf(_ARR)
-def _spawner(s: pd.Series, partner: pd.Series, r: pd.Series, noise: pd.Series) -> pd.Series:
-    xs = [np.asarray(a, dtype=np.float64) for a in s]
-    jobs, who = [], []
-    for t, (x, b, rp) in enumerate(zip(xs, partner, r)):
+def _spawner(xs: list[np.ndarray], partner: pd.Series, r: pd.Series, noise: pd.Series) -> list[np.ndarray]:
+    jobs, who, other = [], [], {}
+    for t, (x, b, rp) in enumerate(zip(xs, partner, r, strict=True)):
         if b is not None:
-            y, rp = np.asarray(b, dtype=np.float64), int(rp)
+            y, rp = _matrix(b), int(rp)
             jobs += [(x[:rp], y[:rp]), (x[rp:], y[rp:])]
             who.append(t)
+            other[t] = y
     res = _dtw_many(jobs, want_path=True)
-    out = [x + np.asarray(nz) for x, nz in zip(xs, noise)]
+    out = list(xs)
     for m, t in enumerate(who):
-        x, y, rp = xs[t], np.asarray(partner.iloc[t], dtype=np.float64), int(r.iloc[t])
+        x, y, rp = xs[t], other[t], int(r.iloc[t])
         p1, p2 = res[2 * m][1], res[2 * m + 1][1]
         comb = np.concatenate((np.vstack(p1), np.vstack(p2) + rp), axis=1)
-        mean = (x[comb[0]] + y[comb[1]]) / 2.0
-        out[t] = _resample(mean, len(x)) + np.asarray(noise.iloc[t])
-    return pd.Series(out)
+        out[t] = _resample((x[comb[0]] + y[comb[1]]) / 2.0, len(x))
+    return [x + _matrix(nz) for x, nz in zip(out, noise, strict=True)]
 
 
 def spawner(df: DataFrame, seed: int = 0, sigma: float = 0.05) -> DataFrame:
@@ -351,15 +393,18 @@ def spawner(df: DataFrame, seed: int = 0, sigma: float = 0.05) -> DataFrame:
     p = _partners(df, seed, (1,)).drop("d")
     d = _spread(_with_pk(df).join(p, "_pk", "left").drop("_pk"))
     r = (1 + F.floor(R.uniform(seed, F.col("round"), "spawner", F.col("sample_id")) * (_n() - 2))).cast("int")
-    noise = F.transform(F.col(S), lambda x, i: R.normal(seed, F.col("round"), "spawner-j", F.col("sample_id"), i,
-                                                        sigma=sigma))
-    return d.withColumn(S, _once(_spawner)(F.col(S), F.col("partner_series"), r, noise)).drop("partner_series")
+
+    def jit(*place):
+        return R.normal(seed, F.col("round"), "spawner-j", F.col("sample_id"), *place, sigma=sigma)
+    noise = (F.transform(F.col(S), lambda v, i: F.transform(v, lambda x, c: jit(i, c))) if _nested(df)
+             else F.transform(F.col(S), lambda x, i: jit(i)))
+    return d.withColumn(S, _series_udf(df, _spawner)(F.col(S), F.col("partner_series"), r, noise)).drop("partner_series")
 
 
 def _flat(lists) -> tuple[list[np.ndarray], np.ndarray]:
     """Series of all rows in one list, and the row of each."""
     sizes = [0 if x is None else len(x) for x in lists]
-    return ([np.asarray(m, np.float64) for x in lists if x is not None for m in x], np.repeat(np.arange(len(sizes)), sizes))
+    return ([_matrix(m) for x in lists if x is not None for m in x], np.repeat(np.arange(len(sizes)), sizes))
 
 
 def _meet(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,11 +425,11 @@ def _best_per_row(row: np.ndarray, score: np.ndarray) -> np.ndarray:
     return order[np.unique(row[order], return_index=True)[1]]
 
 
-@pandas_udf(_ARR)
-def _wdba(members: pd.Series) -> pd.Series:
+def _wdba(own: list[np.ndarray], others: pd.Series) -> list[np.ndarray]:
     """Barycentres around the medoid: every other member is laid along its path to
     the medoid with weight 0.5 ** (distance / distance of the nearest)."""
-    xs, row = _flat(members)
+    members = [[x, *([] if o is None else map(_matrix, o))] for x, o in zip(own, others, strict=True)]
+    xs, row = [m for x in members for m in x], np.repeat(np.arange(len(members)), [len(x) for x in members])
     a, b = _meet(row, row)
     a, b = a[a != b], b[a != b]
     dist = _distances(xs, xs, a, b)
@@ -395,16 +440,15 @@ def _wdba(members: pd.Series) -> pd.Series:
     near = np.full(len(members), np.inf)
     np.minimum.at(near, row[a[spoke]], dist[spoke])
     spoke = spoke[near[row[a[spoke]]] > 0]  # a copy of the medoid leaves it as it is
-    begin = np.cumsum([len(xs[m]) for m in medoid]) - [len(xs[m]) for m in medoid]
-    total = np.concatenate([xs[m] for m in medoid])
-    weight = np.ones(len(total))
-    at = dict(zip(row[medoid].tolist(), begin.tolist(), strict=True))
+    total = {int(row[m]): xs[m].copy() for m in medoid}
+    weight = {t: np.ones(len(x)) for t, x in total.items()}
     paths = _dtw_many([(xs[a[k]], xs[b[k]]) for k in spoke], want_path=True)
     for k, (_, (p, q)) in zip(spoke, paths, strict=True):
-        w = 0.5 ** (dist[k] / near[row[a[k]]])
-        np.add.at(total, at[int(row[a[k]])] + p, w * xs[b[k]][q])
-        np.add.at(weight, at[int(row[a[k]])] + p, w)
-    return pd.Series(np.split(total / weight, begin[1:]))
+        t = int(row[a[k]])
+        w = 0.5 ** (dist[k] / near[t])
+        np.add.at(total[t], p, w * xs[b[k]][q])
+        np.add.at(weight[t], p, w)
+    return [total[t] / weight[t][:, None] for t in range(len(members))]
 
 
 def wdba(df: DataFrame, seed: int = 0, batch_size: int = 6) -> DataFrame:
@@ -414,23 +458,18 @@ def wdba(df: DataFrame, seed: int = 0, batch_size: int = 6) -> DataFrame:
     p = _partners(df, seed, list(range(1, batch_size)))
     mem = p.groupBy("_pk").agg(F.collect_list(F.struct("d", "partner_series")).alias("_m"))
     d = _spread(_with_pk(df).join(mem, "_pk", "left").drop("_pk"))
-    members = F.concat(F.array(F.col(S)), F.transform(F.array_sort(F.coalesce(
-        F.col("_m"), F.array().cast("array<struct<d:int,partner_series:array<double>>>"))),
-        lambda e: e["partner_series"]))
-    return d.withColumn(S, _once(_wdba)(members)).drop("_m")
+    others = F.transform(F.array_sort("_m"), lambda e: e["partner_series"])
+    return d.withColumn(S, _series_udf(df, _wdba)(F.col(S), others)).drop("_m")
 
 
-def _guided_udf(shape: bool):
-    @pandas_udf(_ARR)
-    def f(s: pd.Series, proto: pd.Series) -> pd.Series:
-        xs = [np.asarray(a, dtype=np.float64) for a in s]
+def _guided(shape: bool):
+    def kernel(xs: list[np.ndarray], proto: pd.Series) -> list[np.ndarray]:
         who = [t for t, b in enumerate(proto) if b is not None]
-        res = _dtw_many([(np.asarray(proto.iloc[t], dtype=np.float64), xs[t]) for t in who], shape, True)
         out = list(xs)
-        for t, (_, (pi, qi)) in zip(who, res):
-            out[t] = _resample(xs[t][qi], len(xs[t]))
-        return pd.Series(out)
-    return f
+        for t, (_, (_, q)) in zip(who, _dtw_many([(_matrix(proto.iloc[t]), xs[t]) for t in who], shape, True), strict=True):
+            out[t] = _resample(xs[t][q], len(xs[t]))
+        return out
+    return kernel
 
 
 def random_guided_warp(df: DataFrame, seed: int = 0, shape: bool = False) -> DataFrame:
@@ -438,19 +477,19 @@ def random_guided_warp(df: DataFrame, seed: int = 0, shape: bool = False) -> Dat
     random same-class prototype, resampled to its length."""
     p = _partners(df, seed, (1,)).drop("d")
     d = _spread(_with_pk(df).join(p, "_pk", "left").drop("_pk"))
-    return d.withColumn(S, _once(_guided_udf(shape))(F.col(S), F.col("partner_series"))).drop("partner_series")
+    return d.withColumn(S, _series_udf(df, _guided(shape))(F.col(S), F.col("partner_series"))).drop("partner_series")
 
 
-def _disc_udf(shape: bool):
+def _disc_udf(shape: bool, nested: bool):
     from pyspark.sql.types import StructField, StructType
-    rt = StructType([StructField("x", _ARR), StructField("warp", DoubleType())])
+    rt = StructType([StructField("x", ArrayType(_ARR) if nested else _ARR), StructField("warp", DoubleType())])
 
     @pandas_udf(rt)
     def f(s: pd.Series, pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
         """A prototype's merit is its mean distance to the other classes less that
         to its own; the sample is laid along the path to the best one.  Rows
         without prototypes or without other classes stay as they are."""
-        xs = [np.asarray(a, dtype=np.float64) for a in s]
+        xs = _matrices(s)
         both = [p is not None and n is not None and len(p) > 0 and len(n) > 0 for p, n in zip(pos, neg)]
         ps, p_row = _flat([p if ok else None for p, ok in zip(pos, both)])
         ns, n_row = _flat([n if ok else None for n, ok in zip(neg, both)])
@@ -469,8 +508,8 @@ def _disc_udf(shape: bool):
                 t = int(p_row[k])
                 n = len(xs[t])
                 out[t] = _resample(xs[t][q], n)
-                amount[t] = np.abs(np.arange(n) - _resample(q.astype(np.float64), n)).sum()
-        return pd.DataFrame({"x": out, "warp": amount})
+                amount[t] = np.abs(np.arange(n) - _resample(q.astype(np.float64)[:, None], n)[:, 0]).sum()
+        return pd.DataFrame({"x": [x.tolist() if nested else x[:, 0] for x in out], "warp": amount})
     return f.asNondeterministic()
 
 
@@ -487,7 +526,7 @@ def discriminative_guided_warp(df: DataFrame, seed: int = 0, batch_size: int = 6
     neg = (_partners(df, seed, (), other_k=nk)
            .groupBy("_pk").agg(F.array_sort(F.collect_list(F.struct("d", "partner_series"))).alias("_n")))
     d = _spread(_with_pk(df).join(pos, "_pk", "left").join(neg, "_pk", "left").drop("_pk"))
-    r = _disc_udf(shape)(F.col(S), F.transform("_p", lambda e: e["partner_series"]),
+    r = _disc_udf(shape, _nested(df))(F.col(S), F.transform("_p", lambda e: e["partner_series"]),
                          F.transform("_n", lambda e: e["partner_series"]))
     d = d.withColumn("_r", r).withColumn(S, F.col("_r.x")).withColumn("warp_amount", F.col("_r.warp")).drop("_r", "_p", "_n")
     if not variable_slice:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import sql_normal, sql_uniform
 from ..operators import augment as A
+from .q_dtw import PATH_SQL, cells_sql, symmetric_sql
 from ..sources.tables import samples
 from .registry import register
 
@@ -83,18 +84,91 @@ def q_a5(spark, sf_dir):
     return _long(A.permutation(_src(spark, sf_dir), mode="random"))
 
 
-@register("a6_magnitude_warp")
+def _channels(spark, sf_dir):
+    """The series cut into 32 steps of two channels."""
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("series") / 2).cast("int") - 1), lambda i: F.slice("series", 2 * i + 1, 2))
+    return _src(spark, sf_dir).withColumn("series", steps)
+
+
+def _long_channels(df):
+    x = df.select("sample_id", F.posexplode("series").alias("k", "v")).select("sample_id", "k", F.posexplode("v").alias("ch", "value"))
+    return x.select("sample_id", F.col("k").cast("bigint").alias("k"), F.col("ch").cast("bigint").alias("ch"), "value")
+
+
+CHAN = ("SELECT vec_id AS sample_id, label, v, p // 2 AS i, p % 2 AS ch, n // 2 AS n FROM (SELECT vec_id, label, "
+        "unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS p, len(embedding) AS n FROM embeddings) AS u")
+
+
+def _spline_sql(op: str, steps: int, channels: bool, times: str = "") -> str:
+    """Spline values f (sample_id, i[, ch]) through 6 drawn knots, by the basis matrix of ``steps`` steps."""
+    basis = ", ".join(f"({i}, {k}, {b!r}::DOUBLE)" for i, r in enumerate(A.spline_basis(steps, 6).tolist()) for k, b in enumerate(r))
+    draw = sql_normal(0, "1", f"'{op}'", "sample_id", "k", *(["ch"] if channels else []), mean=1.0, sigma=0.2)
+    ch = ", ch" if channels else ""
+    return f"""basis AS (SELECT * FROM (VALUES {basis}) AS t(i, k, b)),
+ids AS (SELECT DISTINCT sample_id{ch} FROM e),
+kn AS (SELECT sample_id{ch}, k, {draw}{times} AS y FROM ids, (SELECT unnest(range(6)) AS k) AS q),
+f AS (SELECT sample_id{ch}, i, sum(b * y) AS f FROM kn JOIN basis USING (k) GROUP BY ALL)"""
+
+
+def _magnitude_sql(src: str, steps: int, channels: bool) -> str:
+    ch = ", ch" if channels else ""
+    return f"WITH e AS ({src}), {_spline_sql('magwarp', steps, channels)} SELECT sample_id, i AS k{ch}, v * f AS value FROM e JOIN f USING (sample_id{ch}, i)"
+
+
+def _time_sql(src: str, steps: int, channels: bool) -> str:
+    """The warped axis, its running maximum, and the two places of it around every step."""
+    ch, last = ", ch" if channels else "", steps - 1
+    return f"""WITH e AS ({src}), {_spline_sql('timewarp', steps, channels, f" * (k * {last} / 5.0)")},
+g AS (SELECT *, {last} / last_value(f) OVER (PARTITION BY sample_id{ch} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sc FROM f),
+h AS (SELECT sample_id{ch}, i, max(least(greatest(sc * f, 0.0), {last}.0)) OVER (PARTITION BY sample_id{ch} ORDER BY i) AS pl FROM g),
+w AS (SELECT h.*, v, lead(h.pl) OVER q AS npl, lead(v) OVER q AS nv FROM h JOIN e USING (sample_id{ch}, i) WINDOW q AS (PARTITION BY sample_id{ch} ORDER BY i)),
+j AS (SELECT sample_id{ch}, t.t, coalesce(max(i) FILTER (WHERE h.pl <= t.t), 0) AS i FROM h, (SELECT unnest(range({steps})) AS t) AS t GROUP BY ALL)
+SELECT j.sample_id, j.t AS k{ch.replace("ch", "j.ch")}, CASE WHEN npl IS NULL OR npl <= pl THEN v ELSE v + (t - pl) / (npl - pl) * (nv - v) END AS value
+FROM j JOIN w USING (sample_id{ch}, i)"""
+
+
+def _window_warp_sql(src: str, channels: bool) -> str:
+    ch = ", ch" if channels else ""
+    op, id_ = "'wwarp'", "sample_id"
+    return f"""WITH e AS ({src}),
+s AS (SELECT DISTINCT sample_id{ch}, n, ceil(n / 10.0)::BIGINT AS size, CASE WHEN {sql_uniform(0, "1", op, id_, "'scale'")} < 0.5 THEN 0.5 ELSE 2.0 END AS rate,
+  {sql_uniform(0, "1", op, id_, "'start'")} AS u FROM e),
+s2 AS (SELECT *, 1 + floor(u * (n - size - 2))::BIGINT AS b, floor(size * rate)::BIGINT AS m FROM s),
+t AS (SELECT *, unnest(range(n)) AS k, n - size + m AS total FROM s2),
+t2 AS (SELECT *, k * ((total - 1) / (n - 1.0)) AS spot, least(floor(k * ((total - 1) / (n - 1.0)))::BIGINT, greatest(total - 2, 0)) AS low FROM t),
+x AS (SELECT *, low + side AS kk FROM t2, (VALUES (0), (1)) AS q(side)),
+y AS (SELECT *, CASE WHEN kk < b THEN kk WHEN kk < b + m THEN b + (kk - b) * ((size - 1)::DOUBLE / greatest(m - 1, 1)) ELSE kk - m + size END::DOUBLE AS pl FROM x),
+y2 AS (SELECT *, least(floor(pl), n - 1)::BIGINT AS li, least(floor(pl) + 1, n - 1)::BIGINT AS ri FROM y),
+z AS (SELECT y2.*, l.v AS lv, r.v AS rv FROM y2 JOIN e AS l ON l.sample_id = y2.sample_id AND l.i = y2.li {"AND l.ch = y2.ch" if channels else ""}
+  JOIN e AS r ON r.sample_id = y2.sample_id AND r.i = y2.ri {"AND r.ch = y2.ch" if channels else ""}),
+o AS (SELECT *, lv * (1 - (pl - li)) + rv * (pl - li) AS val FROM z)
+SELECT sample_id, k{ch}, sum(CASE WHEN side = 0 THEN val * (1 - (spot - low)) ELSE val * (spot - low) END) AS value FROM o GROUP BY sample_id, k{ch}"""
+
+
+@register("a6_magnitude_warp", _magnitude_sql(EMB, 64, False), dbl=["value"])
 def q_a6(spark, sf_dir):
     """A6 magnitude warp by a not-a-knot cubic spline of 6 N(1, 0.2) knots."""
     return _long(A.magnitude_warp(_src(spark, sf_dir)))
 
 
-@register("a7_time_warp")
+@register("a6_magnitude_warp_channels", _magnitude_sql(CHAN, 32, True), dbl=["value"])
+def q_a6c(spark, sf_dir):
+    """A6 with two channels, each with a spline of its own."""
+    return _long_channels(A.magnitude_warp(_channels(spark, sf_dir)))
+
+
+@register("a7_time_warp", _time_sql(EMB, 64, False), dbl=["value"])
 def q_a7(spark, sf_dir):
     """A7 time warp along a spline-distorted time axis."""
     return _long(A.time_warp(_src(spark, sf_dir)))
 
 
+@register("a7_time_warp_channels", _time_sql(CHAN, 32, True), dbl=["value"])
+def q_a7c(spark, sf_dir):
+    """A7 with two channels, each along an axis of its own."""
+    return _long_channels(A.time_warp(_channels(spark, sf_dir)))
+
+
 _WS = f"""WITH e AS ({EMB}),
 s AS (SELECT DISTINCT sample_id, n, ceil(0.9::DOUBLE * n)::INTEGER AS tl FROM e),
 s2 AS (SELECT *, floor({sql_uniform(0, '1', repr('wslice'), 'sample_id')} * (n - tl))::INTEGER AS st FROM s),
@@ -112,12 +186,18 @@ def q_a8(spark, sf_dir):
     return _long(A.window_slice(_src(spark, sf_dir)))
 
 
-@register("a9_window_warp")
+@register("a9_window_warp", _window_warp_sql(EMB, False), dbl=["value"])
 def q_a9(spark, sf_dir):
     """A9 window warp (10 % window, x0.5 or x2)."""
     return _long(A.window_warp(_src(spark, sf_dir)))
 
 
+@register("a9_window_warp_channels", _window_warp_sql(CHAN, True), dbl=["value"])
+def q_a9c(spark, sf_dir):
+    """A9 with two channels, warped alike."""
+    return _long_channels(A.window_warp(_channels(spark, sf_dir)))
+
+
 @register("a10_spawner")
 def q_a10(spark, sf_dir):
     """A10 SPAWNER average with a same-class partner along split DTW paths."""
@@ -130,7 +210,39 @@ def q_a11(spark, sf_dir):
     return _long(A.wdba(_src(spark, sf_dir)))
 
 
-@register("a12_random_guided_warp")
+def _guided_sql(src: str, channels: bool) -> str:
+    """The path of every sample to its prototype; then the sample along it, resampled."""
+    ch = ", ch" if channels else ""
+    cost = "sqrt(list_sum(list_transform(range(1, len(a[i]) + 1), lambda q: power(a[i][q] - b[j][q], 2))))" if channels else "abs(a[i] - b[j])"
+    steps = 32 if channels else 64
+    values = "list(v ORDER BY i)" if not channels else "list(v ORDER BY i)"
+    rows = f"(SELECT sample_id, label, i, list(v ORDER BY ch) AS v FROM ({src}) AS s GROUP BY ALL)" if channels else f"({src})"
+    order = sql_uniform(0, "'order'", "pk")
+    unpack = "CROSS JOIN (SELECT unnest(range(1, 3)) AS ch) AS c" if channels else ""
+
+    def at(x):
+        return f"{x}[c.ch]" if channels else x
+    return f"""WITH RECURSIVE e AS (SELECT sample_id, label, '1|' || sample_id::VARCHAR AS pk, {values} AS a FROM {rows} AS r GROUP BY sample_id, label),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {order}, pk) - 1 AS pos, count(*) OVER (PARTITION BY label) AS m FROM e),
+pairs AS (SELECT x.sample_id AS pid, y.a AS a, x.a AS b FROM o AS x JOIN o AS y ON y.label = x.label AND y.pos = (x.pos + 1) % x.m WHERE x.m > 1),
+{cells_sql(cost, f"abs(i - j) <= ceil({steps} / 10.0)")}, {symmetric_sql()}, {PATH_SQL},
+w AS (SELECT path.pid, step, b[j + 1] AS v, max(step) OVER (PARTITION BY path.pid) AS last FROM path JOIN pairs USING (pid)),
+t AS (SELECT DISTINCT pid, last, unnest(range({steps})) AS k FROM w),
+u AS (SELECT *, k * last / {steps - 1}.0 AS spot FROM t)
+SELECT u.pid AS sample_id, k{", c.ch - 1 AS ch" if channels else ""},
+  {at("x.v")} + (spot - x.step) * (coalesce({at("y.v")}, {at("x.v")}) - {at("x.v")}) AS value
+FROM u JOIN w AS x ON x.pid = u.pid AND x.step = floor(spot) LEFT JOIN w AS y ON y.pid = u.pid AND y.step = floor(spot) + 1 {unpack}
+UNION ALL SELECT sample_id, unnest(range({steps})) AS k{", ch" if channels else ""}, {"unnest(list_transform(a, lambda q: q[ch + 1]))" if channels else "unnest(a)"} AS value
+FROM o{", (SELECT unnest(range(2)) AS ch) AS c" if channels else ""} WHERE m = 1"""
+
+
+@register("a12_random_guided_warp_channels", _guided_sql(CHAN, True), dbl=["value"])
+def q_a12c(spark, sf_dir):
+    """A12 with two channels and one path for both."""
+    return _long_channels(A.random_guided_warp(_channels(spark, sf_dir)))
+
+
+@register("a12_random_guided_warp", _guided_sql(EMB, False), dbl=["value"])
 def q_a12(spark, sf_dir):
     """A12 random guided warp (DTW path to a same-class prototype)."""
     return _long(A.random_guided_warp(_src(spark, sf_dir)))
