@@ -382,7 +382,7 @@ def _spawner(xs: list[np.ndarray], partner: pd.Series, r: pd.Series, noise: pd.S
         p1, p2 = res[2 * m][1], res[2 * m + 1][1]
         comb = np.concatenate((np.vstack(p1), np.vstack(p2) + rp), axis=1)
         out[t] = _resample((x[comb[0]] + y[comb[1]]) / 2.0, len(x))
-    return [x + _matrix(nz) for x, nz in zip(out, noise, strict=True)]
+    return [x + np.asarray(nz, np.float64).reshape(x.shape) for x, nz in zip(out, noise, strict=True)]
 
 
 def spawner(df: DataFrame, seed: int = 0, sigma: float = 0.05) -> DataFrame:
@@ -396,8 +396,11 @@ def spawner(df: DataFrame, seed: int = 0, sigma: float = 0.05) -> DataFrame:
 
     def jit(*place):
         return R.normal(seed, F.col("round"), "spawner-j", F.col("sample_id"), *place, sigma=sigma)
-    noise = (F.transform(F.col(S), lambda v, i: F.transform(v, lambda x, c: jit(i, c))) if _nested(df)
-             else F.transform(F.col(S), lambda x, i: jit(i)))
+    if _nested(df):  # all channels of a step follow one another
+        width = F.greatest(_width(), F.lit(1))
+        noise = F.transform(F.flatten(S), lambda x, i: jit(F.floor(i / width), i % width))
+    else:
+        noise = F.transform(F.col(S), lambda x, i: jit(i))
     return d.withColumn(S, _series_udf(df, _spawner)(F.col(S), F.col("partner_series"), r, noise)).drop("partner_series")
 
 
