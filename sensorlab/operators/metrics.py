@@ -13,6 +13,7 @@ plus a per-bucket offset, never with an unpartitioned window over the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,12 +77,14 @@ def precision_recall_f1(df: DataFrame, y_true="y_true", y_pred="y_pred", positiv
                                        ("f1", "_bf", "_wf"))]))
 
 
-def confusion_matrix(df: DataFrame, y_true="y_true", y_pred="y_pred") -> DataFrame:
-    """One row per (true_label, pred_label) over the sorted label union,
-    zeros included.  The label grid has k*k rows for k classes (the size of
-    the matrix itself); it is built from the k-row label list."""
+def confusion_matrix(df: DataFrame, y_true="y_true", y_pred="y_pred", zeros: bool = False) -> DataFrame:
+    """One row per (true_label, pred_label) that occurs, or with ``zeros``
+    per pair of the label union; the latter is k*k rows for k classes, the size
+    of the matrix itself, built from the k-row label list."""
     conf = df.groupBy(F.col(y_true).alias("true_label"), F.col(y_pred).alias("pred_label")).agg(
         F.count(F.lit(1)).alias("count"))
+    if not zeros:
+        return conf
     labels = conf.select(F.explode(F.array("true_label", "pred_label")).alias("l")).distinct()
     all_l = labels.agg(F.sort_array(F.collect_list("l")).alias("a")).scalar()
     grid = labels.select(F.col("l").alias("true_label"), F.explode(all_l).alias("pred_label"))
@@ -251,11 +254,31 @@ def brier(df: DataFrame, y_true="y_true", logits="logits", inputs: str = "logits
 
 def calibration(df: DataFrame, y_true="y_true", logits="logits", inputs: str = "logits",
                 n_bins: int = 15) -> DataFrame:
-    """(nll, ece, brier) as one row."""
-    n, e, b = (nll(df, y_true, logits, inputs), ece(df, y_true, logits, n_bins, inputs),
-               brier(df, y_true, logits, inputs))
-    return n.select(F.col("nll"), e.select("ece").scalar().alias("ece"),
-                    b.select("brier").scalar().alias("brier"))
+    """(nll, ece, brier) as one row, from sums per confidence bin: one scan."""
+    x, y = F.col(logits), F.col(y_true)
+    if dict(df.dtypes)[logits].startswith("array"):
+        p = probabilities(df, logits, inputs)
+        conf, acc = F.array_max("probs"), (argmax(F.col("probs")) == y).cast("double")
+        if inputs == "probs":
+            loss = -F.log(F.try_element_at(x, y.cast("int") + 1))
+        else:
+            a = x if inputs == "logits" else softmax(x)
+            loss = _logsumexp(a) - F.try_element_at(a, y.cast("int") + 1)
+        sq = F.aggregate(F.transform(F.col("probs"), lambda v, i: F.pow(v - F.when(i == y, 1.0).otherwise(0.0), 2)),
+                         F.lit(0.0), lambda t, v: t + v)
+        width = F.size("probs")
+    else:
+        p, conf, acc = df, _sigmoid(x.cast("double")), y.cast("double")
+        z = F.least(F.greatest(x.cast("double"), F.lit(-1e6)), F.lit(1e6))
+        loss = F.greatest(z, F.lit(0.0)) - z * acc + F.log1p(F.exp(-F.abs(z)))
+        sq, width = F.pow(conf - y, 2), F.when(conf.isNotNull() & y.isNotNull(), 1)
+    per = (p.select(conf.alias("c"), acc.alias("a"), loss.alias("l"), sq.alias("s"), width.alias("w"))
+           .groupBy(F.greatest(F.ceil(F.col("c") * n_bins), F.lit(1)).alias("bin"))
+           .agg(F.avg("c").alias("c"), F.avg("a").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("l").alias("l"),
+                F.count("l").alias("ln"), F.sum("s").alias("s"), F.sum("w").alias("w")))
+    return per.agg(F.try_divide(F.sum("l"), F.sum("ln")).alias("nll"),
+                   (F.sum(F.abs(F.col("c") - F.col("a")) * F.col("n")) / F.sum("n")).alias("ece"),
+                   F.try_divide(F.sum("s"), F.sum("w")).alias("brier"))
 
 
 def split_loss_accuracy(df: DataFrame, split="split", y_true="y_true", logits="logits") -> DataFrame:
@@ -274,26 +297,40 @@ def regression_errors(df: DataFrame, pred="pred", true="true") -> DataFrame:
     NULL and skipped, where the reference yields inf)."""
     e = F.col(true) - F.col(pred)
     t = F.col(true)
-    sums = df.agg(F.sum(e * e).alias("sse"), F.avg(t).alias("mt"), F.avg(F.abs(e)).alias("mae"),
+    sums = df.agg(F.sum(e * e).alias("sse"), (F.var_pop(t) * F.count(t)).alias("sst"), F.avg(F.abs(e)).alias("mae"),
                   F.avg(e * e).alias("mse"), F.avg(F.abs(e / F.nullif(t, F.lit(0)))).alias("mape"),
                   F.avg(F.pow(e / F.nullif(t, F.lit(0)), 2)).alias("mspe"))
-    sst = df.agg(F.sum(F.pow(t - df.agg(F.avg(true)).scalar(), 2))).scalar()
-    return sums.select(F.try_divide(F.sqrt("sse"), F.sqrt(sst)).alias("rse"), "mae", "mse",
+    return sums.select(F.try_divide(F.sqrt("sse"), F.sqrt("sst")).alias("rse"), "mae", "mse",
                        F.sqrt("mse").alias("rmse"), "mape", "mspe")
 
 
 def corr_reference(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """The reference's CORR: per column pair sum((t-mt)(p-mp)) /
     sqrt(sum((t-mt)^2 (p-mp)^2)), then the mean over columns."""
-    means = df.agg(F.struct(*[F.avg(c).alias(f"{c}") for pr in pairs for c in pr])).scalar()
-    parts = []
-    for p, t in pairs:
-        dt, dp = F.col(t) - means.getField(t), F.col(p) - means.getField(p)
-        parts.append(F.try_divide(F.sum(dt * dp), F.sqrt(F.sum(dt * dt * dp * dp))))
+    # moments about a provisional centre, the mean of a few rows, in one scan; then moved to the true means
+    near = df.limit(1000).agg(F.struct(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for pr in pairs for c in pr])).scalar()
+    sums, parts = [], []
+    for i, (p, t) in enumerate(pairs):
+        u, v = F.col(t) - near.getField(t), F.col(p) - near.getField(p)
+        both = u.isNotNull() & v.isNotNull()
+        sums += [F.avg(u).alias(f"mu{i}"), F.avg(v).alias(f"mv{i}")]
+        sums += [F.sum(F.when(both, F.pow(u, a) * F.pow(v, b))).alias(f"s{i}_{a}{b}") for a in range(3) for b in range(3)]
+    m = df.agg(*sums)
+    for i in range(len(pairs)):
+        du, dv = F.col(f"mu{i}"), F.col(f"mv{i}")
+
+        def about(a, b, i=i, du=du, dv=dv):
+            """Sum of (u - mean)^a (v - mean)^b."""
+            tot = F.lit(0.0)
+            for j in range(a + 1):
+                for k in range(b + 1):
+                    tot = tot + math.comb(a, j) * math.comb(b, k) * F.pow(-du, a - j) * F.pow(-dv, b - k) * F.col(f"s{i}_{j}{k}")
+            return tot
+        parts.append(F.try_divide(about(1, 1), F.sqrt(about(2, 2))))
     tot = parts[0]
     for x in parts[1:]:
         tot = tot + x
-    return df.agg((tot / len(parts)).alias("corr"))
+    return m.select((tot / len(parts)).alias("corr"))
 
 
 # ---- forecast losses (E22, E23) -----------------------------------------------
@@ -385,19 +422,15 @@ def owa(model: DataFrame, naive: DataFrame, group="group") -> DataFrame:
 def adjust_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                     truth="truth", pred="pred", chunk: Column | None = None) -> DataFrame:
     """Inside every run of truth = 1, one predicted hit marks the whole run
-    (the reference's loop without its index-0 off-by-one).  A run is named by
-    the position of the last truth = 0 row before it - a carried value of the
-    chunked index, so runs may cross chunks; each run's hit flag is one
-    partial aggregate joined back by (key, run)."""
-    d = df.withColumn("_zero", F.when(F.col(truth) != 1, F.lit(1)))
-    rows, _ = C.index_series(d, keys, order, chunk, carry=["_zero"])
-    seg = F.when(F.col(truth) == 1, F.coalesce(F.col("_prevpos__zero"), F.lit(-1)))
-    r2 = C.drop_index(rows.withColumn("_seg", seg)).drop("_zero")
-    hits = (r2.where(F.col("_seg").isNotNull()).groupBy(*keys, "_seg")
-            .agg(F.max(F.col(pred)).alias("_hit")))
-    # rows outside a run need no flag: they skip the join, where they would all meet under one empty key
-    inside = (r2.where(F.col("_seg").isNotNull()).join(hits, [*keys, "_seg"])
-              .withColumn("pred_adjusted", F.when(F.col("_hit") == 1, F.lit(1)).otherwise(F.col(pred)).cast("int"))
-              .drop("_seg", "_hit"))
-    outside = r2.where(F.col("_seg").isNull()).withColumn("pred_adjusted", F.col(pred).cast("int")).drop("_seg")
-    return inside.unionByName(outside)
+    (the reference's loop without its index-0 off-by-one).  A segmented scan:
+    every row knows the last and the next hit and the last and the next truth = 0
+    row, at any distance (carried values of the position index); a hit lies in
+    the row's run if no such zero is between them."""
+    mark = F.when(F.col(truth) != 1, F.lit(1))
+    hit = F.when((F.col(truth) == 1) & (F.col(pred) == 1), F.lit(1))
+    rows, _ = C.index_series(df.withColumn("_zero", mark).withColumn("_hit", hit), keys, order, chunk, carry=["_zero", "_hit"])
+    before = F.col("_prevpos__hit") > F.coalesce(F.col("_prevpos__zero"), F.lit(-1))
+    after = F.coalesce(F.col("_nextpos__hit") < F.col("_nextpos__zero"), F.col("_nextpos__hit").isNotNull())
+    found = (F.col(truth) == 1) & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
+    out = rows.withColumn("pred_adjusted", F.when(found, F.lit(1)).otherwise(F.col(pred)).cast("int"))
+    return C.drop_index(out).drop("_zero", "_hit")

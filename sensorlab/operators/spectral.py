@@ -54,13 +54,12 @@ rfft_amp = rfft_amp.asNondeterministic()
 
 
 @pandas_udf(_ARR)
-def rfft_re(s: pd.Series) -> pd.Series:
-    return _by_length(s, lambda m: np.fft.rfft(m, axis=1).real)
-
-
-@pandas_udf(_ARR)
-def rfft_im(s: pd.Series) -> pd.Series:
-    return _by_length(s, lambda m: np.fft.rfft(m, axis=1).imag)
+def rfft_polar(s: pd.Series) -> pd.Series:
+    """Amplitudes of all rfft bins, then their phases: one transform for both."""
+    def polar(m):
+        z = np.fft.rfft(m, axis=1)
+        return np.concatenate([np.abs(z), np.angle(z)], axis=1)
+    return _by_length(s, polar)
 
 
 # ---- G1-G3 -------------------------------------------------------------------
@@ -138,12 +137,20 @@ def period_weights(df: DataFrame, periods: DataFrame, series: str = "series", ke
 # ---- G4, G5: moving-average decomposition ----------------------------------------
 
 def moving_average(a: Column, kernel: int) -> Column:
-    """Centred moving average with the ends repeated (odd ``kernel``)."""
+    """Centred moving average with the ends repeated (odd ``kernel``): differences of
+    running sums, all series of a length at once, so a longer kernel costs nothing."""
     h = (kernel - 1) // 2
-    n = F.size(a)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.aggregate(
-        F.sequence(t - h, t + h), F.lit(0.0),
-        lambda acc, j: acc + F.element_at(a, F.least(F.greatest(j, F.lit(0)), n - 1) + 1)) / kernel)
+
+    def means(m: np.ndarray) -> np.ndarray:
+        level = m.mean(axis=1, keepdims=True)  # sums about the mean stay small
+        run = np.cumsum(np.pad(m - level, ((0, 0), (h, h)), mode="edge"), axis=1)
+        run = np.pad(run, ((0, 0), (1, 0)))
+        return (run[:, kernel:] - run[:, :-kernel]) / kernel + level
+
+    @pandas_udf(_ARR)
+    def smooth(s: pd.Series) -> pd.Series:
+        return _by_length(s, means)
+    return smooth(a)
 
 
 def decompose(df: DataFrame, series: str = "series", kernels=(25,)) -> DataFrame:
@@ -221,16 +228,31 @@ def shared_bins(df: DataFrame, series: str = "series", alpha: float = 0.2) -> Da
     return r.where(F.col("rank") <= F.floor(F.col("_nb") * alpha)).select("n_len", "bin", "mean_amp", "rank")
 
 
+def _pairs_by_length(a: pd.Series, b: pd.Series, fn) -> pd.Series:
+    """Apply ``fn`` (two matrices -> matrix) to groups of rows with equal lengths in both
+    columns; a missing partner counts as empty."""
+    out = [None] * len(a)
+    lens = np.array([(-1 if x is None else len(x), 0 if y is None else len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for n, k in np.unique(lens, axis=0).tolist():
+        idx = np.flatnonzero((lens == (n, k)).all(axis=1))
+        if n <= 0:
+            for i in idx:
+                out[i] = None if n < 0 else np.zeros(0)
+            continue
+        x = np.stack([np.asarray(a.iloc[i], np.float64) for i in idx])
+        y = np.stack([np.asarray(b.iloc[i], np.float64) for i in idx]) if k else np.zeros((len(idx), 0))
+        for i, r in zip(idx, fn(x, y), strict=True):
+            out[i] = r
+    return pd.Series(out)
+
+
 @pandas_udf(_ARR)
 def _mask_bins(s: pd.Series, bins: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(s, bins):
-        x = np.asarray(a, dtype=np.float64)
-        xf = np.fft.rfft(x)
-        if b is not None and len(b):
-            xf[np.asarray(b, dtype=np.int64)] = 0
-        out.append(np.fft.irfft(xf, n=len(x)))
-    return pd.Series(out)
+    def clear(x, b):
+        xf = np.fft.rfft(x, axis=1)
+        np.put_along_axis(xf, b.astype(np.int64), 0, axis=1)
+        return np.fft.irfft(xf, n=x.shape[1], axis=1)
+    return _pairs_by_length(s, bins, clear)
 
 
 def fourier_filter(df: DataFrame, bins: DataFrame, series: str = "series") -> DataFrame:
@@ -257,12 +279,9 @@ def autocorrelation(s: pd.Series) -> pd.Series:
 
 @pandas_udf(_ARR)
 def cross_correlation(q: pd.Series, k: pd.Series) -> pd.Series:
-    """Circular cross-correlation sum_t q[(t+lag) mod n] * k[t] via FFT."""
-    out = []
-    for a, b in zip(q, k):
-        x, y = np.asarray(a, dtype=np.float64), np.asarray(b, dtype=np.float64)
-        out.append(np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), n=len(x)))
-    return pd.Series(out)
+    """Circular cross-correlation sum_t q[(t+lag) mod n] * k[t] via FFT, of pairs of one length."""
+    return _pairs_by_length(q, k, lambda x, y: np.fft.irfft(
+        np.fft.rfft(x, axis=1) * np.conj(np.fft.rfft(y, axis=1)), n=x.shape[1], axis=1))
 
 
 def time_delay_aggregate(df: DataFrame, series: str = "series", factor: float = 1.0) -> DataFrame:
@@ -313,12 +332,19 @@ def frequency_modes(n_len: Column, modes: int, method: str = "random", seed: int
 def exponential_smoothing(a: Column, weight: float, v0: float) -> Column:
     """s_t = w * s_{t-1} + (1 - w) * x_t with s_{-1} = v0 (the reference's
     parameterisation: w is the decay)."""
-    init = F.struct(F.lit(float(v0)).alias("s"), F.array().cast("array<double>").alias("out"))
+    def scan(m: np.ndarray) -> np.ndarray:
+        """Steps s -> w s + x composed pairwise: after the round of reach k a place holds the
+        composition of its last 2 k steps, so log2(n) rounds do."""
+        out, k = (1.0 - weight) * m, 1
+        while k < m.shape[1]:
+            out[:, k:] = out[:, k:] + weight ** k * out[:, :-k]
+            k *= 2
+        return out + v0 * weight ** np.arange(1, m.shape[1] + 1)
 
-    def step(acc, x):
-        s = acc["s"] * weight + x * (1.0 - weight)
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-    return F.aggregate(a, init, step, lambda acc: acc["out"])
+    @pandas_udf(_ARR)
+    def smooth(s: pd.Series) -> pd.Series:
+        return _by_length(s, scan)
+    return smooth(a)
 
 
 def fourier_extrapolate(df: DataFrame, series: str = "series", k: int = 3, horizon: int = 8,
@@ -327,20 +353,17 @@ def fourier_extrapolate(df: DataFrame, series: str = "series", k: int = 3, horiz
     bin dropped for even n), then evaluate sum 2*|X|/n*cos(2*pi*f*t + phase)
     for t = 0 .. n + horizon - 1: ARRAY<DOUBLE> ``extrapolated``."""
     n = F.size(series)
-    d = df.withColumn("_re", rfft_re(F.col(series))).withColumn("_im", rfft_im(F.col(series))).withColumn("_n", n)
+    d = df.withColumn("_z", rfft_polar(F.col(series))).withColumn("_n", n)
 
     def body(z):
-        nn = F.col("_n")
-        hi = F.when(nn % 2 == 0, F.size(z) - 1).otherwise(F.size(z))
-        cand = F.filter(F.transform(z, lambda e, i: F.struct(
-            (-F.sqrt(e["_re"] * e["_re"] + e["_im"] * e["_im"])).alias("neg"), i.alias("bin"),
-            e["_re"].alias("re"), e["_im"].alias("im"))), lambda e: (e["bin"] >= low_freq) & (e["bin"] < hi))
+        nn, half = F.col("_n"), F.floor(F.size(z) / 2).cast("int")
+        hi = F.when(nn % 2 == 0, half - 1).otherwise(half)
+        bins = F.when(hi > low_freq, F.sequence(F.lit(low_freq), hi - 1)).otherwise(F.array().cast("array<int>"))
+        cand = F.transform(bins, lambda i: F.struct((-F.get(z, i)).alias("neg"), i.alias("bin"), F.get(z, i + half).alias("phase")))
         top = F.slice(F.array_sort(cand), 1, k)
         return F.transform(F.sequence(F.lit(0), nn + horizon - 1), lambda t: F.aggregate(
-            top, F.lit(0.0), lambda acc, e: acc + 2 * (-e["neg"]) / nn * F.cos(
-                2 * math.pi * (e["bin"] / nn) * t + F.atan2(e["im"], e["re"]))))
-    d = d.withColumn("extrapolated", let(F.arrays_zip("_re", "_im"), body))
-    return d.drop("_re", "_im", "_n")
+            top, F.lit(0.0), lambda acc, e: acc + 2 * (-e["neg"]) / nn * F.cos(2 * math.pi * (e["bin"] / nn) * t + e["phase"])))
+    return d.withColumn("extrapolated", let(F.col("_z"), body)).drop("_z", "_n")
 
 
 def damped_growth(growth: Column, phi: float, horizon: int) -> Column:
@@ -368,24 +391,24 @@ def _filters(wave: str):
 
 
 def _afb(x: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-    """One analysis step with zero padding: outputs of length
-    floor((N + L - 1) / 2): y[i] = sum_k x[2i + 1 - k] h[k] (full convolution,
-    odd samples)."""
-    L = len(lo)
-    full_lo = np.array([np.convolve(r, lo) for r in x])
-    full_hi = np.array([np.convolve(r, hi) for r in x])
-    return full_lo[:, 1::2], full_hi[:, 1::2]
+    """One analysis step with zero padding, all rows at once: the outputs, floor((N + L - 1) / 2)
+    long, are y[i] = sum_k x[2i + 1 - k] h[k]; tap k meets every second value of a shifted view."""
+    n, taps = x.shape[1], len(lo)
+    out = (n + taps - 1) // 2
+    wide = np.pad(x, ((0, 0), (taps - 1, taps)))
+    view = [wide[:, taps - k:taps - k + 2 * out:2] for k in range(taps)]
+    return sum(v * h for v, h in zip(view, lo, strict=True)), sum(v * h for v, h in zip(view, hi, strict=True))
 
 
 def _sfb(lo_c: np.ndarray, hi_c: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int):
-    """Synthesis step inverting :func:`_afb` (orthogonal filters)."""
-    L = len(lo)
-    up_lo = np.zeros((lo_c.shape[0], 2 * lo_c.shape[1] + 1))
-    up_hi = np.zeros_like(up_lo)
-    up_lo[:, 1::2] = lo_c
-    up_hi[:, 1::2] = hi_c
-    rec = np.array([np.convolve(a, lo[::-1]) + np.convolve(b, hi[::-1]) for a, b in zip(up_lo, up_hi)])
-    return rec[:, L - 1:L - 1 + n]
+    """Synthesis step inverting :func:`_afb` (orthogonal filters): coefficient i adds its tap k to
+    place 2i + 1 - k, so each tap is one strided addition for all rows."""
+    taps = len(lo)
+    rec = np.zeros((lo_c.shape[0], 2 * lo_c.shape[1] + taps))
+    for k in range(taps):
+        at = taps - 1 - k
+        rec[:, at:at + 2 * lo_c.shape[1]:2] += lo_c * lo[k] + hi_c * hi[k]
+    return rec[:, taps - 2:taps - 2 + n]
 
 
 def wavelet_bands(wave: str = "db1", levels: int = 2):
@@ -413,16 +436,19 @@ def wavelet_inverse(wave: str = "db1", levels: int = 2):
 
     @pandas_udf(_ARR)
     def idwt(bands: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for bs, nn in zip(bands, n):
-            bs = [np.asarray(b, dtype=np.float64) for b in bs]
-            lens = [int(nn)]
+        out = [None] * len(bands)
+        sizes = n.to_numpy()
+        for size in np.unique(sizes):
+            idx = np.flatnonzero(sizes == size)
+            lens = [int(size)]
             for _ in range(levels):
                 lens.append((lens[-1] + len(lo) - 1) // 2)
-            a = bs[-1][None, :]
+            level = [np.stack([np.asarray(bands.iloc[i][j], np.float64) for i in idx]) for j in range(levels + 1)]
+            a = level[-1]
             for j in range(levels - 1, -1, -1):
-                a = _sfb(a, bs[j][None, :], lo, hi, lens[j])
-            out.append(a[0])
+                a = _sfb(a, level[j], lo, hi, lens[j])
+            for i, r in zip(idx, a, strict=True):
+                out[i] = r
         return pd.Series(out)
     return idwt
 

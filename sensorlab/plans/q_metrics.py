@@ -97,7 +97,7 @@ SELECT a.l AS true_label, b.l AS pred_label,
 FROM labs a, labs b""")
 def q_e6(spark, sf_dir):
     """E6 confusion matrix over the label union, zero cells included."""
-    return M.confusion_matrix(_mc(spark, sf_dir))
+    return M.confusion_matrix(_mc(spark, sf_dir), zeros=True)
 
 
 _STEPS_SQL = f"""

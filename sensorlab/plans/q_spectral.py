@@ -274,12 +274,28 @@ def q_g15(spark, sf_dir):
         "k", F.col("k").cast("bigint"))
 
 
-@register("g15_wavelet_db2")
+# the four taps of db2, low pass and high pass; a tap k meets input 2i + 1 - k, zero outside
+_LO, _HI = (x.tolist() for x in G._filters("db2"))
+
+
+def _taps_sql(src: str) -> str:
+    def tot(h):
+        return " + ".join(f"coalesce(x{k}.v, 0) * {h[k]!r}::DOUBLE" for k in range(4))
+    joins = " ".join(f"LEFT JOIN {src} AS x{k} ON x{k}.sample_id = p.sample_id AND x{k}.i = 2 * p.i + 1 - {k}" for k in range(4))
+    return (f"SELECT p.sample_id, p.i, {tot(_LO)} AS v, {tot(_HI)} AS d FROM (SELECT sample_id, unnest(range((count(*) + 3) // 2)) AS i "
+            f"FROM {src} GROUP BY sample_id) AS p {joins}")
+
+
+@register("g15_wavelet_db2", f"""
+WITH e AS ({EMB}), a1 AS ({_taps_sql("e")}), a2 AS ({_taps_sql("a1")})
+SELECT sample_id, 0 AS band, i AS k, d AS value FROM a1
+UNION ALL SELECT sample_id, 1, i, d FROM a2 UNION ALL SELECT sample_id, 2, i, v FROM a2""", dbl=["value"])
 def q_g15b(spark, sf_dir):
-    """G15 two-level db2 decomposition (rows only; G16 checks reconstruction)."""
+    """G15 two-level db2 decomposition: detail 1, detail 2, approximation."""
     s = samples(spark, sf_dir).select("sample_id", G.wavelet_bands("db2", 2)(F.col("series")).alias("b"))
     x = s.select("sample_id", F.posexplode("b").alias("band", "arr"))
-    return x.select("sample_id", "band", F.posexplode("arr").alias("k", "value"))
+    return x.select("sample_id", "band", F.posexplode("arr").alias("k", "value")).withColumn(
+        "k", F.col("k").cast("bigint"))
 
 
 @register("g16_wavelet_inverse", f"WITH e AS ({EMB}) SELECT sample_id, i AS k, v AS value FROM e", dbl=["value"])
