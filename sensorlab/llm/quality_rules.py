@@ -116,15 +116,18 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     d = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     trusted = stored(labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct(), "trusted")
-    # one way at every size: the texts that may be trusted, by a bitmap of fixed size, meet the trusted ids; no other text moves
-    key = F.xxhash64(F.lit(3), F.col("__id").cast("string"))
-    maybe = may_contain(bitmap(trusted.select(key.alias("h"))), F.when(F.col("__id").isNotNull(), key))
-    sure = d.where(maybe).join(trusted.hint("merge"), "__id", "left_semi")
-
-    def count(rows, name):
-        return rows.select(F.explode(_grams(F.col("__text"), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias(name))
-    counts = stored(count(d, "all").join(count(sure, "good"), "b", "left").select("b", "all", F.coalesce("good", F.lit(0)).alias("good")),
-                    "gram-counts")
+    # One way at every size, and no text moves but the few that a bitmap takes for trusted by mistake: all are
+    # counted, as trusted too where the bitmap says so; then the mistaken ones, known by their ids, are taken off.
+    def key(seed):
+        return F.when(F.col("__id").isNotNull(), F.xxhash64(F.lit(seed), F.col("__id").cast("string")))
+    maybe = may_contain(bitmap(trusted.select(key(3).alias("h"))), key(3))
+    wrong = stored(d.where(maybe).select("__id").join(trusted.hint("merge"), "__id", "left_anti").distinct(), "mistaken")
+    again = may_contain(bitmap(wrong.select(key(4).alias("h"))), key(4))
+    mistaken = d.where(maybe & again).join(wrong.hint("merge"), "__id", "left_semi")
+    grams = F.explode(_grams(F.col("__text"), buckets)).alias("b")
+    found = d.select(maybe.cast("int").alias("t"), grams).groupBy("b").agg(F.count("*").alias("all"), F.sum("t").alias("good"))
+    off = mistaken.select(grams).groupBy("b").agg(F.count("*").alias("off"))
+    counts = stored(found.join(off, "b", "left").select("b", "all", (F.col("good") - F.coalesce("off", F.lit(0))).alias("good")), "gram-counts")
     total = counts.agg(F.sum("good").alias("g"), F.sum("all").alias("a")).first()
     good, every = total["g"] or 0, total["a"] or 0
 

@@ -95,3 +95,12 @@ def test_every_trusted_document_counts(make, spark):
     got = sorted((r.doc_id or -1, r.llr) for r in Q.apply_rules(d, labels.unionByName(elsewhere)).collect())
     assert [i for i, _ in got] == [i for i, _ in want]
     assert max(abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)) < 1e-9
+
+
+def test_mistaken_ids_are_taken_off(make, monkeypatch):
+    """A bitmap of one word lets most ids through; the counts are the same."""
+    from sensorlab.llm import membership
+    _, d, labels = corpus(make)
+    want = Q.fit_ratio(d, labels).first().ratio
+    monkeypatch.setattr(membership, "WORDS", 1)
+    assert Q.fit_ratio(d, labels).first().ratio == want
