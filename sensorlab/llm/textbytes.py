@@ -130,35 +130,38 @@ def _fold(x: np.ndarray) -> np.ndarray:
     return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
 
 
-def _polynomial(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Sum of (byte + 1) * base ** place over every slice, modulo the prime, from prefix sums."""
-    up, inv = _powers(base)
-    out = np.empty(len(starts), np.uint64)
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Sum of (byte + 1) * base ** place over every slice, modulo the prime, from prefix sums; for each base."""
+    tables = [_powers(b) for b in _BASES]
+    outs = [np.empty(len(starts), np.uint64) for _ in _BASES]
     i = 0
     while i < len(starts):
         a = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, a + _BLOCK, side="right")))
         b = int(ends[j - 1])
         if b - a > _BLOCK:  # one slice longer than a block
-            h = 0
-            for k in range(a, b, _BLOCK):
-                part = data[k:min(b, k + _BLOCK)].astype(np.uint64) + np.uint64(1)
-                h += int(_fold(part * up[:len(part)]).sum()) * pow(base, k - a, _PRIME)
-            out[i] = h % _PRIME
+            for base, (up, _), out in zip(_BASES, tables, outs, strict=True):
+                h = 0
+                for k in range(a, b, _BLOCK):
+                    part = data[k:min(b, k + _BLOCK)].astype(np.uint64) + np.uint64(1)
+                    h += int(_fold(part * up[:len(part)]).sum()) * pow(base, k - a, _PRIME)
+                out[i] = h % _PRIME
         else:
-            c = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_fold((data[a:b].astype(np.uint64) + np.uint64(1)) * up[:b - a]), out=c[1:])
+            v = data[a:b].astype(np.uint64) + np.uint64(1)
             s, e = starts[i:j] - a, ends[i:j] - a
-            out[i:j] = _fold(_fold(c[e] - c[s]) * inv[s]) % np.uint64(_PRIME)
+            c = np.zeros(b - a + 1, np.uint64)
+            for (up, inv), out in zip(tables, outs, strict=True):
+                np.cumsum(v * up[:b - a], out=c[1:])  # below 2^57: no sum needs folding before
+                out[i:j] = _fold(_fold(c[e] - c[s]) * inv[s]) % np.uint64(_PRIME)
         i = j
-    return out
+    return outs
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every slice data[starts[i]:ends[i]] (slices in
     ascending order, not overlapping): two polynomials in the bytes modulo a
     prime, mixed at the end.  Equal bytes give equal hashes everywhere."""
-    one, two = (_polynomial(data, starts, ends, b) for b in _BASES)
+    one, two = _polynomials(data, starts, ends)
     return mix64(one << np.uint64(32) | two)
 
 

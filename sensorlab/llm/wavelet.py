@@ -323,7 +323,7 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         raw = low.tobytes()
         _, first, code = np.unique(slice_hashes(low, s, e), return_index=True, return_inverse=True)
-        other = np.flatnonzero(~_same_bytes(low, s, e, s[first][code], e[first][code]))
+        other = np.flatnonzero(~_same_bytes(raw, s, e, s[first][code], e[first][code]))
         if len(other):  # equal hashes, other bytes: these get numbers of their own
             named: dict[bytes, tuple[int, int]] = {}
             for i, x, y in zip(other.tolist(), s[other].tolist(), e[other].tolist(), strict=True):
@@ -350,16 +350,28 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends])
 
 
-def _same_bytes(data: np.ndarray, s: np.ndarray, e: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> np.ndarray:
-    """Whether the slices data[s:e] and data[s2:e2] are equal, pair by pair (none is empty)."""
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 64
+
+
+def _same_bytes(raw: bytes, s: np.ndarray, e: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    """Whether the slices raw[s:e] and raw[s2:e2] are equal, pair by pair: eight bytes at a
+    time for all pairs, those longer than ``_LONG`` one by one."""
     size = e - s
     same = size == e2 - s2
-    first = np.cumsum(size) - size
-    at = np.arange(size.sum()) - np.repeat(first, size)
-    # where the sizes differ, the second slice is read up to its end again and again; the result is False anyway
-    there = np.minimum(np.repeat(s2, size) + at, np.repeat(e2 - 1, size))
-    equal = data[np.repeat(s, size) + at] == data[there]
-    return same & np.logical_and.reduceat(equal, first)
+    held = raw + bytes(8)
+    eight = np.ndarray(len(raw) + 1, "<u8", held, strides=(1,))  # the eight bytes from every place on
+    live = np.flatnonzero(same & (s != s2))
+    for i in live[size[live] > _LONG].tolist():
+        same[i] = raw[s[i]:e[i]] == raw[s2[i]:e2[i]]
+    live = live[size[live] <= _LONG]
+    k = 0
+    while len(live):
+        left = size[live] - k
+        equal = (eight[s[live] + k] ^ eight[s2[live] + k]) & _LOW_BYTES[np.minimum(left, 8)] == 0
+        same[live[~equal]] = False
+        live, k = live[equal & (left > 8)], k + 8
+    return same
 
 
 @lru_cache(1)
