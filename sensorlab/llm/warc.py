@@ -68,8 +68,8 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                   min_bytes: int = 0) -> DataFrame:
     """page_id, url, html (null: empty), revisit, refers_to.  Of pages with equal
     payloads of ``min_bytes`` or more, the one with the largest id stays a
-    response and the others revisit it; a null id counts as the smallest.
-    Groups are found by digest; a page whose digest is that of a large share of
+    response and the others revisit it; a null id counts as the smallest, and rows
+    that share the largest id all stay responses.  Groups are found by digest; a page whose digest is that of a large share of
     all pages is matched without a shuffle."""
     p = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                      F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))

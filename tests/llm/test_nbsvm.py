@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -64,3 +68,67 @@ def test_held_out_accuracy(spark):
     rows = QUERIES["op9_quality"](spark, d).join(spark.read.parquet(d + "/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert held and sum(r.predicted == r.quality for r in held) > 0.95 * len(held)
+
+
+PRIME, BASES, WORD = (1 << 31) - 1, (1_103_515_245, 747_796_405), (1 << 64) - 1
+
+
+def mix(h):
+    for _ in range(2):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & WORD
+    return h ^ h >> 32
+
+
+def token_hash(raw):
+    one, two = (sum((c + 1) * pow(b, i, PRIME) for i, c in enumerate(raw)) % PRIME for b in BASES)
+    return mix(one << 32 | two)
+
+
+def plain_features(text):
+    """Buckets of words, pairs of words, and triples of shapes, one token after the other."""
+    tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t\n\x0b\x0c\r ]+", text.encode())
+    low = [token_hash(bytes(c + 32 if 65 <= c < 91 else c for c in t)) for t in tokens]
+    shape = []
+    for i, t in enumerate(tokens):
+        caps = sum(65 <= c < 91 for c in t)
+        kind = 4 if any(48 <= c < 58 for c in t) else 3 if caps == len(t) > 1 else 2 if caps else 1
+        word = t[:1].isalnum() or t[0] >= 128
+        shape.append(7 if i and low[i] == low[i - 1] else kind if word else low[i])
+    keys = list(low)
+    keys += [mix((a * 3 + b + 11) & WORD) for a, b in zip(low, low[1:], strict=False)]
+    keys += [mix(((a * 31 + b) * 37 + c + 13) & WORD) for a, b, c in zip(shape, shape[1:], shape[2:], strict=False)]
+    return sorted({k >> 46 for k in keys})
+
+
+def test_features_ratios_margins_and_scores_in_plain_python():
+    rng = random.Random(3)
+    words = "The cat SAT on 3 mats , wow !! wow x1 éa $$ ## Ok".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 9, 40]))) for _ in range(60)] + [t or "" for t in ODD_TEXTS]
+    row, bucket = nbsvm.features(*chunk(texts))
+    plain = [plain_features(t) for t in texts]
+    assert [bucket[row == i].tolist() for i in range(len(texts))] == plain
+    y = [i % 2 for i in range(len(texts))]
+    model = nbsvm.solve([np.array(p, np.int64) for p in plain], np.array(y), np.ones(len(y)))
+    # count ratios
+    count = [dict.fromkeys(range(0), 0) for _ in range(2)]
+    for p, c in zip(plain, y, strict=True):
+        for b in p:
+            count[c][b] = count[c].get(b, 0) + 1
+    total = [nbsvm.BUCKETS + sum(c.values()) for c in count]
+
+    def ratio(b):
+        return math.log((1 + count[1].get(b, 0)) / total[1]) - math.log((1 + count[0].get(b, 0)) / total[0])
+    # the same hinge-loss weights, then mixed with their mean size, margins and scores document by document
+    values = [np.array([ratio(b) for b in p]) for p in plain]
+    values = [v / max(math.sqrt(sum(x * x for x in v)), 1e-9) for v in values]
+    share = [y.count(0), y.count(1)]
+    cost = np.array([nbsvm.COST * len(y) / (2 * share[c]) for c in y])
+    w = nbsvm.dual_descent([np.array(p, np.int64) for p in plain], values, np.array(y), cost, nbsvm.BUCKETS)
+    used = [abs(x) for x in w[:-1] if x]
+    mean = sum(used) / len(used)
+    got = model.scores(row, bucket, len(texts))
+    for i, p in enumerate(plain):
+        size = math.sqrt(sum(ratio(b) ** 2 for b in p))
+        margin = sum(((1 - nbsvm.BETA) * mean + nbsvm.BETA * w[b]) * ratio(b) for b in p) / max(size, 1e-9) + nbsvm.BETA * w[-1]
+        want = 1 / (1 + math.exp(-(model.slope * margin + model.shift)))
+        assert abs(got[i] - want) < 1e-4, i

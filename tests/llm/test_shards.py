@@ -75,3 +75,30 @@ def test_few_rows_and_none(make, tmp_path, spark):
     assert sorted((r.shard, r.slot) for r in out.collect()) == [(0, 0), (1, 0), (2, 0)]
     shards.write_shards(out, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3
+
+
+def test_a_shuffle_in_every_respect(make, monkeypatch):
+    """Rows of every input block, and of every stretch of ids, spread over shards and slots as chance has it:
+    chi-square of (block, shard) and (id range, slot range), rank correlation and neighbours within the shards."""
+    monkeypatch.setattr(shards, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(shards, "PART_ROWS", 150)
+    n, k = 6000, 5
+    df = make([(i,) for i in range(n)], "doc_id long", 4)
+    first = None
+    for seed in range(4):
+        out = [(r.doc_id, r.shard, r.slot) for r in shards.shuffle_into_shards(df, k, ["doc_id"], seed).collect()]
+        first = first or sorted(out)
+        assert seed == 0 or sorted(out) != first  # another seed, another shuffle
+        assert {(s, j) for _, s, j in out} == {(s, j) for s in range(k) for j in range(n // k)}
+        for cells in (Counter((d * 10 // n, s) for d, s, _ in out), Counter((d * 10 // n, j * 5 * k // n) for d, _, j in out)):
+            expected = n / (10 * 5)
+            chi = sum((cells[a, b] - expected) ** 2 / expected for a in range(10) for b in range(5))
+            assert 9 < chi < 80, chi  # 36 degrees of freedom: mean 36, standard deviation 8.5
+        for s in range(k):
+            order = [d for d, x, j in sorted(out, key=lambda r: r[2]) if x == s]
+            m = len(order)
+            rank = {d: i for i, d in enumerate(sorted(order))}
+            rho = 1 - 6 * sum((rank[d] - i) ** 2 for i, d in enumerate(order)) / (m * (m * m - 1))
+            assert abs(rho) < 4.5 / m ** 0.5
+            rises = sum(a < b for a, b in zip(order, order[1:], strict=False))
+            assert abs(rises - (m - 1) / 2) < 4.5 * (m / 12) ** 0.5

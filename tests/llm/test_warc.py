@@ -65,3 +65,10 @@ def test_url_of_any_length():
     raw = warc.record(1, url, b"one", "d", None, False) + warc.record(2, "u", b"two", "d", None, False)
     got = list(warc.read_archive(io.BytesIO(raw), payload=True))
     assert [(r["page_id"], r["url"], r["payload"], r["problem"]) for r in got] == [(1, url, b"one", None), (2, "u", b"two", None)]
+
+
+def test_repeated_ids_that_are_the_largest(make, spark):
+    """Rows that share the largest id of a payload all stay responses; the rest revisit that id."""
+    df = make([(5, "a", "same", "c"), (5, "b", "same", "c"), (3, "c", "same", "c"), (3, "d", "same", "c")], SCHEMA)
+    got = warc.read_archives(spark, warc.write_archives(warc.mark_revisits(df))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in got) == [(3, "revisit", 5)] * 2 + [(5, "response", 0)] * 2
