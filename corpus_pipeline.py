@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlab.llm import bpe, decontam, langid, quality_rules, simhash
-from sensorlab.llm.scratch import stored
+from sensorlab.llm.scratch import folder, remove, stored, temporary
 from sensorlab.session import ship
 from sensorlab.sources.tables import read_table
 
@@ -82,8 +82,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The whole pipeline over ``documents``.  What a stage stores for itself goes when its result
+    is written, and the result goes when the next one is."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = folder(spark, f"stage-{name}")
+        with temporary(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
