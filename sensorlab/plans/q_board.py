@@ -354,6 +354,26 @@ def q_s18(spark, sf_dir):
     return RS.read_history(spark, root)
 
 
+@register("s15_record_lines", f"""
+WITH r AS (SELECT dataset, model, metric, round(value * 1024) / 1024 AS value FROM ({REC_SQL}) AS q),
+k AS (SELECT DISTINCT dataset, model FROM r),
+l AS (SELECT dataset, model, 2 AS sec, metric AS k, metric || ':' || value::VARCHAR AS line FROM r
+  UNION ALL SELECT dataset, model, 0, 'model_name', 'model_name:' || model FROM k
+  UNION ALL SELECT dataset, model, 0, 'seq_len', 'seq_len:64' FROM k
+  UNION ALL SELECT dataset, model, 1, e, '' FROM k, (VALUES ('a'), ('b')) AS t(e))
+SELECT dataset, model, row_number() OVER (PARTITION BY dataset, model ORDER BY sec, k) AS n, line FROM l""")
+def q_s15l(spark, sf_dir):
+    """S15 the lines of every record file in their order (values in 1024ths, so that their text is exact)."""
+    rec = _records(spark, sf_dir).withColumn("value", F.round(F.col("value") * 1024) / 1024)
+    root = RS.write_records(rec, RS.scratch_path(spark, "records"), ["seq_len", "model_name"])
+    file = F.col("_metadata.file_path")
+    t = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(
+        F.url_decode(F.regexp_extract(file, "dataset=([^/]*)", 1)).alias("dataset"),
+        F.url_decode(F.regexp_extract(file, "model=([^/]*)", 1)).alias("model"),
+        F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("n", "line"))
+    return t.withColumn("n", (F.col("n") + 1).cast("bigint"))
+
+
 @register("s15_write_result_records")
 def q_s15(spark, sf_dir):
     """S15 result records written as key:value text (settings, two blank lines,

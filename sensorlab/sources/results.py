@@ -38,9 +38,10 @@ def write_records(records: DataFrame, root: str, settings: Sequence[str] = ()) -
         F.lit(None).cast("string").alias("v"))
     lines = lines.unionByName(blank)
     text = F.when(F.col("sec") == 1, F.lit("")).otherwise(F.concat_ws(":", "k", "v"))
-    (lines.repartition("dataset", "model").sortWithinPartitions("dataset", "model", "sec", "k")
-     .select("dataset", "model", text.alias("value"))
-     .write.mode("overwrite").partitionBy("dataset", "model").text(root))
+    # a record is one value of several lines: a writer that sorts rows by their folder keeps no order of lines
+    whole = F.array_sort(F.collect_list(F.struct("sec", "k", text.alias("line"))))
+    (lines.groupBy("dataset", "model").agg(F.array_join(F.transform(whole, lambda x: x.line), "\n").alias("value"))
+     .repartition("dataset", "model").write.mode("overwrite").partitionBy("dataset", "model").text(root))
     return root
 
 
