@@ -45,12 +45,13 @@ def features_column(df: DataFrame, cols: Sequence[str] | str, out: str = "featur
 def random_forest(n_estimators: int = 100, max_depth: int | None = None, random_state: int = 42,
                   label: str = "label", features: str = "features") -> RandomForestClassifier:
     """B1: random forest classifier.  Spark grows trees to depth ``MAX_DEPTH``
-    at most, which stands for "no limit"; a larger depth is an error."""
+    at most, which stands for "no limit"; a larger depth is an error.  Deep trees
+    keep the node of every row instead of walking down to it at each level."""
     if max_depth is not None and max_depth > MAX_DEPTH:
         raise ValueError(f"max_depth {max_depth} is beyond Spark's {MAX_DEPTH}")
     return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=n_estimators,
                                   maxDepth=MAX_DEPTH if max_depth is None else max_depth,
-                                  seed=random_state)
+                                  seed=random_state, cacheNodeIds=True, maxMemoryInMB=512)
 
 
 def gradient_boosting(n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3,
