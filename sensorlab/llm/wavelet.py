@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -270,14 +271,14 @@ class WordEncoder:
     def _encode_new(self, words: list[bytes]) -> None:
         """Stretches that need the whole tokenizer go to it together if they lack
         the digit 0, with a 0 after each: its token then marks where they end."""
-        model, rest = self.tokenizer.model, []
+        tokenize, young, rest = self.tokenizer.model.tokenize, self.young, []
         for w in words:
-            if _PLAIN.fullmatch(w):
-                ids = [t.id for t in model.tokenize(w.decode("latin-1").translate(_BYTE_LETTERS))]
-                self.young[w] = struct.pack(f"<{len(ids)}I", *ids)
+            if w.isalpha() and w.islower():  # a-z, which the byte-level alphabet shows as they are
+                young[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+            elif _PLAIN.fullmatch(w):
+                young[w] = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
             elif b"0" in w:
-                ids = self._ids(w.decode())
-                self.young[w] = struct.pack(f"<{len(ids)}I", *ids)
+                young[w] = array("I", self._ids(w.decode())).tobytes()
             else:
                 rest.append(w)
         for at in range(0, len(rest), 2000):
@@ -322,7 +323,11 @@ class WordEncoder:
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         raw = low.tobytes()
-        _, first, code = np.unique(slice_hashes(low, s, e), return_index=True, return_inverse=True)
+        hashes = slice_hashes(low, s, e)
+        order = hashes.argsort()
+        begins = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+        first, code = order[begins], np.empty(len(s), np.int64)
+        code[order] = np.cumsum(begins) - 1
         other = np.flatnonzero(~_same_bytes(raw, s, e, s[first][code], e[first][code]))
         if len(other):  # equal hashes, other bytes: these get numbers of their own
             named: dict[bytes, tuple[int, int]] = {}
