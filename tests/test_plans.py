@@ -54,3 +54,29 @@ def test_column_pruning_through_operators(spark):
     # only the four sensor inputs and the keys (plus the gap rule's l_partkey) are read
     line = [x for x in plan.splitlines() if x.startswith("ReadSchema:")][0]
     assert "l_returnflag" not in line and "l_shipdate" not in line
+
+
+def test_one_scan_per_measure(spark):
+    q = E.queries()
+    for name in ("e13_calibration", "e15_e21_regression_errors"):
+        plan = q[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") + plan.count("FileScan parquet") == 1, name
+
+
+def test_limit_and_nth_move_ids_only(spark, monkeypatch):
+    """What is put in order for S4 and P9 holds ids, no series."""
+    from sensorlab.operators import shapes
+    from sensorlab.plans import chunked
+    from sensorlab.sources import samples as SM
+    from sensorlab.sources.tables import samples
+    sorted_columns = []
+    real = chunked.sorted_runs
+
+    def spy(df, keys, order):
+        sorted_columns.append(set(df.columns))
+        return real(df, keys, order)
+    monkeypatch.setattr(chunked, "sorted_runs", spy)
+    s = samples(spark, SF_SMALL)
+    assert SM.limit_samples(s, 10).count() == 10
+    assert shapes.nth_of_class(s, "label", "sample_id", 2).count() == s.select("label").distinct().count()
+    assert sorted_columns and not any("series" in c for c in sorted_columns)
