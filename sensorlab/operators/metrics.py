@@ -77,10 +77,10 @@ def precision_recall_f1(df: DataFrame, y_true="y_true", y_pred="y_pred", positiv
                                        ("f1", "_bf", "_wf"))]))
 
 
-def confusion_matrix(df: DataFrame, y_true="y_true", y_pred="y_pred", zeros: bool = False) -> DataFrame:
-    """One row per (true_label, pred_label) that occurs, or with ``zeros``
-    per pair of the label union; the latter is k*k rows for k classes, the size
-    of the matrix itself, built from the k-row label list."""
+def confusion_matrix(df: DataFrame, y_true="y_true", y_pred="y_pred", zeros: bool = True) -> DataFrame:
+    """One row per (true_label, pred_label) over the sorted label union, zeros
+    included: k*k rows for k classes, the size of the matrix itself, built from the
+    k-row label list.  Without ``zeros`` only the pairs that occur, for many classes."""
     conf = df.groupBy(F.col(y_true).alias("true_label"), F.col(y_pred).alias("pred_label")).agg(
         F.count(F.lit(1)).alias("count"))
     if not zeros:

@@ -60,7 +60,7 @@ def test_one_scan_per_measure(spark):
     q = E.queries()
     for name in ("e13_calibration", "e15_e21_regression_errors"):
         plan = q[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Scan parquet") + plan.count("FileScan parquet") == 1, name
+        assert plan.count("FileScan parquet") == 1, name
 
 
 def test_limit_and_nth_move_ids_only(spark, monkeypatch):
