@@ -370,13 +370,17 @@ def forecast_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
                      F.lag(value, freq).over(w).alias("_lf"), F.lag(value, horizon).over(w).alias("_lh"))
          .where(~F.col(C.BORROWED)))
     insample = F.col(C.POS) < F.col(C.LEN) - horizon
-    scale = (x.where(insample & F.col("_lf").isNotNull()).groupBy(*keys)
-             .agg(F.avg(F.abs(F.col("_v") - F.col("_lf"))).alias("masep")))
-    last = x.where(F.col(C.POS) == F.col(C.LEN) - horizon - 1).select(*keys, F.col("_v").alias("naive1"))
+    # the in-sample scale and the last in-sample value: one partial aggregate
+    lagged = insample & F.col("_lf").isNotNull()
+    at_end = F.col(C.POS) == F.col(C.LEN) - horizon - 1
+    per = (x.groupBy(*keys).agg(F.avg(F.when(lagged, F.abs(F.col("_v") - F.col("_lf")))).alias("masep"),
+                                F.max(F.when(at_end, F.col("_v"))).alias("naive1"),
+                                F.count(F.when(lagged, 1)).alias("_ns"), F.count(F.when(at_end, 1)).alias("_nl"))
+           .where("_ns > 0 AND _nl > 0").drop("_ns", "_nl"))
     hz = x.where(~insample & F.col("_lh").isNotNull()).select(
         *keys, (F.col(C.POS) - (F.col(C.LEN) - horizon)).alias("h"), F.col("_v").alias("target"),
         F.col("_lh").alias("forecast"))
-    return hz.join(last, list(keys)).join(scale, list(keys))
+    return hz.join(per, list(keys)).select(*keys, "h", "target", "forecast", "naive1", "masep")
 
 
 def m4_errors(df: DataFrame, keys: Sequence[str], forecast="forecast", target="target",

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import chunked as C
+from ..plans.stored import stored
 from .quantiles import present
 
 
@@ -131,7 +132,7 @@ def adf(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value
     longest = chunks.agg(F.max(lag_bound(F.col(C.LEN), max_lag))).first()[0]
     if longest is None:
         longest = 0
-    means = rows.groupBy(*keys).agg(F.avg("_y").alias("_mean"))
+    means = stored(rows.groupBy(*keys).agg(F.avg("_y").alias("_mean")), "means")  # one row per series, used three times
     on = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]
     level = rows.join(means.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_mean"), on).drop(*[f"_m_{k}" for k in keys])
     head = (level.where(F.col(C.POS) <= F.col("_lags") + 1).groupBy(*keys)

@@ -8,6 +8,7 @@ from ..operators import features as FE
 from ..operators import norm as N
 from ..sources.tables import machine_series, samples
 from .registry import register
+from .stored import stored
 
 KEYS, ORDER = ["machine"], ["ts", "event_id"]
 
@@ -50,9 +51,9 @@ def flagship(spark, sf_dir):
     """Gap fill (N7) -> 24-row rolling mean/std/min/max (F5-F8) -> per-machine
     standardization (N3) -> per-channel count and means (B14 style)."""
     s = machine_series(spark, sf_dir, gaps=True)
-    s = N.interpolate_gaps(s, KEYS, ORDER, keep_index=True)
-    s = FE.rolling_features(s, KEYS, ORDER, ["value"], window=24)
+    s = stored(N.interpolate_gaps(s, KEYS, ORDER, keep_index=True), "filled")  # read by the windows and by the statistics
     s = N.standardize_per_sample(s, "machine", "value", out="value_z")
+    s = FE.rolling_features(s, KEYS, ORDER, ["value"], window=24)
     return (s.groupBy("channel")
             .agg(F.count(F.lit(1)).alias("n_rows"),
                  F.avg("value").alias("mean_value"),
