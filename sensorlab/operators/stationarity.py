@@ -20,10 +20,12 @@ computed (no p-value table).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,9 @@ from ..plans.stored import stored
 from .quantiles import present
 
 
+_CELLS = 4_000_000  # products of regressors held at once
+
+
 def lag_bound(n: Column, max_lag: int | None) -> Column:
     """Largest lag tried for a series of ``n`` values: Schwert's rule or ``max_lag``, and no more
     than leaves as many rows as coefficients."""
@@ -49,20 +54,52 @@ def _design(y: np.ndarray, lags: int) -> np.ndarray:
     return np.column_stack([np.ones(n), y[lags:-1], *[d[lags - k:len(d) - k] for k in range(1, lags + 1)], d[lags:]])
 
 
-def _gram(keys: list[str]):
-    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Gram matrix of one bucket of a series: its own rows that belong to the common sample."""
-        pdf = pdf.sort_values(C.POS)
-        lags = int(pdf["_lags"].iloc[0])
-        mine = pdf.loc[~pdf[C.BORROWED], C.POS]
-        if mine.empty:  # the bucket after a series' last one holds copies alone
-            return pd.DataFrame(columns=[*keys, "_lags", "_n", "_g"])
-        own = mine.min()
-        y = (pdf["_y"] - pdf["_mean"]).to_numpy()[max(0, int((pdf[C.POS] < own - lags - 1).sum())):]
-        z = _design(y, lags)
-        g = z.T @ z
-        return pd.DataFrame([[*pdf[keys].iloc[0], lags, len(z), g.ravel().tolist()]], columns=[*keys, "_lags", "_n", "_g"])
-    return bucket
+def _grams(n_keys: int):
+    """Gram matrices of sorted rows (keys, bucket, pos, y, mean, lags, borrowed): per batch and bucket
+    one partial sum over the bucket's own rows of the common sample.  Rows of all buckets with one
+    number of lags are worked on together; a bucket that goes on in the next batch takes its last
+    values along."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if tail is None else [tail, b]).combine_chunks()
+            old = 0 if tail is None else tail.num_rows
+            t = t.to_batches()[0]
+            pos, y = t.column(n_keys + 1).to_numpy(), t.column(n_keys + 2).to_numpy() - t.column(n_keys + 3).to_numpy()
+            lags, borrowed = t.column(n_keys + 4).to_numpy(), t.column(n_keys + 5).to_numpy(zero_copy_only=False)
+            # buckets are runs of consecutive positions of one series
+            new = np.ones(len(pos), bool)
+            new[1:] = pos[1:] != pos[:-1] + 1
+            for k in range(n_keys + 1):
+                c = t.column(k)
+                same = pc.equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+                same |= (pc.is_null(c[1:]).to_numpy(zero_copy_only=False) & pc.is_null(c[:-1]).to_numpy(zero_copy_only=False))
+                new[1:] |= ~same
+            group = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            age = np.arange(len(pos)) - first[group]
+            mine = ~borrowed & (np.arange(len(pos)) >= old) & (age >= lags + 1)
+            heads, sums, counts = [], [], []
+            for lag in np.unique(lags[mine]).tolist():
+                rows = np.flatnonzero(mine & (lags == lag))
+                step = max(1, _CELLS // (lag + 3) ** 2)
+                for part in np.array_split(rows, -(-len(rows) // step)):
+                    d = [y[part - k] - y[part - k - 1] for k in range(lag + 1)]
+                    z = np.column_stack([np.ones(len(part)), y[part - 1], *d[1:], d[0]])
+                    start = np.flatnonzero(np.diff(group[part], prepend=-1))
+                    heads += first[group[part[start]]].tolist()
+                    counts += np.diff(start, append=len(part)).tolist()
+                    sums += list(np.add.reduceat((z[:, :, None] * z[:, None, :]).reshape(len(part), -1), start, axis=0))
+            keep = min(len(pos), int(lags.max()) + 1)
+            tail = t.slice(len(pos) - keep)
+            if heads:
+                at = pa.array(heads)
+                yield pa.RecordBatch.from_arrays(
+                    [*[t.column(k).take(at) for k in range(n_keys)], t.column(n_keys + 4).take(at), pa.array(counts, pa.int64()),
+                     pa.array(sums, pa.list_(pa.float64()))], names=[*t.schema.names[:n_keys], "_lags", "_n", "_g"])
+    return run
 
 
 def _cholesky(g: np.ndarray) -> np.ndarray | None:
@@ -139,21 +176,26 @@ def adf(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value
             .agg(F.array_sort(F.collect_list(F.struct(F.col(C.POS).alias("p"), (F.col("_y") - F.col("_mean")).alias("v")))).alias("_head")))
     both = C.with_neighbours(level, None, keys, ["_y", "_mean", "_lags"], before=int(longest) + 1, bucket=bucket)
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    parts = both.groupBy(*keys, C.CHUNK).applyInPandas(_gram(keys), f"{schema}, _lags int, _n bigint, _g array<double>")
+    rows_of = (both.select(*keys, C.CHUNK, F.col(C.POS), "_y", "_mean", "_lags", C.BORROWED)
+               .sortWithinPartitions(*keys, C.CHUNK, C.POS))  # already partitioned by series and bucket
+    parts = rows_of.mapInArrow(_grams(len(keys)), f"{schema}, _lags int, _n bigint, _g array<double>")
     # sums of the matrices entry by entry, so that a long series' buckets never meet in one task
     entry = (parts.select(*keys, "_lags", "_n", F.posexplode("_g").alias("_i", "_v"))
-             .groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"), F.max("_lags").alias("_lags")))
+             .groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"), F.first("_lags").alias("_lags")))
     whole = entry.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_v").alias("v")))).alias("_g"),
                                      F.max("_n").alias("_n"), F.max("_lags").alias("_lags"))
-    head = head.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.transform("_head", lambda e: e.v).alias("_head"))
-    whole = whole.join(head, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]).drop(*[f"_h_{k}" for k in keys])
+    whole = whole.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.transform("_g", lambda e: e.v).alias("_g"), "_n", "_lags")
+    # every series has first values; one without a row of the common sample has no matrix
+    whole = head.withColumn("_head", F.transform("_head", lambda e: e.v)).join(
+        whole, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], "left").drop(*[f"_h_{k}" for k in keys])
 
     @F.pandas_udf("struct<stat: double, lag: int, n: bigint>")
     def solve(g: pd.Series, n: pd.Series, lags: pd.Series, head: pd.Series) -> pd.DataFrame:
-        out = [choose(np.asarray(a, np.float64).reshape(p + 3, p + 3), int(c), np.asarray(h, np.float64), fixed)
+        out = [(None, 0, 0) if a is None else
+               choose(np.asarray(a, np.float64).reshape(int(p) + 3, int(p) + 3), int(c), np.asarray(h, np.float64), fixed)
                for a, c, p, h in zip(g, n, lags, head, strict=True)]
         return pd.DataFrame({"stat": pd.array([o[0] for o in out], "Float64"), "lag": [o[1] for o in out], "n": [o[2] for o in out]})
-    found = whole.withColumn("_s", solve(F.transform("_g", lambda e: e.v), "_n", "_lags", "_head"))
+    found = whole.withColumn("_s", solve("_g", "_n", "_lags", "_head"))
     return found.select(*keys, F.col("_s.stat").alias("adf_stat"), F.col("_s.lag").alias("used_lag"), F.col("_s.n").alias("nobs"))
 
 
