@@ -86,10 +86,10 @@ def residuals(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def level_histogram(bins, g, h, trees: Trees, level: int, width: int) -> np.ndarray:
-    """[class, node of the level, feature, bin, (count, residual, hessian)] sums."""
+    """[(count, residual, hessian), class, node of the level, feature, bin] sums."""
     n, d = bins.shape
     first, here = (1 << level) - 1, 1 << level
-    out = np.zeros((g.shape[1], here, d, width, 3))
+    out = np.zeros((3, g.shape[1], here, d, width))
     flat = bins + np.arange(d)[None] * width
     for k in range(g.shape[1]):
         at = trees.nodes(bins, k, level)
@@ -99,24 +99,36 @@ def level_histogram(bins, g, h, trees: Trees, level: int, width: int) -> np.ndar
         cell = (flat[live] + ((at[live] - first) * (d * width))[:, None]).ravel()
         size = here * d * width
         for j, w in enumerate((None, g[live, k], h[live, k])):
-            out[k, ..., j] = np.bincount(cell, None if w is None else np.repeat(w, d), size).reshape(here, d, width)
+            out[j, k] = np.bincount(cell, None if w is None else np.repeat(w, d), size).reshape(here, d, width)
     return out
 
 
 def best_splits(hist: np.ndarray, first_feature: int) -> dict[str, np.ndarray]:
     """Best split of every (class, node) over the features of ``hist``: the lowest feature, then
     the lowest cut, of those with the largest improvement."""
-    left = hist.cumsum(axis=3)
-    whole = left[:, :, :, -1:, :]
-    right = whole - left
-    nl, nr = left[..., 0], right[..., 0]
-    ok = (nl > 0.5) & (nr > 0.5)
+    _, c, m, d, w = hist.shape
+    whole = hist[:, :, :, 0].sum(axis=-1)  # every feature holds all rows of a node
+    found = {"gain": np.full((c, m), -1.0), "feature": np.full((c, m), first_feature), "cut": np.zeros((c, m), np.int64),
+             "left": np.zeros((c, m, 3)), "all": np.moveaxis(whole, 0, -1)}
+    ck, mk = np.nonzero(whole[0] > 1.5)  # a single row is not split
+    if not len(ck):
+        return found
+    left = hist[:, ck, mk].cumsum(axis=-1)
+    total = whole[:, ck, mk][:, :, None, None]
+    nl, nr = left[0], total[0] - left[0]
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(ok, nl * nr / (nl + nr) * np.square(left[..., 1] / nl - right[..., 1] / nr), -1.0)
-    c, m, d, w = gain.shape
-    at = gain.reshape(c, m, d * w).argmax(axis=2)
-    take = (np.arange(c)[:, None], np.arange(m)[None], at // w, at % w)
-    return {"gain": gain[take], "feature": first_feature + at // w, "cut": at % w, "left": left[take], "all": whole[:, :, 0, 0]}
+        gain = left[1] / nl
+        gain -= (total[1] - left[1]) / nr
+        gain *= gain
+        gain *= nl * nr
+        gain /= total[0]
+    gain[~((nl > 0.5) & (nr > 0.5))] = -1.0
+    at = gain.reshape(len(ck), d * w).argmax(axis=1)
+    rows = np.arange(len(ck))
+    found["gain"][ck, mk] = gain.reshape(len(ck), -1)[rows, at]
+    found["feature"][ck, mk], found["cut"][ck, mk] = first_feature + at // w, at % w
+    found["left"][ck, mk] = left.reshape(3, len(ck), -1)[:, rows, at].T
+    return found
 
 
 def _better(a: dict, b: dict) -> dict:
@@ -228,7 +240,7 @@ class GradientBoosting(Estimator):
                         total = part if total is None else total + part
                     if total is not None:
                         step = max(1, width // 64)
-                        yield from ((f, total[:, :, f:f + step]) for f in range(0, width, step))
+                        yield from ((f, total[:, :, :, f:f + step]) for f in range(0, width, step))
 
                 def best(it):
                     found = None
