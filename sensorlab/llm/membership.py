@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .scratch import stored
 
-#: 64-bit words of the bitmap: 2 MB, 2^24 bits, sent to every task.
-WORDS = 1 << 18
+#: 64-bit words of the bitmap: 256 KB, 2^21 bits, sent to every task and held by the driver in its plans.
+WORDS = 1 << 15
 
 
 def _word(h: Column) -> Column:
