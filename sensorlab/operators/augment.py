@@ -29,6 +29,7 @@ from . import dtw as D
 
 _ARR = ArrayType(DoubleType())
 S = "series"
+_ROWS = 512  # rows of an Arrow batch that a kernel works on together
 
 
 def _n() -> Column:
@@ -164,10 +165,19 @@ def _series_udf(df: DataFrame, kernel):
 
     @pandas_udf(ArrayType(_ARR) if nested else _ARR)
     def f(s: pd.Series, *more: pd.Series) -> pd.Series:
-        return pd.Series([x.tolist() if nested else x[:, 0] for x in kernel(_matrices(s), *more)], dtype=object)
+        out = []
+        for part, *rest in _parts(s, *more):
+            out += [x.tolist() if nested else x[:, 0] for x in kernel(_matrices(part), *rest)]
+        return pd.Series(out, dtype=object)
     return f.asNondeterministic()
 
 
+def _parts(*columns: pd.Series):
+    """The columns of a batch, ``_ROWS`` rows at a time: what a kernel holds does not grow with the batch."""
+    for i in range(0, max(1, len(columns[0])), _ROWS):
+        yield [c.iloc[i:i + _ROWS] for c in columns]
+
+
 def _matrix(a) -> np.ndarray:
     """A series as (steps, channels)."""
     if len(a) and np.ndim(a[0]):
@@ -487,8 +497,7 @@ def _disc_udf(shape: bool, nested: bool):
     from pyspark.sql.types import StructField, StructType
     rt = StructType([StructField("x", ArrayType(_ARR) if nested else _ARR), StructField("warp", DoubleType())])
 
-    @pandas_udf(rt)
-    def f(s: pd.Series, pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
+    def kernel(s: pd.Series, pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
         """A prototype's merit is its mean distance to the other classes less that
         to its own; the sample is laid along the path to the best one.  Rows
         without prototypes or without other classes stay as they are."""
@@ -513,6 +522,10 @@ def _disc_udf(shape: bool, nested: bool):
                 out[t] = _resample(xs[t][q], n)
                 amount[t] = np.abs(np.arange(n) - _resample(q.astype(np.float64)[:, None], n)[:, 0]).sum()
         return pd.DataFrame({"x": [x.tolist() if nested else x[:, 0] for x in out], "warp": amount})
+
+    @pandas_udf(rt)
+    def f(s: pd.Series, pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
+        return pd.concat([kernel(*part) for part in _parts(s, pos, neg)], ignore_index=True)
     return f.asNondeterministic()
 
 
