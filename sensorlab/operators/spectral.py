@@ -427,7 +427,7 @@ def wavelet_bands(wave: str = "db1", levels: int = 2):
             bands.append(a)
             return [[b[i] for b in bands] for i in range(m.shape[0])]
         return _by_length(s, f)
-    return dwt
+    return dwt.asNondeterministic()  # else exploded bands are computed a second time for their size
 
 
 def wavelet_inverse(wave: str = "db1", levels: int = 2):
@@ -450,7 +450,7 @@ def wavelet_inverse(wave: str = "db1", levels: int = 2):
             for i, r in zip(idx, a, strict=True):
                 out[i] = r
         return pd.Series(out)
-    return idwt
+    return idwt.asNondeterministic()  # else an exploded series is computed a second time for its size
 
 
 def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
