@@ -9,8 +9,9 @@ per class.  Splits maximise Friedman's improvement; a leaf's value is one
 Newton step, taken from the last level's histograms, so no pass of its own.
 
 The binned table is stored once.  Scores of the rows are a function of it and
-of the trees: they are checkpointed every ``ROUNDS_PER_BASE`` rounds and
-brought up to date from there, so a lost executor costs one such stretch.
+of the trees: every round adds its own to the kept scores of the round before,
+and every ``ROUNDS_PER_BASE`` rounds they are checkpointed, so a lost executor
+costs one such stretch.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from ..plans.stored import stored
 BINS = 64
 #: Rounds between two checkpoints of the rows' scores.
 ROUNDS_PER_BASE = 10
-#: Bytes of binned features and scores per partition.
-PARTITION_BYTES = 64 << 20
+#: Bytes of binned features and scores per partition, as long as there are cores for more partitions.
+PARTITION_BYTES = 2 << 20
+#: The same, at most.
+MOST_BYTES = 64 << 20
 #: Improvements below this share of a node's squared residuals do not split it.
 _LEAST = 1e-12
 
@@ -214,7 +217,8 @@ class GradientBoosting(Estimator):
         prior = np.clip(prior, np.finfo(np.float32).eps, 1 - np.finfo(np.float32).eps)
         start = np.log(prior) if classes > 2 else np.log(prior[1:] / prior[:1])
         cuts = cut_points(x, "x", width, self.bins)
-        parts = -(-total * (2 * width + 8 * len(start)) // PARTITION_BYTES)
+        size, cores = total * (2 * width + 8 * len(start)), x.sparkSession.sparkContext.defaultParallelism
+        parts = max(-(-size // MOST_BYTES), min(-(-size // PARTITION_BYTES), cores))
         rounds = self._boost(_blocks(x, cuts, parts), start, max(map(len, cuts)) + 1, width)
         return BoostedTrees(self.features, cuts, start, self.learning_rate, self.max_depth, rounds)
 
@@ -223,20 +227,16 @@ class GradientBoosting(Estimator):
         sc = blocks.context
         base = blocks.map(lambda b: (b[0], b[1], np.tile(start, (len(b[1]), 1)))).persist()
         rounds: list[Trees] = []
-        recent: list[Trees] = []
+        kept = [base]  # scores of the rounds since the last checkpoint
         for _ in range(self.n_estimators):
             trees = Trees.empty(classes, depth)
             for level in range(depth):
-                state = sc.broadcast((recent, trees))
+                state = sc.broadcast(trees)
 
                 def histograms(it, state=state, level=level):
-                    past, now = state.value
                     total = None
                     for bins, y, scores in it:
-                        scores = scores.copy()
-                        for t in past:
-                            t.add_to(scores, bins, rate, depth)
-                        part = level_histogram(bins, *residuals(scores, y), now, level, bin_width)
+                        part = level_histogram(bins, *residuals(scores, y), state.value, level, bin_width)
                         total = part if total is None else total + part
                     if total is not None:
                         step = max(1, width // 64)
@@ -261,19 +261,23 @@ class GradientBoosting(Estimator):
                 if not (trees.feature[:, (1 << level) - 1:(2 << level) - 1] >= 0).any():
                     break
             rounds.append(trees)
-            recent = [*recent, trees]
-            if len(recent) == ROUNDS_PER_BASE and len(rounds) < self.n_estimators:
-                def advance(b, past=recent):
-                    scores = b[2].copy()
-                    for t in past:
-                        t.add_to(scores, b[0], rate, depth)
-                    return b[0], b[1], scores
-                last, base = base, base.map(advance).persist()
+            if len(rounds) == self.n_estimators:
+                break
+
+            def advance(b, trees=trees):
+                scores = b[2].copy()
+                trees.add_to(scores, b[0], rate, depth)
+                return b[0], b[1], scores
+            base = base.map(advance).persist()
+            if len(rounds) % ROUNDS_PER_BASE == 0:
                 base.checkpoint()
                 base.foreachPartition(lambda _: None)
-                last.unpersist()
-                recent = []
-        base.unpersist()
+            kept.append(base)
+            for done in kept[:-1] if len(rounds) % ROUNDS_PER_BASE == 0 else kept[:-2]:
+                done.unpersist()  # the next is worked out from the last alone
+            kept = kept[-1:] if len(rounds) % ROUNDS_PER_BASE == 0 else kept[-2:]
+        for done in kept:
+            done.unpersist()
         return rounds
 
 
@@ -286,7 +290,7 @@ def _blocks(x: DataFrame, cuts: list[np.ndarray], parts: int):
                                               "y": pa.array([b.column(0).to_numpy().astype(np.int32).tobytes()], pa.binary())})
     width = len(cuts)
     packed = stored(x.select("y", "x").repartition(parts).mapInArrow(pack, "bins binary, y binary"), "binned")
-    return packed.rdd.map(lambda r: (np.frombuffer(bytes(r.bins), np.int16).astype(np.int64).reshape(-1, width),
+    return packed.rdd.map(lambda r: (np.frombuffer(bytes(r.bins), np.int16).reshape(-1, width),
                                      np.frombuffer(bytes(r.y), np.int32).astype(np.int64)))
 
 
