@@ -1,6 +1,6 @@
 """Tree-model baselines (B1-B4) and model persistence.
 
-Forests are Spark ML's, boosting is :mod:`.boosting`; both aggregate tree
+Forests are :mod:`.forest`, boosting is :mod:`.boosting`; both aggregate tree
 statistics per partition; the only driver-side loop is over the handful of named model
 configurations in :func:`benchmark_models`, each of which is a full
 distributed fit.
@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from ..plans.stored import stored
 from . import metrics as M
 from .boosting import GradientBoosting
+from .forest import RandomForest
 
 # fixed values: the reference's default model set (trees, depth, rate, seed)
 DEFAULT_MODELS = {
@@ -32,7 +32,7 @@ DEFAULT_MODELS = {
                                "params": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 5, "random_state": 42}},
 }
 
-MAX_DEPTH = 30  # Spark ML's limit; "no limit" maps to it
+MAX_DEPTH = 30  # "no limit" maps to it
 
 
 def features_column(df: DataFrame, cols: Sequence[str] | str, out: str = "features") -> DataFrame:
@@ -43,15 +43,12 @@ def features_column(df: DataFrame, cols: Sequence[str] | str, out: str = "featur
 
 
 def random_forest(n_estimators: int = 100, max_depth: int | None = None, random_state: int = 42,
-                  label: str = "label", features: str = "features") -> RandomForestClassifier:
-    """B1: random forest classifier.  Spark grows trees to depth ``MAX_DEPTH``
-    at most, which stands for "no limit"; a larger depth is an error.  Deep trees
-    keep the node of every row instead of walking down to it at each level."""
+                  label: str = "label", features: str = "features") -> RandomForest:
+    """B1: random forest classifier.  Trees grow to depth ``MAX_DEPTH`` at most,
+    which stands for "no limit"; a larger depth is an error."""
     if max_depth is not None and max_depth > MAX_DEPTH:
-        raise ValueError(f"max_depth {max_depth} is beyond Spark's {MAX_DEPTH}")
-    return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=n_estimators,
-                                  maxDepth=MAX_DEPTH if max_depth is None else max_depth,
-                                  seed=random_state, cacheNodeIds=True, maxMemoryInMB=512)
+        raise ValueError(f"max_depth {max_depth} is beyond {MAX_DEPTH}")
+    return RandomForest(n_estimators, MAX_DEPTH if max_depth is None else max_depth, random_state, label, features)
 
 
 def gradient_boosting(n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3,
