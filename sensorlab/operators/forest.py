@@ -172,8 +172,9 @@ class Fitted:
 
 
 class RandomForest(Estimator):
-    """B1: random forest; labels are 0 .. classes - 1.  Rows without a label or features, or whose
-    number of features is not the first row's, teach nothing; missing values (NaN) go right."""
+    """B1: random forest; labels are 0 .. classes - 1.  A row to learn from whose label or features are
+    missing or not finite, or whose features are not as many as the first row's, is an error, as for
+    Spark ML's forest; in a row to score, missing values (NaN) go right."""
 
     def __init__(self, n_estimators: int = 100, max_depth: int = 30, seed: int = 42, label: str = "label",
                  features: str = "features", bins: int = BINS, tried: int | None = None):
@@ -190,9 +191,15 @@ class RandomForest(Estimator):
         return self.max_depth
 
     def _fit(self, dataset: DataFrame) -> ForestModel:
-        x = dataset.select(F.col(f"`{self.label}`").cast("int").alias("y"), _feature_array(dataset, self.features).alias("x"))
-        width = (x.where("x IS NOT NULL").select(F.size("x")).first() or [0])[0]
-        x = stored(x.where((F.col("y") >= 0) & (F.size("x") == width)), "training")
+        label = F.col(f"`{self.label}`").cast("double")
+        raw = dataset.select(label.alias("y"), _feature_array(dataset, self.features).alias("x"))
+        width = (raw.where("x IS NOT NULL").select(F.size("x")).first() or [0])[0]
+        y, off = F.col("y"), F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        x = stored(raw.select(
+            F.when(y.isNull() | F.isnan(y), F.raise_error(F.lit("Labels MUST NOT be Null or NaN")))
+            .when((y < 0) | (y != F.floor(y)), F.raise_error(F.lit("Labels MUST be Integers from 0"))).otherwise(y).cast("int").alias("y"),
+            F.when(F.col("x").isNull() | (F.size("x") != width) | off, F.raise_error(
+                F.lit("Vectors MUST NOT be Null, of different sizes, or hold NaN or Infinity"))).otherwise(F.col("x")).alias("x")), "training")
         total, most = x.agg(F.count("*"), F.max("y")).first()
         if not total or not width:
             raise ValueError("no rows to learn from")

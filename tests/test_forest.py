@@ -90,12 +90,18 @@ def test_learns_and_is_saved(spark, tmp_path, monkeypatch):
 
 
 def test_odd_rows(spark):
-    rows = [(i, i % 2 * 2, [float(i % 2), float("nan") if i % 3 else 1.0]) for i in range(30)]
-    rows += [(90, None, [1.0, 1.0]), (91, 0, None), (92, 0, [1.0])]
-    df = spark.createDataFrame(rows, "sample_id int, label int, features array<double>")
-    got = {r.sample_id: int(r.prediction) for r in RF.RandomForest(5, 4).fit(df).transform(df).collect()}
-    assert all(got[i] == i % 2 * 2 for i in range(30)) and len(got) == 33
+    """Rows to learn from are whole; rows to score may miss values."""
+    good = [(i, i % 2 * 2, [float(i % 2), 1.0]) for i in range(30)]
+    schema = "sample_id int, label int, features array<double>"
+    model = RF.RandomForest(5, 4).fit(spark.createDataFrame(good, schema))
+    odd = [(90, None, [1.0, 1.0]), (91, 0, None), (92, 0, [1.0]), (93, 0, [0.0, float("nan")])]
+    got = {r.sample_id: int(r.prediction) for r in model.transform(spark.createDataFrame(good + odd, schema)).collect()}
+    assert all(got[i] == i % 2 * 2 for i in range(30)) and len(got) == 34
+    assert all(x in got for x in (90, 91, 92, 93)) and got[93] == 0
+    for row in [*odd, (94, -1, [1.0, 1.0])]:
+        with pytest.raises(Exception, match="MUST"):
+            RF.RandomForest(2, 4).fit(spark.createDataFrame([*good, row], schema))
     with pytest.raises(ValueError):
-        RF.RandomForest().fit(df.where("label IS NULL"))
+        RF.RandomForest().fit(spark.createDataFrame([], schema))
     with pytest.raises(ValueError):
         MD.random_forest(max_depth=31)
