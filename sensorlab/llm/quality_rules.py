@@ -27,7 +27,10 @@ MIN_WORDS = 50
 _SPACE = " \t\n\x0b\f\r"
 _SPLIT = r"[ \t\n\x0B\f\r]+"
 _NO_SYMBOLS = "[^#*$%&|<>]+"
-_TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
+# Runs of letters, digits and all beyond ASCII, or runs of ASCII symbols.  The classes list single characters,
+# which the regular expressions of the JVM look up in a table; ranges they try one after another.
+_SYMBOLS = "".join(rf"\x{i:02X}" for i in range(0x21, 0x7F) if not chr(i).isalnum())
+_TOKEN = "[^" + "".join(rf"\x{i:02X}" for i in [*range(0x21), 0x7F]) + _SYMBOLS + "]+|[" + _SYMBOLS + "]+"
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -48,7 +51,8 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Windows of three words found twice or more are located in two steps: every
     window's hash is packed with its position into one long and sorted, and the
     few positions whose neighbour agrees in the hash part are compared by their
-    words.  That keeps the work at n log n for any text.  A null text has no
+    words.  That keeps the work at n log n for any text.  Functions of every word
+    are kept short, since Spark evaluates lambdas node by node.  A null text has no
     words; it fails the base rules, as does every text under 50 words.
     """
     keep = [c for c in docs.columns if c not in BASE]
@@ -64,28 +68,22 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n.cast("long")))) - 1  # mask of the position bits
     w = F.col("__w")
     hashed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
-        F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(F.col("__m"))).bitwiseOR(i.cast("long")))
-    d = d.select(*[F.col(f"`{c}`") for c in rest], "__w", low.alias("__m"),
+        F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.col("__h")).bitwiseOR(i))
+    d = d.select(*[F.col(f"`{c}`") for c in rest], "__w", low.alias("__m"), F.bitwise_not(low).alias("__h"),
                  F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
                  (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"))
     rest += ["word_chars", "n_dup_lines"]
     d = step(d, "__w", "__m", F.when(n > 3, F.sort_array(hashed)).otherwise(F.array().cast("array<long>")).alias("__p"))
     p, m = F.col("__p"), F.col("__m")
-
-    def near(x, i):
-        return x.bitwiseXOR(F.get(p, i)).bitwiseAND(F.bitwise_not(m)) == 0
-    d = step(d, "__w", F.transform(F.filter(p, lambda x, i: F.coalesce(near(x, i + 1), F.lit(False))
-                                            | F.coalesce(near(x, i - 1), F.lit(False))),
-                                   lambda x: x.bitwiseAND(m).cast("int")).alias("__c"))
-    d = step(d, F.size("__w").cast("long").alias("n_words"), F.array_sort(F.transform("__c", lambda i: F.struct(
-        F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))).alias("__s"))
+    # the sorted neighbour has the same hash if it is not above the last place of this hash
+    pairs = F.filter(F.sequence(F.lit(0), n - 4), lambda i: F.get(p, i + 1) <= F.get(p, i).bitwiseOR(m))
+    both = F.flatten(F.transform(pairs, lambda i: F.array(*[F.get(p, i + k).bitwiseAND(m).cast("int") for k in (0, 1)])))
+    d = step(d, "__w", F.when(n > 3, F.array_distinct(both)).otherwise(F.array().cast("array<int>")).alias("__c"))
+    d = step(d, F.size("__w").cast("long").alias("n_words"), F.sort_array(F.transform("__c", lambda i: F.struct(
+        F.struct(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("k"), i.alias("i")))).alias("__s"))
     rest += ["n_words"]
     s = F.col("__s")
-
-    def same(x, i):
-        y = F.get(s, i)
-        return F.coalesce((x.a == y.a) & (x.b == y.b) & (x.c == y.c), F.lit(False))
-    d = step(d, F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i + 1) | same(x, i - 1)),
+    d = step(d, F.sort_array(F.transform(F.filter(s, lambda x, i: (x.k == F.get(s, i + 1).k) | (x.k == F.get(s, i - 1).k)),
                                          lambda x: x.i)).alias("__r"))
     r = F.col("__r")
     cover = F.transform(r, lambda x, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), x - F.get(r, i - 1))).cast("long"))
@@ -94,17 +92,32 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return d.withColumn("base_failed", failed).select(*[F.col(f"`{c}`") for c in keep], *BASE)
 
 
-def _grams(text: Column, buckets: int) -> Column:
-    """Hash buckets of the text's token unigrams and bigrams."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
+
+
+def _bucket(buckets: int, *tokens: Column) -> Column:
+    """Hash bucket of a gram; ``buckets`` is a power of two."""
+    return F.xxhash64(*tokens).bitwiseAND(F.lit(buckets - 1))
+
+
+def _gram_rows(docs: DataFrame, text: Column, buckets: int, *more: Column) -> DataFrame:
+    """A row for every token unigram and bigram of the texts, with its bucket ``b`` and the columns ``more``."""
+    d = docs.select(_tokens(text).alias("__t"), *more)
+    rest = d.columns[1:]
+    d = d.select(F.inline(F.arrays_zip("__t", F.slice("__t", 2, F.size("__t")))).alias("x", "y"), *rest)
+    two = F.when(F.col("y").isNotNull(), _bucket(buckets, F.col("x"), F.col("y")))
+    return d.select(F.explode(F.array(_bucket(buckets, F.col("x")), two)).alias("b"), *rest).where("b IS NOT NULL")
+
 
-    def both(t):
-        def bucket(*c):  # buckets is a power of two
-            return F.xxhash64(*c).bitwiseAND(F.lit(buckets - 1)).cast("int")
-        one = F.transform(t, lambda x: bucket(x))
-        two = F.transform(F.slice(t, 2, F.size(t)), lambda x, i: bucket(F.get(t, i), x))
-        return F.concat(one, two)
-    return let(tokens, both)
+def _mean_ratio(text: Column, ratio: Column, buckets: int) -> Column:
+    """Mean of ``ratio`` over the buckets of the text's token unigrams and bigrams; 0 without any."""
+    def mean(t):
+        after = F.greatest(F.size(t) - 1, F.lit(0))
+        one = F.aggregate(t, F.lit(0.0), lambda a, x: a + F.get(ratio, _bucket(buckets, x)))
+        two = F.zip_with(F.slice(t, 1, after), F.slice(t, 2, after), lambda x, y: F.get(ratio, _bucket(buckets, x, y)))
+        return F.when(F.size(t) > 0, F.aggregate(two, one, lambda a, r: a + r) / (F.size(t) + after)).otherwise(F.lit(0.0))
+    return let(_tokens(text), mean)
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -124,9 +137,9 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     wrong = stored(d.where(maybe).select("__id").join(trusted.hint("merge"), "__id", "left_anti").distinct(), "mistaken")
     again = may_contain(bitmap(wrong.select(key(4).alias("h"))), key(4))
     mistaken = d.where(maybe & again).join(wrong.hint("merge"), "__id", "left_semi")
-    grams = F.explode(_grams(F.col("__text"), buckets)).alias("b")
-    found = d.select(maybe.cast("int").alias("t"), grams).groupBy("b").agg(F.count("*").alias("all"), F.sum("t").alias("good"))
-    off = mistaken.select(grams).groupBy("b").agg(F.count("*").alias("off"))
+    text = F.col("__text")
+    found = _gram_rows(d, text, buckets, maybe.cast("int").alias("t")).groupBy("b").agg(F.count("*").alias("all"), F.sum("t").alias("good"))
+    off = _gram_rows(mistaken, text, buckets).groupBy("b").agg(F.count("*").alias("off"))
     counts = stored(found.join(off, "b", "left").select("b", "all", (F.col("good") - F.coalesce("off", F.lit(0))).alias("good")), "gram-counts")
     total = counts.agg(F.sum("good").alias("g"), F.sum("all").alias("a")).first()
     good, every = total["g"] or 0, total["a"] or 0
@@ -135,7 +148,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         return F.log((F.coalesce(F.col(c), F.lit(0)) + PRIOR) / (n + PRIOR * buckets))
     ratio = p("good", good) - p("all", every) if good else F.lit(0.0)
     spark = docs.sparkSession
-    full = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    full = spark.range(buckets).select(F.col("id").alias("b")).join(counts, "b", "left")
     row = full.agg(F.array_sort(F.collect_list(F.struct("b", ratio.alias("r")))).alias("x"))
     return stored(row.select(F.transform("x", lambda x: x.r).alias("ratio")), "ratio")
 
@@ -144,9 +157,7 @@ def judge(docs: DataFrame, ratio: DataFrame, text_col: str = "text", buckets: in
           threshold: float = THRESHOLD) -> DataFrame:
     """Append the base counts, ``llr`` (mean log ratio per n-gram, 0 without
     any) and ``kept`` (base rules passed and llr not below the threshold)."""
-    grams = _grams(F.col(f"`{text_col}`"), buckets)
-    mean = let(grams, lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(F.col("__ratio"), b), lambda a: F.when(
-        F.size(g) > 0, a / F.size(g)).otherwise(F.lit(0.0))))
+    mean = _mean_ratio(F.col(f"`{text_col}`"), F.col("__ratio"), buckets)
     plain = docs.drop("llr", "kept")
     scored = plain.withColumn("__ratio", ratio.select("ratio").scalar()).withColumn("llr", mean).drop("__ratio")
     out = base_counts(scored, text_col)

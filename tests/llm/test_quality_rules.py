@@ -104,3 +104,14 @@ def test_mistaken_ids_are_taken_off(make, monkeypatch):
     want = Q.fit_ratio(d, labels).first().ratio
     monkeypatch.setattr(membership, "WORDS", 1)
     assert Q.fit_ratio(d, labels).first().ratio == want
+
+
+def test_grams_are_counted_without_lambdas(make, spark):
+    """Spark evaluates lambdas node by node; counting the grams of every text needs none."""
+    rows = Q._gram_rows(make(list(enumerate(TEXTS)), "doc_id long, text string"), F.col("text"), Q.BUCKETS, F.col("doc_id"))
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    tokens = [(i, re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+|[!-/:-@\[-`{-~]+", t)) for i, t in enumerate(TEXTS) if t]
+    grams = [(i, x, None) for i, t in tokens for x in t] + [(i, x, y) for i, t in tokens for x, y in zip(t, t[1:], strict=False)]
+    want = spark.createDataFrame(grams, "i long, x string, y string").select(
+        "i", F.pmod(F.when(F.col("y").isNull(), F.xxhash64("x")).otherwise(F.xxhash64("x", "y")), F.lit(Q.BUCKETS)))
+    assert Counter(map(tuple, rows.select("doc_id", "b").collect())) == Counter(map(tuple, want.collect()))
