@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from .membership import bitmap, may_contain
 from .scratch import stored
 
 #: Hash buckets of the multinomials: the size of every table kept per job.
@@ -128,19 +127,14 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     documents every ratio is 0.
     """
     d = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    trusted = stored(labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct(), "trusted")
-    # One way at every size, and no text moves but the few that a bitmap takes for trusted by mistake: all are
-    # counted, as trusted too where the bitmap says so; then the mistaken ones, known by their ids, are taken off.
-    def key(seed):
-        return F.when(F.col("__id").isNotNull(), F.xxhash64(F.lit(seed), F.col("__id").cast("string")))
-    maybe = may_contain(bitmap(trusted.select(key(3).alias("h"))), key(3))
-    wrong = stored(d.where(maybe).select("__id").join(trusted.hint("merge"), "__id", "left_anti").distinct(), "mistaken")
-    again = may_contain(bitmap(wrong.select(key(4).alias("h"))), key(4))
-    mistaken = d.where(maybe & again).join(wrong.hint("merge"), "__id", "left_semi")
+    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
+    # One way at every size: texts move to the partitions of their ids, where only ids are held in memory, and
+    # the trusted ones alone are counted again.
+    good_docs = d.where("__id IS NOT NULL AND __text IS NOT NULL").join(trusted.hint("shuffle_hash"), "__id", "left_semi")
     text = F.col("__text")
-    found = _gram_rows(d, text, buckets, maybe.cast("int").alias("t")).groupBy("b").agg(F.count("*").alias("all"), F.sum("t").alias("good"))
-    off = _gram_rows(mistaken, text, buckets).groupBy("b").agg(F.count("*").alias("off"))
-    counts = stored(found.join(off, "b", "left").select("b", "all", (F.col("good") - F.coalesce("off", F.lit(0))).alias("good")), "gram-counts")
+    found = _gram_rows(d, text, buckets).groupBy("b").agg(F.count("*").alias("all"))
+    again = _gram_rows(good_docs, text, buckets).groupBy("b").agg(F.count("*").alias("good"))
+    counts = stored(found.join(again, "b", "left").select("b", "all", F.coalesce("good", F.lit(0)).alias("good")), "gram-counts")
     total = counts.agg(F.sum("good").alias("g"), F.sum("all").alias("a")).first()
     good, every = total["g"] or 0, total["a"] or 0
 

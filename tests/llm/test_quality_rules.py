@@ -106,6 +106,18 @@ def test_mistaken_ids_are_taken_off(make, monkeypatch):
     assert Q.fit_ratio(d, labels).first().ratio == want
 
 
+def test_only_trusted_texts_are_counted_again(make, monkeypatch):
+    """The texts whose grams are counted a second time are the trusted ones, however many ids are trusted or not."""
+    from sensorlab.llm import membership
+    _, d, labels = corpus(make)
+    monkeypatch.setattr(membership, "WORDS", 1)
+    seen, rows = [], Q._gram_rows
+    monkeypatch.setattr(Q, "_gram_rows", lambda docs, *a: seen.append(docs) or rows(docs, *a))
+    Q.fit_ratio(d, labels)
+    trusted = d.join(labels.where("quality = 1"), "doc_id", "left_semi").where("text IS NOT NULL").count()
+    assert sorted(x.count() for x in seen) == sorted([d.count(), trusted])
+
+
 def test_grams_are_counted_without_lambdas(make, spark):
     """Spark evaluates lambdas node by node; counting the grams of every text needs none."""
     rows = Q._gram_rows(make(list(enumerate(TEXTS)), "doc_id long, text string"), F.col("text"), Q.BUCKETS, F.col("doc_id"))
