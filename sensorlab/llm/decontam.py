@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .scratch import filesystem, folder, stored, write_file
 from .textbytes import LOWER, append_columns, chunks, limit_batches, runs, slice_hashes, string_buffers
 
@@ -287,22 +288,14 @@ def remove_spans(docs: DataFrame, bench: DataFrame, window: int = 10, max_covera
     found = find_spans(packed, bench, window, "__text")
     found = found.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words"))
 
-    def make():
-        def fn(batch: pa.RecordBatch):
-            texts, spans = batch.column(0), batch.column(1)
-            if not any(len(x) for x in spans):
-                return [texts]
-            out = texts.to_pylist()
-            for i, sp in enumerate(spans.to_pylist()):
-                if sp:
-                    raw, at, kept = out[i].encode(), 0, []
-                    for x in sp:
-                        kept.append(raw[at:x["begin"]])
-                        at = x["end"]
-                    out[i] = b"".join([*kept, raw[at:]]).decode()
-            return [pa.array(out, texts.type)]
-        return fn
-    cut = append_columns(found, [("__cut", "string")], make, ["__text", "spans"],
-                         drop=["__text", "spans", "items", "n_words", "n_hit"])
-    return cut.select(*[F.col("__cut").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c)
-                        for c in docs.columns])
+    # In Spark's own expressions: a second Python stage would keep a second worker per core, which later stages fill too.
+    # Spans begin and end at words, so every piece between them is whole characters.
+    def between(raw):
+        def piece(i):
+            begin = F.coalesce(F.get("spans", i - 1)["end"], F.lit(0)).cast("int")
+            end = F.coalesce(F.get("spans", i)["begin"], F.length(raw)).cast("int")
+            return F.substring(raw, begin + 1, end - begin).cast("string")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size("spans")), piece), "")
+    text = F.col("__text")
+    cut = F.when(F.size("spans") > 0, let(text.cast("binary"), between)).otherwise(text)
+    return found.select(*[cut.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

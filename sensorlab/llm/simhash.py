@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hotkeys import join_per_key
-from .membership import bitmap, may_contain
 from .scratch import stored
 from .textbytes import append_columns, string_buffers
 
@@ -246,14 +245,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         return [F.coalesce(i.cast("string"), F.lit("")).alias("__k1"), i.isNull().alias("__k2"), t.alias("__k3")]
     keys = ["__k1", "__k2", "__k3"]
     chosen = first.select(*row_key(F.col("s.id"), F.col("s.th")), F.lit(True).alias("__chosen"))
-    # keys of which some row goes; all other rows stay where they are
+    # keys of which some row goes
     sizes = found.select(*row_key(F.col(id_col), F.col("th"))).groupBy(*keys).agg(F.count("*").alias("__n"))
     losing = stored(sizes.join(chosen, keys, "left").where("__chosen IS NULL OR __n > 1").drop("__n"), "losing")
     keyed = docs.select("*", *row_key(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))))
-    touched = may_contain(bitmap(losing.select(F.xxhash64(*keys).alias("h"))), F.xxhash64(*keys))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    asked = keyed.where(touched).join(losing.withColumn("__loses", F.lit(True)).hint("merge"), keys, "left")
+    # one way at every size: rows move to the partitions of their keys, where only keys are held in memory
+    asked = keyed.join(losing.withColumn("__loses", F.lit(True)).hint("shuffle_hash"), keys, "left")
     one = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
     rest = asked.where("__loses IS NULL").select(*columns)
     last = asked.where("__chosen").withColumn("__one", one).where("__one = 1").select(*columns)
-    return keyed.where(~touched).select(*columns).unionByName(rest).unionByName(last)
+    return rest.unionByName(last)

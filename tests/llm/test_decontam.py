@@ -85,3 +85,19 @@ def test_blocks_make_passes(make, spark):
     one = decontam.find_spans(d, b, 10)
     assert sorted(many.collect(), key=str) == sorted(one.collect(), key=str)
     assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in one.collect()} == {i: brute(t, items, 10) for i, t in docs}
+
+
+def test_remove_spans_takes_one_python_stage(make):
+    """One Python worker per core, and texts cut as plain Python cuts their bytes."""
+    docs, items = table(4)
+    df, bench = make(docs, "doc_id long, text string"), make(items, "item_id long, text string")
+    got = decontam.remove_spans(df, bench, 3, 1.0)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = []
+    for r in decontam.find_spans(df, bench, 3).collect():
+        raw, at, kept = (r.text or "").encode(), 0, b""
+        for x in r.spans:
+            kept, at = kept + raw[at:x.begin], x.end
+        want.append((r.doc_id or -1, "none" if r.text is None else (kept + raw[at:]).decode()))
+    assert len({t for _, t in want}) > 20
+    assert sorted((r.doc_id or -1, "none" if r.text is None else r.text) for r in got.collect()) == sorted(want)
